@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm import langid, lines, pieces, quality, token_counts, warc
+from residua.llm import ann, decontaminate, langid, lines, near_dup, pieces, quality, substrings, token_counts, warc
 from residua.llm.common import held_out, scratch, table
 
 
@@ -37,6 +37,29 @@ FROM d JOIN w USING (s)
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substrings.without_repeats(docs, with_text=False)
+    return out.select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(len(w)))::BIGINT AS i FROM d),
+g AS (SELECT doc_id, i, CASE WHEN i + 20 <= len(w) THEN md5(array_to_string(w[i + 1:i + 20], ' ')) END AS h FROM p),
+f AS (SELECT doc_id, i, h IS NOT NULL AND row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1 AS again FROM g),
+c AS (SELECT doc_id, i, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+k AS (SELECT c.doc_id, count(*) AS n, sum(gone) AS r, coalesce(string_agg(d.w[c.i + 1], ' ' ORDER BY c.i) FILTER (gone = 0), '') AS kept FROM c JOIN d ON c.doc_id = d.doc_id GROUP BY c.doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.filter(~held_out()))
@@ -49,11 +72,36 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(docs, tokenizer("piece_bpe_32k.model")).select("doc_id", "encoded.*")
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_dup.components_of(docs, width=2)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+t AS (SELECT s.doc_id, s.x, n.n FROM s JOIN n USING (doc_id)),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT a, b FROM j WHERE 100 * shared >= 80 * (na + nb - shared) UNION ALL SELECT b, a FROM j WHERE 100 * shared >= 80 * (na + nb - shared)),
+r AS (SELECT a AS id, b AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT id, least(id, min(other)) AS component FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, coalesce(c.component, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count(docs, tokenizer("byte_bpe_50k.tiktoken")).select("doc_id", "tokens.*")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, F.col("vec_id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = lines.remove(docs, counts=True)
@@ -82,5 +130,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op4_language_id, op5_sentencepiece, op7_token_counts, op9_line_dedup, op10_quality)}
-ORACLES = {"op1_warc": OP1_SQL, "op9_line_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_substring_dedup, op4_language_id, op5_sentencepiece, op6_near_dup, op7_token_counts, op8_nearest, op9_line_dedup, op10_quality)}
+ORACLES = {"op1_warc": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op6_near_dup": OP6_SQL, "op9_line_dedup": OP9_SQL}
