@@ -7,10 +7,9 @@ that no other class has are skipped at once. Classes with less than MATCH shared
 
 In each posting list every class meets the list's most central class only (that whose values are most common), pairs
 above the match threshold are confirmed on full sets, and links are joined to components. Lists within one component are
-done (skip). Classes of the other lists meet those of other components: in lists of at most SHORT classes directly, again
-above the match threshold; in longer ones exactly, by a set-prefix join with length and position bounds. No long list is
-expanded into its pairs, none is cut, and every link between different texts that can change a component is confirmed on
-full sets. A pair at the threshold has fewer than MATCH of
+done (skip). Classes of the other lists meet those of other components exactly, by a set-prefix join with length and
+position bounds. No list is expanded into its pairs, none is cut, and every link between different texts that can change
+a component is confirmed on full sets. A pair at the threshold has fewer than MATCH of
 COORDS equal values with a chance of about 1e-8.
 
 Defined cases: null, empty and blank texts have no set and are linked with nothing; a text with fewer words than a
@@ -34,8 +33,6 @@ from residua.llm.components import components
 COORDS, MATCH = 64, 32
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
-#: Posting lists up to this length are settled by their pairs between components, longer ones by set prefixes.
-SHORT = 32
 #: Buckets of the shingle counts that order the set prefixes.
 ORDER_BITS = 18
 _rng = np.random.default_rng(20240229)
@@ -185,7 +182,7 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     met = posted.join(counts, "token").withColumn("order", F.row_number().over(mine.orderBy(F.desc("c"), F.desc("token")))).withColumn("central", F.sum("c").over(mine))
     prefix = written(met.filter(F.col("order") >= MATCH).select("token", "id", "central"), "postings")
     leaders = prefix.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = written(prefix.join(leaders.select("token", (-F.col("top.minus")).alias("b"), "c"), "token").select("token", F.col("id").alias("a"), "b", "c"), "met")
+    met = written(prefix.join(leaders.select("token", (-F.col("top.minus")).alias("b")), "token").select("token", F.col("id").alias("a"), "b"), "met")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def alike_enough(pairs: DataFrame) -> DataFrame:
@@ -204,18 +201,15 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     root = written(components(links), "roots")
 
     # what the lists leave open: pairs between different components
-    rooted = met.select("token", F.col("a").alias("id"), "c").join(root, "id", "left").select("token", "id", "c", F.coalesce("root", "id").alias("root"))
+    rooted = met.select("token", F.col("a").alias("id")).join(root, "id", "left").select("token", "id", F.coalesce("root", "id").alias("root"))
     rooted = written(rooted, "rooted")
     split = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
     left = written(rooted.join(split, "token", "left_semi"), "open")
-    p, q = left.filter(F.col("c") <= SHORT).alias("p"), left.filter(F.col("c") <= SHORT).alias("q")
-    across = (F.col("p.token") == F.col("q.token")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root"))
-    short = alike_enough(p.join(q, across).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct())
-    long = written(left.filter(F.col("c") > SHORT).select("id", "root").distinct(), "open")
-    full = sets_of(ends(short).union(long.select("id")))
-    pairs, some = short, long.count()
+    open_ids = written(left.select("id", "root").distinct(), "open")
+    some = open_ids.count()
     if some:
-        first = _prefixes(among(full, long.select("id"), some), percent).join(F.broadcast(long) if some <= BROADCAST_IDS // 2 else long, "id")
+        full = sets_of(open_ids.select("id"))
+        first = _prefixes(full, percent).join(F.broadcast(open_ids) if some <= BROADCAST_IDS // 2 else open_ids, "id")
         first = written(first, "prefixes")
         p, q = first.filter("first").alias("p"), first.alias("q")
         least = F.ceil((F.col("p.n") + F.col("q.n")) * percent / (100 + percent) - F.lit(1e-9))
@@ -226,9 +220,9 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
             & (100 * F.col("p.n") >= percent * F.col("q.n"))
             & (F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at")) >= least)
         )
-        pairs = written(pairs.union(p.join(q, bound).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))).distinct(), "pairs")
-    more = written(confirmed(pairs, full, percent), "links")
-    root = written(components(links.union(more)), "roots")
+        pairs = written(p.join(q, bound).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct(), "pairs")
+        more = written(confirmed(pairs, full, percent), "links")
+        root = written(components(links.union(more)), "roots")
     rep = classes.join(root, classes["rep"] == root["id"], "left").select(*alike, F.coalesce("root", "rep").alias("component"))
     return sets.drop("sig").join(rep, alike, "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
