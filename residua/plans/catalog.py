@@ -1,4 +1,284 @@
-"""Registered queries and the SQL that each must equal."""
+"""Registered queries and the SQL that each must equal. Chains come from the embeddings table (sources.chains)."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from residua.functions.ranks import percentile
+from residua.operators import evaluate, geometry, graph, subset
+from residua.sources.chains import chain
+
+#: Candidates of the subset queries: the residues of a target with the largest scores.
+CANDIDATES = 12
+
+_CHAIN = """
+r0 AS (SELECT label AS target, vec_id, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1, embedding[3]::DOUBLE AS e2, embedding[7]::DOUBLE AS e6, embedding[8]::DOUBLE AS e7 FROM embeddings),
+r1 AS (SELECT *, sqrt(e0*e0 + e1*e1 + e2*e2) AS r FROM r0),
+chain AS (SELECT target, vec_id, (row_number() OVER w - 1)::INT AS i,
+  round(sum(3.8::DOUBLE * e0 / r) OVER u, 3) AS x, round(sum(3.8::DOUBLE * e1 / r) OVER u, 3) AS y, round(sum(3.8::DOUBLE * e2 / r) OVER u, 3) AS z,
+  round(e6, 6) AS score, (e7 > 0.05)::INT AS truth, 'A:' || (row_number() OVER w) AS residue_id, (row_number() OVER w - 1) % 25 = 3 AS source
+  FROM r1 WINDOW w AS (PARTITION BY target ORDER BY vec_id), u AS (PARTITION BY target ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+dist AS (SELECT a.target, a.i, b.i AS j, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d FROM chain a JOIN chain b ON a.target = b.target AND a.i <> b.i),
+edges AS (SELECT * FROM dist WHERE d > 0 AND d <= 7.8)"""
+_WITH = f"WITH RECURSIVE {_CHAIN}"
+#: Breadth first in SQL: a node joins once, at its least distance.
+_HOPS = """,
+hops AS (
+  SELECT target, src, i, hop FROM (
+    WITH RECURSIVE f(target, src, i, hop) USING KEY (target, src, i) AS (
+      SELECT target, i, i, 0 FROM chain WHERE source
+      UNION SELECT DISTINCT f.target, f.src, e.j, f.hop + 1 FROM f JOIN edges e ON f.target = e.target AND f.i = e.i
+        LEFT JOIN recurring.f k ON k.target = f.target AND k.src = f.src AND k.i = e.j WHERE k.i IS NULL)
+    SELECT * FROM f))"""
+_VALUES = """,
+vals AS (SELECT d.target, d.i AS src, d.j AS i, round(1 / (1 + d.d * d.d), 9) AS c FROM dist d JOIN chain s ON s.target = d.target AND s.i = d.i AND s.source
+  UNION ALL SELECT target, i, i, 0 FROM chain WHERE source)"""
+_RANK = "(rank() OVER (PARTITION BY {p} ORDER BY {v}) + (count(*) OVER (PARTITION BY {p}, {v}) - 1) / 2.0::DOUBLE)::DOUBLE"
+
+
+def _rank(v: str, p: str) -> str:
+    return _RANK.format(v=v, p=p)
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = chain(spark, sf_dir)
+    return rows, geometry.contacts(rows)
+
+
+def _values(rows: DataFrame) -> DataFrame:
+    """1 / (1 + d^2) from each source, in place of a walk's connectivity."""
+    s = rows.filter("source").select("target", F.col("i").alias("src"), *[F.col(c).alias(f"{c}s") for c in "xyz"])
+    d2 = sum((F.col(c) - F.col(f"{c}s")) * (F.col(c) - F.col(f"{c}s")) for c in "xyz")
+    far = F.sqrt(d2)
+    return rows.join(s, "target").select("target", "src", "i", F.when(F.col("i") == F.col("src"), 0.0).otherwise(F.round(1 / (1 + far * far), 9)).alias("c"))
+
+
+def residue_id(spark, sf_dir):
+    return chain(spark, sf_dir).select("target", "i", "residue_id", "x", "y", "z")
+
+
+def contact_edges(spark, sf_dir):
+    return _edges(spark, sf_dir)[1].select("target", "i", "j", F.round("d", 6).alias("d"))
+
+
+def graph_stats(spark, sf_dir):
+    rows, edges = _edges(spark, sf_dir)
+    return geometry.graph_stats(rows, edges).select("target", "n", "edges", F.round("mean_degree", 9).alias("mean_degree"))
+
+
+def burial(spark, sf_dir):
+    return geometry.burial(chain(spark, sf_dir))
+
+
+def shell_pairs(spark, sf_dir):
+    rows = chain(spark, sf_dir)
+    return geometry.near_pairs(rows, rows, 10.5, 9.5).filter("i < j").select("target", "i", "j", F.round("d", 6).alias("d"))
+
+
+def anm_hessian(spark, sf_dir):
+    return geometry.hessian_blocks(chain(spark, sf_dir)).select("target", "i", "j", "k", "l", (F.round("h", 6) + 0.0).alias("h"))
+
+
+def percentile_rank(spark, sf_dir):
+    return chain(spark, sf_dir).select("target", "i", F.round(percentile("score", "target"), 9).alias("percentile"))
+
+
+def strongest_mean(spark, sf_dir):
+    return evaluate.strongest_mean(chain(spark, sf_dir)).select("target", F.round("strongest", 9).alias("strongest"))
+
+
+def hits_at_k(spark, sf_dir):
+    return evaluate.hits_at_k(chain(spark, sf_dir))
+
+
+def average_precision(spark, sf_dir):
+    return evaluate.average_precision(chain(spark, sf_dir)).select("target", F.round("ap", 9).alias("ap"))
+
+
+def auroc(spark, sf_dir):
+    return evaluate.auroc(chain(spark, sf_dir)).select("target", F.round("auroc", 9).alias("auroc"))
+
+
+def evaluate_all(spark, sf_dir):
+    out = evaluate.evaluation(chain(spark, sf_dir))
+    return out.select("target", "n", "positives", *[F.round(c, 9).alias(c) for c in ("floor", "ap", "lift", "auroc")], "hits")
+
+
+def smd(spark, sf_dir):
+    return evaluate.mean_difference(chain(spark, sf_dir), "score").select("target", F.round("smd", 9).alias("smd"))
+
+
+def hops_from_source(spark, sf_dir):
+    rows, edges = _edges(spark, sf_dir)
+    return graph.hops(rows.filter("source"), edges)
+
+
+def seed_hops(spark, sf_dir):
+    rows, edges = _edges(spark, sf_dir)
+    return graph.hops(rows.filter("source"), edges).groupBy("target", "i").agg(F.min("hop").alias("hop"))
+
+
+def local_sequence_mask(spark, sf_dir):
+    return graph.sequence_mask(chain(spark, sf_dir), 4)
+
+
+def orthosteric_shell(spark, sf_dir):
+    return graph.shell(*_edges(spark, sf_dir))
+
+
+def hop_percentiles(spark, sf_dir):
+    rows, edges = _edges(spark, sf_dir)
+    out = graph.hop_percentiles(_values(rows), graph.hops(rows.filter("source"), edges))
+    return out.select("target", "i", F.round("score", 9).alias("score"))
+
+
+def hop_explained_variance(spark, sf_dir):
+    rows, edges = _edges(spark, sf_dir)
+    out = graph.explained_by_hops(_values(rows), graph.hops(rows.filter("source"), edges))
+    return out.select("target", F.round("explained", 6).alias("explained"))
+
+
+def rwr_power_k(spark, sf_dir):
+    rows, edges = _edges(spark, sf_dir)
+    return graph.restart_walk(rows.filter("source"), edges, 3).select("target", "src", "i", F.round("p", 6).alias("p"))
+
+
+def ctqw_complete(spark, sf_dir):
+    """Nations of a region, each linked with all others of it."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    n = n.select(F.col("n_regionkey").cast("int").alias("target"), F.col("n_nationkey").cast("int").alias("i"))
+    edges = n.join(n.withColumnRenamed("i", "j"), "target").filter("i <> j")
+    return graph.quantum_walk(edges, [0.5, 1.0, 2.0, 4.0]).select("target", "i", "j", F.round("c", 9).alias("c"))
+
+
+def ctqw_chain(spark, sf_dir):
+    """Walk on the contact graphs: row sums stay below 1."""
+    edges = _edges(spark, sf_dir)[1].withColumn("target", F.col("target").cast("int"))
+    c = graph.quantum_walk(edges, [0.02 * 1000 ** (k / 19) for k in range(20)])
+    both = c.select("target", "i", "c").union(c.select("target", "j", "c"))
+    return both.groupBy("target", "i").agg(F.sum("c").alias("mass")).select("target", "i", F.round("mass", 6).alias("mass"))
+
+
+def cutoff_sweep(spark, sf_dir):
+    rows = chain(spark, sf_dir)
+    pairs = geometry.contacts(rows, 8.5)
+    cuts = F.explode(F.array(*(F.lit(c) for c in (4.5, 6.5, 7.8, 8.5))))
+    return pairs.filter("i < j").withColumn("cutoff", cuts).filter("d <= cutoff").groupBy("target", "cutoff").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def jaccard_pairs(spark, sf_dir):
+    """Pairs of residues whose contact neighbourhoods overlap by half or more."""
+    _, edges = _edges(spark, sf_dir)
+    n = edges.groupBy("target", "i").agg(F.count(F.lit(1)).alias("n"))
+    one = edges.select("target", F.col("j").alias("m"), "i").join(n, ["target", "i"])
+    two = one.select("target", "m", F.col("i").alias("j"), F.col("n").alias("n2"))
+    both = one.join(two, ["target", "m"]).filter("i < j").groupBy("target", "i", "j", "n", "n2").agg(F.count(F.lit(1)).alias("both"))
+    jac = F.col("both") / (F.col("n") + F.col("n2") - F.col("both"))
+    return both.select("target", "i", "j", F.round(jac, 9).alias("jaccard")).filter("jaccard >= 0.5")
+
+
+def _candidates(spark, sf_dir):
+    rows = chain(spark, sf_dir)
+    best = Window.partitionBy("target").orderBy(F.desc("score"), "i")
+    picked = rows.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= CANDIDATES)
+    other = picked.select("target", F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
+    d = F.sqrt(sum((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"))
+    pairs = picked.join(other, "target").filter("i < j").withColumn("d", d).select("target", "i", "j", F.round(1 / (1 + F.col("d") * F.col("d")), 9).alias("c"), "d")
+    return rows, subset.objective(picked.select("target", "i", F.col("score").alias("support")), pairs)
+
+
+def qubo_terms(spark, sf_dir):
+    return _candidates(spark, sf_dir)[1].select("target", "a", "b", F.round("q", 9).alias("q"))
+
+
+def best_subset(spark, sf_dir):
+    found = subset.best(subset.subsets(_candidates(spark, sf_dir)[1]))
+    return found.select("target", F.concat_ws(",", F.transform("members", lambda m: m.cast("string"))).alias("members"), F.round("energy", 9).alias("energy"))
+
+
+def subset_scores(spark, sf_dir):
+    rows, q = _candidates(spark, sf_dir)
+    return subset.scores(rows, subset.subsets(q)).select("target", "i", "residue_id", F.round("score", 6).alias("score"))
+
+
+def hit_list(spark, sf_dir):
+    rows, q = _candidates(spark, sf_dir)
+    return subset.hit_list(subset.scores(rows, subset.subsets(q))).withColumn("score", F.round("score", 6))
+
+
+_QUBO = f""",
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, i) AS k FROM chain) WHERE k <= {CANDIDATES}),
+g AS (SELECT target, i, x, y, z, {_rank("score", "target")} / count(*) OVER (PARTITION BY target) AS g FROM picked),
+pd AS (SELECT a.target, a.i, b.i AS j, least(a.g, b.g) AS g, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d FROM g a JOIN g b ON a.target = b.target AND a.i < b.i),
+pc AS (SELECT *, round(1 / (1 + d * d), 9) AS c FROM pd),
+q AS (SELECT target, i AS a, i AS b, -g AS q FROM g UNION ALL
+  SELECT target, i, j, 0.1::DOUBLE * g * CASE WHEN c > 0 THEN {_rank("c", "target")} / count(*) OVER (PARTITION BY target) ELSE 0 END * exp(-0.5::DOUBLE * pow(d / 7.8, 2)) / 4 FROM pc)"""
+_SUBSETS = (
+    _QUBO
+    + """,
+s1 AS (SELECT target, [a] AS m, q AS e FROM q WHERE a = b)"""
+    + "".join(
+        f""",
+s{k + 1} AS (SELECT s.target, list_append(s.m, o.a) AS m, s.e + o.q + {" + ".join(f"p{t}.q" for t in range(1, k + 1))} AS e FROM s{k} s JOIN q o ON o.target = s.target AND o.a = o.b AND o.a > s.m[{k}]
+  {" ".join(f"JOIN q p{t} ON p{t}.target = s.target AND p{t}.a = s.m[{t}] AND p{t}.b = o.a" for t in range(1, k + 1))})"""
+        for k in range(1, 5)
+    )
+    + """,
+best AS (SELECT target, m, e FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(e, 12), m) AS k FROM s5) WHERE k = 1),
+marg AS (SELECT target, i, max(-e) AS v FROM (SELECT target, unnest(m) AS i, e FROM s5) GROUP BY ALL),
+scaled AS (SELECT *, (v - min(v) OVER (PARTITION BY target)) / greatest(max(v) OVER (PARTITION BY target) - min(v) OVER (PARTITION BY target), 1e-15) AS s FROM marg),
+scored AS (SELECT c.target, c.i, c.residue_id, coalesce(s.s + CASE WHEN list_contains(b.m, c.i) THEN 1 ELSE 0 END, -1) AS score FROM chain c LEFT JOIN scaled s ON s.target = c.target AND s.i = c.i LEFT JOIN best b ON b.target = c.target)"""
+)
+_EVAL = f""",
+pos AS (SELECT target, count(*) AS n, sum(truth)::BIGINT AS p FROM chain GROUP BY target),
+st AS (SELECT target, score, sum(truth) AS tp, count(*) AS n FROM chain GROUP BY ALL),
+cu AS (SELECT target, tp, sum(tp) OVER w AS a, sum(n) OVER w AS b FROM st WINDOW w AS (PARTITION BY target ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ap AS (SELECT cu.target, sum(tp::DOUBLE / p * a / b) AS ap FROM cu JOIN pos ON cu.target = pos.target GROUP BY cu.target),
+rk AS (SELECT target, truth, {_rank("score", "target")} AS r FROM chain),
+au AS (SELECT rk.target, (sum(r) FILTER (truth = 1) - max(p) * (max(p) + 1) / 2::DOUBLE) / (max(p) * (max(n) - max(p)))::DOUBLE AS auroc FROM rk JOIN pos ON rk.target = pos.target GROUP BY rk.target),
+ht AS (SELECT target, sum(truth)::BIGINT AS hits FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, i) AS k FROM chain) WHERE k <= 5 GROUP BY target)"""
+
+ORACLES = {
+    "residue_id": f"{_WITH} SELECT target, i, residue_id, x, y, z FROM chain",
+    "contact_edges": f"{_WITH} SELECT target, i, j, round(d, 6) AS d FROM edges",
+    "graph_stats": f"{_WITH} SELECT c.target, c.n, coalesce(e.m, 0) // 2 AS edges, round(coalesce(e.m, 0) / c.n::DOUBLE, 9) AS mean_degree FROM (SELECT target, count(*) AS n FROM chain GROUP BY 1) c LEFT JOIN (SELECT target, count(*) AS m FROM edges GROUP BY 1) e ON c.target = e.target",
+    "burial": f"{_WITH} SELECT c.target, c.i, count(d.j) AS burial FROM chain c LEFT JOIN dist d ON d.target = c.target AND d.i = c.i AND d.d > 0 AND d.d <= 10 GROUP BY ALL",
+    "shell_pairs": f"{_WITH} SELECT target, i, j, round(d, 6) AS d FROM dist WHERE d >= 9.5 AND d <= 10.5 AND i < j",
+    "anm_hessian": f"""{_WITH},
+e AS (SELECT d.target, d.i, d.j, [(b.x-a.x)/d.d, (b.y-a.y)/d.d, (b.z-a.z)/d.d] AS u FROM dist d JOIN chain a ON a.target=d.target AND a.i=d.i JOIN chain b ON b.target=d.target AND b.i=d.j WHERE d.d > 0 AND d.d <= 12),
+h AS (SELECT target, i, j, k, l, u[k+1]*u[l+1] AS h FROM e, (SELECT unnest([0,1,2]) AS k), (SELECT unnest([0,1,2]) AS l))
+SELECT target, i, i AS j, k, l, round(sum(h), 6) + 0.0 AS h FROM h GROUP BY ALL UNION ALL SELECT target, i, j, k, l, round(-h, 6) + 0.0 FROM h""",
+    "percentile_rank": f"{_WITH} SELECT target, i, round({_rank('score', 'target')} / count(*) OVER (PARTITION BY target), 9) AS percentile FROM chain",
+    "strongest_mean": f"{_WITH} SELECT target, round(avg(score), 9) AS strongest FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, i) AS k FROM chain) WHERE k <= 5 GROUP BY target",
+    "hits_at_k": f"{_WITH}{_EVAL} SELECT * FROM ht",
+    "average_precision": f"{_WITH}{_EVAL} SELECT target, round(ap, 9) AS ap FROM ap",
+    "auroc": f"{_WITH}{_EVAL} SELECT target, round(auroc, 9) AS auroc FROM au",
+    "evaluate_all": f"{_WITH}{_EVAL} SELECT pos.target, n, p AS positives, round(p / n::DOUBLE, 9) AS floor, round(ap, 9) AS ap, round(ap / (p / n::DOUBLE), 9) AS lift, round(auroc, 9) AS auroc, hits FROM pos JOIN ap ON ap.target = pos.target JOIN au ON au.target = pos.target JOIN ht ON ht.target = pos.target WHERE p > 0 AND p < n",
+    "smd": f"{_WITH}, v AS (SELECT target, avg(score) FILTER (truth = 1) AS a, avg(score) FILTER (truth = 0) AS b, sqrt(0.5::DOUBLE * (var_pop(score) FILTER (truth = 1) + var_pop(score) FILTER (truth = 0))) AS s FROM chain GROUP BY target) SELECT target, round(CASE WHEN s <= 1e-12 THEN 0 ELSE (a - b) / s END, 9) AS smd FROM v",
+    "hops_from_source": f"{_WITH}{_HOPS} SELECT * FROM hops",
+    "seed_hops": f"{_WITH}{_HOPS} SELECT target, i, min(hop) AS hop FROM hops GROUP BY ALL",
+    "local_sequence_mask": f"{_WITH} SELECT target, i, EXISTS (SELECT 1 FROM chain s WHERE s.source AND s.target = c.target AND abs(s.i - c.i) <= 4) AS masked FROM chain c",
+    "orthosteric_shell": f"{_WITH} SELECT target, i FROM chain WHERE source UNION SELECT e.target, e.j FROM edges e JOIN chain s ON s.source AND s.target = e.target AND s.i = e.i",
+    "hop_percentiles": f"{_WITH}{_HOPS}{_VALUES}, j AS (SELECT v.target, v.src, v.i, v.c, h.hop FROM vals v JOIN hops h ON h.target = v.target AND h.src = v.src AND h.i = v.i), k AS (SELECT target, i, {_rank('c', 'target, src, hop')} / count(*) OVER (PARTITION BY target, src, hop) AS p FROM j WHERE hop > 0 UNION ALL SELECT target, i, 0 FROM j WHERE hop = 0) SELECT target, i, round(avg(p), 9) AS score FROM k GROUP BY ALL",
+    "hop_explained_variance": f"{_WITH}{_HOPS}{_VALUES}, j AS (SELECT v.target, v.src, h.hop, log10(greatest(v.c, 1e-300)) AS v FROM vals v JOIN hops h ON h.target = v.target AND h.src = v.src AND h.i = v.i WHERE h.hop > 0), k AS (SELECT *, v - median(v) OVER (PARTITION BY target, src, hop) AS e FROM j) SELECT target, round(CASE WHEN var_pop(v) <= 1e-15 THEN 0 ELSE greatest(0, least(1, 1 - var_pop(e) / var_pop(v))) END, 6) AS explained FROM k GROUP BY target",
+    "rwr_power_k": f"{_WITH}, o AS (SELECT target, i, j, 1 / (count(*) OVER (PARTITION BY target, i))::DOUBLE AS w FROM edges), p0 AS (SELECT target, i AS src, i, 1.0::DOUBLE AS p FROM chain WHERE source)"
+    + "".join(f", p{k + 1} AS (SELECT target, src, i, sum(p) AS p FROM (SELECT p.target, p.src, o.j AS i, p.p * o.w * 0.85::DOUBLE AS p FROM p{k} p JOIN o ON o.target = p.target AND o.i = p.i UNION ALL SELECT target, src, i, 0.15::DOUBLE FROM p0) GROUP BY ALL)" for k in range(3))
+    + " SELECT target, src, i, round(p, 6) AS p FROM p3",
+    "ctqw_complete": "WITH n AS (SELECT n_regionkey AS target, n_nationkey AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation), t AS (SELECT unnest([0.5, 1, 2, 4]::DOUBLE[]) AS t) SELECT a.target, a.i, b.i AS j, round(avg((2 - 2 * cos(t)) / (a.n * a.n)), 9) AS c FROM n a JOIN n b ON a.target = b.target AND a.i < b.i, t GROUP BY ALL",
+    "cutoff_sweep": f"{_WITH} SELECT target, cutoff, count(*) AS edges FROM dist, (SELECT unnest([4.5, 6.5, 7.8, 8.5]::DOUBLE[]) AS cutoff) WHERE i < j AND d > 0 AND d <= cutoff GROUP BY ALL",
+    "jaccard_pairs": f"{_WITH}, n AS (SELECT target, i, count(*) AS n FROM edges GROUP BY ALL), b AS (SELECT a.target, a.i, b.i AS j, count(*) AS k FROM edges a JOIN edges b ON a.target = b.target AND a.j = b.j AND a.i < b.i GROUP BY ALL), q AS (SELECT b.target, b.i, b.j, round(k / (n1.n + n2.n - k)::DOUBLE, 9) AS jaccard FROM b JOIN n n1 ON n1.target = b.target AND n1.i = b.i JOIN n n2 ON n2.target = b.target AND n2.i = b.j) SELECT * FROM q WHERE jaccard >= 0.5",
+    "qubo_terms": f"{_WITH}{_QUBO} SELECT target, a, b, round(q, 9) AS q FROM q",
+    "best_subset": f"{_WITH}{_SUBSETS} SELECT target, array_to_string(m, ',') AS members, round(e, 9) AS energy FROM best",
+    "subset_scores": f"{_WITH}{_SUBSETS} SELECT target, i, residue_id, round(score, 6) AS score FROM scored",
+    "hit_list": f"{_WITH}{_SUBSETS} SELECT target, k::INT AS rank, i, residue_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, i) AS k FROM scored) WHERE k <= 5",
+}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        residue_id, contact_edges, graph_stats, burial, shell_pairs, anm_hessian, percentile_rank, strongest_mean, hits_at_k, average_precision, auroc,
+        evaluate_all, smd, hops_from_source, seed_hops, local_sequence_mask, orthosteric_shell, hop_percentiles, hop_explained_variance, rwr_power_k,
+        ctqw_complete, ctqw_chain, cutoff_sweep, jaccard_pairs, qubo_terms, best_subset, subset_scores, hit_list,
+    )
+}
