@@ -40,7 +40,7 @@ def mmcif_atoms(spark: SparkSession, path: str) -> DataFrame:
         field("type_symbol").alias("element"), field("occupancy").cast("double").alias("occ"), field("Cartn_x").cast("double").alias("x"),
         field("Cartn_y").cast("double").alias("y"), field("Cartn_z").cast("double").alias("z"), F.coalesce(field("pdbx_PDB_model_num").cast("int"), F.lit(1)).alias("model"),
     )
-    first = rows.filter(F.col("model") == F.min("model").over(Window.partitionBy("file")))
+    first = rows.withColumn("least", F.min("model").over(Window.partitionBy("file"))).filter("model = least").drop("least")
     best = Window.partitionBy("file", "chain", "resnum", "icode", "resname", "atom").orderBy(F.desc("occ"), "at")
     return first.withColumn("best", F.row_number().over(best)).filter("best = 1").drop("best", "model")
 
