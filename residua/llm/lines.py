@@ -45,8 +45,8 @@ def boilerplate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sit
 def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10, max_share: float = 0.5, lg_k: int = 12, counts: bool = False) -> DataFrame:
     """docs with the boilerplate lines taken out of the text; counts adds n_lines and n_removed."""
     bad = boilerplate(docs, key=key, text=text, site=site, min_sites=min_sites, lg_k=lg_k)
-    hit = occurrences(docs, key, text, site).join(bad, ["h1", "h2"]).groupBy("key").agg(F.collect_set(F.struct("h1", "h2")).alias("_bad"))
-    joined = docs.join(hit, docs[key] == hit["key"], "left").drop("key") if key != "key" else docs.join(hit, "key", "left")
+    hit = occurrences(docs, key, text, site).join(bad, ["h1", "h2"]).groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("h1", "h2")).alias("_bad"))
+    joined = docs.join(hit, F.col(key) == F.col("_key"), "left").drop("_key")
 
     def stays(line: Column) -> Column:
         h1, h2 = _hash(line)
