@@ -7,8 +7,8 @@ that no other class has are skipped at once. Classes with less than MATCH shared
 
 In each posting list every class meets the list's most central class only (that whose values are most common), pairs
 above the match threshold are confirmed on full sets, and links are joined to components. Lists within one component are
-done (skip). Classes of the other lists meet those of other components exactly, by a set-prefix join with length and
-position bounds. No list is expanded into its pairs, none is cut, and every link between different texts that can change
+done (skip). Classes of the other lists meet those of other components by a set-prefix join with length and position
+bounds, and go through the match threshold too before full sets are read. No list is expanded into its pairs, none is cut, and every link between different texts that can change
 a component is confirmed on full sets. A pair at the threshold has fewer than MATCH of
 COORDS equal values with a chance of about 1e-8.
 
@@ -220,7 +220,7 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
             & (100 * F.col("p.n") >= percent * F.col("q.n"))
             & (F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at")) >= least)
         )
-        pairs = written(p.join(q, bound).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct(), "pairs")
+        pairs = alike_enough(p.join(q, bound).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct())
         more = written(confirmed(pairs, full, percent), "links")
         root = written(components(links.union(more)), "roots")
     rep = classes.join(root, classes["rep"] == root["id"], "left").select(*alike, F.coalesce("root", "rep").alias("component"))
