@@ -242,3 +242,38 @@ def test_benchmark_passages_are_found(spark):
     assert decontaminate.matches(frame(spark, texts), bench.limit(0)).count() == 0
     assert decontaminate.matches(frame(spark, texts).limit(0), bench).count() == 0
     assert decontaminate.subsequence(list("abcde"), list("xaxcxe")) == 3
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage of corpus_pipeline against plain Python on a fixture with clear languages."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    speech = {"en": "the of and that with from this there", "de": "der die und nicht ist auch wenn über", "fr": "le la les des être où déjà pour", "es": "el los que una por más señor año"}
+    shared = "the line that every site has below"
+    items = [prose(1000 + k, 30, speech["en"].split()) for k in range(6)]
+    langs = list(speech)
+    rows = [(i, prose(i, 60, speech[langs[i % 4]].split()) + (f"\n{shared}" if i % 4 == 0 else ""), langs[i % 4], f"s{i // 4}") for i in range(64)]
+    rows += [(100, rows[0][1], "en", "s1"), (101, rows[5][1] + " wenn", "de", "s2"), (102, rows[5][1] + " wenn", None, None)]
+    rows += [(110, f"{prose(110, 50, speech['en'].split())} {items[2]} {prose(111, 9, speech['en'].split())}", "en", "s3"), (111, f"{items[4].upper()}", "en", None)]
+    rows += [(120, None, "en", "s1"), (121, "", None, None), (122, "12 34 !?", "de", "s4")]
+    docs = spark.createDataFrame([(i, t, k, s, len(t or "")) for i, t, k, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    want = [(i, t) for i, t, *_ in rows if re.search(r"[^\W\d_]", t or "")]  # a language can be told
+    sites = {}
+    for i, t, _, s in rows:
+        for line in (t or "").split("\n"):
+            sites.setdefault(line, set()).add(s)
+    want = [(i, "\n".join(x for x in t.split("\n") if len(sites[x]) < 10)) for i, t in want]
+    root = jaccard_components([t for _, t in want], 5, 80)[1]
+    want = [x for k, x in enumerate(want) if root[k] == k]
+    want = [(i, t) for i, t in want if not any(x.lower() in t.lower() for x in items)]
+    assert {i for i, _ in want} == set(range(64))
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    told = [(i, len(e), sha(",".join(map(str, e))), sha(sp.decode(e))) for i, t in want for e in [sp.encode(t)]]
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(map(tuple, got.collect())) == told
