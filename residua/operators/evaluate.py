@@ -9,6 +9,11 @@ from pyspark.sql.window import Window
 from residua.functions.ranks import average_rank
 
 
+def scope(residues: DataFrame) -> DataFrame:
+    """The residues that scores are held against: all but the sources."""
+    return residues.filter(~F.col("source"))
+
+
 def average_precision(rows: DataFrame) -> DataFrame:
     """(target, ap): rows of one score form one step of the curve."""
     steps = rows.groupBy("target", "score").agg(F.sum("truth").alias("tp"), F.count(F.lit(1)).alias("n"))

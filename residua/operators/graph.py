@@ -45,6 +45,16 @@ def shell(residues: DataFrame, edges: DataFrame) -> DataFrame:
     return own.union(edges.join(own, ["target", "i"], "left_semi").select("target", F.col("j").alias("i"))).distinct()
 
 
+def distal_sources(values: DataFrame, residues: DataFrame, span: int = 10, size: int = 5, count: int = 1) -> DataFrame:
+    """(target, src, concentration, selected): the sum of a source's largest values (target, src, i, c) over residues that
+    are no sources and farther than span along the chain; the count largest are selected, ties to the earlier source. A
+    source without such residues has no row."""
+    far = values.join(residues.filter(~F.col("source")).select("target", "i"), ["target", "i"]).filter(F.abs(F.col("i") - F.col("src")) > span)
+    top = far.withColumn("r", F.row_number().over(Window.partitionBy("target", "src").orderBy(F.desc("c"), "i"))).filter(F.col("r") <= size)
+    out = top.groupBy("target", "src").agg(F.round(F.sum("c"), 9).alias("concentration"))
+    return out.withColumn("selected", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("concentration"), "src")) <= count)
+
+
 def hop_percentiles(values: DataFrame, distances: DataFrame) -> DataFrame:
     """(target, i, score): mean over the sources of the percentile of values (target, src, i, c) within a source's hop
     shell; a source itself has 0."""

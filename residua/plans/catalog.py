@@ -128,6 +128,15 @@ def orthosteric_shell(spark, sf_dir):
     return graph.shell(*_edges(spark, sf_dir))
 
 
+def distal_source(spark, sf_dir):
+    rows = chain(spark, sf_dir)
+    return graph.distal_sources(_values(rows), rows)
+
+
+def scoring_scope(spark, sf_dir):
+    return evaluate.scope(chain(spark, sf_dir)).select("target", "i", "residue_id", "truth")
+
+
 def hop_percentiles(spark, sf_dir):
     rows, edges = _edges(spark, sf_dir)
     out = graph.hop_percentiles(_values(rows), graph.hops(rows.filter("source"), edges))
@@ -261,6 +270,8 @@ SELECT target, i, i AS j, k, l, round(sum(h), 6) + 0.0 AS h FROM h GROUP BY ALL
     "seed_hops": f"{_WITH}{_HOPS} SELECT target, i, min(hop) AS hop FROM hops GROUP BY ALL",
     "local_sequence_mask": f"{_WITH} SELECT target, i, EXISTS (SELECT 1 FROM chain s WHERE s.source AND s.target = c.target AND abs(s.i - c.i) <= 4) AS masked FROM chain c",
     "orthosteric_shell": f"{_WITH} SELECT target, i FROM chain WHERE source UNION SELECT e.target, e.j FROM edges e JOIN chain s ON s.source AND s.target = e.target AND s.i = e.i",
+    "distal_source": f"{_WITH}{_VALUES}, f AS (SELECT v.target, v.src, v.c, row_number() OVER (PARTITION BY v.target, v.src ORDER BY v.c DESC, v.i) AS k FROM vals v JOIN chain r ON r.target = v.target AND r.i = v.i WHERE NOT r.source AND abs(v.i - v.src) > 10), s AS (SELECT target, src, round(sum(c), 9) AS concentration FROM f WHERE k <= 5 GROUP BY ALL) SELECT target, src, concentration, row_number() OVER (PARTITION BY target ORDER BY concentration DESC, src) = 1 AS selected FROM s",
+    "scoring_scope": f"{_WITH} SELECT target, i, residue_id, truth FROM chain WHERE NOT source",
     "hop_percentiles": f"{_WITH}{_HOPS}{_VALUES}, j AS (SELECT v.target, v.src, v.i, v.c, h.hop FROM vals v JOIN hops h ON h.target = v.target AND h.src = v.src AND h.i = v.i), k AS (SELECT target, i, {_rank('c', 'target, src, hop')} / count(*) OVER (PARTITION BY target, src, hop) AS p FROM j WHERE hop > 0 UNION ALL SELECT target, i, 0 FROM j WHERE hop = 0) SELECT target, i, round(avg(p), 9) AS score FROM k GROUP BY ALL",
     "hop_explained_variance": f"{_WITH}{_HOPS}{_VALUES}, j AS (SELECT v.target, v.src, h.hop, log10(greatest(v.c, 1e-300)) AS v FROM vals v JOIN hops h ON h.target = v.target AND h.src = v.src AND h.i = v.i WHERE h.hop > 0), k AS (SELECT *, v - median(v) OVER (PARTITION BY target, src, hop) AS e FROM j) SELECT target, round(CASE WHEN var_pop(v) <= 1e-15 THEN 0 ELSE greatest(0, least(1, 1 - var_pop(e) / var_pop(v))) END, 6) AS explained FROM k GROUP BY target",
     "rwr_power_k": f"{_WITH}, o AS (SELECT target, i, j, 1 / (count(*) OVER (PARTITION BY target, i))::DOUBLE AS w FROM edges), p0 AS (SELECT target, i AS src, i, 1.0::DOUBLE AS p FROM chain WHERE source)"
@@ -278,7 +289,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         residue_id, contact_edges, graph_stats, burial, shell_pairs, anm_hessian, percentile_rank, strongest_mean, hits_at_k, average_precision, auroc,
-        evaluate_all, smd, hops_from_source, seed_hops, local_sequence_mask, orthosteric_shell, hop_percentiles, hop_explained_variance, rwr_power_k,
+        evaluate_all, smd, hops_from_source, seed_hops, local_sequence_mask, orthosteric_shell, distal_source, scoring_scope, hop_percentiles, hop_explained_variance, rwr_power_k,
         ctqw_complete, ctqw_chain, cutoff_sweep, jaccard_pairs, qubo_terms, best_subset, subset_scores, hit_list,
     )
 }
