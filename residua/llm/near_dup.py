@@ -7,9 +7,10 @@ that no other class has are skipped at once. Classes with less than MATCH shared
 
 In each posting list every class meets the list's most central class only (that whose values are most common), pairs
 above the match threshold are confirmed on full sets, and links are joined to components. Lists within one component are
-done (skip). Classes of the other lists meet those of other components by a set-prefix join with length and position
-bounds, and go through the match threshold too before full sets are read. No list is expanded into its pairs, none is cut, and every link between different texts that can change
-a component is confirmed on full sets. A pair at the threshold has fewer than MATCH of
+done (skip), and so are classes that no class of another component and of about their size is listed with. The others
+meet those of other components by a set-prefix join with length and position bounds, and go through the match threshold
+too before full sets are read. No list is expanded into its pairs, none is cut, and every link between different texts
+that can change a component is confirmed on full sets. A pair at the threshold has fewer than MATCH of
 COORDS equal values with a chance of about 1e-8.
 
 Defined cases: null, empty and blank texts have no set and are linked with nothing; a text with fewer words than a
@@ -19,6 +20,8 @@ linked with nothing and kept; other columns pass through under their names.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -130,6 +133,12 @@ def _matches(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
 
+def _cells(n: str, percent: int) -> tuple[Column, Column]:
+    """The two neighbouring cells of a set's size; sizes that allow the similarity share at least one."""
+    at = F.floor(F.log(F.col(n)) / (math.log(100 / percent) * (1 + 1e-9)) if percent < 100 else F.col(n))
+    return at.alias("low"), (at + 1).alias("high")
+
+
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(token, id, n, at, first): the shingles of a set's prefix, ordered by how common their bucket is. first: the
     shingle is in the shorter prefix that a set needs against sets that are no smaller."""
@@ -176,13 +185,13 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     alike = ["f1", "f2", "n"]
     classes = sets.filter("n > 0 and id is not null").groupBy(*alike).agg(F.min("id").alias("rep"))
     reps = written(sets.join(classes.select(F.col("rep").alias("id"), *alike), ["id", *alike], "left_semi").dropDuplicates(["id"]).select("id", "n", "sig"), "classes")
-    posted = reps.select("id", F.posexplode("sig")).select("id", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long") + F.lit(1 << 31)).alias("token"))
+    posted = reps.select("id", "n", F.posexplode("sig")).select("id", "n", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long") + F.lit(1 << 31)).alias("token"))
     counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     mine = Window.partitionBy("id")
     met = posted.join(counts, "token").withColumn("order", F.row_number().over(mine.orderBy(F.desc("c"), F.desc("token")))).withColumn("central", F.sum("c").over(mine))
-    prefix = written(met.filter(F.col("order") >= MATCH).select("token", "id", "central"), "postings")
+    prefix = written(met.filter(F.col("order") >= MATCH).select("token", "id", "n", "central"), "postings")
     leaders = prefix.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = written(prefix.join(leaders.select("token", (-F.col("top.minus")).alias("b")), "token").select("token", F.col("id").alias("a"), "b"), "met")
+    met = written(prefix.join(leaders.select("token", (-F.col("top.minus")).alias("b")), "token").select("token", F.col("id").alias("a"), "n", "b"), "met")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def alike_enough(pairs: DataFrame) -> DataFrame:
@@ -200,12 +209,11 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     links = written(confirmed(near, sets_of(ends(near)), percent), "links")
     root = written(components(links), "roots")
 
-    # what the lists leave open: pairs between different components
-    rooted = met.select("token", F.col("a").alias("id")).join(root, "id", "left").select("token", "id", F.coalesce("root", "id").alias("root"))
-    rooted = written(rooted, "rooted")
-    split = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    left = written(rooted.join(split, "token", "left_semi"), "open")
-    open_ids = written(left.select("id", "root").distinct(), "open")
+    # what the lists leave open: classes that share a value with another component's classes of about their size
+    rooted = met.select("token", F.col("a").alias("id"), "n").join(root, "id", "left").select("token", "id", F.coalesce("root", "id").alias("root"), *_cells("n", percent))
+    rooted = written(rooted.select("token", "id", "root", F.explode(F.array("low", "high")).alias("cell")), "rooted")
+    split = rooted.groupBy("token", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token", "cell")
+    open_ids = written(rooted.join(split, ["token", "cell"], "left_semi").select("id", "root").distinct(), "open")
     some = open_ids.count()
     if some:
         full = sets_of(open_ids.select("id"))
