@@ -104,3 +104,34 @@ def quantum_walk(edges: DataFrame, times: list[float], decay: float | None = Non
         return pd.DataFrame({"target": pdf.target.iloc[0], "i": ids[i], "j": ids[j], "c": c[i, j]})
 
     return edges.select("target", "i", "j").groupBy("target").applyInPandas(one, "target int, i int, j int, c double")
+
+
+def coined_walk(sources: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
+    """(target, src, i, p): mean chance of being at i over the first steps of a walk on arcs, begun evenly on a source's
+    own arcs: the Grover coin at each node, then a swap of each arc's direction. Only arcs that the walk has reached are
+    rows; the source itself is left out."""
+    arcs = edges.select("target", "i", "j", F.count(F.lit(1)).over(Window.partitionBy("target", "i")).alias("n"))
+    seeds = sources.select("target", F.col("i").alias("src"), "i")
+    state = seeds.join(arcs, ["target", "i"]).select("target", "src", "i", "j", (1 / F.sqrt("n")).alias("a"))
+    seen = []
+    for _ in range(steps):
+        total = state.groupBy("target", "src", "i").agg(F.sum("a").alias("t"))
+        own = state.select("target", "src", "i", "j", "a")
+        coined = total.join(arcs, ["target", "i"]).join(own, ["target", "src", "i", "j"], "left")
+        state = _kept(coined.select("target", "src", F.col("j").alias("i"), F.col("i").alias("j"), (2 * F.col("t") / F.col("n") - F.coalesce("a", F.lit(0.0))).alias("a")))
+        seen.append(state)
+    rows = seen[0]
+    for s in seen[1:]:
+        rows = rows.union(s)
+    return rows.filter("i <> src").groupBy("target", "src", "i").agg((F.sum(F.col("a") * F.col("a")) / steps).alias("p"))
+
+
+def least_labels(residues: DataFrame, edges: DataFrame) -> DataFrame:
+    """(target, i, component): the smallest index that each residue reaches, by rounds of least neighbours."""
+    labels = _kept(residues.select("target", "i", F.col("i").alias("component")))
+    while True:
+        heard = edges.select("target", F.col("i").alias("to"), F.col("j").alias("i")).join(labels, ["target", "i"]).groupBy("target", "to").agg(F.min("component").alias("least")).withColumnRenamed("to", "i")
+        new = _kept(labels.join(heard, ["target", "i"], "left").select("target", "i", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved")))
+        labels = new.drop("moved")
+        if not new.filter("moved").limit(1).count():
+            return labels

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from residua.plans import catalog
+from residua.plans import catalog, ensemble
 from tests.compare import oracle, shown
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +12,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - {"seed_hops", "hop_explained_variance", "subset_scores"}))
 def test_equals_sql(spark, name):
     assert shown(catalog.QUERIES[name](spark, SF).toPandas()) == shown(oracle(catalog.ORACLES[name], SF))
+
+
+@pytest.mark.parametrize("name", sorted(ensemble.ORACLES))
+def test_ensemble_equals_sql(spark, name):
+    assert shown(ensemble.QUERIES[name](spark, SF).toPandas()) == shown(oracle(ensemble.ORACLES[name], SF))
