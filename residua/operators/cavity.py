@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from residua.operators.geometry import near_pairs
+from residua.operators.graph import kept
 
 POCKET = ["target", "snapshot", "pocket"]
 
@@ -93,3 +94,53 @@ def null_patches(residues: DataFrame, pocket: DataFrame, size: int = 5, toleranc
     patches = nearest(residues, size).join(centres, ["target", "i"], "left_semi").join(marks, ["target", "j"])
     grouped = patches.groupBy("target", "i").agg(F.sort_array(F.collect_list("j")).alias("members"), F.sum("s").alias("s"), F.count("p").alias("p"))
     return grouped.filter((F.col("s") == 0) & (F.col("p") <= max(3, size // 5))).select("target", "members").distinct()
+
+
+def region_scores(values: DataFrame, members: DataFrame, k: int = 5) -> DataFrame:
+    """(target, pocket, region): mean over the sources of the mean of a pocket's k largest values. values: (target, src,
+    i, c); members: (target, pocket, i)."""
+    best = F.row_number().over(Window.partitionBy("target", "src", "pocket").orderBy(F.desc("c"), "i"))
+    top = values.join(members, ["target", "i"]).withColumn("k", best).filter(F.col("k") <= k)
+    return top.groupBy("target", "src", "pocket").agg(F.avg("c").alias("m")).groupBy("target", "pocket").agg(F.avg("m").alias("region"))
+
+
+def ranked(regions: DataFrame, seen: DataFrame) -> DataFrame:
+    """(target, rank, pocket, selection, persistence): by region score plus persistence over one more than the pockets,
+    then persistence, then the pocket's number. seen: (target, pocket, persistence)."""
+    rows = regions.join(seen, ["target", "pocket"])
+    count = F.count(F.lit(1)).over(Window.partitionBy("target"))
+    rows = rows.withColumn("selection", F.round(F.col("region") + F.col("persistence") / (count + 1), 12))
+    order = Window.partitionBy("target").orderBy(F.desc("selection"), F.desc("persistence"), "pocket")
+    return rows.select("target", F.row_number().over(order).alias("rank"), "pocket", "selection", "persistence")
+
+
+def null_pvalue(regions: DataFrame, nulls: DataFrame) -> DataFrame:
+    """(target, pocket, p): one more than the null regions at least as large, over one more than all of them."""
+    per = regions.join(nulls.select("target", F.col("region").alias("null")), "target").groupBy("target", "pocket")
+    at_least = F.count_if(F.round("null", 12) >= F.round("region", 12))
+    return per.agg(((1 + at_least) / (1 + F.count(F.lit(1)))).alias("p"))
+
+
+def families(members: DataFrame, least: float = 0.5) -> DataFrame:
+    """(target, item, leader): in order of rank, an item joins the first leader that it is alike to (Jaccard), or leads
+    itself. members: (target, item, rank, i), rank unique in a target. Each round makes leaders of the open items that no
+    open item before them is alike to, and closes what is alike to these; rounds are bounded by the longest chain of
+    alike items, not by the number of items."""
+    sized = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("target", "item")))
+    one = sized.select("target", "i", F.col("item").alias("a"), F.col("rank").alias("ra"), F.col("n").alias("na"))
+    two = sized.select("target", "i", F.col("item").alias("b"), F.col("rank").alias("rb"), F.col("n").alias("nb"))
+    both = one.join(two, ["target", "i"]).filter("ra < rb").groupBy("target", "a", "b", "ra", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
+    alike = kept(both.filter(F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 12) >= least).select("target", "a", "b", "ra"))
+    still = kept(members.select("target", "item").distinct())
+    leaders = None
+    while still.limit(1).count():
+        live = alike.join(still.withColumnRenamed("item", "a"), ["target", "a"], "left_semi").select("target", F.col("b").alias("item"))
+        new = kept(still.join(live, ["target", "item"], "left_anti"))
+        leaders = new if leaders is None else leaders.union(new)
+        closed = alike.join(new.withColumnRenamed("item", "a"), ["target", "a"], "left_semi").select("target", F.col("b").alias("item"))
+        still = kept(still.join(new, ["target", "item"], "left_anti").join(closed, ["target", "item"], "left_anti"))
+    if leaders is None:
+        leaders = still
+    joined = alike.join(leaders.withColumnRenamed("item", "a"), ["target", "a"], "left_semi").groupBy("target", "b").agg(F.min_by("a", "ra").alias("leader"))
+    followers = joined.withColumnRenamed("b", "item").join(leaders, ["target", "item"], "left_anti").select("target", "item", "leader")
+    return followers.union(leaders.select("target", "item", F.col("item").alias("leader")))

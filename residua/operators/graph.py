@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from residua.functions.ranks import percentile
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """df written to the folder that the cluster shares, which cuts the lineage of a loop."""
     base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/residua"
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
@@ -24,11 +24,11 @@ def _kept(df: DataFrame) -> DataFrame:
 def hops(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """(target, src, i, hop): breadth-first distances from each source (target, i)."""
     front = sources.select("target", F.col("i").alias("src"), "i", F.lit(0).alias("hop"))
-    seen = _kept(front)
+    seen = kept(front)
     front, step = seen, edges.select("target", F.col("i"), F.col("j")).distinct()
     while front.limit(1).count():
         reached = front.join(step, ["target", "i"]).select("target", "src", F.col("j").alias("i"), (F.col("hop") + 1).alias("hop")).distinct()
-        front = _kept(reached.join(seen, ["target", "src", "i"], "left_anti"))
+        front = kept(reached.join(seen, ["target", "src", "i"], "left_anti"))
         seen = seen.union(front)
     return seen
 
@@ -118,7 +118,7 @@ def coined_walk(sources: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
         total = state.groupBy("target", "src", "i").agg(F.sum("a").alias("t"))
         own = state.select("target", "src", "i", "j", "a")
         coined = total.join(arcs, ["target", "i"]).join(own, ["target", "src", "i", "j"], "left")
-        state = _kept(coined.select("target", "src", F.col("j").alias("i"), F.col("i").alias("j"), (2 * F.col("t") / F.col("n") - F.coalesce("a", F.lit(0.0))).alias("a")))
+        state = kept(coined.select("target", "src", F.col("j").alias("i"), F.col("i").alias("j"), (2 * F.col("t") / F.col("n") - F.coalesce("a", F.lit(0.0))).alias("a")))
         seen.append(state)
     rows = seen[0]
     for s in seen[1:]:
@@ -128,10 +128,46 @@ def coined_walk(sources: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
 
 def least_labels(residues: DataFrame, edges: DataFrame) -> DataFrame:
     """(target, i, component): the smallest index that each residue reaches, by rounds of least neighbours."""
-    labels = _kept(residues.select("target", "i", F.col("i").alias("component")))
+    labels = kept(residues.select("target", "i", F.col("i").alias("component")))
     while True:
         heard = edges.select("target", F.col("i").alias("to"), F.col("j").alias("i")).join(labels, ["target", "i"]).groupBy("target", "to").agg(F.min("component").alias("least")).withColumnRenamed("to", "i")
-        new = _kept(labels.join(heard, ["target", "i"], "left").select("target", "i", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved")))
+        new = kept(labels.join(heard, ["target", "i"], "left").select("target", "i", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved")))
         labels = new.drop("moved")
         if not new.filter("moved").limit(1).count():
             return labels
+
+
+def restart_matrix(edges: DataFrame, restart: float = 0.15) -> DataFrame:
+    """(target, i, j, p), i < j: the settled random walk with restart, made symmetric. A target is one molecule, so its
+    matrix fits a task."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, codes = np.unique(np.concatenate([pdf.i, pdf.j]), return_inverse=True)
+        a = np.zeros((len(ids), len(ids)))
+        a[codes[: len(pdf)], codes[len(pdf) :]] = 1
+        settled = restart * np.linalg.solve(np.eye(len(ids)) - (1 - restart) * a / a.sum(axis=0), np.eye(len(ids)))
+        both = np.maximum((settled + settled.T) / 2, 0)
+        i, j = np.triu_indices(len(ids), 1)
+        return pd.DataFrame({"target": pdf.target.iloc[0], "i": ids[i], "j": ids[j], "p": both[i, j]})
+
+    return edges.select("target", "i", "j").groupBy("target").applyInPandas(one, "target int, i int, j int, p double")
+
+
+def low_modes(residues: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
+    """(target, mode, eigenvalue, i, ux, uy, uz): the lowest modes of the elastic network above its rigid motions, each
+    with its largest component positive. blocks: (target, i, j, k, l, h)."""
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, codes = np.unique(np.concatenate([pdf.i, pdf.j]), return_inverse=True)
+        h = np.zeros((3 * len(ids), 3 * len(ids)))
+        h[3 * codes[: len(pdf)] + pdf.k, 3 * codes[len(pdf) :] + pdf.l] = pdf.h
+        values, v = np.linalg.eigh((h + h.T) / 2)
+        low = np.flatnonzero(values > max(np.abs(values).max() * 1e-9, 1e-10))[:count]
+        out = []
+        for m, at in enumerate(low):
+            u = v[:, at] * np.sign(v[np.abs(v[:, at]).argmax(), at])
+            out.append(pd.DataFrame({"target": key[0], "mode": m, "eigenvalue": values[at], "i": ids, "ux": u[0::3], "uy": u[1::3], "uz": u[2::3]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("target", "mode", "eigenvalue", "i", "ux", "uy", "uz")})
+
+    kind = residues.schema["target"].dataType.simpleString()
+    return blocks.groupBy("target").applyInPandas(one, f"target {kind}, mode int, eigenvalue double, i int, ux double, uy double, uz double")

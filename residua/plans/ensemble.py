@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from residua.operators import cavity, evaluate, geometry, graph, subset
-from residua.plans.catalog import _EVAL, _HOPS, _SUBSETS, _WITH, _candidates, _edges
+from residua.plans.catalog import _EVAL, _HOPS, _SUBSETS, _VALUES, _WITH, _candidates, _edges, _values
 from residua.sources.chains import STEP, chain
 
 WEIGHTS = (0.0, 0.05, 0.1, 0.2, 0.5)
@@ -127,6 +127,50 @@ def top_five_string(spark, sf_dir):
     return hits.groupBy("target").agg(F.concat_ws(" | ", F.transform(F.sort_array(F.collect_list(F.struct("rank", "residue_id"))), lambda x: x["residue_id"])).alias("top_five"))
 
 
+def _native(spark, sf_dir):
+    """Pockets of the native coordinates."""
+    return cavity.detect(chain(spark, sf_dir).withColumn("snapshot", F.lit(0))).select("target", "pocket", "i")
+
+
+def region_scores(spark, sf_dir):
+    return cavity.region_scores(_values(chain(spark, sf_dir)), _native(spark, sf_dir)).select("target", "pocket", F.round("region", 9).alias("region"))
+
+
+def rank_cavities(spark, sf_dir):
+    regions = cavity.region_scores(_values(chain(spark, sf_dir)), _native(spark, sf_dir))
+    seen = cavity.persistence(_observed(spark, sf_dir), 4).withColumnRenamed("scout", "pocket")
+    return cavity.ranked(regions, seen).withColumn("selection", F.round("selection", 9))
+
+
+def null_pvalue(spark, sf_dir):
+    """Pockets against the null patches of the five best residues."""
+    rows = chain(spark, sf_dir)
+    best = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "i"))
+    found = cavity.null_patches(rows, rows.withColumn("k", best).filter("k <= 5").select("target", "i"))
+    nulls = found.select("target", F.concat_ws(",", F.transform("members", lambda m: m.cast("string"))).alias("pocket"), F.explode("members").alias("i"))
+    values = _values(rows)
+    return cavity.null_pvalue(cavity.region_scores(values, _native(spark, sf_dir)), cavity.region_scores(values, nulls)).withColumn("p", F.round("p", 9))
+
+
+def leader_families(spark, sf_dir):
+    """Native pockets, largest first."""
+    members = _native(spark, sf_dir)
+    sizes = members.groupBy("target", "pocket").agg(F.count(F.lit(1)).alias("n"))
+    order = sizes.select("target", "pocket", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("n"), "pocket")).alias("rank"))
+    return cavity.families(members.join(order, ["target", "pocket"]).select("target", F.col("pocket").alias("item"), "rank", "i"))
+
+
+def rwr_exact(spark, sf_dir):
+    """Nations of a region, each linked with all others of it."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").cast("int").alias("target"), F.col("n_nationkey").cast("int").alias("i"))
+    return graph.restart_matrix(n.join(n.withColumnRenamed("i", "j"), "target").filter("i <> j")).select("target", "i", "j", F.round("p", 9).alias("p"))
+
+
+def anm_modes(spark, sf_dir):
+    rows = chain(spark, sf_dir)
+    return graph.low_modes(rows, geometry.hessian_blocks(rows), 4).groupBy("target", "mode").agg(F.round(F.max("eigenvalue"), 6).alias("eigenvalue"), F.round(F.sum(F.col("ux") ** 2 + F.col("uy") ** 2 + F.col("uz") ** 2), 6).alias("norm"))
+
+
 _FIELDS = """,
 md AS (SELECT c.target, m.mode, c.i, e.embedding[9 + 3 * m.mode]::DOUBLE AS ux, e.embedding[10 + 3 * m.mode]::DOUBLE AS uy, e.embedding[11 + 3 * m.mode]::DOUBLE AS uz FROM chain c JOIN embeddings e ON e.vec_id = c.vec_id, (SELECT unnest([0, 1]) AS mode) m),
 sc AS (SELECT target, mode, sqrt(avg(ux*ux + uy*uy + uz*uz)) AS r FROM md GROUP BY ALL),
@@ -142,8 +186,18 @@ ob AS (SELECT pt.target, mode, sign, amplitude, pt.pocket, list(pt.i) AS m FROM
 jc AS (SELECT a.target, a.mode, a.sign, a.pocket AS scout, b.pocket AS refinement, len(list_intersect(a.m, b.m)) AS k, len(a.m) + len(b.m) AS n FROM ob a JOIN ob b ON a.target = b.target AND a.mode = b.mode AND a.sign = b.sign WHERE a.amplitude = 2 AND b.amplitude = 2.5),
 st AS (SELECT * EXCLUDE (q) FROM (SELECT target, mode, sign, scout, refinement, round(k / (n - k)::DOUBLE, 12) AS jaccard, row_number() OVER (PARTITION BY target, mode, sign, scout ORDER BY round(k / (n - k)::DOUBLE, 12) DESC, refinement) AS q FROM jc) WHERE q = 1 AND jaccard >= 0.5),
 fm AS (SELECT target, scout, count(*) AS seen, count(*) / 4::DOUBLE AS persistence FROM st GROUP BY ALL)"""
+_REGIONS = """,
+rg AS (SELECT target, pocket, avg(m) AS region FROM (SELECT target, src, pocket, avg(c) AS m FROM (
+  SELECT v.target, v.src, p.pocket, v.c, row_number() OVER (PARTITION BY v.target, v.src, p.pocket ORDER BY v.c DESC, v.i) AS k FROM vals v JOIN pt p ON p.target = v.target AND p.i = v.i WHERE p.snapshot = 0)
+  WHERE k <= 5 GROUP BY ALL) GROUP BY ALL)"""
 _NEAREST = """,
 kn AS (SELECT target, i, rank::INT AS rank, j FROM (SELECT *, row_number() OVER (PARTITION BY target, i ORDER BY d, j) AS rank FROM (SELECT target, i, j, round(d, 9) AS d FROM dist UNION ALL SELECT target, i, i, -1 FROM chain)) WHERE rank <= 5)"""
+_PATCHES = """, po AS (SELECT target, i FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, i) AS k FROM chain) WHERE k <= 5),
+ce AS (SELECT c.target, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM chain c JOIN po ON po.target = c.target AND po.i = c.i GROUP BY ALL),
+ai AS (SELECT c.target, min(sqrt((c.x-s.x)**2 + (c.y-s.y)**2 + (c.z-s.z)**2)) AS aim FROM ce c JOIN chain s ON s.target = c.target AND s.source GROUP BY ALL),
+ow AS (SELECT c.target, c.i, min(sqrt((c.x-s.x)**2 + (c.y-s.y)**2 + (c.z-s.z)**2)) AS own FROM chain c JOIN chain s ON s.target = c.target AND s.source GROUP BY ALL),
+pa AS (SELECT kn.target, kn.i, list_sort(list(kn.j)) AS m, count(*) FILTER (c.source) AS s, count(po.i) AS p FROM kn JOIN chain c ON c.target = kn.target AND c.i = kn.j LEFT JOIN po ON po.target = kn.target AND po.i = kn.j JOIN ow ON ow.target = kn.target AND ow.i = kn.i JOIN ai ON ai.target = kn.target WHERE abs(own - aim) <= 4 GROUP BY ALL),
+np AS (SELECT DISTINCT target, m FROM pa WHERE s = 0 AND p <= 3)"""
 _COIN = ", ar AS (SELECT target, i, j, count(*) OVER (PARTITION BY target, i) AS n FROM edges), w0 AS (SELECT c.target, c.i AS src, ar.i, ar.j, 1 / sqrt(n) AS a FROM chain c JOIN ar ON ar.target = c.target AND ar.i = c.i WHERE c.source)" + "".join(
     f", t{k} AS (SELECT target, src, i, sum(a) AS t FROM w{k} GROUP BY ALL), w{k + 1} AS (SELECT t.target, t.src, ar.j AS i, ar.i AS j, 2 * t / n - coalesce(w.a, 0) AS a FROM t{k} t JOIN ar ON ar.target = t.target AND ar.i = t.i LEFT JOIN w{k} w ON w.target = t.target AND w.src = t.src AND w.i = ar.i AND w.j = ar.j)"
     for k in range(3)
@@ -166,12 +220,11 @@ ORACLES = {
     "family_stats": f"{_WITH}{_FIELDS} SELECT * FROM fm",
     "recurrence_p": f"{_WITH}{_FIELDS} SELECT a.target, a.scout, round((1 + count(*) FILTER (b.seen >= a.seen)) / (1 + count(*))::DOUBLE, 9) AS p FROM fm a JOIN fm b ON a.target = b.target GROUP BY ALL",
     "knn_patch": f"{_WITH}{_NEAREST} SELECT * FROM kn",
-    "null_patches": f"""{_WITH}{_NEAREST}, po AS (SELECT target, i FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, i) AS k FROM chain) WHERE k <= 5),
-ce AS (SELECT c.target, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM chain c JOIN po ON po.target = c.target AND po.i = c.i GROUP BY ALL),
-ai AS (SELECT c.target, min(sqrt((c.x-s.x)**2 + (c.y-s.y)**2 + (c.z-s.z)**2)) AS aim FROM ce c JOIN chain s ON s.target = c.target AND s.source GROUP BY ALL),
-ow AS (SELECT c.target, c.i, min(sqrt((c.x-s.x)**2 + (c.y-s.y)**2 + (c.z-s.z)**2)) AS own FROM chain c JOIN chain s ON s.target = c.target AND s.source GROUP BY ALL),
-pa AS (SELECT kn.target, kn.i, list_sort(list(kn.j)) AS m, count(*) FILTER (c.source) AS s, count(po.i) AS p FROM kn JOIN chain c ON c.target = kn.target AND c.i = kn.j LEFT JOIN po ON po.target = kn.target AND po.i = kn.j JOIN ow ON ow.target = kn.target AND ow.i = kn.i JOIN ai ON ai.target = kn.target WHERE abs(own - aim) <= 4 GROUP BY ALL)
-SELECT DISTINCT target, array_to_string(m, ',') AS members FROM pa WHERE s = 0 AND p <= 3""",
+    "null_patches": f"{_WITH}{_NEAREST}{_PATCHES} SELECT target, array_to_string(m, ',') AS members FROM np",
+    "null_pvalue": f"{_WITH}{_VALUES}{_FIELDS}{_REGIONS}{_NEAREST}{_PATCHES}, ni AS (SELECT target, m, unnest(m) AS i FROM np), nk AS (SELECT v.target, v.src, ni.m, v.c, row_number() OVER (PARTITION BY v.target, v.src, ni.m ORDER BY v.c DESC, v.i) AS k FROM vals v JOIN ni ON ni.target = v.target AND ni.i = v.i), nr AS (SELECT target, m, avg(a) AS region FROM (SELECT target, src, m, avg(c) AS a FROM nk WHERE k <= 5 GROUP BY ALL) GROUP BY ALL) SELECT rg.target, rg.pocket, round((1 + count(*) FILTER (round(nr.region, 12) >= round(rg.region, 12))) / (1 + count(*))::DOUBLE, 9) AS p FROM rg JOIN nr ON nr.target = rg.target GROUP BY ALL",
+    "region_scores": f"{_WITH}{_VALUES}{_FIELDS}{_REGIONS} SELECT target, pocket, round(region, 9) AS region FROM rg",
+    "rank_cavities": f"{_WITH}{_VALUES}{_FIELDS}{_REGIONS}, se AS (SELECT rg.target, pocket, round(region + persistence / (1 + count(*) OVER (PARTITION BY rg.target)), 12) AS selection, persistence FROM rg JOIN fm ON fm.target = rg.target AND fm.scout = rg.pocket) SELECT target, (row_number() OVER (PARTITION BY target ORDER BY selection DESC, persistence DESC, pocket))::INT AS rank, pocket, round(selection, 9) AS selection, persistence FROM se",
+    "rwr_exact": "WITH n AS (SELECT n_regionkey AS target, n_nationkey AS i, (count(*) OVER (PARTITION BY n_regionkey))::DOUBLE AS n FROM nation) SELECT a.target, a.i, b.i AS j, round((1 - 0.15::DOUBLE / (1 + 0.85::DOUBLE / (a.n - 1))) / a.n, 9) AS p FROM n a JOIN n b ON a.target = b.target AND a.i < b.i",
     "contact_labels": f"""{_WITH}, f0 AS (SELECT label AS target, vec_id, embedding[4]::DOUBLE AS a, embedding[5]::DOUBLE AS b, embedding[6]::DOUBLE AS c FROM embeddings), f1 AS (SELECT *, sqrt(a*a + b*b + c*c) AS r FROM f0),
 lg AS (SELECT target, round(sum(3.8::DOUBLE * a / r) OVER u, 3) AS x, round(sum(3.8::DOUBLE * b / r) OVER u, 3) AS y, round(sum(3.8::DOUBLE * c / r) OVER u, 3) AS z FROM f1 WINDOW u AS (PARTITION BY target ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 dl AS (SELECT c.target, c.i, sqrt((c.x-l.x)*(c.x-l.x) + (c.y-l.y)*(c.y-l.y) + (c.z-l.z)*(c.z-l.z)) AS d FROM chain c JOIN lg l ON l.target = c.target)
@@ -189,5 +242,6 @@ QUERIES = {
     for f in (
         enm_displacements, snapshot_coords, detect_patches, plausible_cavities, stable_observations, family_stats, recurrence_p, knn_patch, null_patches, contact_labels,
         components, coined_walk_k, subset_marginals, pair_weight_sweep, evaluate_scoped, control_lifts, top_five_string,
+        region_scores, rank_cavities, null_pvalue, leader_families, rwr_exact, anm_modes,
     )
 }
