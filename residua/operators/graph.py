@@ -157,7 +157,7 @@ def low_modes(residues: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
     """(target, mode, eigenvalue, i, ux, uy, uz): the lowest modes of the elastic network above its rigid motions, each
     with its largest component positive. blocks: (target, i, j, k, l, h)."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, codes = np.unique(np.concatenate([pdf.i, pdf.j]), return_inverse=True)
         h = np.zeros((3 * len(ids), 3 * len(ids)))
         h[3 * codes[: len(pdf)] + pdf.k, 3 * codes[len(pdf) :] + pdf.l] = pdf.h
