@@ -4,7 +4,8 @@ Inverse document frequencies come from all documents. A randomised singular valu
 passages of the benchmark and a bounded sample of the corpus's) runs as Spark jobs: each round adds up partial products
 of the partitions, the small orthogonalisations are of a fixed size. Every document is cut into overlapping passages,
 all are projected, and those whose cosine with a benchmark item in the latent space reaches `cosine` times that which
-the item has with itself are candidates (all of them, not the first few). A candidate counts if the longest common subsequence of the item and a stretch of the
+the item has with itself are candidates (all of them, not the first few). So is every place of a document that holds RUN
+words of an item in a row (the whole of a shorter item), whatever the words weigh. A candidate counts if the longest common subsequence of the item and a stretch of the
 document holds `share` of the item's words, or `weak` of them and the item's answer with `answer_share` of its words.
 The answer is the column `answer` if the benchmark has one, else the item's last sentence.
 
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import arrow_schema, batch, hashes, lists, sliced, words, written
+from residua.llm.common import arrow_schema, batch, hashes, lists, run_hashes, sliced, words, written
 
 BITS = 18
 WINDOW = 64
@@ -39,8 +40,8 @@ RANK, EXTRA, POWERS = 128, 16, 2
 WEIGHT = 4.0
 #: Corpus passages in the decomposition, and benchmark items that go to the tasks at once.
 SAMPLE, ITEMS = 500, 20_000
-#: Words in more than this share of the documents weigh nothing.
-COMMON = 0.1
+#: Words in a row that make a place a candidate.
+RUN = 4
 _CHUNK = 4096
 #: Bytes of text in one step: longer ones repeat fewer distinct words.
 STEP = 6 << 20
@@ -51,13 +52,19 @@ def _plain(distinct: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(distinct), r"[^\p{L}\p{N}]+", "")
 
 
-def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Bucket of each word (-1: nothing left of it), offsets by text, plain distinct words and the words' codes."""
+def _buckets(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Bucket of each word (-1: nothing left of it), offsets by text, plain distinct words, the words' codes and the hashes
+    of the distinct words."""
     codes, offsets, distinct = words(texts)
     plain = _plain(distinct)
-    bucket = (hashes(plain) >> np.uint64(64 - BITS)).astype(np.int64)
+    hashed = hashes(plain)
+    bucket = _buckets(hashed)
     bucket[pc.equal(plain, "").to_numpy(zero_copy_only=False)] = -1
-    return bucket[codes] if len(codes) else np.zeros(0, np.int64), offsets, plain, codes
+    return bucket[codes] if len(codes) else np.zeros(0, np.int64), offsets, plain, codes, hashed
 
 
 def _summed(parts: DataFrame, width: int, size: int) -> np.ndarray:
@@ -98,7 +105,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         total = np.zeros(1 << BITS)
 
         def rows(b: pa.RecordBatch) -> None:
-            bucket, offsets, _, _ = _terms(b.column(0))
+            bucket, offsets, *_ = _terms(b.column(0))
             doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[bucket >= 0]
             seen = np.unique(doc << BITS | bucket[bucket >= 0])
             total[:] += np.bincount(seen & ((1 << BITS) - 1), minlength=1 << BITS)
@@ -112,9 +119,8 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def _idf(df: np.ndarray, n: int) -> np.ndarray:
-    out = np.log((n + 1) / (df + 1)).astype(np.float32)
-    out[df > max(COMMON * n, 20)] = 0
-    return np.maximum(out, 0)
+    """Positive for every word, those of all documents too."""
+    return np.log((n + 2) / (np.minimum(df, n) + 1)).astype(np.float32)
 
 
 PASSAGES = "buckets array<int>, weights array<float>"
@@ -125,7 +131,7 @@ def _passages(texts: DataFrame, idf, whole: bool, weight: float = 1.0) -> DataFr
     schema = arrow_schema(PASSAGES)
 
     def rows(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        bucket, offsets, _, _ = _terms(b.column(0))
+        bucket, offsets, *_ = _terms(b.column(0))
         out_b, out_w = [], []
         for i, j in zip(offsets[:-1], offsets[1:], strict=True):
             for a in range(i, j, max(1, j - i) if whole else WINDOW // 2):
@@ -194,6 +200,32 @@ class Item:
         self.known = frozenset(self.words)
 
 
+class Runs:
+    """The runs of `size` words of items, to look up those of documents."""
+
+    def __init__(self, size: int, hashed: dict[int, np.ndarray]):
+        self.size = size
+        found = {k: run_hashes(h, size) for k, h in hashed.items()}
+        keys = np.concatenate(list(found.values()))
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.item = np.repeat(np.fromiter(found, np.int64, len(found)), [len(x) for x in found.values()])[order]
+        self.offset = np.concatenate([np.arange(len(x)) for x in found.values()])[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def places(self, hashed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, items and where the item would begin (it may be before the document does), for each run found."""
+        runs = run_hashes(hashed, self.size) if len(hashed) >= self.size else np.zeros(0, np.uint64)
+        at = np.flatnonzero(self.seen[(runs >> np.uint64(44)).astype(np.int64)])
+        at = at[doc[at] == doc[at + self.size - 1]]
+        low, high = np.searchsorted(self.keys, runs[at]), np.searchsorted(self.keys, runs[at], "right")
+        many = high - low
+        each = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        at = np.repeat(at, many)
+        return doc[at], self.item[each], at - self.offset[each]
+
+
 def subsequence(item: list[str], stretch: list[str]) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     masks: dict[str, int] = {}
@@ -214,7 +246,7 @@ def best_stretch(item: list[str], text: list[str]) -> tuple[int, int, int]:
 
 
 def _plain_words(text: str | None) -> list[str]:
-    _, _, plain, codes = _terms(pa.array([text or ""]))
+    _, _, plain, codes, _ = _terms(pa.array([text or ""]))
     shown = plain.to_pylist()
     return [w for w in (shown[c] for c in codes) if w]
 
@@ -237,25 +269,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
     half = WINDOW // 2
     parts = []
     for block in range(-(-many // ITEMS)):
-        chosen = []
+        chosen, hashed = [], {}
         for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(-(-many // ITEMS))) == block).toLocalIterator():
             plain = _plain_words(r.text)
             if not plain:
                 continue
-            bucket = (hashes(pa.array(plain)) >> np.uint64(64 - BITS)).astype(np.int64)
+            hashed[len(chosen)] = hashes(pa.array(plain))
+            bucket = _buckets(hashed[len(chosen)])
             v = (idf.value[bucket][:, None] * np.where(slot[bucket][:, None] >= 0, latent[slot[bucket]], 0)).sum(0)
             norm = float(np.sqrt((v * v).sum()))
             tail = r.answer if r.answer is not None else next((s for s in reversed(re.split(r"[.!?]+", r.text)) if s.strip()), "")
             whole = float(np.sqrt((idf.value[bucket] ** 2).sum()))
-            if norm > 0:
-                chosen.append(Item(r.item, plain, _plain_words(tail), (v / norm).astype(np.float32), cosine * min(1.0, norm / whole)))
+            unit, least = (v / norm, cosine * min(1.0, norm / whole)) if norm > 0 else (v, np.inf)  # without norm: by runs alone
+            chosen.append(Item(r.item, plain, _plain_words(tail), unit.astype(np.float32), least))
         if not chosen:
             continue
-        shared = spark.sparkContext.broadcast((chosen, np.stack([c.vector for c in chosen], 1), np.array([c.least for c in chosen], np.float32)))
+        sizes = sorted({min(RUN, len(c.words)) for c in chosen})
+        runs = [Runs(n, {k: hashed[k] for k, c in enumerate(chosen) if min(RUN, len(c.words)) == n}) for n in sizes]
+        shared = spark.sparkContext.broadcast((chosen, np.stack([c.vector for c in chosen], 1), np.array([c.least for c in chosen], np.float32), runs))
 
         def search(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
             ids = b.column(0).to_pylist()
-            bucket, offsets, plain, codes = _terms(b.column(1))
+            bucket, offsets, plain, codes, hashed = _terms(b.column(1))
             keep = bucket >= 0
             doc = np.repeat(np.arange(len(ids)), np.diff(offsets))[keep]
             bucket, codes = bucket[keep], codes[keep]
@@ -282,29 +317,43 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
             vectors = sums[:-1] + np.where(goes_on[:, None], sums[1:], 0)
             norms = np.sqrt(norm + np.where(goes_on, np.append(norm[1:], 0), 0))
             length = np.sqrt((vectors * vectors).sum(1))
-            chosen, matrix, least = shared.value
+            chosen, matrix, least, runs = shared.value
             near = np.flatnonzero((norms > 0) & (length >= least.min() * norms))
-            if not len(near):
-                return None
             out = {}
+
+            def settle(d: int, k: int, first: int, last: int, cos: float | None) -> None:
+                it = chosen[k]
+                there = np.arange(max(begin[d], first), min(begin[d] + counts[d], last))
+                stretch = plain.take(pa.array(codes[there])).to_pylist()
+                held = it.known.intersection(stretch)  # bounds the subsequence
+                if sum(it.known_counts[w] for w in held) < weak * len(it.words):
+                    return
+                common, where, size = best_stretch(it.words, stretch)
+                enough = common >= (share if len(it.words) >= 8 else 1) * len(it.words)
+                if not enough and len(it.words) >= 8 and common >= weak * len(it.words) and len(it.answer) >= 3:
+                    enough = subsequence(it.answer, stretch[-where : -where + size]) >= answer_share * len(it.answer)
+                if enough:
+                    if cos is None:
+                        m = there[-where : -where + size]
+                        m, whole = m[seen[m] >= 0], float(np.sqrt((weight[m] * weight[m]).sum()))
+                        cos = float((table.value[1][seen[m]] * weight[m, None]).sum(0) @ it.vector) / whole if whole else 0.0
+                    out[(ids[d], it.key)] = max(out.get((ids[d], it.key), (0, 0)), (common / len(it.words), float(cos)))
+
             for a in range(0, len(near), 2000):
                 part = near[a : a + 2000]
                 cos = vectors[part] @ matrix / norms[part, None]
                 for p, k in zip(*np.nonzero(cos >= least), strict=True):
-                    d, it = int(owner[part[p]]), chosen[k]
+                    d = int(owner[part[p]])
                     first = begin[d] + max(0, int(part[p] - (np.cumsum(halves) - halves)[d]) * half - half)
-                    there = codes[first : min(begin[d] + counts[d], first + WINDOW + 2 * half + len(it.words))]
-                    stretch = plain.take(pa.array(there)).to_pylist()
-                    held = it.known.intersection(stretch)  # bounds the subsequence
-                    if sum(it.known_counts[w] for w in held) < weak * len(it.words):
-                        continue
-                    common, where, size = best_stretch(it.words, stretch)
-                    enough = common >= (share if len(it.words) >= 8 else 1) * len(it.words)
-                    if not enough and len(it.words) >= 8 and common >= weak * len(it.words) and len(it.answer) >= 3:
-                        enough = subsequence(it.answer, stretch[-where : -where + size]) >= answer_share * len(it.answer)
-                    if enough:
-                        new = (common / len(it.words), float(cos[p, k]))
-                        out[(ids[d], it.key)] = max(out.get((ids[d], it.key), (0, 0)), new)
+                    settle(d, k, first, first + WINDOW + 2 * half + len(chosen[k].words), cos[p, k])
+            long = np.array([len(c.words) for c in chosen])
+            for r in runs:
+                d, k, start = r.places(hashed[codes], doc)
+                step = np.maximum(1, long[k] // 2)  # runs that begin their item within half its length share a check
+                cell = (start - begin[d] + long[k]) // step
+                _, one = np.unique(np.stack([d, k, cell]), axis=1, return_index=True)
+                for d, k, first, step in zip(d[one], k[one], (begin[d] - long[k] + cell * step)[one], step[one], strict=True):
+                    settle(int(d), int(k), first - step, first + 2 * step + 2 * long[k], None)
             if not out:
                 return None
             return batch(schema, [k[0] for k in out], [k[1] for k in out], [v[1] for v in out.values()], [v[0] for v in out.values()])

@@ -244,6 +244,16 @@ def test_benchmark_passages_are_found(spark):
     assert decontaminate.subsequence(list("abcde"), list("xaxcxe")) == 3
 
 
+def test_items_of_a_third_of_the_documents_are_found(spark):
+    """A template with a benchmark item makes the item's own words common; another item stands in every document."""
+    hot, every = prose(2000, 20, ["hot"]), prose(2001, 9, ["every"])
+    bench = spark.createDataFrame([(0, hot), (1, every), (2, "only here")], "item_id bigint, text string")
+    texts = [f"{prose(k, 90)} {hot if k % 3 == 0 else ''} {prose(500 + k, 90)} {every} {prose(900 + k, 40)}" for k in range(90)] + ["it is only here now"]
+    want = {(k, 0) for k in range(0, 90, 3)} | {(k, 1) for k in range(90)} | {(90, 2)}
+    got = decontaminate.matches(frame(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and all(r.common == 1 for r in got)
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     """Each stage of corpus_pipeline against plain Python on a fixture with clear languages."""
     import sentencepiece
