@@ -2,7 +2,8 @@
 
 Inverse document frequencies come from all documents. A randomised singular value decomposition of TF-IDF passages (all
 passages of the benchmark and a bounded sample of the corpus's) runs as Spark jobs: each round adds up partial products
-of the partitions, the small orthogonalisations are of a fixed size. Every document is cut into overlapping passages,
+of the partitions, the small orthogonalisations are of a fixed size. Every document is cut into overlapping passages of one
+to two times an item's length (a power of two, at least LEAST words; items share the passages of their size),
 all are projected, and those whose cosine with a benchmark item in the latent space reaches `cosine` times that which
 the item has with itself are candidates (all of them, not the first few). So is every place of a document that holds RUN
 words of an item in a row (the whole of a shorter item), whatever the words weigh. A candidate counts if the longest common subsequence of the item and a stretch of the
@@ -34,17 +35,20 @@ from pyspark.sql import functions as F
 from residua.llm.common import arrow_schema, batch, hashes, lists, run_hashes, sliced, words, written
 
 BITS = 18
-WINDOW = 64
+#: Words of a passage in the decomposition, and the least in the search.
+WINDOW, LEAST = 64, 8
 RANK, EXTRA, POWERS = 128, 16, 2
 #: Weight of a benchmark passage in the decomposition; one of the corpus has 1.
 WEIGHT = 4.0
 #: Corpus passages in the decomposition, and benchmark items that go to the tasks at once.
 SAMPLE, ITEMS = 500, 20_000
 #: Words in a row that make a place a candidate.
-RUN = 4
+RUN = 3
 _CHUNK = 4096
 #: Bytes of text in one step: longer ones repeat fewer distinct words.
 STEP = 6 << 20
+#: Words whose passages are projected at once; a longer document stands alone.
+BLOCK = 200_000
 _PART = pa.schema([("chunk", pa.int32()), ("body", pa.binary())])
 
 
@@ -200,6 +204,33 @@ class Item:
         self.known = frozenset(self.words)
 
 
+def _blocks(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with up to BLOCK words."""
+    start, total = 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if total and total + n > BLOCK:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if total:
+        yield start, len(counts)
+
+
+@dataclass
+class Size:
+    """The items that passages of two times `half` words are compared with."""
+
+    half: int
+    items: np.ndarray
+    matrix: np.ndarray
+    least: np.ndarray
+
+
+def _by_size(chosen: list[Item]) -> list[Size]:
+    halves = np.array([max(LEAST, 1 << (len(c.words) - 1).bit_length()) // 2 for c in chosen])
+    return [Size(int(h), at, np.stack([chosen[k].vector for k in at], 1), np.array([chosen[k].least for k in at], np.float32)) for h in np.unique(halves) for at in [np.flatnonzero(halves == h)]]
+
+
 class Runs:
     """The runs of `size` words of items, to look up those of documents."""
 
@@ -266,7 +297,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
     slot, latent = decomposition(written(_passages(items, idf, True, WEIGHT).union(some), "passages"))
     table = spark.sparkContext.broadcast((slot, latent))
     schema = arrow_schema(found)
-    half = WINDOW // 2
     parts = []
     for block in range(-(-many // ITEMS)):
         chosen, hashed = [], {}
@@ -286,7 +316,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
             continue
         sizes = sorted({min(RUN, len(c.words)) for c in chosen})
         runs = [Runs(n, {k: hashed[k] for k, c in enumerate(chosen) if min(RUN, len(c.words)) == n}) for n in sizes]
-        shared = spark.sparkContext.broadcast((chosen, np.stack([c.vector for c in chosen], 1), np.array([c.least for c in chosen], np.float32), runs))
+        shared = spark.sparkContext.broadcast((chosen, _by_size(chosen), runs))
 
         def search(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
             ids = b.column(0).to_pylist()
@@ -298,27 +328,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                 return None
             counts = np.bincount(doc, minlength=len(ids))
             begin = np.cumsum(counts) - counts
-            at = (np.arange(len(bucket)) - begin[doc]) // half  # half passages of a document
-            halves = -(-counts // half)
-            row = (np.cumsum(halves) - halves)[doc] + at
-            total = int(halves.sum())
             weight = idf.value[bucket]
-            norm = np.bincount(row, weight * weight, total)
             seen = table.value[0][bucket]
-            mine = np.flatnonzero((seen >= 0) & (weight > 0))
-            sums = np.zeros((total + 1, RANK), np.float32)
-            for a in range(0, len(mine), 50_000):
-                m = mine[a : a + 50_000]
-                cut = np.flatnonzero(np.r_[True, row[m][1:] != row[m][:-1]])
-                sums[row[m][cut]] += np.add.reduceat(table.value[1][seen[m]] * weight[m, None], cut)
-            goes_on = np.zeros(total, bool)  # a passage is a half and the next one of the same document
-            owner = np.repeat(np.arange(len(ids)), halves)
-            goes_on[:-1] = owner[1:] == owner[:-1]
-            vectors = sums[:-1] + np.where(goes_on[:, None], sums[1:], 0)
-            norms = np.sqrt(norm + np.where(goes_on, np.append(norm[1:], 0), 0))
-            length = np.sqrt((vectors * vectors).sum(1))
-            chosen, matrix, least, runs = shared.value
-            near = np.flatnonzero((norms > 0) & (length >= least.min() * norms))
+            chosen, by_size, runs = shared.value
             out = {}
 
             def settle(d: int, k: int, first: int, last: int, cos: float | None) -> None:
@@ -339,13 +351,43 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                         cos = float((table.value[1][seen[m]] * weight[m, None]).sum(0) @ it.vector) / whole if whole else 0.0
                     out[(ids[d], it.key)] = max(out.get((ids[d], it.key), (0, 0)), (common / len(it.words), float(cos)))
 
-            for a in range(0, len(near), 2000):
-                part = near[a : a + 2000]
-                cos = vectors[part] @ matrix / norms[part, None]
-                for p, k in zip(*np.nonzero(cos >= least), strict=True):
-                    d = int(owner[part[p]])
-                    first = begin[d] + max(0, int(part[p] - (np.cumsum(halves) - halves)[d]) * half - half)
-                    settle(d, k, first, first + WINDOW + 2 * half + len(chosen[k].words), cos[p, k])
+            for x, y in _blocks(counts):
+                word = np.arange(begin[x], begin[y - 1] + counts[y - 1])
+                size = by_size[0].half
+                cells = -(-counts[x:y] // size)  # half passages of a document
+                row = (np.cumsum(cells) - cells)[doc[word] - x] + (word - begin[doc[word]]) // size
+                total = int(cells.sum())
+                norm = np.bincount(row, weight[word] * weight[word], total)
+                sums = np.zeros((total, RANK), np.float32)
+                mine = word[seen[word] >= 0]
+                for a in range(0, len(mine), 50_000):
+                    m = mine[a : a + 50_000]
+                    at = row[m - begin[x]]
+                    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    sums[at[cut]] += np.add.reduceat(table.value[1][seen[m]] * weight[m, None], cut)
+                for group in by_size:
+                    while size < group.half:
+                        fewer = -(-cells // 2)
+                        owner = np.repeat(np.arange(y - x), cells)
+                        to = (np.cumsum(fewer) - fewer)[owner] + (np.arange(len(owner)) - (np.cumsum(cells) - cells)[owner]) // 2
+                        cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+                        sums, norm, cells, size = np.add.reduceat(sums, cut), np.add.reduceat(norm, cut), fewer, 2 * size
+                    owner, first = np.repeat(np.arange(x, y), cells), np.cumsum(cells) - cells
+                    goes_on = np.append(owner[1:] == owner[:-1], False)  # a passage is a half and the next one of the same document
+                    norms = np.sqrt(norm + np.where(goes_on, np.append(norm[1:], 0), 0))
+                    for a in range(0, len(owner), 20_000):
+                        part = np.arange(a, min(a + 20_000, len(owner)))
+                        part = part[norms[part] > 0]
+                        vectors = sums[part] + np.where(goes_on[part, None], sums[np.minimum(part + 1, len(owner) - 1)], 0)
+                        near = np.flatnonzero(np.sqrt((vectors * vectors).sum(1)) >= group.least.min() * norms[part])
+                        for b in range(0, len(near), 2000):
+                            some = near[b : b + 2000]
+                            cos = vectors[some] @ group.matrix / norms[part[some], None]
+                            for p, k in zip(*np.nonzero(cos >= group.least), strict=True):
+                                d = int(owner[part[some[p]]])
+                                start = begin[d] + int(part[some[p]] - first[d - x]) * size - size
+                                item = int(group.items[k])
+                                settle(d, item, start, start + 4 * size + len(chosen[item].words), cos[p, k])
             long = np.array([len(c.words) for c in chosen])
             for r in runs:
                 d, k, start = r.places(hashed[codes], doc)

@@ -254,6 +254,26 @@ def test_items_of_a_third_of_the_documents_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and all(r.common == 1 for r in got)
 
 
+def test_items_of_any_length_are_found_in_dense_text(spark):
+    items = [prose(3000 + n, n) for n in (5, 8, 300, 2000)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rare = lambda k, n: " ".join(f"only{k}x{i}" for i in range(n))
+    texts = [prose(k, 200) for k in range(60)] + [f"{rare(k, 170 + 9 * k)} {items[k % 4]} {rare(k + 50, 80)}" for k in range(40)]
+    got = decontaminate.matches(frame(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(60 + k, k % 4) for k in range(40)} and all(r.common == 1 for r in got)
+
+
+def test_passages_follow_the_items(spark):
+    """No three words in a row: only passages of the item's size tell it."""
+    items = [prose(4000 + n, n) for n in (14, 300, 2500)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rare = lambda k, n: " ".join(f"only{k}x{i}" for i in range(n))
+    worn = [" ".join(w if i % 3 != 2 else f"{w} new{i}" if n else f"new{i}" for i, w in enumerate(t.split())) for n, t in enumerate(items)]
+    texts = [prose(k, 200) for k in range(60)] + [f"{rare(k, 170 + 9 * k)} {worn[k % 3]} {rare(k + 50, 80)}" for k in range(30)]
+    got = decontaminate.matches(frame(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(60 + k, k % 3) for k in range(30)}
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     """Each stage of corpus_pipeline against plain Python on a fixture with clear languages."""
     import sentencepiece
