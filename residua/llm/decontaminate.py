@@ -7,7 +7,8 @@ to two times an item's length (a power of two, at least LEAST words; items share
 all are projected, and those whose cosine with a benchmark item in the latent space reaches `cosine` times that which
 the item has with itself are candidates (all of them, not the first few). So is every place of a document that holds RUN
 words of an item in a row (the whole of a shorter item), whatever the words weigh. A candidate counts if the longest common subsequence of the item and a stretch of the
-document holds `share` of the item's words, or `weak` of them and the item's answer with `answer_share` of its words.
+document holds `share` of the item's words, or `weak` of them and the item's answer with `answer_share` of its words (an
+answer of one or two words: whole and in a row).
 The answer is the column `answer` if the benchmark has one, else the item's last sentence.
 
 Words are compared in lower case without what is neither letter nor digit. The latent cosine takes the passage's whole
@@ -270,10 +271,23 @@ def subsequence(item: list[str], stretch: list[str]) -> int:
     return len(item) - v.bit_count()
 
 
-def best_stretch(item: list[str], text: list[str]) -> tuple[int, int, int]:
-    """Most common words of the item with a stretch of at most 1.5 times its length; where the stretch is."""
+def stretches(item: list[str], text: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Stretches of at most 1.5 times the item's length, and where they begin."""
     size, step = math.ceil(1.5 * len(item)), max(1, len(item) // 4)
-    return max((subsequence(item, text[a : a + size]), -a, size) for a in range(0, max(1, len(text) - size + step), step))
+    return ((a, text[a : a + size]) for a in range(0, max(1, len(text) - size + step), step))
+
+
+def best_stretch(item: list[str], text: list[str]) -> tuple[int, int, int]:
+    """Most common words of the item with a stretch; where the stretch is, and its size."""
+    common, where = max((subsequence(item, x), -a) for a, x in stretches(item, text))
+    return common, where, math.ceil(1.5 * len(item))
+
+
+def answered(answer: list[str], stretch: list[str], share: float) -> bool:
+    """Whether the stretch holds the answer; one of under 3 words must stand there in a row. Without words: no."""
+    if len(answer) >= 3:
+        return subsequence(answer, stretch) >= share * len(answer)
+    return bool(answer) and any(stretch[a : a + len(answer)] == answer for a in range(len(stretch)))
 
 
 def _plain_words(text: str | None) -> list[str]:
@@ -342,8 +356,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                     return
                 common, where, size = best_stretch(it.words, stretch)
                 enough = common >= (share if len(it.words) >= 8 else 1) * len(it.words)
-                if not enough and len(it.words) >= 8 and common >= weak * len(it.words) and len(it.answer) >= 3:
-                    enough = subsequence(it.answer, stretch[-where : -where + size]) >= answer_share * len(it.answer)
+                if not enough and len(it.words) >= 8 and common >= weak * len(it.words):
+                    enough = any(answered(it.answer, x, answer_share) and subsequence(it.words, x) >= weak * len(it.words) for _, x in stretches(it.words, stretch))
                 if enough:
                     if cos is None:
                         m = there[-where : -where + size]

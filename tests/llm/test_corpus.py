@@ -274,6 +274,15 @@ def test_passages_follow_the_items(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(60 + k, k % 3) for k in range(30)}
 
 
+def test_short_answers_save_paraphrases(spark):
+    """Items with 11 of 20 words left: only the answer tells them, and it must be there as a whole."""
+    items = [prose(5000 + k, 20) for k in range(3)]
+    worn = [" ".join(w if i < 11 else f"new{i}" for i, w in enumerate(t.split())) for t in items]
+    bench = spark.createDataFrame([(0, items[0], "Paris"), (1, items[1], "New York"), (2, items[2], "")], "item_id bigint, text string, answer string")
+    texts = [prose(k, 150) for k in range(40)] + [f"{prose(60 + i, 40)} {t} {prose(70 + i, 40)}" for i, t in enumerate((f"{worn[0]} paris.", worn[0], f"{worn[1]} New York", f"{worn[1]} york new", f"{worn[2]} paris"))]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(frame(spark, texts), bench).collect()} == {(40, 0), (42, 1)}
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     """Each stage of corpus_pipeline against plain Python on a fixture with clear languages."""
     import sentencepiece
