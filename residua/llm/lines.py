@@ -5,9 +5,9 @@ aggregation. Lines whose estimate lies near the threshold get an exact distinct
 sketch alone. Everything is DataFrame functions.
 
 Defined cases: a null text has no lines and stays null; blank lines are never counted nor removed; a null site counts as
-one site of its own; a line counts once for a site, however often it is repeated there; a document of whose non-blank
-lines more than max_share are boilerplate is a copy rather than a page with boilerplate, and is left as it is for the
-document operators; repeated doc_ids share what is found for their id; other columns pass through under their names.
+one site of its own; a line counts once for a site, however often it is repeated there; a document all of whose non-blank
+lines are boilerplate is a copy rather than a page with boilerplate, and is left as it is for the document operators; with
+max_share, so is any document of whose non-blank lines more than that share are boilerplate; repeated doc_ids share what is found for their id; other columns pass through under their names.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def boilerplate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sit
     return sure.union(exact.select("h1", "h2"))
 
 
-def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10, max_share: float = 0.5, lg_k: int = 12, counts: bool = False) -> DataFrame:
+def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10, max_share: float | None = None, lg_k: int = 12, counts: bool = False) -> DataFrame:
     """docs with the boilerplate lines taken out of the text; counts adds n_lines and n_removed."""
     bad = boilerplate(docs, key=key, text=text, site=site, min_sites=min_sites, lg_k=lg_k)
     hit = occurrences(docs, key, text, site).join(bad, ["h1", "h2"]).groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("h1", "h2")).alias("_bad"))
@@ -55,7 +55,9 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: st
     lines = F.split(F.col(text), "\n")
     filled = lambda xs: F.size(F.filter(xs, lambda x: F.length(_trimmed(x)) > 0))
     out = joined.withColumn("_lines", F.when(F.col("_bad").isNotNull(), lines)).withColumn("_kept", F.when(F.col("_bad").isNotNull(), F.filter("_lines", stays)))
-    out = out.withColumn("_take", F.coalesce(F.col("_bad").isNotNull() & (F.size("_lines") - F.size("_kept") <= max_share * filled(F.col("_lines"))), F.lit(False)))
+    gone = F.size("_lines") - F.size("_kept")
+    few = gone < filled(F.col("_lines")) if max_share is None else gone <= max_share * filled(F.col("_lines"))
+    out = out.withColumn("_take", F.coalesce(F.col("_bad").isNotNull() & few, F.lit(False)))
     if counts:
         out = out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("n_removed", F.when(F.col("_take"), F.size("_lines") - F.size("_kept")).otherwise(0).cast("long"))
     new = F.when(F.col("_take"), F.concat_ws("\n", "_kept")).otherwise(F.col(text))

@@ -104,7 +104,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = lines.remove(docs, counts=True)
+    out = lines.remove(docs, max_share=0.5, counts=True)  # as OP9_SQL defines it; the pipeline has no max_share
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

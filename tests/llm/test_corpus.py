@@ -128,6 +128,16 @@ def test_lines_of_many_sites_go(spark):
     assert lines.boilerplate(docs, min_sites=9, lg_k=4).count() >= 2
 
 
+def test_pages_of_mostly_shared_lines_lose_them(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"one\ntwo\n\nown {i}", f"s{i}", 0) for i in range(12)] + [(20, "one\ntwo", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {20: ("one\ntwo", 7), **{i: (f"\nown {i}", len(f"\nown {i}")) for i in range(12)}}
+    assert {r.n_removed for r in lines.remove(docs, max_share=0.5, counts=True).collect()} == {0}
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "http://a b\r\n", b"same"), (2, None, b"same"), (3, "u", None), (4, "u", b""), (5, "u", b"WARC/1.1\r\n\r\nContent-Length: 9\r\n\r\n\n\n"), (6, "u", bytes(range(256)) * 900)]
     df = spark.createDataFrame(rows, "id bigint, url string, payload binary")
