@@ -345,12 +345,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
             weight = idf.value[bucket]
             seen = table.value[0][bucket]
             chosen, by_size, runs = shared.value
+            shown = plain.to_pylist()
             out = {}
 
             def settle(d: int, k: int, first: int, last: int, cos: float | None) -> None:
                 it = chosen[k]
                 there = np.arange(max(begin[d], first), min(begin[d] + counts[d], last))
-                stretch = plain.take(pa.array(codes[there])).to_pylist()
+                stretch = [shown[c] for c in codes[there].tolist()]
                 held = it.known.intersection(stretch)  # bounds the subsequence
                 if sum(it.known_counts[w] for w in held) < weak * len(it.words):
                     return
