@@ -19,8 +19,9 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir, as the cluster names it)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/residua"
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, as the cluster names it, or the
+    warehouse where it names none."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -31,6 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has: each of names, with underscores in front as needed."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

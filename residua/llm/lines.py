@@ -1,13 +1,13 @@
 """Line dedup by distinct-site spread: lines that many sites share are boilerplate and go from every document.
 
 Each line (blanks at its ends trimmed) has a 128-bit hash; HyperLogLog sketches of the sites that show it merge by
-aggregation. Lines whose estimate lies near the threshold get an exact distinct count, the others are decided by the
-sketch alone. Everything is DataFrame functions.
+aggregation. Lines whose estimate lies near the threshold get an exact distinct count of their (line, site) pairs, the
+others are decided by the sketch alone. Everything is DataFrame functions.
 
 Defined cases: a null text has no lines and stays null; blank lines are never counted nor removed; a null site counts as
 one site of its own; a line counts once for a site, however often it is repeated there; a document all of whose non-blank
-lines are boilerplate is a copy rather than a page with boilerplate, and is left as it is for the document operators; with
-max_share, so is any document of whose non-blank lines more than that share are boilerplate; repeated doc_ids share what is found for their id; other columns pass through under their names.
+lines are boilerplate is a copy rather than a page with boilerplate, and is left as it is for the document operators; rows
+of one id are treated each by its own text; null ids are ids like others; other columns pass through under their names.
 """
 
 from __future__ import annotations
@@ -15,51 +15,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residua.llm.common import free
+
 
 def _trimmed(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, "[\\t\\r]", " "))
 
 
-def _hash(line: Column) -> tuple[Column, Column]:
-    return F.xxhash64(_trimmed(line)), F.xxhash64(F.lit("line"), _trimmed(line))
+def _row(key: str, text: str) -> list[Column]:
+    """A row's name: rows of one id and text have one name, as they have the same lines."""
+    return [F.xxhash64(F.col(key), F.col(text)).alias("r1"), F.xxhash64(F.lit("row"), F.col(key), F.col(text)).alias("r2")]
 
 
 def occurrences(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
-    """(key, site, h1, h2) for each non-blank line."""
-    lines = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(site), F.lit("site")).alias("site"), F.explode(F.split(F.col(text), "\n")).alias("line"))
-    h1, h2 = _hash(F.col("line"))
-    return lines.filter(F.length(_trimmed(F.col("line"))) > 0).select("key", "site", h1.alias("h1"), h2.alias("h2"))
+    """(r1, r2, at, site, h1, h2) for each non-blank line: its row, position, site and hash."""
+    lines = docs.select(*_row(key, text), F.xxhash64(F.col(site), F.lit("site")).alias("site"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
+    lines = lines.select("r1", "r2", "at", "site", _trimmed(F.col("line")).alias("line")).filter("line <> ''")
+    return lines.select("r1", "r2", "at", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
 
 
 def boilerplate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10, lg_k: int = 12) -> DataFrame:
     """(h1, h2) of the lines shown by min_sites sites or more."""
-    seen = occurrences(docs, key, text, site)
+    seen = occurrences(docs, key, text, site).select("h1", "h2", "site")
     band = 5 * 1.04 / (1 << lg_k) ** 0.5  # five standard errors of a sketch
     spread = seen.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites")).filter(F.col("sites") >= min_sites * (1 - band))
     sure = spread.filter(F.col("sites") > min_sites * (1 + band)).select("h1", "h2")
     near = spread.filter(F.col("sites") <= min_sites * (1 + band)).select("h1", "h2")
-    exact = seen.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
+    # a line's sites are made distinct before they meet: a hot line sends one row for each site and task
+    exact = seen.distinct().join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites")).filter(F.col("sites") >= min_sites)
     return sure.union(exact.select("h1", "h2"))
 
 
-def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10, max_share: float | None = None, lg_k: int = 12, counts: bool = False) -> DataFrame:
-    """docs with the boilerplate lines taken out of the text; counts adds n_lines and n_removed."""
+def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = 10, lg_k: int = 12, counts: bool = False) -> DataFrame:
+    """docs with the boilerplate lines taken out of the text; counts adds n_lines and n_removed (columns of these names
+    are replaced)."""
     bad = boilerplate(docs, key=key, text=text, site=site, min_sites=min_sites, lg_k=lg_k)
-    hit = occurrences(docs, key, text, site).join(bad, ["h1", "h2"]).groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("h1", "h2")).alias("_bad"))
-    joined = docs.join(hit, F.col(key) == F.col("_key"), "left").drop("_key")
-
-    def stays(line: Column) -> Column:
-        h1, h2 = _hash(line)
-        return (F.length(_trimmed(line)) == 0) | ~F.array_contains(F.col("_bad"), F.struct(h1.alias("h1"), h2.alias("h2")))
-
+    r1, r2, at, hit, kept = free(docs, "r1", "r2", "at", "hit", "kept")
+    hits = occurrences(docs, key, text, site).join(bad, ["h1", "h2"]).groupBy(F.col("r1").alias(r1), F.col("r2").alias(r2)).agg(F.collect_set("at").alias(at))
+    own = _row(key, text)
+    joined = docs.withColumn(r1, own[0]).withColumn(r2, own[1]).join(hits, [r1, r2], "left")
     lines = F.split(F.col(text), "\n")
-    filled = lambda xs: F.size(F.filter(xs, lambda x: F.length(_trimmed(x)) > 0))
-    out = joined.withColumn("_lines", F.when(F.col("_bad").isNotNull(), lines)).withColumn("_kept", F.when(F.col("_bad").isNotNull(), F.filter("_lines", stays)))
-    gone = F.size("_lines") - F.size("_kept")
-    few = gone < filled(F.col("_lines")) if max_share is None else gone <= max_share * filled(F.col("_lines"))
-    out = out.withColumn("_take", F.coalesce(F.col("_bad").isNotNull() & few, F.lit(False)))
+    filled = F.size(F.filter(lines, lambda x: _trimmed(x) != ""))
+    out = joined.withColumn(hit, F.when(F.col(at).isNotNull(), filled > F.size(at)).otherwise(False))
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
+    out = out.withColumn(kept, F.when(F.col(hit), F.concat_ws("\n", F.transform(stays, lambda i: F.element_at(lines, i + 1)))).otherwise(F.col(text)))
+    names = [c for c in docs.columns if not (counts and c.lower() in ("n_lines", "n_removed"))]
+    more = []
     if counts:
-        out = out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("n_removed", F.when(F.col("_take"), F.size("_lines") - F.size("_kept")).otherwise(0).cast("long"))
-    new = F.when(F.col("_take"), F.concat_ws("\n", "_kept")).otherwise(F.col(text))
-    more = ["n_lines", "n_removed"] if counts else []
-    return out.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], *more)
+        more = [F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(F.col(hit), F.size(at)).otherwise(0).cast("long").alias("n_removed")]
+    return out.select(*[F.col(kept).alias(c) if c == text else F.col(c) for c in names], *more)

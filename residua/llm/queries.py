@@ -104,7 +104,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = lines.remove(docs, max_share=0.5, counts=True)  # as OP9_SQL defines it; the pipeline has no max_share
+    out = lines.remove(docs, counts=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -116,8 +116,8 @@ bad AS (SELECT t FROM l WHERE t <> '' GROUP BY t HAVING count(DISTINCT coalesce(
 m AS (SELECT l.*, bad.t IS NOT NULL AS gone FROM l LEFT JOIN bad USING (t)),
 d AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS g, count(*) FILTER (t <> '') AS full_lines,
              coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
-SELECT x.doc_id, coalesce(n, 0)::BIGINT AS n_lines, CASE WHEN g <= 0.5 * full_lines THEN g ELSE 0 END::BIGINT AS n_removed,
-       CASE WHEN g > 0 AND g <= 0.5 * full_lines THEN sha256(kept) ELSE sha256(x.text) END AS kept_sha256
+SELECT x.doc_id, coalesce(n, 0)::BIGINT AS n_lines, CASE WHEN g < full_lines THEN g ELSE 0 END::BIGINT AS n_removed,
+       CASE WHEN g > 0 AND g < full_lines THEN sha256(kept) ELSE sha256(x.text) END AS kept_sha256
 FROM documents x LEFT JOIN d USING (doc_id)
 """
 
