@@ -6,12 +6,13 @@ blanks), as shares of the text's runs. Scores are linear in them, so a text is s
 
 Defined cases: a null text or one without a letter is `und` with score 0; a model without labelled rows answers `und`
 for every text; labels outside FAMILIES form a family of their own; equal scores go to the alphabetically first
-language; repeated rows and extra columns pass through.
+language; repeated rows and extra columns pass through; a column named as the result is replaced.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,10 +64,10 @@ def _sums(runs: list[np.ndarray], offsets: np.ndarray, weights: np.ndarray) -> n
 
 
 def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> np.ndarray:
-    """Weights and bias of a linear SVM (squared hinge, classes of equal weight), by accelerated gradient descent."""
-    x = np.hstack([x.astype(np.float32, copy=False), np.ones((len(x), 1), np.float32)])
+    """Weights of a linear SVM (squared hinge, classes of equal weight), by accelerated gradient descent. The last column
+    of x is 1, so the last weight is the bias."""
     each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    rate = 0.5 / max(1e-9, float((each * (x * x).sum(1)).sum()))
+    rate = 0.5 / max(1e-9, float((each * np.einsum("ij,ij->i", x, x)).sum()))
     w = v = np.zeros(x.shape[1], np.float32)
     y, each = y.astype(np.float32), each.astype(np.float32)
     for i in range(rounds):
@@ -117,18 +118,43 @@ class Model:
         return list(names), np.clip(scores, 0, 1)
 
 
-def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 800) -> Model:
+def _outputs(languages: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
+    families = sorted({FAMILY.get(k, k) for k in languages})
+    return families, [(a, b) for a, b in itertools.combinations(languages, 2) if FAMILY.get(a, a) == FAMILY.get(b, b)]
+
+
+def _fitted(y: np.ndarray, at: list, share: list) -> tuple[list[str], np.ndarray]:
+    """Languages, and a row of weights and a bias for each output."""
+    x = np.zeros((len(y), (1 << BITS) + 1), np.float32)
+    for i, (a, s) in enumerate(zip(at, share, strict=True)):
+        x[i, np.frombuffer(a.as_buffer(), np.uint16)] = np.frombuffer(s.as_buffer(), np.float32)
+    scale = 1 / np.sqrt(x.mean(0) + 1e-5)
+    scale[-1] = 1
+    x *= scale
+    x[:, -1] = 1
+    languages = sorted(set(y.tolist()))
+    families, pairs = _outputs(languages)
+    of = np.array([FAMILY.get(k, k) for k in y])
+    fits = [_svm(x, np.where(of == f, 1.0, -1.0)) if len(families) > 1 else np.zeros(x.shape[1]) for f in families]
+    for a, b in pairs:
+        mine = (y == a) | (y == b)
+        fits.append(_svm(x[mine], np.where(y[mine] == a, 1.0, -1.0)))
+    return languages, (np.stack(fits) * scale).astype(np.float32)
+
+
+def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 800, most: int = 6400) -> Model:
     """Fits the hierarchy on rows (already without the held-out fold). The classifiers are fitted on a bounded sample:
-    about per_language labelled rows of each language (never over twice as many), chosen by a hash of the key and read
-    whole."""
+    about per_language labelled rows of each language (never over twice as many) and `most` in all, chosen by a hash of
+    the key and read whole. One task fits them, and only the weights come to the driver."""
     rows = rows.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return Model([], [], [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
+    per_language = max(1, min(per_language, most // len(counts)))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("langid")), F.lit(1_000_000))
     limit = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1_000_000, int(1e6 * per_language / v)))) for k, v in counts.items()))
     sample = rows.filter(draw < limit[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text")).limit(2 * per_language * len(counts))
-    schema = arrow_schema("lang string, at binary, share binary")
+    schema, told = arrow_schema("lang string, at binary, share binary"), arrow_schema("languages array<string>, weights binary")
 
     def sparse(b: pa.RecordBatch) -> pa.RecordBatch:
         runs, offsets = _features(b.column(1))
@@ -140,23 +166,17 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
             share.append((c[nz] / (3 * (j - i))).astype(np.float32).tobytes())
         return batch(schema, b.column(0), at, share)
 
-    got = sample.mapInArrow(sliced(sparse), "lang string, at binary, share binary").collect()
-    x = np.zeros((len(got), 1 << BITS), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.share, np.float32)
-    y = np.array([r.lang for r in got])
-    scale = 1 / np.sqrt(x.mean(0) + 1e-5)
-    x *= scale
-    languages = sorted(set(y))
-    families = sorted({FAMILY.get(k, k) for k in languages})
-    of = np.array([FAMILY.get(k, k) for k in y])
-    fits = [_svm(x, np.where(of == f, 1.0, -1.0)) if len(families) > 1 else np.zeros(x.shape[1] + 1) for f in families]
-    pairs = [(a, b) for a, b in itertools.combinations(languages, 2) if FAMILY.get(a, a) == FAMILY.get(b, b)]
-    for a, b in pairs:
-        mine = (y == a) | (y == b)
-        fits.append(_svm(x[mine], np.where(y[mine] == a, 1.0, -1.0)))
-    w = np.stack(fits, 1)
-    return Model(languages, families, pairs, (w[:-1] * scale[:, None]).astype(np.float32), w[-1])
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if sum(b.num_rows for b in parts):
+            languages, weights = _fitted(np.array([x for b in parts for x in b.column(0).to_pylist()]), [x for b in parts for x in b.column(1)], [x for b in parts for x in b.column(2)])
+            yield batch(told, [languages], [weights.tobytes()])
+
+    got = sample.mapInArrow(sliced(sparse), "lang string, at binary, share binary").repartition(1).mapInArrow(fit, "languages array<string>, weights binary").first()
+    if got is None:
+        return Model([], [], [], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
+    w = np.frombuffer(got.weights, np.float32).reshape(-1, (1 << BITS) + 1).T
+    return Model(list(got.languages), *_outputs(list(got.languages)), np.ascontiguousarray(w[:-1]), w[-1].astype(np.float64))
 
 
 def identify(df: DataFrame, model: Model, *, text: str = "text", into: str = "language") -> DataFrame:
