@@ -11,7 +11,7 @@ from residua.llm.common import written
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, root) for every id in links: the smallest id that it reaches. Each round hooks every id, and the root that it
     has, to the least root among its neighbours, then follows roots of roots; a round is written to the shared folder.
-    Hot ids are aggregated before the shuffle. Rounds grow with the logarithm of a component's diameter."""
+    A link with a null end, or of an id with itself, joins nothing. Hot ids are aggregated before the shuffle. Rounds grow with the logarithm of a component's diameter."""
     both = links.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y"))
     edges = written(both.filter("x > y").union(both.filter("x < y").select("y", "x")).distinct(), "links")
     while True:

@@ -1,21 +1,23 @@
-"""Near-duplicate documents by an inverted join of MinHash coordinates.
-
-A document's set holds the hashes of its distinct word shingles. Documents with one set form a class; a class has a
-signature of COORDS MinHash values and is posted under each (coordinate, value). Pairs with at least MATCH equal
-coordinates must meet in one of a class's COORDS - MATCH + 1 rarest postings (prefix), so only these are kept; values
-that no other class has are skipped at once. Classes with less than MATCH shared values drop out whole.
-
-In each posting list every class meets the list's most central class only (that whose values are most common), pairs
-above the match threshold are confirmed on full sets, and links are joined to components. Lists within one component are
-done (skip), and so are classes that no class of another component and of about their size is listed with. The others
-meet those of other components by a set-prefix join with length and position bounds, and go through the match threshold
-too before full sets are read. No list is expanded into its pairs, none is cut, and every link between different texts
-that can change a component is confirmed on full sets. A pair at the threshold has fewer than MATCH of
-COORDS equal values with a chance of about 1e-8.
+"""Near-duplicate documents by an inverted join of signature coordinates.
+
+A document's set holds the hashes of its distinct word shingles. Documents with one set form a class, named by a 64-bit
+hash of the set. A class has a signature of HASHES MinHash values; a coordinate reads three of them together (COORDS
+coordinates, so that unrelated texts, which share a few per cent of their shingles, hardly ever share a value), and the
+class is posted under each (coordinate, value). Values that no other class has are skipped at once, and so are classes
+with fewer than MATCH shared values. Pairs with at least MATCH equal coordinates meet at least LEAST times in what is
+left of a class's postings without its MATCH - LEAST most common ones (prefix), so only these are kept.
+
+In each posting list every class first meets the list's most central class (that whose values are most common); pairs
+are confirmed and joined to components. Lists within one component are done (skip). In the others the classes of
+different components and of about one size meet, their collisions are counted, and pairs with LEAST or more are kept.
+Every candidate then goes through the match threshold on whole signatures (SAME of HASHES values) and is confirmed on
+full sets. No list is cut, and every link between different texts that can change a component is confirmed on full
+sets. A pair at a similarity of 0.8 has fewer than MATCH equal coordinates with a chance of 9e-8, fewer than SAME equal
+values with a chance of 2e-8.
 
 Defined cases: null, empty and blank texts have no set and are linked with nothing; a text with fewer words than a
-shingle is one shingle; repeated rows of one id share its component and are kept or dropped together; null ids are
-linked with nothing and kept; other columns pass through under their names.
+shingle is one shingle; rows of one id are one document: if their texts differ, these count as linked; rows of one id
+are kept or dropped together; null ids are linked with nothing and kept; other columns pass through under their names.
 """
 
 from __future__ import annotations
@@ -30,18 +32,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from residua.llm.common import arrow_schema, batch, blobs, hashes, lists, mixed, run_hashes, sliced, words, written
+from residua.llm.common import arrow_schema, batch, blobs, free, hashes, lists, mixed, run_hashes, sliced, words, written
 from residua.llm.components import components
 
-COORDS, MATCH = 64, 32
-#: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
-#: Buckets of the shingle counts that order the set prefixes.
-ORDER_BITS = 18
+HASHES, SAME = 64, 32
+COORDS, MATCH, LEAST = 42, 3, 2
+#: Ids that may be broadcast: 8 MB of them; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20240229)
-_XOR, _MUL = _rng.integers(0, 1 << 63, COORDS, np.uint64), _rng.integers(0, 1 << 63, COORDS, np.uint64) | np.uint64(1)
-SETS = "id bigint, n int, f1 bigint, f2 bigint, sig array<int>"
-FULL = "id bigint, n int, members binary"
+_XOR, _MUL = _rng.integers(0, 1 << 63, HASHES, np.uint64), _rng.integers(0, 1 << 63, HASHES, np.uint64) | np.uint64(1)
+#: Each value is in as many coordinates as any other, but for one left over in each half.
+_TRIPLES = np.concatenate([_rng.permutation(HASHES)[: 3 * (COORDS // 2)].reshape(-1, 3) for _ in range(2)]).tolist()
+SETS = "id bigint, n int, class bigint, sig array<int>"
+FULL = "class bigint, n int, members binary"
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +78,14 @@ def _unpack(b) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
+def _classes(u: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    out, full = np.zeros(len(offsets) - 1, np.uint64), np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = mixed(np.add.reduceat(mixed(u ^ _XOR[0]), offsets[:-1][full]))
+    return out.view(np.int64)
+
+
 def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     schema = arrow_schema(SETS)
 
@@ -83,14 +94,12 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
         n = np.diff(offsets)
         full = np.flatnonzero(n)
         starts = offsets[:-1][full]
-        f1, f2, sig = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), np.zeros((len(full), COORDS), np.int32)
+        sig = np.zeros((len(full), HASHES), np.int32)
         if len(full):
-            f1[full] = np.add.reduceat(mixed(u ^ _XOR[0]), starts)
-            f2[full] = np.add.reduceat(mixed(u ^ _XOR[1]), starts)
-            for k in range(COORDS):
+            for k in range(HASHES):
                 sig[:, k] = (np.minimum.reduceat((u ^ _XOR[k]) * _MUL[k], starts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        ends = np.concatenate([[0], np.cumsum(np.where(n > 0, COORDS, 0))])
-        return batch(schema, b.column(0), n.astype(np.int32), f1.view(np.int64), f2.view(np.int64), lists(sig.ravel(), ends))
+        ends = np.concatenate([[0], np.cumsum(np.where(n > 0, HASHES, 0))])
+        return batch(schema, b.column(0), n.astype(np.int32), _classes(u, offsets), lists(sig.ravel(), ends))
 
     picked = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return picked.mapInArrow(sliced(rows), SETS)
@@ -102,29 +111,27 @@ def full_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     def rows(b: pa.RecordBatch) -> pa.RecordBatch:
         u, offsets = shingles(b.column(1), width)
         packed = np.concatenate([np.zeros(0, np.uint64), *(np.sort(u[i:j] & np.uint64((1 << 48) - 1)) for i, j in zip(offsets[:-1], offsets[1:], strict=True))])
-        return batch(schema, b.column(0), np.diff(offsets).astype(np.int32), blobs(_pack(packed).view("V6").ravel(), offsets))
+        return batch(schema, _classes(u, offsets), np.diff(offsets).astype(np.int32), blobs(_pack(packed).view("V6").ravel(), offsets))
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sliced(rows), FULL)
 
 
-def among(df: DataFrame, ids: DataFrame, count: int, on: str = "id") -> DataFrame:
-    """Rows of df whose id is in ids (distinct): by broadcast where ids are few enough, else by a shuffle."""
+def among(df: DataFrame, ids: DataFrame, count: int, on: str) -> DataFrame:
+    """Rows of df whose `on` is in ids (distinct): by broadcast where ids are few enough, else by a shuffle."""
     return df.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, on, "left_semi")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
+    """Pairs (a, b) of classes with 100 * intersection >= percent * union, on full sets."""
 
     @F.arrow_udf(T.IntegerType())
     def shared(x: pa.Array, y: pa.Array) -> pa.Array:
         both = ((_unpack(p.as_buffer()), _unpack(q.as_buffer())) for p, q in zip(x, y, strict=True))
         return pa.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in both], pa.int32())
 
-    ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sets = among(sets, ends, ends.count())
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
-    rows = pairs.join(one, "a").join(two, "b").filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    one = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
+    two = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
+    rows = pairs.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     rows = rows.select("a", "b", "na", "nb", shared("ma", "mb").alias("both"))
     return rows.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -139,104 +146,74 @@ def _cells(n: str, percent: int) -> tuple[Column, Column]:
     return at.alias("low"), (at + 1).alias("high")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, id, n, at, first): the shingles of a set's prefix, ordered by how common their bucket is. first: the
-    shingle is in the shorter prefix that a set needs against sets that are no smaller."""
-    size = 1 << ORDER_BITS
-    counted = arrow_schema("bucket int, n bigint")
-
-    def tally(batches):
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for m in b.column(0):
-                total += np.bincount(_unpack(m.as_buffer()) >> np.uint64(48 - ORDER_BITS), minlength=size)
-        at = np.flatnonzero(total)
-        yield batch(counted, at.astype(np.int32), total[at])
-
-    common = np.zeros(size, np.int64)  # a fixed size, whatever the input
-    for r in sets.select("members").mapInArrow(tally, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        common[r.bucket] = r.n
-    shared = sets.sparkSession.sparkContext.broadcast(common)
-    ddl = "token bigint, id bigint, n int, at int, first boolean"
-    schema = arrow_schema(ddl)
-
-    def rows(batches):
-        for b in batches:
-            for start in range(0, b.num_rows, 500):
-                out = []
-                part = b.slice(start, 500)
-                for i, n, m in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    u = _unpack(m.as_buffer())
-                    u = u[np.lexsort((u, shared.value[u >> np.uint64(48 - ORDER_BITS)]))]
-                    long = n - -(-percent * n // 100) + 1
-                    short = n - -(-2 * percent * n // (100 + percent)) + 1
-                    u = u[:long].view(np.int64)
-                    at = np.arange(len(u), dtype=np.int32)
-                    out.append((u, np.full(len(u), i, np.int64), np.full(len(u), n, np.int32), at, at < short))
-                if out:
-                    yield batch(schema, *(np.concatenate(c) for c in zip(*out, strict=True)))
-
-    return sets.select("id", "n", "members").mapInArrow(rows, ddl)
+def _posted(classes: DataFrame) -> DataFrame:
+    """(token, class, n, central) of the postings that the prefix keeps; central: how common all values of the class are."""
+    values = [F.xxhash64(F.lit(k), *(F.col("sig")[i] for i in at)) for k, at in enumerate(_TRIPLES)]
+    posted = classes.select("class", "n", F.explode(F.array(*values)).alias("token"))
+    counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    mine = Window.partitionBy("class")
+    met = posted.join(counts, "token").withColumn("order", F.row_number().over(mine.orderBy(F.desc("c"), F.desc("token"))))
+    met = met.withColumn("central", F.sum("c").over(mine)).withColumn("shared", F.count(F.lit(1)).over(mine))
+    return met.filter((F.col("shared") >= MATCH) & (F.col("order") > MATCH - LEAST)).select("token", "class", "n", "central")
 
 
 def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n, component): a row per row of docs; component is the smallest id reachable."""
     sets = written(signatures(docs, key, text, width), "signatures")
-    alike = ["f1", "f2", "n"]
-    classes = sets.filter("n > 0 and id is not null").groupBy(*alike).agg(F.min("id").alias("rep"))
-    reps = written(sets.join(classes.select(F.col("rep").alias("id"), *alike), ["id", *alike], "left_semi").dropDuplicates(["id"]).select("id", "n", "sig"), "classes")
-    posted = reps.select("id", "n", F.posexplode("sig")).select("id", "n", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col").cast("long") + F.lit(1 << 31)).alias("token"))
-    counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    mine = Window.partitionBy("id")
-    met = posted.join(counts, "token").withColumn("order", F.row_number().over(mine.orderBy(F.desc("c"), F.desc("token")))).withColumn("central", F.sum("c").over(mine))
-    prefix = written(met.filter(F.col("order") >= MATCH).select("token", "id", "n", "central"), "postings")
-    leaders = prefix.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = written(prefix.join(leaders.select("token", (-F.col("top.minus")).alias("b")), "token").select("token", F.col("id").alias("a"), "n", "b"), "met")
+    some = sets.filter("n > 0 and id is not null").select("id", "n", "class")
+    # rows of one id
+    repeated = written(some.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("b")).filter("c > 1"), "repeated")
+    repeats = repeated.count()
+    same = some.join(repeated.select("id", "b"), "id").filter("class <> b").select(F.col("class").alias("a"), "b").distinct()
+    firsts = written(some.groupBy("class").agg(F.min("id").alias("first")), "firsts")
+    classes = written(sets.filter("n > 0 and id is not null").select("class", "n", "sig").dropDuplicates(["class"]), "classes")
+    prefix = written(_posted(classes), "postings")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
-    def alike_enough(pairs: DataFrame) -> DataFrame:
-        """Pairs above the match threshold of signatures."""
-        sig = reps.select("id", "sig")
-        both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-        return written(both.filter(_matches(F.col("x"), F.col("y")) >= MATCH).select("a", "b"), "pairs")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        ids = written(ids.distinct(), "ids")
-        return written(full_sets(among(texts, ids, ids.count()), "id", "text", width), "sets")
-
-    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    near = alike_enough(met.filter("a <> b").select("a", "b").distinct())
-    links = written(confirmed(near, sets_of(ends(near)), percent), "links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among candidate pairs (a, b): above the match threshold of signatures, and on full sets."""
+        pairs = written(pairs, "candidates")
+        ends = lambda found: found.select(F.col("a").alias("class")).union(found.select("b")).distinct()
+        wanted = written(ends(pairs), "ids")
+        sig = among(classes.select("class", "sig"), wanted, wanted.count(), "class")
+        both = pairs.join(sig.select(F.col("class").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("class").alias("b"), F.col("sig").alias("y")), "b")
+        near = written(both.filter(_matches(F.col("x"), F.col("y")) >= SAME).select("a", "b"), "pairs")
+        ids = written(ends(near).join(firsts, "class").select(F.col("first").alias("id")).distinct(), "ids")
+        full = full_sets(among(texts, ids, ids.count(), "id"), "id", "text", width)
+        return written(confirmed(near, written(full.dropDuplicates(["class"]) if repeats else full, "sets"), percent), "links")
+
+    lists = prefix.groupBy("token").agg(F.max(F.struct("central", "class")).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = written(prefix.join(lists.select("token", F.col("top.class").alias("b")), "token").select("token", F.col("class").alias("a"), "n", "b"), "met")
+    links = linked(met.filter("a <> b").select("a", "b").distinct()).union(same)
     root = written(components(links), "roots")
 
-    # what the lists leave open: classes that share a value with another component's classes of about their size
-    rooted = met.select("token", F.col("a").alias("id"), "n").join(root, "id", "left").select("token", "id", F.coalesce("root", "id").alias("root"), *_cells("n", percent))
-    rooted = written(rooted.select("token", "id", "root", F.explode(F.array("low", "high")).alias("cell")), "rooted")
-    split = rooted.groupBy("token", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token", "cell")
-    open_ids = written(rooted.join(split, ["token", "cell"], "left_semi").select("id", "root").distinct(), "open")
-    some = open_ids.count()
-    if some:
-        full = sets_of(open_ids.select("id"))
-        first = _prefixes(full, percent).join(F.broadcast(open_ids) if some <= BROADCAST_IDS // 2 else open_ids, "id")
-        first = written(first, "prefixes")
-        p, q = first.filter("first").alias("p"), first.alias("q")
-        least = F.ceil((F.col("p.n") + F.col("q.n")) * percent / (100 + percent) - F.lit(1e-9))
-        bound = (
-            (F.col("p.token") == F.col("q.token"))
-            & (F.col("p.root") != F.col("q.root"))
-            & (F.struct("p.n", "p.id") < F.struct("q.n", "q.id"))
-            & (100 * F.col("p.n") >= percent * F.col("q.n"))
-            & (F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at")) >= least)
-        )
-        pairs = alike_enough(p.join(q, bound).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct())
-        more = written(confirmed(pairs, full, percent), "links")
-        root = written(components(links.union(more)), "roots")
-    rep = classes.join(root, classes["rep"] == root["id"], "left").select(*alike, F.coalesce("root", "rep").alias("component"))
-    return sets.drop("sig").join(rep, alike, "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    # lists that hold classes of several components and of about one size
+    rooted = met.select("token", F.col("a").alias("class"), "n").join(root.withColumnRenamed("id", "class"), "class", "left")
+    rooted = rooted.select("token", "class", "n", F.coalesce("root", "class").alias("root"), *_cells("n", percent))
+    rooted = written(rooted.select("token", "class", "n", "root", "low", F.explode(F.array("low", "high")).alias("cell")), "rooted")
+    mixed_lists = rooted.groupBy("token", "cell").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("token", "cell")
+    open_lists = written(rooted.join(mixed_lists, ["token", "cell"], "left_semi"), "open")
+    p, q = open_lists.alias("p"), open_lists.alias("q")
+    meet = (
+        (F.col("p.token") == F.col("q.token"))
+        & (F.col("p.cell") == F.col("q.cell"))
+        & (F.col("p.root") != F.col("q.root"))
+        & (F.col("p.class") < F.col("q.class"))
+        & (F.col("p.cell") == F.greatest("p.low", "q.low"))
+        & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n"))
+    )
+    hits = p.join(q, meet).groupBy(F.col("p.class").alias("a"), F.col("q.class").alias("b")).agg(F.count(F.lit(1)).alias("hits"))
+    more = linked(hits.filter(F.col("hits") >= LEAST).select("a", "b"))
+    root = written(components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)), "roots")
+
+    named = firsts.join(root.withColumnRenamed("id", "class"), "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component"))
+    named = named.join(least, "root").select("class", "component")
+    return sets.drop("sig").join(named, "class", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def kept(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but the smallest id of each component."""
     found = components_of(docs, key=key, text=text, width=width, percent=percent)
-    gone = found.filter("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    (gone,) = free(docs, "gone")
+    return docs.join(found.filter("id <> component").select(F.col("id").alias(gone)).distinct(), F.col(key) == F.col(gone), "left_anti")
