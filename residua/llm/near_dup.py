@@ -7,13 +7,17 @@ class is posted under each (coordinate, value). Values that no other class has a
 with fewer than MATCH shared values. Pairs with at least MATCH equal coordinates meet at least LEAST times in what is
 left of a class's postings without its MATCH - LEAST most common ones (prefix), so only these are kept.
 
-In each posting list every class first meets the list's most central class (that whose values are most common); pairs
-are confirmed and joined to components. Lists within one component are done (skip). In the others the classes of
-different components and of about one size meet, their collisions are counted, and pairs with LEAST or more are kept.
-Every candidate then goes through the match threshold on whole signatures (SAME of HASHES values) and is confirmed on
-full sets. No list is cut, and every link between different texts that can change a component is confirmed on full
-sets. A pair at a similarity of 0.8 has fewer than MATCH equal coordinates with a chance of 9e-8, fewer than SAME equal
-values with a chance of 2e-8.
+In each posting list every class meets the list's most central class (that whose values are most common); pairs above
+the match threshold on whole signatures (SAME of HASHES values) are confirmed on full sets and joined to components. Lists
+within one component are done (skip). What the others leave open has an exact way, which never lists the pairs of a
+group: classes of different components in lists with one leader are told by their differences from it. For a leader of
+n shingles and a class that lacks m of them and has x others, let W = 100 m + percent x: the class is linked with the
+leader if W <= (100 - percent) n, and two classes are linked only if their differences have at least
+(W + W' - (100 - percent) n) / (100 + percent) elements in common. As one of two components is not the leader's, this
+is more than W' / (100 + percent) for each; so they share one of the rarest differences of each (prefix), and copies with
+edits of their own meet no one. Those that meet go through the match threshold and full sets as well. No list is cut, and
+every link between different texts that can change a component is confirmed on full sets. A pair at a similarity of 0.8
+has fewer than MATCH equal coordinates with a chance of 9e-8, fewer than SAME equal values with a chance of 2e-8.
 
 Defined cases: null, empty and blank texts have no set and are linked with nothing; a text with fewer words than a
 shingle is one shingle; rows of one id are one document: if their texts differ, these count as linked; rows of one id
@@ -140,10 +144,48 @@ def _matches(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
 
-def _cells(n: str, percent: int) -> tuple[Column, Column]:
+def _cells(n: str, percent: int) -> list[Column]:
     """The two neighbouring cells of a set's size; sizes that allow the similarity share at least one."""
     at = F.floor(F.log(F.col(n)) / (math.log(100 / percent) * (1 + 1e-9)) if percent < 100 else F.col(n))
-    return at.alias("low"), (at + 1).alias("high")
+    return [at, at + 1]
+
+
+def _meeting(spots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different roots that are near enough to one leader's differences to be linked. spots:
+    (leader, class, root)."""
+
+    @F.arrow_udf("struct<lost: int, diff: array<bigint>>")
+    def differences(x: pa.Array, y: pa.Array) -> pa.Array:
+        lost, diff = [], [np.zeros(0, np.uint64)]
+        for p, q in zip(x, y, strict=True):
+            p, q = _unpack(p.as_buffer()), _unpack(q.as_buffer())
+            gone = np.setdiff1d(p, q, assume_unique=True)
+            lost.append(len(gone))
+            diff.append(np.concatenate([gone, np.setdiff1d(q, p, assume_unique=True) | np.uint64(1 << 48)]))
+        return pa.StructArray.from_arrays([pa.array(lost, pa.int32()), lists(np.concatenate(diff).view(np.int64), np.cumsum([len(d) for d in diff]))], ["lost", "diff"])
+
+    leader = sets.select(F.col("class").alias("leader"), F.col("n").alias("np"), F.col("members").alias("mp"))
+    told = spots.join(sets.select("class", "members"), "class").join(leader, "leader").select("leader", "class", "root", "np", differences("mp", "members").alias("d"))
+    weight = 100 * F.col("d.lost") + percent * (F.size("d.diff") - F.col("d.lost"))
+    spare = (100 - percent) * F.col("np")
+    told = told.select("leader", "class", "root", (weight > spare).alias("out"), F.size("d.diff").alias("size"), weight.alias("w"), spare.alias("spare"), "d.diff")
+    short = F.col("size") - F.floor(F.col("w") / (100 + percent))
+    long = F.when(F.col("out"), F.col("size") - F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("spare")) / (100 + percent))) + 1).otherwise(short)
+    told = written(told.select("leader", "class", "root", "out", "size", short.alias("short"), long.alias("long"), "diff"), "differences")
+    each = told.select("leader", "class", "root", "out", "size", "short", "long", F.explode("diff").alias("e"))
+    common = each.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).filter("c > 1")
+    mine = Window.partitionBy("leader", "class")
+    rare = each.join(common, ["leader", "e"]).withColumn("at", F.row_number().over(mine.orderBy("c", "e")) + F.col("size") - F.count(F.lit(1)).over(mine))
+    rare = written(rare.filter("at <= long and r < s").select("leader", "e", "class", "root", "out", (F.col("at") <= F.col("short")).alias("short")), "rare")
+    p, q = rare.alias("p"), rare.alias("q")
+    meet = (
+        (F.col("p.leader") == F.col("q.leader"))
+        & (F.col("p.e") == F.col("q.e"))
+        & (F.col("p.root") != F.col("q.root"))
+        & (F.col("p.class") < F.col("q.class"))
+        & (F.col("p.short") & F.col("q.short") | F.col("p.short") & ~F.col("p.out") & F.col("q.out") | F.col("q.short") & ~F.col("q.out") & F.col("p.out"))
+    )
+    return p.join(q, meet).select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct()
 
 
 def _posted(classes: DataFrame) -> DataFrame:
@@ -170,40 +212,29 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     prefix = written(_posted(classes), "postings")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
+    lists_ = prefix.groupBy("token").agg(F.max(F.struct("central", "class")).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = written(prefix.join(lists_.select("token", F.col("top.class").alias("leader")), "token").select("token", "class", "n", "leader"), "met")
+    ids = written(met.select("class").distinct().join(firsts, "class").select(F.col("first").alias("id")).distinct(), "ids")
+    full = full_sets(among(texts, ids, ids.count(), "id"), "id", "text", width)
+    full = written(full.dropDuplicates(["class"]) if repeats else full, "sets")
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (a, b): above the match threshold of signatures, and on full sets."""
         pairs = written(pairs, "candidates")
-        ends = lambda found: found.select(F.col("a").alias("class")).union(found.select("b")).distinct()
-        wanted = written(ends(pairs), "ids")
+        wanted = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "ids")
         sig = among(classes.select("class", "sig"), wanted, wanted.count(), "class")
         both = pairs.join(sig.select(F.col("class").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("class").alias("b"), F.col("sig").alias("y")), "b")
-        near = written(both.filter(_matches(F.col("x"), F.col("y")) >= SAME).select("a", "b"), "pairs")
-        ids = written(ends(near).join(firsts, "class").select(F.col("first").alias("id")).distinct(), "ids")
-        full = full_sets(among(texts, ids, ids.count(), "id"), "id", "text", width)
-        return written(confirmed(near, written(full.dropDuplicates(["class"]) if repeats else full, "sets"), percent), "links")
-
-    lists = prefix.groupBy("token").agg(F.max(F.struct("central", "class")).alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    met = written(prefix.join(lists.select("token", F.col("top.class").alias("b")), "token").select("token", F.col("class").alias("a"), "n", "b"), "met")
-    links = linked(met.filter("a <> b").select("a", "b").distinct()).union(same)
+        return written(confirmed(both.filter(_matches(F.col("x"), F.col("y")) >= SAME).select("a", "b"), full, percent), "links")
+
+    links = linked(met.filter("class <> leader").select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct()).union(same)
     root = written(components(links), "roots")
 
-    # lists that hold classes of several components and of about one size
-    rooted = met.select("token", F.col("a").alias("class"), "n").join(root.withColumnRenamed("id", "class"), "class", "left")
-    rooted = rooted.select("token", "class", "n", F.coalesce("root", "class").alias("root"), *_cells("n", percent))
-    rooted = written(rooted.select("token", "class", "n", "root", "low", F.explode(F.array("low", "high")).alias("cell")), "rooted")
-    mixed_lists = rooted.groupBy("token", "cell").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("token", "cell")
-    open_lists = written(rooted.join(mixed_lists, ["token", "cell"], "left_semi"), "open")
-    p, q = open_lists.alias("p"), open_lists.alias("q")
-    meet = (
-        (F.col("p.token") == F.col("q.token"))
-        & (F.col("p.cell") == F.col("q.cell"))
-        & (F.col("p.root") != F.col("q.root"))
-        & (F.col("p.class") < F.col("q.class"))
-        & (F.col("p.cell") == F.greatest("p.low", "q.low"))
-        & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n"))
-    )
-    hits = p.join(q, meet).groupBy(F.col("p.class").alias("a"), F.col("q.class").alias("b")).agg(F.count(F.lit(1)).alias("hits"))
-    more = linked(hits.filter(F.col("hits") >= LEAST).select("a", "b"))
+    # lists that hold, beside their leader, classes of several components and of about one size
+    rooted = met.filter("class <> leader").join(root.withColumnRenamed("id", "class"), "class", "left")
+    rooted = rooted.select("token", "class", "leader", F.coalesce("root", "class").alias("root"), F.explode(F.array(*_cells("n", percent))).alias("cell"))
+    several = rooted.groupBy("token", "cell").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("token", "cell")
+    spots = written(rooted.join(several, ["token", "cell"], "left_semi").select("leader", "class", "root").distinct(), "open")
+    more = linked(_meeting(spots, full, percent))
     root = written(components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)), "roots")
 
     named = firsts.join(root.withColumnRenamed("id", "class"), "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))

@@ -189,6 +189,31 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert near_dup.components_of(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_near_copies_of_one_text_equal_brute_force(spark):
+    """A group whose copies lie around the threshold: most pairs are not linked, some only through a third."""
+    r = random.Random(11)
+    base = prose(21, 150).split()
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for at in r.sample(range(150), r.randrange(2, 22)):
+            w[at] = r.choice(base) if k % 3 == 0 else f"new{r.randrange(60)}"
+        texts.append(" ".join(w))
+    for width in (2, 5):
+        n, root = jaccard_components(texts, width, 80)
+        got = sorted((x.id, x.n, x.component) for x in near_dup.components_of(frame(spark, texts), width=width).collect())
+        assert len(set(root)) > 5 and got == [(i, n[i], root[i]) for i in range(len(texts))]
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    t, u = prose(31, 60), prose(32, 60)
+    rows = [(5, t), (5, u), (9, f"{t} more"), (10, f"{u} more"), (11, u), (None, t), (None, None), (12, prose(33, 60))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("gone", F.lit(1)).withColumn("class", F.lit(2))
+    got = sorted((x.id is None, x.id or 0, x.component) for x in near_dup.components_of(docs).collect())
+    assert got == [(False, 5, 5), (False, 5, 5), (False, 9, 5), (False, 10, 5), (False, 11, 5), (False, 12, 12), (True, 0, None), (True, 0, None)]
+    assert sorted(x.doc_id or 0 for x in near_dup.kept(docs).collect()) == [0, 0, 5, 5, 12]
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = {r.id: r.root for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
