@@ -10,12 +10,13 @@ left of a class's postings without its MATCH - LEAST most common ones (prefix),
 In each posting list every class meets the list's most central class (that whose values are most common); pairs above
 the match threshold on whole signatures (SAME of HASHES values) are confirmed on full sets and joined to components. Lists
 within one component are done (skip). What the others leave open has an exact way, which never lists the pairs of a
-group: classes of different components in lists with one leader are told by their differences from it. For a leader of
-n shingles and a class that lacks m of them and has x others, let W = 100 m + percent x: the class is linked with the
-leader if W <= (100 - percent) n, and two classes are linked only if their differences have at least
-(W + W' - (100 - percent) n) / (100 + percent) elements in common. As one of two components is not the leader's, this
-is more than W' / (100 + percent) for each; so they share one of the rarest differences of each (prefix), and copies with
-edits of their own meet no one. Those that meet go through the match threshold and full sets as well. No list is cut, and
+group: classes of different components in the lists of one component's leaders are told by their differences from its
+most central class, the hub. For a hub of n shingles and a class that lacks m of them and has x others, let
+W = 100 m + percent x: the class is linked with the hub if W <= (100 - percent) n, and two classes are linked only if
+their differences have at least (W + W' - (100 - percent) n) / (100 + percent) elements in common. Unless both are linked
+with the hub, this is more than W' / (100 + percent) for one W'; so the two share one of the rarest differences of each
+(prefix), and copies with edits of their own meet no one. Those that meet go through the match threshold and full sets as
+well. No list is cut, and
 every link between different texts that can change a component is confirmed on full sets. A pair at a similarity of 0.8
 has fewer than MATCH equal coordinates with a chance of 9e-8, fewer than SAME equal values with a chance of 2e-8.
 
@@ -150,9 +151,9 @@ def _cells(n: str, percent: int) -> list[Column]:
     return [at, at + 1]
 
 
-def _meeting(spots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different roots that are near enough to one leader's differences to be linked. spots:
-    (leader, class, root)."""
+def _meeting(spots: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with hubs, and candidate pairs (a, b) of classes of different roots whose differences from one hub have
+    enough in common. spots: (hub, class, root)."""
 
     @F.arrow_udf("struct<lost: int, diff: array<bigint>>")
     def differences(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -164,28 +165,30 @@ def _meeting(spots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             diff.append(np.concatenate([gone, np.setdiff1d(q, p, assume_unique=True) | np.uint64(1 << 48)]))
         return pa.StructArray.from_arrays([pa.array(lost, pa.int32()), lists(np.concatenate(diff).view(np.int64), np.cumsum([len(d) for d in diff]))], ["lost", "diff"])
 
-    leader = sets.select(F.col("class").alias("leader"), F.col("n").alias("np"), F.col("members").alias("mp"))
-    told = spots.join(sets.select("class", "members"), "class").join(leader, "leader").select("leader", "class", "root", "np", differences("mp", "members").alias("d"))
+    hub = sets.select(F.col("class").alias("hub"), F.col("n").alias("np"), F.col("members").alias("mp"))
+    told = spots.join(sets.select("class", "members"), "class").join(hub, "hub").select("hub", "class", "root", "np", differences("mp", "members").alias("d"))
     weight = 100 * F.col("d.lost") + percent * (F.size("d.diff") - F.col("d.lost"))
     spare = (100 - percent) * F.col("np")
-    told = told.select("leader", "class", "root", (weight > spare).alias("out"), F.size("d.diff").alias("size"), weight.alias("w"), spare.alias("spare"), "d.diff")
+    told = told.select("hub", "class", "root", (weight > spare).alias("out"), F.size("d.diff").alias("size"), weight.alias("w"), spare.alias("spare"), "d.diff")
     short = F.col("size") - F.floor(F.col("w") / (100 + percent))
     long = F.when(F.col("out"), F.col("size") - F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("spare")) / (100 + percent))) + 1).otherwise(short)
-    told = written(told.select("leader", "class", "root", "out", "size", short.alias("short"), long.alias("long"), "diff"), "differences")
-    each = told.select("leader", "class", "root", "out", "size", "short", "long", F.explode("diff").alias("e"))
-    common = each.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).filter("c > 1")
-    mine = Window.partitionBy("leader", "class")
-    rare = each.join(common, ["leader", "e"]).withColumn("at", F.row_number().over(mine.orderBy("c", "e")) + F.col("size") - F.count(F.lit(1)).over(mine))
-    rare = written(rare.filter("at <= long and r < s").select("leader", "e", "class", "root", "out", (F.col("at") <= F.col("short")).alias("short")), "rare")
+    told = written(told.select("hub", "class", "root", "out", "size", short.alias("short"), long.alias("long"), "diff"), "differences")
+    each = told.select("hub", "class", "root", "out", "size", "short", "long", F.explode("diff").alias("e"))
+    common = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).filter("c > 1")
+    mine = Window.partitionBy("hub", "class")
+    rare = each.join(common, ["hub", "e"]).withColumn("at", F.row_number().over(mine.orderBy("c", "e")) + F.col("size") - F.count(F.lit(1)).over(mine))
+    rare = written(rare.filter("at <= long and r < s").select("hub", "e", "class", "root", "out", (F.col("at") <= F.col("short")).alias("short")), "rare")
     p, q = rare.alias("p"), rare.alias("q")
     meet = (
-        (F.col("p.leader") == F.col("q.leader"))
+        (F.col("p.hub") == F.col("q.hub"))
         & (F.col("p.e") == F.col("q.e"))
         & (F.col("p.root") != F.col("q.root"))
         & (F.col("p.class") < F.col("q.class"))
+        & (F.col("p.out") | F.col("q.out"))
         & (F.col("p.short") & F.col("q.short") | F.col("p.short") & ~F.col("p.out") & F.col("q.out") | F.col("q.short") & ~F.col("q.out") & F.col("p.out"))
     )
-    return p.join(q, meet).select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct()
+    sure = told.filter("not out and class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b"))
+    return sure, p.join(q, meet).select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct()
 
 
 def _posted(classes: DataFrame) -> DataFrame:
@@ -233,8 +236,13 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", w
     rooted = met.filter("class <> leader").join(root.withColumnRenamed("id", "class"), "class", "left")
     rooted = rooted.select("token", "class", "leader", F.coalesce("root", "class").alias("root"), F.explode(F.array(*_cells("n", percent))).alias("cell"))
     several = rooted.groupBy("token", "cell").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("token", "cell")
-    spots = written(rooted.join(several, ["token", "cell"], "left_semi").select("leader", "class", "root").distinct(), "open")
-    more = linked(_meeting(spots, full, percent))
+    central = prefix.select("class", "central").distinct().join(root.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    hubs = central.groupBy("root").agg(F.max(F.struct("central", "class")).alias("top")).select("root", F.col("top.class").alias("hub"))
+    hubs = central.select(F.col("class").alias("leader"), "root").join(hubs, "root").select("leader", "hub")
+    spots = rooted.join(several, ["token", "cell"], "left_semi").select("leader", "class", "root").distinct()
+    spots = written(spots.join(hubs, "leader").select("hub", "class", "root").distinct(), "open")
+    sure, pairs = _meeting(spots, full, percent)
+    more = sure.union(linked(pairs))
     root = written(components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)), "roots")
 
     named = firsts.join(root.withColumnRenamed("id", "class"), "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
