@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Inverse document frequencies come from all documents. A randomised singular value decomposition of TF-IDF passages (all
-passages of the benchmark and a bounded sample of the corpus's) runs as Spark jobs: each round adds up partial products
-of the partitions, the small orthogonalisations are of a fixed size. Every document is cut into overlapping passages of one
+items of the benchmark and all passages of the corpus, over the words of the benchmark: a passage's other words have no
+part in its cosines but for its norm) runs as Spark jobs: each round adds up partial products of the partitions, the small
+orthogonalisations are of a fixed size. Every document is cut into overlapping passages of one
 to two times an item's length (a power of two, at least LEAST words; items share the passages of their size),
 all are projected, and those whose cosine with a benchmark item in the latent space reaches `cosine` times that which
 the item has with itself are candidates (all of them, not the first few). So is every place of a document that holds RUN
@@ -33,43 +34,82 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import arrow_schema, batch, hashes, lists, run_hashes, sliced, words, written
+from residua.llm.common import ODD, arrow_schema, batch, free, mixed, run_hashes, sliced, written
 
 BITS = 18
 #: Words of a passage in the decomposition, and the least in the search.
 WINDOW, LEAST = 64, 8
 RANK, EXTRA, POWERS = 128, 16, 2
-#: Weight of a benchmark passage in the decomposition; one of the corpus has 1.
+#: Weight of a benchmark item in the decomposition; a passage of the corpus has 1.
 WEIGHT = 4.0
-#: Corpus passages in the decomposition, and benchmark items that go to the tasks at once.
-SAMPLE, ITEMS = 500, 20_000
+#: Bytes of benchmark text that go to the tasks at once; each such part of a benchmark takes a pass over the corpus.
+ITEM_BYTES = 16 << 20
 #: Words in a row that make a place a candidate.
 RUN = 3
 _CHUNK = 4096
-#: Bytes of text in one step: longer ones repeat fewer distinct words.
-STEP = 6 << 20
+#: Bytes of text in one step.
+STEP = 3 << 20
 #: Words whose passages are projected at once; a longer document stands alone.
 BLOCK = 200_000
+#: Values that are multiplied at once.
+FEW = 20_000
 _PART = pa.schema([("chunk", pa.int32()), ("body", pa.binary())])
+#: Bytes of lower-cased text: 1 parts words, 2 belongs to them, 0 is left out.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[:128] = [1 if c in b" \t\n\x0b\x0c\r" else 2 if chr(c).isalnum() else 0 for c in range(128)]
 
 
-def _plain(distinct: pa.Array) -> pa.Array:
-    return pc.replace_substring_regex(pc.utf8_lower(distinct), r"[^\p{L}\p{N}]+", "")
-
-
-def _buckets(hashed: np.ndarray) -> np.ndarray:
-    return (hashed >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Bucket of each word (-1: nothing left of it), offsets by text, plain distinct words, the words' codes and the hashes
-    of the distinct words."""
-    codes, offsets, distinct = words(texts)
-    plain = _plain(distinct)
-    hashed = hashes(plain)
-    bucket = _buckets(hashed)
-    bucket[pc.equal(plain, "").to_numpy(zero_copy_only=False)] = -1
-    return bucket[codes] if len(codes) else np.zeros(0, np.int64), offsets, plain, codes, hashed
+@dataclass
+class Terms:
+    """Words of texts in lower case, without what is neither letter nor digit; those with nothing left are none."""
+
+    hashed: np.ndarray
+    offsets: np.ndarray  # words by text
+    letters: np.ndarray
+    at: np.ndarray  # letters by word
+
+    @property
+    def buckets(self) -> np.ndarray:
+        return (self.hashed >> np.uint64(64 - BITS)).astype(np.int32)
+
+    def shown(self, which) -> list[bytes]:
+        return [self.letters[self.at[i] : self.at[i + 1]].tobytes() for i in which]
+
+
+def _terms(texts: pa.Array) -> Terms:
+    low = pc.utf8_lower(pc.fill_null(texts, ""))
+    odd = pc.match_substring_regex(low, r"[^\x00-\x7f\p{L}\p{N}]")
+    if pc.any(odd).as_py():
+        low = pc.if_else(odd, pc.replace_substring_regex(low, r"[^\x00-\x7f\p{L}\p{N}]+", ""), low)
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(low).to_numpy(zero_copy_only=False).astype(np.int64))])
+    data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(low)], pa.int32()), low), "")[0].as_buffer(), np.uint8) if len(low) else np.zeros(0, np.uint8)
+    kind = _KIND[data]
+    gaps = kind == 1
+    gaps[ends[:-1][ends[:-1] < len(data)]] |= True  # a text begins a word; its first letter may be one of it
+    where = np.flatnonzero(kind == 2)
+    letters = data[where]
+    part = np.cumsum(gaps, dtype=np.int32)[where]
+    start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(where) else np.zeros(0, np.int64)
+    at = np.append(start, len(letters))
+    hashed = np.zeros(len(start), np.uint64)
+    a = 0
+    while a < len(start):  # about as many letters at a time
+        b = max(a + 1, int(np.searchsorted(at, at[a] + STEP)) - 1)
+        size = np.diff(at[a : b + 1])
+        place = np.arange(at[b] - at[a]) - np.repeat(at[a:b] - at[a], size)
+        hashed[a:b] = np.add.reduceat((letters[at[a] : at[b]].astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[place], at[a:b] - at[a])
+        a = b
+    return Terms(mixed(hashed), np.searchsorted(where[start], ends) if len(start) else np.zeros(len(ends), np.int64), letters, at)
+
+
+_table = [np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> np.ndarray:
+    """ODD to the powers from 0."""
+    if len(_table[0]) < n:
+        _table[0] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 256), ODD, np.uint64))])
+    return _table[0]
 
 
 def _summed(parts: DataFrame, width: int, size: int) -> np.ndarray:
@@ -110,10 +150,10 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         total = np.zeros(1 << BITS)
 
         def rows(b: pa.RecordBatch) -> None:
-            bucket, offsets, *_ = _terms(b.column(0))
-            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[bucket >= 0]
-            seen = np.unique(doc << BITS | bucket[bucket >= 0])
-            total[:] += np.bincount(seen & ((1 << BITS) - 1), minlength=1 << BITS)
+            terms = _terms(b.column(0))
+            doc = np.repeat(np.arange(len(terms.offsets) - 1), np.diff(terms.offsets))
+            seen = np.sort(doc << BITS | terms.buckets)
+            total[:] += np.bincount(seen[np.r_[True, seen[1:] != seen[:-1]][: len(seen)]] & ((1 << BITS) - 1), minlength=1 << BITS)
 
         for _ in sliced(rows, "text", STEP)(batches):
             pass
@@ -128,75 +168,94 @@ def _idf(df: np.ndarray, n: int) -> np.ndarray:
     return np.log((n + 2) / (np.minimum(df, n) + 1)).astype(np.float32)
 
 
-PASSAGES = "buckets array<int>, weights array<float>"
+PASSAGES = "ends binary, slots binary, weights binary"
 
 
-def _passages(texts: DataFrame, idf, whole: bool, weight: float = 1.0) -> DataFrame:
-    """TF-IDF rows of norm `weight`: whole texts, or their windows."""
+def _passages(texts: DataFrame, idf, slot, whole: bool) -> DataFrame:
+    """TF-IDF rows of norm 1 (WEIGHT for whole texts) over the words that have a slot: whole texts, or stretches of WINDOW
+    words one after the other. Many rows come as one: where each ends, its slots and weights."""
     schema = arrow_schema(PASSAGES)
 
     def rows(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        bucket, offsets, *_ = _terms(b.column(0))
-        out_b, out_w = [], []
-        for i, j in zip(offsets[:-1], offsets[1:], strict=True):
-            for a in range(i, j, max(1, j - i) if whole else WINDOW // 2):
-                at, n = np.unique(bucket[a : j if whole else min(j, a + WINDOW)], return_counts=True)
-                w = n[at >= 0] * idf.value[at[at >= 0]]
-                if (norm := float(np.sqrt((w * w).sum()))) > 0:
-                    out_b.append(at[at >= 0].astype(np.int32))
-                    out_w.append((weight * w / norm).astype(np.float32))
-        if not out_b:
+        terms = _terms(b.column(0))
+        bucket, counts = terms.buckets, np.diff(terms.offsets)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        if whole:
+            row, many = doc, len(counts)
+        else:
+            cells = -(-counts // WINDOW)
+            row = (np.cumsum(cells) - cells)[doc] + (np.arange(len(doc)) - terms.offsets[doc]) // WINDOW
+            many = int(cells.sum())
+        norm = np.sqrt(np.bincount(row, idf.value[bucket].astype(np.float64) ** 2, many))
+        known = slot.value[bucket]
+        mine = np.flatnonzero(known >= 0)
+        at, n = np.unique(row[mine].astype(np.int64) << BITS | known[mine], return_counts=True)
+        if not len(at):
             return None
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in out_b])])
-        return batch(schema, lists(np.concatenate(out_b), ends), lists(np.concatenate(out_w), ends))
+        row, at = at >> BITS, at & ((1 << BITS) - 1)
+        weight = (WEIGHT if whole else 1) * n * slot_idf.value[at] / np.maximum(norm[row], 1e-12)
+        ends = np.append(np.flatnonzero(row[1:] != row[:-1]) + 1, len(row))
+        return batch(schema, [ends.astype(np.int32).tobytes()], [at.astype(np.int32).tobytes()], [weight.astype(np.float32).tobytes()])
 
-    return texts.select("text").mapInArrow(sliced(rows), PASSAGES)
+    by_slot = np.zeros(int(slot.value.max()) + 1, np.float32)
+    by_slot[slot.value[slot.value >= 0]] = idf.value[slot.value >= 0]
+    slot_idf = texts.sparkSession.sparkContext.broadcast(by_slot)
+    return texts.select("text").mapInArrow(sliced(rows, "text", STEP), PASSAGES)
 
 
-def decomposition(rows: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """The leading right singular vectors of the sparse matrix of PASSAGES rows: the slot of each bucket (-1: none), and
-    slots x rank."""
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts, axis=0)
+
+
+def decomposition(rows: DataFrame, size: int, rank: int = RANK) -> np.ndarray:
+    """The leading right singular vectors of the sparse matrix of PASSAGES rows: size x rank."""
     width = rank + EXTRA
     spark = rows.sparkSession
-    live = np.sort(rows.select(F.explode("buckets").alias("b")).distinct().toArrow().column(0).to_numpy())  # at most all buckets
-    slot = np.full(1 << BITS, -1, np.int32)
-    slot[live] = np.arange(len(live))
-    slots = spark.sparkContext.broadcast(slot)
-    basis = np.random.default_rng(11).standard_normal((len(live), width)).astype(np.float32)
+    basis = np.random.default_rng(11).standard_normal((size, width)).astype(np.float32)
 
     def product(v, gram: bool) -> DataFrame:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((width if gram else len(v.value), width), np.float32)
+            total = np.zeros((width if gram else size, width), np.float32)
             for b in batches:
-                for at, w in zip(b.column(0), b.column(1), strict=True):
-                    at, w = slots.value[at.values.to_numpy()], w.values.to_numpy()
-                    y = w @ v.value[at]
-                    if gram:
-                        total += np.outer(y, y)
-                    else:
-                        total[at] += np.outer(w, y)
+                for e, s, w in zip(*b.columns, strict=True):
+                    ends, slots, weights = np.frombuffer(e.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32)
+                    starts, i = np.append(0, ends[:-1]), 0
+                    while i < len(ends):  # some rows at a time
+                        j = max(i + 1, int(np.searchsorted(ends, starts[i] + FEW)))
+                        at, x = slots[starts[i] : ends[j - 1]], weights[starts[i] : ends[j - 1], None]
+                        y = _sums(v.value[at] * x, starts[i:j] - starts[i])
+                        if gram:
+                            total += y.T @ y
+                        else:
+                            order = np.argsort(at, kind="stable")
+                            back = np.repeat(np.arange(j - i), ends[i:j] - starts[i:j])[order]
+                            at = at[order]
+                            cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                            total[at[cut]] += _sums(y[back] * x[order], cut)
+                        i = j
             yield _chunks(total)
 
         return rows.mapInArrow(partial, "chunk int, body binary")
 
     for _ in range(POWERS):
         shared = spark.sparkContext.broadcast(basis)
-        z = _summed(product(shared, False), width, len(live))
+        z = _summed(product(shared, False), width, size)
         basis = np.zeros_like(z)
         q = np.linalg.qr(z)[0]
         basis[:, : q.shape[1]] = q
-        shared.unpersist()
+        shared.destroy()
     shared = spark.sparkContext.broadcast(basis)
     gram = _summed(product(shared, True), width, width)
+    shared.destroy()
     order = np.linalg.eigh(gram.astype(np.float64))
-    return slot, basis @ order[1][:, ::-1][:, :rank].astype(np.float32)
+    return basis @ order[1][:, ::-1][:, :rank].astype(np.float32)
 
 
 @dataclass
 class Item:
     key: int
-    words: list[str]
-    answer: list[str]
+    words: list[bytes]
+    answer: list[bytes]
     vector: np.ndarray
     least: float
 
@@ -258,7 +317,7 @@ class Runs:
         return doc[at], self.item[each], at - self.offset[each]
 
 
-def subsequence(item: list[str], stretch: list[str]) -> int:
+def subsequence(item: list[bytes], stretch: list[bytes]) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     masks: dict[str, int] = {}
     for i, w in enumerate(item):
@@ -271,61 +330,83 @@ def subsequence(item: list[str], stretch: list[str]) -> int:
     return len(item) - v.bit_count()
 
 
-def stretches(item: list[str], text: list[str]) -> Iterator[tuple[int, list[str]]]:
+def stretches(item: list[bytes], text: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Stretches of at most 1.5 times the item's length, and where they begin."""
     size, step = math.ceil(1.5 * len(item)), max(1, len(item) // 4)
     return ((a, text[a : a + size]) for a in range(0, max(1, len(text) - size + step), step))
 
 
-def best_stretch(item: list[str], text: list[str]) -> tuple[int, int, int]:
+def best_stretch(item: list[bytes], text: list[bytes]) -> tuple[int, int, int]:
     """Most common words of the item with a stretch; where the stretch is, and its size."""
     common, where = max((subsequence(item, x), -a) for a, x in stretches(item, text))
     return common, where, math.ceil(1.5 * len(item))
 
 
-def answered(answer: list[str], stretch: list[str], share: float) -> bool:
+def answered(answer: list[bytes], stretch: list[bytes], share: float) -> bool:
     """Whether the stretch holds the answer; one of under 3 words must stand there in a row. Without words: no."""
     if len(answer) >= 3:
         return subsequence(answer, stretch) >= share * len(answer)
     return bool(answer) and any(stretch[a : a + len(answer)] == answer for a in range(len(stretch)))
 
 
-def _plain_words(text: str | None) -> list[str]:
-    _, _, plain, codes, _ = _terms(pa.array([text or ""]))
-    shown = plain.to_pylist()
-    return [w for w in (shown[c] for c in codes) if w]
+def _benchmark(items: DataFrame) -> DataFrame:
+    """(item, words, answer, hashed) of items (item, text, answer) that have words; an item without an answer has its last
+    sentence as one."""
+    ddl = "item bigint, words array<binary>, answer array<binary>, hashed binary"
+    schema = arrow_schema(ddl)
+
+    def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+        tails = [x if x is not None else next((s for s in reversed(re.split(r"[.!?]+", t)) if s.strip()), "") for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        text, tail = _terms(b.column(1)), _terms(pa.array(tails, pa.string()))
+        told = lambda t, i: t.shown(range(t.offsets[i], t.offsets[i + 1]))
+        full = [i for i in range(b.num_rows) if text.offsets[i] < text.offsets[i + 1]]
+        return batch(schema, b.column(0).take(pa.array(full, pa.int64())), [told(text, i) for i in full], [told(tail, i) for i in full], [text.hashed[text.offsets[i] : text.offsets[i + 1]].tobytes() for i in full])
+
+    return items.mapInArrow(sliced(rows), ddl)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", cosine: float = 0.2, share: float = 0.7, weak: float = 0.5, answer_share: float = 0.9) -> DataFrame:
     """(doc_id, item_id, cosine, common): the best match of each document and item that match."""
     spark = docs.sparkSession
     found = "doc bigint, item bigint, cosine double, common double"
+    none = spark.createDataFrame([], found.replace("doc ", "doc_id ").replace("item ", "item_id "))
     df, n = document_frequencies(docs, text)
     items = benchmark.select(F.col(item).cast("long").alias("item"), F.col("text").alias("text"), F.col("answer").cast("string").alias("answer") if "answer" in benchmark.columns else F.lit(None).cast("string").alias("answer")).filter("text is not null")
-    many = items.count()
-    if not n or not many:
-        return spark.createDataFrame([], found.replace("doc ", "doc_id ").replace("item ", "item_id "))
-    idf = spark.sparkContext.broadcast(_idf(df, n))
-    draw = F.pmod(F.xxhash64(key, F.lit("svd")), F.lit(1_000_000)) < max(1, int(1e6 * (SAMPLE / 8) / n))
-    some = _passages(docs.filter(draw).limit(SAMPLE // 4).select(F.col(text).alias("text")), idf, False).limit(SAMPLE)
-    slot, latent = decomposition(written(_passages(items, idf, True, WEIGHT).union(some), "passages"))
-    table = spark.sparkContext.broadcast((slot, latent))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if not n or not size:
+        return none
+    told = written(_benchmark(items), "items")
+    used = arrow_schema("bucket int")
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITS, bool)
+        for b in batches:
+            for x in b.column(0):
+                seen[Terms(np.frombuffer(x.as_buffer(), np.uint64), *[None] * 3).buckets] = True
+        yield batch(used, np.flatnonzero(seen).astype(np.int32))
+
+    live = np.sort(told.select("hashed").mapInArrow(buckets, "bucket int").distinct().toArrow().column(0).to_numpy())  # at most all buckets
+    if not len(live):
+        return none
+    by_bucket = np.full(1 << BITS, -1, np.int32)
+    by_bucket[live] = np.arange(len(live))
+    idf, slot = spark.sparkContext.broadcast(_idf(df, n)), spark.sparkContext.broadcast(by_bucket)
+    corpus = _passages(docs.select(F.col(text).alias("text")), idf, slot, False)
+    latent = decomposition(written(_passages(items, idf, slot, True).union(corpus), "passages"), len(live))
+    table = spark.sparkContext.broadcast((by_bucket, latent))
     schema = arrow_schema(found)
     parts = []
-    for block in range(-(-many // ITEMS)):
+    many = -(-size // ITEM_BYTES)
+    for block in range(many):
         chosen, hashed = [], {}
-        for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(-(-many // ITEMS))) == block).toLocalIterator():
-            plain = _plain_words(r.text)
-            if not plain:
-                continue
-            hashed[len(chosen)] = hashes(pa.array(plain))
-            bucket = _buckets(hashed[len(chosen)])
-            v = (idf.value[bucket][:, None] * np.where(slot[bucket][:, None] >= 0, latent[slot[bucket]], 0)).sum(0)
-            norm = float(np.sqrt((v * v).sum()))
-            tail = r.answer if r.answer is not None else next((s for s in reversed(re.split(r"[.!?]+", r.text)) if s.strip()), "")
-            whole = float(np.sqrt((idf.value[bucket] ** 2).sum()))
-            unit, least = (v / norm, cosine * min(1.0, norm / whole)) if norm > 0 else (v, np.inf)  # without norm: by runs alone
-            chosen.append(Item(r.item, plain, _plain_words(tail), unit.astype(np.float32), least))
+        for r in told.filter(F.pmod(F.xxhash64("item"), F.lit(many)) == block).toArrow().to_batches():
+            for key_, words, answer, h in zip(*(r.column(k).to_pylist() for k in range(4)), strict=True):
+                hashed[len(chosen)] = h = np.frombuffer(h, np.uint64)
+                bucket = Terms(h, *[None] * 3).buckets
+                v = idf.value[bucket] @ latent[by_bucket[bucket]]
+                norm, whole = float(np.sqrt(v @ v)), float(np.sqrt((idf.value[bucket] ** 2).sum()))
+                unit, least = (v / norm, cosine * min(1.0, norm / whole)) if norm > 0 else (v, np.inf)  # without norm: by runs alone
+                chosen.append(Item(key_, words, answer, unit.astype(np.float32), least))
         if not chosen:
             continue
         sizes = sorted({min(RUN, len(c.words)) for c in chosen})
@@ -334,10 +415,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
 
         def search(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
             ids = b.column(0).to_pylist()
-            bucket, offsets, plain, codes, hashed = _terms(b.column(1))
-            keep = bucket >= 0
-            doc = np.repeat(np.arange(len(ids)), np.diff(offsets))[keep]
-            bucket, codes = bucket[keep], codes[keep]
+            terms = _terms(b.column(1))
+            bucket = terms.buckets
+            doc = np.repeat(np.arange(len(ids)), np.diff(terms.offsets))
             if not len(bucket):
                 return None
             counts = np.bincount(doc, minlength=len(ids))
@@ -345,13 +425,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
             weight = idf.value[bucket]
             seen = table.value[0][bucket]
             chosen, by_size, runs = shared.value
-            shown = plain.to_pylist()
             out = {}
 
             def settle(d: int, k: int, first: int, last: int, cos: float | None) -> None:
                 it = chosen[k]
                 there = np.arange(max(begin[d], first), min(begin[d] + counts[d], last))
-                stretch = [shown[c] for c in codes[there].tolist()]
+                stretch = terms.shown(there.tolist())
                 held = it.known.intersection(stretch)  # bounds the subsequence
                 if sum(it.known_counts[w] for w in held) < weak * len(it.words):
                     return
@@ -375,11 +454,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                 norm = np.bincount(row, weight[word] * weight[word], total)
                 sums = np.zeros((total, RANK), np.float32)
                 mine = word[seen[word] >= 0]
-                for a in range(0, len(mine), 50_000):
-                    m = mine[a : a + 50_000]
+                for a in range(0, len(mine), FEW):
+                    m = mine[a : a + FEW]
                     at = row[m - begin[x]]
                     cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                    sums[at[cut]] += np.add.reduceat(table.value[1][seen[m]] * weight[m, None], cut)
+                    sums[at[cut]] += _sums(table.value[1][seen[m]] * weight[m, None], cut)
                 for group in by_size:
                     while size < group.half:
                         fewer = -(-cells // 2)
@@ -405,7 +484,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                                 settle(d, item, start, start + 4 * size + len(chosen[item].words), cos[p, k])
             long = np.array([len(c.words) for c in chosen])
             for r in runs:
-                d, k, start = r.places(hashed[codes], doc)
+                d, k, start = r.places(terms.hashed, doc)
                 step = np.maximum(1, long[k] // 2)  # runs that begin their item within half its length share a check
                 cell = (start - begin[d] + long[k]) // step
                 _, one = np.unique(np.stack([d, k, cell]), axis=1, return_index=True)
@@ -417,7 +496,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
 
         parts.append(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sliced(search, "text", STEP), found))
     if not parts:
-        return spark.createDataFrame([], found.replace("doc ", "doc_id ").replace("item ", "item_id "))
+        return none
     both = parts[0]
     for p in parts[1:]:
         both = both.union(p)
@@ -426,5 +505,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without those that match a benchmark item."""
-    bad = matches(docs, benchmark, key=key, text=text, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(key) == F.col("_bad"), "left_anti")
+    (bad,) = free(docs, "bad")
+    return docs.join(matches(docs, benchmark, key=key, text=text, **options).select(F.col("doc_id").alias(bad)).distinct(), F.col(key) == F.col(bad), "left_anti")
