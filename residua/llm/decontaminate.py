@@ -40,8 +40,8 @@ BITS = 18
 #: Words of a passage in the decomposition, and the least in the search.
 WINDOW, LEAST = 64, 8
 RANK, EXTRA, POWERS = 128, 16, 2
-#: Weight of a benchmark item in the decomposition; a passage of the corpus has 1.
-WEIGHT = 4.0
+#: Sum of squares of the benchmark's rows in the decomposition, against that of the corpus's: items must be well told.
+SHARE = 6.0
 #: Bytes of benchmark text that go to the tasks at once; each such part of a benchmark takes a pass over the corpus.
 ITEM_BYTES = 16 << 20
 #: Words in a row that make a place a candidate.
@@ -168,12 +168,12 @@ def _idf(df: np.ndarray, n: int) -> np.ndarray:
     return np.log((n + 2) / (np.minimum(df, n) + 1)).astype(np.float32)
 
 
-PASSAGES = "ends binary, slots binary, weights binary"
+PASSAGES = "item boolean, squares double, ends binary, slots binary, weights binary"
 
 
 def _passages(texts: DataFrame, idf, slot, whole: bool) -> DataFrame:
-    """TF-IDF rows of norm 1 (WEIGHT for whole texts) over the words that have a slot: whole texts, or stretches of WINDOW
-    words one after the other. Many rows come as one: where each ends, its slots and weights."""
+    """TF-IDF rows of norm 1 over all words, but only the words that have a slot: whole texts, or stretches of WINDOW words
+    one after the other. Many rows come as one: its sum of squares, where each ends, slots and weights."""
     schema = arrow_schema(PASSAGES)
 
     def rows(b: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -193,9 +193,9 @@ def _passages(texts: DataFrame, idf, slot, whole: bool) -> DataFrame:
         if not len(at):
             return None
         row, at = at >> BITS, at & ((1 << BITS) - 1)
-        weight = (WEIGHT if whole else 1) * n * slot_idf.value[at] / np.maximum(norm[row], 1e-12)
+        weight = n * slot_idf.value[at] / np.maximum(norm[row], 1e-12)
         ends = np.append(np.flatnonzero(row[1:] != row[:-1]) + 1, len(row))
-        return batch(schema, [ends.astype(np.int32).tobytes()], [at.astype(np.int32).tobytes()], [weight.astype(np.float32).tobytes()])
+        return batch(schema, [whole], [float((weight * weight).sum())], [ends.astype(np.int32).tobytes()], [at.astype(np.int32).tobytes()], [weight.astype(np.float32).tobytes()])
 
     by_slot = np.zeros(int(slot.value.max()) + 1, np.float32)
     by_slot[slot.value[slot.value >= 0]] = idf.value[slot.value >= 0]
@@ -208,8 +208,10 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def decomposition(rows: DataFrame, size: int, rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors of the sparse matrix of PASSAGES rows: size x rank."""
+    """The leading right singular vectors of the sparse matrix of PASSAGES rows: size x rank. Items are scaled to SHARE."""
     width = rank + EXTRA
+    squares = {r["item"]: r["squares"] for r in rows.groupBy("item").agg(F.sum("squares").alias("squares")).collect()}
+    scale = np.float32(math.sqrt(SHARE * squares[False] / squares[True])) if squares.get(False) and squares.get(True) else np.float32(1)
     spark = rows.sparkSession
     basis = np.random.default_rng(11).standard_normal((size, width)).astype(np.float32)
 
@@ -217,8 +219,9 @@ def decomposition(rows: DataFrame, size: int, rank: int = RANK) -> np.ndarray:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((width if gram else size, width), np.float32)
             for b in batches:
-                for e, s, w in zip(*b.columns, strict=True):
+                for is_item, e, s, w in zip(b.column(0).to_pylist(), *b.columns[2:], strict=True):
                     ends, slots, weights = np.frombuffer(e.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32)
+                    weights = weights * scale if is_item else weights
                     starts, i = np.append(0, ends[:-1]), 0
                     while i < len(ends):  # some rows at a time
                         j = max(i + 1, int(np.searchsorted(ends, starts[i] + FEW)))
@@ -317,6 +320,35 @@ class Runs:
         return doc[at], self.item[each], at - self.offset[each]
 
 
+class Known:
+    """The words of items, to bound what an item can have in common with a stretch."""
+
+    def __init__(self, hashed: dict[int, np.ndarray]):
+        keys, counts = zip(*(np.unique(self._key(h, k), return_counts=True) for k, h in hashed.items()), strict=True)
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+
+    @staticmethod
+    def _key(hashed: np.ndarray, item) -> np.ndarray:
+        return mixed(hashed + (np.asarray(item).astype(np.uint64) + np.uint64(1)) * ODD)
+
+    def held(self, hashed: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """How many words of each item are among the words from first to last."""
+        out, a, ends = np.zeros(len(item), np.int64), 0, np.cumsum(last - first)
+        while a < len(item):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
+            size = (last - first)[a:b]
+            each = np.repeat(np.arange(a, b), size)
+            key = self._key(hashed[np.arange(len(each)) + np.repeat(first[a:b] - (np.cumsum(size) - size), size)], item[each])
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            pair = np.unique((each[hit] - a) * len(self.keys) + at[hit])
+            out[a:b] = np.bincount(pair // len(self.keys), self.counts[pair % len(self.keys)], b - a)
+            a = b
+        return out
+
+
 def subsequence(item: list[bytes], stretch: list[bytes]) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     masks: dict[str, int] = {}
@@ -411,7 +443,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
             continue
         sizes = sorted({min(RUN, len(c.words)) for c in chosen})
         runs = [Runs(n, {k: hashed[k] for k, c in enumerate(chosen) if min(RUN, len(c.words)) == n}) for n in sizes]
-        shared = spark.sparkContext.broadcast((chosen, _by_size(chosen), runs))
+        shared = spark.sparkContext.broadcast((chosen, _by_size(chosen), runs, Known(hashed)))
 
         def search(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
             ids = b.column(0).to_pylist()
@@ -424,7 +456,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
             begin = np.cumsum(counts) - counts
             weight = idf.value[bucket]
             seen = table.value[0][bucket]
-            chosen, by_size, runs = shared.value
+            chosen, by_size, runs, known = shared.value
+            long = np.array([len(c.words) for c in chosen])
             out = {}
 
             def settle(d: int, k: int, first: int, last: int, cos: float | None) -> None:
@@ -445,6 +478,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                         cos = float((table.value[1][seen[m]] * weight[m, None]).sum(0) @ it.vector) / whole if whole else 0.0
                     out[(ids[d], it.key)] = max(out.get((ids[d], it.key), (0, 0)), (common / len(it.words), float(cos)))
 
+            def settle_all(d: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray, cos: np.ndarray | None) -> None:
+                """Candidates that hold enough of the item's words."""
+                first, last = np.maximum(begin[d], first), np.minimum(begin[d] + counts[d], last)
+                likely = np.flatnonzero(known.held(terms.hashed, item, first, np.maximum(first, last)) >= weak * long[item])
+                for i in likely.tolist():
+                    settle(int(d[i]), int(item[i]), int(first[i]), int(last[i]), None if cos is None else cos[i])
+
             for x, y in _blocks(counts):
                 word = np.arange(begin[x], begin[y - 1] + counts[y - 1])
                 size = by_size[0].half
@@ -477,19 +517,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                         for b in range(0, len(near), 2000):
                             some = near[b : b + 2000]
                             cos = vectors[some] @ group.matrix / norms[part[some], None]
-                            for p, k in zip(*np.nonzero(cos >= group.least), strict=True):
-                                d = int(owner[part[some[p]]])
-                                start = begin[d] + int(part[some[p]] - first[d - x]) * size - size
-                                item = int(group.items[k])
-                                settle(d, item, start, start + 4 * size + len(chosen[item].words), cos[p, k])
-            long = np.array([len(c.words) for c in chosen])
+                            p, k = np.nonzero(cos >= group.least)
+                            d, item = owner[part[some[p]]], group.items[k]
+                            start = begin[d] + (part[some[p]] - first[d - x]) * size - size
+                            settle_all(d, item, start, start + 4 * size + long[item], cos[p, k])
             for r in runs:
                 d, k, start = r.places(terms.hashed, doc)
                 step = np.maximum(1, long[k] // 2)  # runs that begin their item within half its length share a check
                 cell = (start - begin[d] + long[k]) // step
                 _, one = np.unique(np.stack([d, k, cell]), axis=1, return_index=True)
-                for d, k, first, step in zip(d[one], k[one], (begin[d] - long[k] + cell * step)[one], step[one], strict=True):
-                    settle(int(d), int(k), first - step, first + 2 * step + 2 * long[k], None)
+                d, k, first, step = d[one], k[one], (begin[d] - long[k] + cell * step)[one], step[one]
+                settle_all(d, k, first - step, first + 2 * step + 2 * long[k], None)
             if not out:
                 return None
             return batch(schema, [k[0] for k in out], [k[1] for k in out], [v[1] for v in out.values()], [v[0] for v in out.values()])
