@@ -15,8 +15,9 @@ most central class, the hub. For a hub of n shingles and a class that lacks m of
 W = 100 m + percent x: the class is linked with the hub if W <= (100 - percent) n, and two classes are linked only if
 their differences have at least (W + W' - (100 - percent) n) / (100 + percent) elements in common. Unless both are linked
 with the hub, this is more than W' / (100 + percent) for one W'; so the two share one of the rarest differences of each
-(prefix), and copies with edits of their own meet no one. Those that meet go through the match threshold and full sets as
-well. No list is cut, and
+(prefix), and copies with edits of their own meet no one. Classes far from the hub (a distance over one half; as distances
+of linked classes from it differ by 1 - percent / 100 at most, those around one half are settled in both ways) meet by
+the rarest of their own shingles instead. Those that meet go through the match threshold and full sets as well. No list is cut, and
 every link between different texts that can change a component is confirmed on full sets. A pair at a similarity of 0.8
 has fewer than MATCH equal coordinates with a chance of 9e-8, fewer than SAME equal values with a chance of 2e-8.
 
@@ -155,39 +156,55 @@ def _meeting(spots: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     """Links (a, b) with hubs, and candidate pairs (a, b) of classes of different roots whose differences from one hub have
     enough in common. spots: (hub, class, root)."""
 
-    @F.arrow_udf("struct<lost: int, diff: array<bigint>>")
+    least, most = 0.5 - (100 - percent) / 200, 0.5 + (100 - percent) / 200
+
+    @F.arrow_udf("struct<lost: int, extra: int, near: array<bigint>, far: array<bigint>>")
     def differences(x: pa.Array, y: pa.Array) -> pa.Array:
-        lost, diff = [], [np.zeros(0, np.uint64)]
+        lost, extra, near, far, given = [], [], [], [], [[], []]
         for p, q in zip(x, y, strict=True):
             p, q = _unpack(p.as_buffer()), _unpack(q.as_buffer())
-            gone = np.setdiff1d(p, q, assume_unique=True)
+            gone, new = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
             lost.append(len(gone))
-            diff.append(np.concatenate([gone, np.setdiff1d(q, p, assume_unique=True) | np.uint64(1 << 48)]))
-        return pa.StructArray.from_arrays([pa.array(lost, pa.int32()), lists(np.concatenate(diff).view(np.int64), np.cumsum([len(d) for d in diff]))], ["lost", "diff"])
+            extra.append(len(new))
+            away = (len(gone) + len(new)) / (len(p) + len(new))
+            given[0].append(away <= most)
+            given[1].append(away >= least)
+            near.append(np.concatenate([gone, new | np.uint64(1 << 48)]) if away <= most else gone[:0])
+            far.append(q if away >= least else gone[:0])
+        told = []
+        for rows, there in zip((near, far), given, strict=True):
+            ends = np.concatenate([[0], np.cumsum([len(d) for d in rows])]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)
+            told.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(~np.array(there, bool))))
+        return pa.StructArray.from_arrays([pa.array(lost, pa.int32()), pa.array(extra, pa.int32()), *told], ["lost", "extra", "near", "far"])
 
     hub = sets.select(F.col("class").alias("hub"), F.col("n").alias("np"), F.col("members").alias("mp"))
-    told = spots.join(sets.select("class", "members"), "class").join(hub, "hub").select("hub", "class", "root", "np", differences("mp", "members").alias("d"))
-    weight = 100 * F.col("d.lost") + percent * (F.size("d.diff") - F.col("d.lost"))
+    told = spots.join(sets, "class").join(hub, "hub").select("hub", "class", "root", "n", "np", differences("mp", "members").alias("d"))
+    weight = 100 * F.col("d.lost") + percent * F.col("d.extra")
     spare = (100 - percent) * F.col("np")
-    told = told.select("hub", "class", "root", (weight > spare).alias("out"), F.size("d.diff").alias("size"), weight.alias("w"), spare.alias("spare"), "d.diff")
-    short = F.col("size") - F.floor(F.col("w") / (100 + percent))
-    long = F.when(F.col("out"), F.col("size") - F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("spare")) / (100 + percent))) + 1).otherwise(short)
-    told = written(told.select("hub", "class", "root", "out", "size", short.alias("short"), long.alias("long"), "diff"), "differences")
-    each = told.select("hub", "class", "root", "out", "size", "short", "long", F.explode("diff").alias("e"))
-    common = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).filter("c > 1")
-    mine = Window.partitionBy("hub", "class")
-    rare = each.join(common, ["hub", "e"]).withColumn("at", F.row_number().over(mine.orderBy("c", "e")) + F.col("size") - F.count(F.lit(1)).over(mine))
-    rare = written(rare.filter("at <= long and r < s").select("hub", "e", "class", "root", "out", (F.col("at") <= F.col("short")).alias("short")), "rare")
+    size = F.size("d.near")
+    short = size - F.floor(weight / (100 + percent))
+    long = F.when(weight > spare, size - F.greatest(F.lit(1), F.ceil((weight - spare) / (100 + percent))) + 1).otherwise(short)
+    whole = F.col("n") - F.ceil(percent * F.col("n") / 100 - F.lit(1e-9)) + 1
+    way = lambda far, out, size, short, long, e: F.struct(F.lit(far).alias("far"), out.alias("out"), size.alias("size"), short.cast("int").alias("short"), long.cast("int").alias("long"), e.alias("diff"))
+    ways = F.array(way(False, weight > spare, size, short, long, F.col("d.near")), way(True, F.lit(True), F.col("n"), whole, whole, F.col("d.far")))
+    told = told.select("hub", "class", "root", F.explode(ways).alias("w")).select("hub", "class", "root", "w.*").filter("diff is not null")
+    told = written(told, "differences")
+    each = told.select(F.xxhash64("hub", "far").alias("group"), "class", "root", "out", "size", "short", "long", F.explode("diff").alias("e"))
+    common = each.groupBy("group", "e").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).filter("c > 1")
+    mine = Window.partitionBy("group", "class")
+    rare = each.join(common, ["group", "e"]).withColumn("at", F.row_number().over(mine.orderBy("c", "e")) + F.col("size") - F.count(F.lit(1)).over(mine))
+    rare = written(rare.filter("at <= long and r < s").select("group", "e", "class", "root", "out", (F.col("at") <= F.col("short")).alias("short")), "rare")
     p, q = rare.alias("p"), rare.alias("q")
     meet = (
-        (F.col("p.hub") == F.col("q.hub"))
+        (F.col("p.group") == F.col("q.group"))
         & (F.col("p.e") == F.col("q.e"))
         & (F.col("p.root") != F.col("q.root"))
         & (F.col("p.class") < F.col("q.class"))
         & (F.col("p.out") | F.col("q.out"))
         & (F.col("p.short") & F.col("q.short") | F.col("p.short") & ~F.col("p.out") & F.col("q.out") | F.col("q.short") & ~F.col("q.out") & F.col("p.out"))
     )
-    sure = told.filter("not out and class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b"))
+    sure = told.filter("not far and not out and class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b"))
     return sure, p.join(q, meet).select(F.col("p.class").alias("a"), F.col("q.class").alias("b")).distinct()
 
 
