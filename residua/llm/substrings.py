@@ -5,12 +5,14 @@ minimizer (the least hash of MINI neighbouring words in the window) travel toget
 equal edges meet whatever document they come from, at a few bytes an edge; of edges that one slice of input repeats, only
 the first goes out. A bucket finds for every edge the place where it starts first. Edges whose first places advance in
 step form nonbranching paths; paths that end where another begins are compacted over Spark's shuffle by document and
-shift, and their coordinates, own and source, verify a span: all its edges must agree on one shift to the source, and an
-edge is told by 80 bits from two unlike hashes.
+shift, and their coordinates, own and source, verify a span: all its edges must agree on one shift to the source. Edges
+of one minimizer are told by their 64-bit hashes, so N windows that share a minimizer give N * N / 2 ** 65 false repeats;
+words are not compared again.
 
 Defined cases: null, empty and blank texts have no words; a text shorter than a window has no edges; equal windows in one
 document count as repeats of the earlier start, overlapping ones included; rows repeated under one id are one document at
-the same places, so none is a repeat of the other; a null id sorts before all others; other columns pass through.
+the same places, so none is a repeat of the other; a null id sorts before all others; other columns pass through, but a
+column named cut is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from residua.llm.common import arrow_schema, batch, hashes, mixed, run_hashes, sliced, steps, words
+from residua.llm.common import arrow_schema, batch, free, hashes, mixed, run_hashes, sliced, steps, words
 
 MINI = 4
 #: Bytes of text whose edges one bucket gets, about.
@@ -103,7 +105,7 @@ def _sent(ids: np.ndarray, texts: pa.Array, window: int, buckets: int):
     order = np.argsort(bucket, kind="stable")
     at, n, bucket, minis = at[order], n[order], bucket[order], mini[at[order]]
     total = np.cumsum(n)
-    edges = (edge[np.repeat(at - (total - n), n) + np.arange(total[-1])] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    edges = edge[np.repeat(at - (total - n), n) + np.arange(total[-1])]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     six = np.ascontiguousarray(minis.view(np.uint8).reshape(-1, 8)[:, :6])
     for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
@@ -124,14 +126,14 @@ def _met(bodies: list) -> np.ndarray:
         wide = np.zeros((k, 8), np.uint8)
         wide[:, :6] = np.frombuffer(body, np.uint8, 6 * k, at + 13 * k).reshape(k, 6)
         mini.append(wide.view(np.uint64).ravel())
-        edge.append(np.frombuffer(body, np.uint32, -1, at + 19 * k))
+        edge.append(np.frombuffer(body, np.uint64, -1, at + 19 * k))
     ids, place, n, mini, edge = (np.concatenate(x) for x in (ids, place, n, mini, edge))
     n = n.astype(np.int64)
     order = np.lexsort((place, ids))
     begins = np.cumsum(n) - n
     ids, place, n, mini, begins = ids[order], place[order], n[order], mini[order], begins[order]
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    key = mixed(np.repeat(mini, n) * np.uint64(0xD6E8FEB86659FD93) + edge[np.repeat(begins, n) + step].astype(np.uint64))
+    key = mixed(np.repeat(mini, n) * np.uint64(0xD6E8FEB86659FD93) + edge[np.repeat(begins, n) + step])
     sorted_at = np.argsort(key, kind="stable")
     ordered = key[sorted_at]
     lead = np.ones(len(ordered), bool)
@@ -194,7 +196,8 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """docs with a struct column `cut`: n_words, n_removed, the digest of the words that stay (joined by one blank) and,
     with_text, these words."""
     paths = repeated_paths(docs, key=key, text=text, window=window)
-    spans = paths.groupBy("doc").agg(F.collect_list("start").alias("_starts"), F.collect_list("n").alias("_sizes"))
+    doc, begins, sizes = free(docs, "doc", "begins", "sizes")
+    spans = paths.groupBy(F.col("doc").alias(doc)).agg(F.collect_list("start").alias(begins), F.collect_list("n").alias(sizes))
 
     @F.arrow_udf(CUT)
     def cut(texts: pa.Array, starts: pa.Array, sizes: pa.Array) -> pa.Array:
@@ -222,5 +225,5 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             out[3].extend(joined.to_pylist() if with_text else [None] * (j - i))
         return pa.StructArray.from_arrays([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["n_words", "n_removed", "kept_sha256", "kept"])
 
-    joined = docs.withColumn("_doc", F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).join(spans, F.col("_doc") == F.col("doc"), "left").drop("doc", "_doc")
-    return joined.withColumn("cut", cut.asNondeterministic()(F.col(text), "_starts", "_sizes")).drop("_starts", "_sizes")
+    joined = docs.withColumn(doc, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).join(spans, doc, "left")
+    return joined.withColumn("cut", cut.asNondeterministic()(F.col(text), begins, sizes)).drop(doc, begins, sizes)
