@@ -9,12 +9,20 @@ Content-Length of each header and gives rows (record_id, chunk_no, chunk, bytes
 carried on from chunk to chunk and from a record to its continuations, and no record is ever held whole. The row marked
 last has the digest and length of the full payload.
 
-Payloads are equal if their SHA-1 digests are; of equal ones of at least `least` bytes the record with the largest id
-is the response and the others are revisits without payload.
+Payloads are equal if their SHA-1 digests and lengths are; of equal ones of at least `least` bytes the record with the
+largest id is the response and the others are revisits without payload.
 
 Defined cases: a null payload is the empty one; a null url is written as urn:record:ID; blanks and line ends in a url are
-percent-encoded; ids must be unique; columns other than id, url and payload are not archived; an empty table gives an
-empty archive.
+percent-encoded; each row is a record, rows of one id too (each by its own payload; those of the largest id of a payload
+are all responses); the name of a null id is urn:record:null, and it is the response only where no other id has its
+payload; columns other than id, url and payload are not archived; an empty table gives an empty archive.
+
+Archives of others are read as well: record names are strings as they stand there (without <>), `record_id` and
+`refers_to` are the numbers of our own names and null for others. A continuation whose origin isn't the record before it
+is a record of its own. Blocks of responses and revisits have a HTTP header of up to HEAD bytes, without which the whole
+block is payload; resource and conversion records are payload; other types are passed over. Spark reads a file by lines: a
+payload is held from one line feed to the next, so one without any (2 GB at most) is held as one row by the reader, though
+not in chunks, digests or anything after it.
 """
 
 from __future__ import annotations
@@ -29,7 +37,9 @@ from pyspark.sql import functions as F
 
 from residua.llm.common import arrow_schema
 
-CHUNKS = "record_id bigint, record_type string, refers_to bigint, chunk_no int, chunk binary, bytes_so_far bigint, sha1_so_far string, last boolean, declared_digest string, declared_bytes bigint"
+#: Most bytes of a HTTP header.
+HEAD = 64 << 10
+CHUNKS = "name string, record_type string, refers_to_name string, record_id bigint, refers_to bigint, chunk_no int, chunk binary, bytes_so_far bigint, sha1_so_far string, last boolean, declared_digest string, declared_bytes bigint"
 END = "\r\n\r\n"
 
 
@@ -41,12 +51,13 @@ def base32_sha1(data: Column) -> Column:
 
 
 def deduplicated(records: DataFrame, least: int = 0) -> DataFrame:
-    """records (id, url, payload binary) with size, digest, and refers_to: the response's id for a revisit, else null.
-    Only ids and digests go through the grouping; payloads move once, to meet them by id."""
-    keyed = records.select("id", base32_sha1(F.col("payload")).alias("digest"), F.length("payload").cast("long").alias("size"))
-    best = keyed.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("id").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    refers = keyed.join(best, ["digest", "size"]).filter("id <> best").select("id", F.col("best").alias("refers_to"))
-    return records.join(refers, "id", "left").withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.length("payload").cast("long"))
+    """records (id, url, payload binary) with name, size, digest, and refers_to: the response's id for a revisit, else null.
+    Only ids and digests go through the grouping; payloads move once, dealt by id and digest."""
+    rows = records.select("id", "url", "payload", F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("name"), base32_sha1(F.col("payload")).alias("digest"), F.length("payload").cast("long").alias("size"))
+    keyed = rows.select("id", "name", "digest", "size")
+    best = keyed.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("id").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1 and best is not null")
+    refers = keyed.join(best, ["digest", "size"]).filter("id is null or id <> best").select("name", "digest", "size", F.col("best").alias("refers_to")).distinct()
+    return rows.join(refers, ["name", "digest", "size"], "left")
 
 
 def write(records: DataFrame, path: str, *, least: int = 0, segment: int = 1 << 20) -> None:
@@ -59,15 +70,15 @@ def write(records: DataFrame, path: str, *, least: int = 0, segment: int = 1 <<
     part = F.when(F.col("sent") == 0, F.lit(b"")).otherwise(F.expr(f"substring(payload, (n - 1) * {segment} + 1, {segment})"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     block = F.when(F.col("n") == 1, F.concat(http, F.col("part").cast("string"))).otherwise(F.col("part").cast("string"))
-    url = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:record:"), F.col("id").cast("string"))), " ", "%20"), "\r", "%0D"), "\n", "%0A")
+    url = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:record:"), F.col("name"))), " ", "%20"), "\r", "%0D"), "\n", "%0A")
     kind = F.when(F.col("n") > 1, "continuation").when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    origin = F.concat(F.lit("<urn:record:"), F.col("id").cast("string"), F.lit(">"))
+    origin = F.concat(F.lit("<urn:record:"), F.col("name"), F.lit(">"))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
     many = F.col("segments") > 1
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         field("WARC-Type", kind),
-        field("WARC-Record-ID", F.when(F.col("n") == 1, origin).otherwise(F.concat(F.lit("<urn:record:"), F.col("id").cast("string"), F.lit(":"), F.col("n").cast("string"), F.lit(">")))),
+        field("WARC-Record-ID", F.when(F.col("n") == 1, origin).otherwise(F.concat(F.lit("<urn:record:"), F.col("name"), F.lit(":"), F.col("n").cast("string"), F.lit(">")))),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z\r\n"),
         field("WARC-Target-URI", url),
         F.when(F.col("n") == 1, F.concat(field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), field("X-Payload-Length", F.col("size")))).otherwise(F.lit("")),
@@ -83,6 +94,12 @@ def write(records: DataFrame, path: str, *, least: int = 0, segment: int = 1 <<
     rows.select(F.concat(header, F.col("block")).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
+def _number(name: str | None) -> int | None:
+    """The id of one of our own names."""
+    own = (name or "").removeprefix("urn:record:")
+    return int(own) if own != name and own.lstrip("-").isdecimal() else None
+
+
 class _Parser:
     """Follows the rows of archives; feed() gives chunk rows."""
 
@@ -114,15 +131,13 @@ class _Parser:
         field = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in self.head[1:])}
         self.need, kind = int(field.get("content-length", 0)), field.get("warc-type", "")
         self.state = "block" if self.need else "between"
-        origin = lambda k: int(field[k].strip("<>").split(":")[2])
-        if kind == "continuation":
-            if not self.record or self.record["id"] != origin("warc-segment-origin-id"):
-                raise ValueError("a continuation record must follow the record that it goes on with")
-        elif kind in ("response", "revisit"):
-            yield from self.close()
-            self.record = {"id": origin("warc-record-id"), "kind": kind, "refers": origin("warc-refers-to") if kind == "revisit" else None, "sha": hashlib.sha1(), "size": 0, "no": 0, "http": True, "held": bytearray(), "digest": field.get("warc-payload-digest", "").removeprefix("sha1:") or None, "declared": int(field.get("x-payload-length", -1))}
-        else:
-            yield from self.close()
+        named = lambda k: field.get(k, "").strip("<>") or None
+        if kind == "continuation" and self.record and self.record["name"] == named("warc-segment-origin-id"):
+            return  # it goes on with the record
+        yield from self.close()
+        if kind in ("response", "revisit", "resource", "conversion", "continuation"):
+            refers = named("warc-refers-to") if kind == "revisit" else named("warc-segment-origin-id")
+            self.record = {"name": named("warc-record-id"), "kind": kind, "refers": refers, "sha": hashlib.sha1(), "size": 0, "no": 0, "http": kind in ("response", "revisit"), "held": bytearray(), "digest": field.get("warc-payload-digest", "").removeprefix("sha1:") or None, "declared": int(field.get("x-payload-length", -1))}
 
     def _block(self, data: bytes) -> Iterator[tuple]:
         r = self.record
@@ -130,9 +145,10 @@ class _Parser:
             return
         if r["http"]:  # its header ends with an empty line
             r["held"] += data
-            if (at := r["held"].find(END.encode())) < 0:
+            at = r["held"].find(END.encode())
+            if at < 0 and len(r["held"]) < HEAD:
                 return
-            data, r["http"] = bytes(r["held"][at + 4 :]), False
+            data, r["http"] = bytes(r["held"][at + 4 if at >= 0 else 0 :]), False
             r["held"].clear()
         r["held"] += data
         while len(r["held"]) >= self.most:
@@ -145,7 +161,7 @@ class _Parser:
         r["sha"].update(chunk)
         r["size"] += len(chunk)
         r["no"] += 1
-        return r["id"], r["kind"], r["refers"], r["no"] - 1, chunk, r["size"], base64.b32encode(r["sha"].digest()).decode(), last, r["digest"], r["declared"] if r["declared"] >= 0 else r["size"]
+        return r["name"], r["kind"], r["refers"], _number(r["name"]), _number(r["refers"]), r["no"] - 1, chunk, r["size"], base64.b32encode(r["sha"].digest()).decode(), last, r["digest"], r["declared"] if r["declared"] >= 0 else r["size"]
 
     def close(self) -> Iterator[tuple]:
         if self.record is not None:
@@ -172,8 +188,8 @@ def read(spark: SparkSession, path: str, *, chunk_bytes: int = 64 << 10, with_ch
                     out += parser.close()
                     parser, at = _Parser(chunk_bytes), files[i]
                 for row in parser.feed(line.as_py() + b"\n"):
-                    size += len(row[4])
-                    out.append(row if with_chunks else (*row[:4], None, *row[5:]))
+                    size += len(row[6])
+                    out.append(row if with_chunks else (*row[:6], None, *row[7:]))
                     if size > 4 << 20 or len(out) >= 5000:
                         yield flush()
                         out, size = [], 0
@@ -187,10 +203,10 @@ def read(spark: SparkSession, path: str, *, chunk_bytes: int = 64 << 10, with_ch
 
 def records(chunks: DataFrame) -> DataFrame:
     """One row per record, from the chunk row that ends it. A revisit has the length and digest that its header names;
-    a response has those that its chunks added up to."""
-    whole = F.col("record_type") == "response"
+    others have those that their chunks added up to."""
+    whole = F.col("record_type") != "revisit"
     return chunks.filter("last").select(
-        "record_id", "record_type", "refers_to",
+        "name", "record_id", "record_type", "refers_to", "refers_to_name",
         F.when(whole, F.col("bytes_so_far")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
         F.when(whole, F.col("sha1_so_far")).otherwise(F.col("declared_digest")).alias("payload_digest"),
         (F.col("chunk_no") + 1).alias("n_chunks"),

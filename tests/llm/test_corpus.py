@@ -153,10 +153,28 @@ def test_archives_round_trip(spark, tmp_path):
             assert got[i].digest_ok
         whole = chunks.filter("record_id = 6").orderBy("chunk_no").collect()
         assert b"".join(r.chunk for r in whole) == rows[5][2] and max(len(r.chunk) for r in whole) <= 10_000
+    odd = spark.createDataFrame([(None, "u", b"same"), (7, "u", b"one"), (7, "u", b"two"), (9, "u", b"one"), (9, "u", b"one"), (None, None, b"alone")], "id bigint, url string, payload binary")
+    warc.write(odd, str(tmp_path / "odd"))
+    got = warc.records(warc.read(spark, str(tmp_path / "odd"))).select("record_id", "payload_bytes", "record_type", "refers_to").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, 4, "response", None), (7, 3, "revisit", 9), (7, 3, "response", None), (9, 3, "response", None), (9, 3, "response", None), (None, 5, "response", None)]))
     warc.write(df.limit(0), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_archives_of_others(spark, tmp_path):
+    def record(kind, name, block, more=""):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    long = bytes(65 + i % 26 for i in range(300_000))
+    data = record("warcinfo", "urn:uuid:1", b"software: x\r\n") + record("response", "urn:uuid:2", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + long)
+    data += record("resource", "urn:uuid:3", b"plain\r\n\r\nrest") + record("response", "urn:uuid:4", long) + record("continuation", "urn:uuid:5", b"tail", "WARC-Segment-Origin-ID: <urn:uuid:9>\r\n")
+    (tmp_path / "x.warc").write_bytes(data)
+    got = {r.name: r for r in warc.records(warc.read(spark, str(tmp_path / "x.warc"), chunk_bytes=10_000)).collect()}
+    sizes = {"urn:uuid:2": (long, "response"), "urn:uuid:3": (b"plain\r\n\r\nrest", "resource"), "urn:uuid:4": (long, "response"), "urn:uuid:5": (b"tail", "continuation")}
+    assert {k: (r.payload_bytes, r.payload_digest, r.record_type) for k, r in got.items()} == {k: (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), t) for k, (b, t) in sizes.items()}
+    assert got["urn:uuid:5"].refers_to_name == "urn:uuid:9" and got["urn:uuid:2"].record_id is None
+
+
 def jaccard_components(texts, width, percent):
     sets = []
     for t in texts:
