@@ -43,10 +43,12 @@ def test_sentence_pieces_equal_the_library(spark):
     for i, t in enumerate(TEXTS):
         ids = sp.encode(t or "")
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))
+        assert got[i].span_bytes == len((t or "").encode())
     spans = pieces.encode(frame(spark, TEXTS), path).select("doc_id", "text", "pieces").collect()
     for r in spans:
         data = (r.text or "").encode()
         assert [p.id for p in r.pieces] == sp.encode(r.text or "")
+        assert got[r.doc_id].widest_span == max((p.end - p.begin for p in r.pieces), default=0)
         assert "".join(data[p.begin : p.end].decode() for p in r.pieces) == (r.text or "")
     ids = spark.createDataFrame([([int(x) for x in sp.encode("go on")],), (None,)], "ids array<int>")
     assert [r.decoded for r in pieces.decode(ids, path).collect()] == ["go on", ""]
@@ -65,9 +67,38 @@ def test_character_map_takes_the_longest_prefix():
     units[b] = node(ord("b"), b ^ 500, 1)
     units[500] = 1 << 31 | 2
     table = pieces.CharMap(np.array([4 * len(units), *units], np.uint32).tobytes() + b"X\0Y\0")
+    size, value = table.longest_of(np.frombuffer(b"abcacaba", np.uint8), np.arange(8), np.full(8, 8))
+    assert size.tolist() == [2, 0, 0, 1, 0, 2, 0, 1] and [value[k] for k in (0, 3, 5, 7)] == [2, 0, 2, 0]
     assert table.longest(b"abc", 0) == (2, b"Y") and table.longest(b"ac", 0) == (1, b"X") and table.longest(b"ca", 0) is None
 
 
+def test_many_texts_are_normalised_as_one_by_one():
+    """With a map whose replacements have other lengths: a -> X, ab -> YY y."""
+    import pyarrow as pa
+
+    with open(tokenizer("piece_bpe_32k.model"), "rb") as f:
+        e = pieces.Encoder(f.read())
+    units = [0] * 1024
+    node = lambda label, offset, leaf: label | leaf << 8 | offset << 10
+    units[0] = 1 << 10
+    at = 1 ^ ord("a")
+    b = 300 ^ ord("b")
+    units[at], units[300], units[b], units[500] = node(ord("a"), at ^ 300, 1), 1 << 31, node(ord("b"), b ^ 500, 1), 1 << 31 | 2
+    e.map = pieces.CharMap(np.array([4 * len(units), *units], np.uint32).tobytes() + b"X\0YY y\0")
+    texts = ["ab a", "", "b", "a", "cabaé ab", "日a", "", "x  ab"]
+    got, origin = e.normalised(pa.array(texts))
+    want, base, aligned = [], 0, []
+    for t in texts:
+        normal, places = e.normalise(t)
+        k = 0
+        for c in normal.decode():
+            aligned += [base + places[k]] if c == "▁" else [base + x for x in places[k : k + len(c.encode())]]
+            k += len(c.encode())
+        want.append(normal.decode()[1:].replace("▁", " "))
+        base += len(t.encode())
+    assert got.to_pylist() == want and origin.tolist() == [*aligned, base]
+
+
 def test_token_counts_equal_greedy_longest_match(spark, tmp_path):
     vocab = [b" a", b" ab", b" abcd", b"b", b"c", b"cd", b"cde", b"d", b"e", b" "]
     path = tmp_path / "v"
