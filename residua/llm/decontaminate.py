@@ -51,8 +51,8 @@ _CHUNK = 4096
 STEP = 3 << 20
 #: Words whose passages are projected at once; a longer document stands alone.
 BLOCK = 200_000
-#: Values that are multiplied at once.
-FEW = 20_000
+#: Values that are multiplied at once: they stay in a core's cache.
+FEW = 1000
 _PART = pa.schema([("chunk", pa.int32()), ("body", pa.binary())])
 #: Bytes of lower-cased text: 1 parts words, 2 belongs to them, 0 is left out.
 _KIND = np.full(256, 2, np.uint8)
@@ -203,10 +203,6 @@ def _passages(texts: DataFrame, idf, slot, whole: bool) -> DataFrame:
     return texts.select("text").mapInArrow(sliced(rows, "text", STEP), PASSAGES)
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, starts, axis=0)
-
-
 def decomposition(rows: DataFrame, size: int, rank: int = RANK) -> np.ndarray:
     """The leading right singular vectors of the sparse matrix of PASSAGES rows: size x rank. Items are scaled to SHARE."""
     width = rank + EXTRA
@@ -225,16 +221,14 @@ def decomposition(rows: DataFrame, size: int, rank: int = RANK) -> np.ndarray:
                     starts, i = np.append(0, ends[:-1]), 0
                     while i < len(ends):  # some rows at a time
                         j = max(i + 1, int(np.searchsorted(ends, starts[i] + FEW)))
-                        at, x = slots[starts[i] : ends[j - 1]], weights[starts[i] : ends[j - 1], None]
-                        y = _sums(v.value[at] * x, starts[i:j] - starts[i])
+                        at, back = np.unique(slots[starts[i] : ends[j - 1]], return_inverse=True)
+                        dense = np.zeros((j - i, len(at)), np.float32)
+                        dense[np.repeat(np.arange(j - i), ends[i:j] - starts[i:j]), back] = weights[starts[i] : ends[j - 1]]
+                        y = dense @ v.value[at]
                         if gram:
                             total += y.T @ y
                         else:
-                            order = np.argsort(at, kind="stable")
-                            back = np.repeat(np.arange(j - i), ends[i:j] - starts[i:j])[order]
-                            at = at[order]
-                            cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                            total[at[cut]] += _sums(y[back] * x[order], cut)
+                            total[at] += dense.T @ y
                         i = j
             yield _chunks(total)
 
@@ -498,7 +492,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                     m = mine[a : a + FEW]
                     at = row[m - begin[x]]
                     cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                    sums[at[cut]] += _sums(table.value[1][seen[m]] * weight[m, None], cut)
+                    rows = table.value[1].take(seen[m], 0)
+                    rows *= weight[m, None]
+                    sums[at[cut]] += np.add.reduceat(rows, cut)
                 for group in by_size:
                     while size < group.half:
                         fewer = -(-cells // 2)
@@ -509,14 +505,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                     owner, first = np.repeat(np.arange(x, y), cells), np.cumsum(cells) - cells
                     goes_on = np.append(owner[1:] == owner[:-1], False)  # a passage is a half and the next one of the same document
                     norms = np.sqrt(norm + np.where(goes_on, np.append(norm[1:], 0), 0))
-                    for a in range(0, len(owner), 20_000):
-                        part = np.arange(a, min(a + 20_000, len(owner)))
-                        part = part[norms[part] > 0]
-                        vectors = sums[part] + np.where(goes_on[part, None], sums[np.minimum(part + 1, len(owner) - 1)], 0)
-                        near = np.flatnonzero(np.sqrt((vectors * vectors).sum(1)) >= group.least.min() * norms[part])
-                        for b in range(0, len(near), 2000):
-                            some = near[b : b + 2000]
-                            cos = vectors[some] @ group.matrix / norms[part[some], None]
+                    for a in range(0, len(owner), 2000):
+                        part = np.arange(a, min(a + 2000, len(owner)))
+                        vectors = sums[a : a + 2000].copy()
+                        vectors[goes_on[part]] += sums[part[goes_on[part]] + 1]
+                        near = np.flatnonzero((np.einsum("ij,ij->i", vectors, vectors) >= (group.least.min() * norms[part]) ** 2) & (norms[part] > 0))
+                        if len(near):
+                            some = near
+                            cos = vectors[some] @ group.matrix
+                            cos /= norms[part[some], None].astype(np.float32)
                             p, k = np.nonzero(cos >= group.least)
                             d, item = owner[part[some[p]]], group.items[k]
                             start = begin[d] + (part[some[p]] - first[d - x]) * size - size
