@@ -15,7 +15,7 @@ most central class, the hub. For a hub of n shingles and a class that lacks m of
 W = 100 m + percent x: the class is linked with the hub if W <= (100 - percent) n, and two classes are linked only if
 their differences have at least (W + W' - (100 - percent) n) / (100 + percent) elements in common. Unless both are linked
 with the hub, this is more than W' / (100 + percent) for one W'; so the two share one of the rarest differences of each
-(prefix), and copies with edits of their own meet no one. Classes far from the hub (a distance over one half; as distances
+(prefix), of which so many must be left that they can have enough in common; copies with edits of their own meet no one. Classes far from the hub (a distance over one half; as distances
 of linked classes from it differ by 1 - percent / 100 at most, those around one half are settled in both ways) meet by
 the rarest of their own shingles instead. Those that meet go through the match threshold and full sets as well. No list is cut, and
 every link between different texts that can change a component is confirmed on full sets. A pair at a similarity of 0.8
@@ -186,21 +186,22 @@ def _meeting(spots: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     short = size - F.floor(weight / (100 + percent))
     long = F.when(weight > spare, size - F.greatest(F.lit(1), F.ceil((weight - spare) / (100 + percent))) + 1).otherwise(short)
     whole = F.col("n") - F.ceil(percent * F.col("n") / 100 - F.lit(1e-9)) + 1
-    way = lambda far, out, size, short, long, e: F.struct(F.lit(far).alias("far"), out.alias("out"), size.alias("size"), short.cast("int").alias("short"), long.cast("int").alias("long"), e.alias("diff"))
-    ways = F.array(way(False, weight > spare, size, short, long, F.col("d.near")), way(True, F.lit(True), F.col("n"), whole, whole, F.col("d.far")))
+    way = lambda far, out, w, spare, size, short, long, e: F.struct(F.lit(far).alias("far"), out.alias("out"), w.cast("long").alias("w"), spare.cast("long").alias("spare"), size.alias("size"), short.cast("int").alias("short"), long.cast("int").alias("long"), e.alias("diff"))
+    ways = F.array(way(False, weight > spare, weight, spare, size, short, long, F.col("d.near")), way(True, F.lit(True), percent * F.col("n"), F.lit(0), F.col("n"), whole, whole, F.col("d.far")))
     told = told.select("hub", "class", "root", F.explode(ways).alias("w")).select("hub", "class", "root", "w.*").filter("diff is not null")
     told = written(told, "differences")
-    each = told.select(F.xxhash64("hub", "far").alias("group"), "class", "root", "out", "size", "short", "long", F.explode("diff").alias("e"))
+    each = told.select(F.xxhash64("hub", "far").alias("group"), "class", "root", "out", "w", "spare", "size", "short", "long", F.explode("diff").alias("e"))
     common = each.groupBy("group", "e").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r"), F.max("root").alias("s")).filter("c > 1")
     mine = Window.partitionBy("group", "class")
     rare = each.join(common, ["group", "e"]).withColumn("at", F.row_number().over(mine.orderBy("c", "e")) + F.col("size") - F.count(F.lit(1)).over(mine))
-    rare = written(rare.filter("at <= long and r < s").select("group", "e", "class", "root", "out", (F.col("at") <= F.col("short")).alias("short")), "rare")
+    rare = written(rare.filter("at <= long and r < s").select("group", "e", "class", "root", "out", "w", "spare", (F.col("size") - F.col("at")).alias("rest"), (F.col("at") <= F.col("short")).alias("short")), "rare")
     p, q = rare.alias("p"), rare.alias("q")
     meet = (
         (F.col("p.group") == F.col("q.group"))
         & (F.col("p.e") == F.col("q.e"))
         & (F.col("p.root") != F.col("q.root"))
         & (F.col("p.class") < F.col("q.class"))
+        & (F.col("p.w") + F.col("q.w") - F.col("p.spare") <= (100 + percent) * (1 + F.least("p.rest", "q.rest")))
         & (F.col("p.out") | F.col("q.out"))
         & (F.col("p.short") & F.col("q.short") | F.col("p.short") & ~F.col("p.out") & F.col("q.out") | F.col("q.short") & ~F.col("q.out") & F.col("p.out"))
     )
