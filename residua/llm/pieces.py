@@ -67,7 +67,7 @@ class CharMap:
     def longest_of(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """longest() at many starts together, each up to its stop: lengths (0: none), and where the replacements begin in
         texts."""
-        size, value = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        size, value = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
         if not self.units or not len(starts):
             return size, value
         units = np.array(self.units, np.int64)
@@ -178,11 +178,14 @@ class Encoder:
         leading blank and the text, of one text after the other, the place in all original bytes; the end comes last."""
         ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))])
         data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "")[0].as_buffer(), np.uint8)
-        starts = np.flatnonzero(data & 0xC0 != 0x80)  # characters
-        width = np.diff(np.append(starts, len(data)))
+        starts = np.flatnonzero(data & 0xC0 != 0x80).astype(np.int32)  # characters
+        width = np.diff(np.append(starts, np.int32(len(data))))
         size, value = self.map.longest_of(data, starts, ends[np.searchsorted(ends, starts, "right")])
         marks = (width == 3) & (data[starts] == 0xE2)
         marks[marks] = (data[starts[marks] + 1] == 0x96) & (data[starts[marks] + 2] == 0x81)
+        full = np.flatnonzero(np.diff(ends))  # the others get no leading blank
+        if not size.any() and not marks.any():  # every character stands for itself
+            return texts, np.append(np.insert(np.repeat(starts, width), ends[full], ends[full]), np.int32(len(data)))
         stays, until = np.ones(len(starts), bool), 0
         for k in np.flatnonzero(size > width):  # a match of several characters covers those after its first
             if starts[k] >= until:
@@ -199,7 +202,6 @@ class Encoder:
         out = every[np.repeat(origin_of - (total - long), long) + np.arange(total[-1] if len(total) else 0)]
         origin = np.repeat(starts, long)
         cut = np.concatenate([[0], total])[np.searchsorted(starts, ends)]  # normalised bytes before each text
-        full = np.flatnonzero(np.diff(ends))  # the others get no leading blank
         origin = np.append(np.insert(origin, cut[full], ends[full]), len(data))
         texts = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(out)])
         return texts, origin
@@ -248,7 +250,7 @@ class Encoder:
         coded = self._ids(segments)
         n = np.array([len(x) for x in coded], np.int64)
         flat = list(chain.from_iterable(coded))
-        ids = np.array(flat, np.int64)
+        ids = np.array(flat, np.int32)
         back = distinct
         if self.raw.decode(flat) != " ".join(segments):  # one call decodes them all
             back = pa.array([self.raw.decode(x) for x in coded], pa.string())
@@ -265,7 +267,7 @@ class Encoder:
         """Of each id: its decimal form, and the normalised bytes that it covers, a mark counted as one."""
         sp = self.library
         every = range(sp.get_piece_size())
-        return pa.array([str(i) for i in every]), np.array([1 if sp.is_byte(i) else len(sp.id_to_piece(i).replace(MARK, " ").encode()) for i in every], np.int64)
+        return pa.array([str(i) for i in every]), np.array([1 if sp.is_byte(i) else len(sp.id_to_piece(i).replace(MARK, " ").encode()) for i in every], np.int32)
 
     def _whole(self, texts: list[str]) -> pa.Array:
         found = [self.offsets(t) for t in texts]
@@ -301,7 +303,7 @@ def digest(df: DataFrame, model: str, *, text: str = "text", into: str = "encode
     @F.arrow_udf(DIGEST)
     def encoded(texts: pa.Array) -> pa.Array:
         e = _encoder(shared.value)
-        out = [e.digests(texts.slice(a, b - a)) for a, b in steps(texts, 6 << 20)]
+        out = [e.digests(texts.slice(a, b - a)) for a, b in steps(texts, 4 << 20)]
         return pa.concat_arrays(out) if out else _digest([], [], [], [], [])
 
     return df.withColumn(into, encoded.asNondeterministic()(F.col(text)))
