@@ -15,19 +15,19 @@ def scope(residues: DataFrame) -> DataFrame:
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
-    """(target, ap): rows of one score form one step of the curve."""
+    """(target, ap): rows of one score form one step of the curve; null without true rows."""
     steps = rows.groupBy("target", "score").agg(F.sum("truth").alias("tp"), F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy("target").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("target")
     steps = steps.select("target", "tp", F.sum("tp").over(down).alias("a"), F.sum("n").over(down).alias("b"), F.sum("tp").over(every).alias("p"))
-    return steps.groupBy("target").agg(F.sum(F.col("tp") / F.col("p") * F.col("a") / F.col("b")).alias("ap"))
+    return steps.groupBy("target").agg(F.sum(F.try_divide("tp", "p") * F.col("a") / F.col("b")).alias("ap"))
 
 
 def auroc(rows: DataFrame) -> DataFrame:
-    """(target, auroc) from average ranks."""
+    """(target, auroc) from average ranks; null where one class is absent."""
     ranked = rows.withColumn("r", average_rank("score", "target"))
     s = ranked.groupBy("target").agg(F.sum(F.when(F.col("truth") == 1, F.col("r"))).alias("r"), F.sum("truth").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    return s.select("target", ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auroc"))
+    return s.select("target", F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auroc"))
 
 
 def hits_at_k(rows: DataFrame, k: int = 5) -> DataFrame:

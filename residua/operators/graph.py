@@ -6,17 +6,22 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from residua.functions.ranks import percentile
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares: spark.checkpoint.dir, or the warehouse where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    return f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df written to the folder that the cluster shares, which cuts the lineage of a loop."""
-    base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/residua"
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -25,7 +30,7 @@ def hops(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """(target, src, i, hop): breadth-first distances from each source (target, i)."""
     front = sources.select("target", F.col("i").alias("src"), "i", F.lit(0).alias("hop"))
     seen = kept(front)
-    front, step = seen, edges.select("target", F.col("i"), F.col("j")).distinct()
+    front, step = seen, kept(edges.select("target", "i", "j").distinct())
     while front.limit(1).count():
         reached = front.join(step, ["target", "i"]).select("target", "src", F.col("j").alias("i"), (F.col("hop") + 1).alias("hop")).distinct()
         front = kept(reached.join(seen, ["target", "src", "i"], "left_anti"))

@@ -2,6 +2,8 @@
 
 import os
 
+import pandas as pd
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -16,7 +18,7 @@ def oracle(sql, sf_dir):
 
 def shown(frame):
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return round(float(v), 6) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") else v
 

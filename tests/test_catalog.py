@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from residua.plans import catalog, ensemble
+from residua.plans import catalog, ensemble, records
 from tests.compare import oracle, shown
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +17,8 @@ def test_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(ensemble.ORACLES))
 def test_ensemble_equals_sql(spark, name):
     assert shown(ensemble.QUERIES[name](spark, SF).toPandas()) == shown(oracle(ensemble.ORACLES[name], SF))
+
+
+@pytest.mark.parametrize("name", sorted(records.ORACLES))
+def test_records_equal_sql(spark, name):
+    assert shown(records.QUERIES[name](spark, SF).toPandas()) == shown(oracle(records.ORACLES[name], SF))
