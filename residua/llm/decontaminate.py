@@ -325,7 +325,7 @@ class Known:
 
     @staticmethod
     def _key(hashed: np.ndarray, item) -> np.ndarray:
-        return mixed(hashed + (np.asarray(item).astype(np.uint64) + np.uint64(1)) * ODD)
+        return mixed(hashed + (np.atleast_1d(item).astype(np.uint64) + np.uint64(1)) * ODD)
 
     def held(self, hashed: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """How many words of each item are among the words from first to last."""
