@@ -46,7 +46,7 @@ SHARE = 6.0
 ITEM_BYTES = 16 << 20
 #: Words in a row that make a place a candidate.
 RUN = 3
-_CHUNK = 4096
+_CHUNK = 256
 #: Bytes of text in one step.
 STEP = 3 << 20
 #: Words whose passages are projected at once; a longer document stands alone.
