@@ -121,6 +121,23 @@ def null_pvalue(regions: DataFrame, nulls: DataFrame) -> DataFrame:
     return per.agg(((1 + at_least) / (1 + F.count(F.lit(1)))).alias("p"))
 
 
+def combined(transport: DataFrame, seen_again: DataFrame, explained: DataFrame, least: float = 0.8) -> DataFrame:
+    """(target, pocket, combined_p, ranking_p): the product of both p-values as a p-value of its own; pockets rank by it
+    where hops explain at least this share of the variance, by the transport's p elsewhere. transport, seen_again:
+    (target, pocket, p), which is above 0; explained: (target, explained)."""
+    rows = transport.join(seen_again.withColumnRenamed("p", "r"), ["target", "pocket"]).join(explained, "target")
+    product = F.col("p") * F.col("r")
+    rows = rows.withColumn("combined_p", F.least(F.lit(1.0), product * (1 - F.log(product))))
+    return rows.select("target", "pocket", "combined_p", F.when(F.col("explained") >= least, F.col("combined_p")).otherwise(F.col("p")).alias("ranking_p"))
+
+
+def merged(observations: DataFrame, events: int) -> DataFrame:
+    """(target, pocket, observations, persistence, volume, x, y, z): one row a family: the share of the events that show
+    it, its largest volume and its mean centre. observations: (target, pocket, mode, sign, volume, x, y, z)."""
+    seen = F.count_distinct(F.struct("mode", "sign")) / events
+    return observations.groupBy("target", "pocket").agg(F.count(F.lit(1)).alias("observations"), seen.alias("persistence"), F.max("volume").alias("volume"), *[F.avg(c).alias(c) for c in "xyz"])
+
+
 def families(members: DataFrame, least: float = 0.5) -> DataFrame:
     """(target, item, leader): in order of rank, an item joins the first leader that it is alike to (Jaccard), or leads
     itself. members: (target, item, rank, i), rank unique in a target. Each round makes leaders of the open items that no

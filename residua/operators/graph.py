@@ -108,7 +108,8 @@ def quantum_walk(edges: DataFrame, times: list[float], decay: float | None = Non
         i, j = np.triu_indices(len(ids), 1)
         return pd.DataFrame({"target": pdf.target.iloc[0], "i": ids[i], "j": ids[j], "c": c[i, j]})
 
-    return edges.select("target", "i", "j").groupBy("target").applyInPandas(one, "target int, i int, j int, c double")
+    kind = edges.schema["target"].dataType.simpleString()
+    return edges.select("target", "i", "j").groupBy("target").applyInPandas(one, f"target {kind}, i int, j int, c double")
 
 
 def coined_walk(sources: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
@@ -142,20 +143,26 @@ def least_labels(residues: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def restart_matrix(edges: DataFrame, restart: float = 0.15) -> DataFrame:
-    """(target, i, j, p), i < j: the settled random walk with restart, made symmetric. A target is one molecule, so its
-    matrix fits a task."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, codes = np.unique(np.concatenate([pdf.i, pdf.j]), return_inverse=True)
-        a = np.zeros((len(ids), len(ids)))
-        a[codes[: len(pdf)], codes[len(pdf) :]] = 1
-        settled = restart * np.linalg.solve(np.eye(len(ids)) - (1 - restart) * a / a.sum(axis=0), np.eye(len(ids)))
-        both = np.maximum((settled + settled.T) / 2, 0)
-        i, j = np.triu_indices(len(ids), 1)
-        return pd.DataFrame({"target": pdf.target.iloc[0], "i": ids[i], "j": ids[j], "p": both[i, j]})
-
-    return edges.select("target", "i", "j").groupBy("target").applyInPandas(one, "target int, i int, j int, p double")
+def _product(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Of sparse matrices (target, i, j, v)."""
+    left = one.select("target", "i", F.col("j").alias("m"), F.col("v").alias("x"))
+    right = two.select("target", F.col("i").alias("m"), "j", F.col("v").alias("y"))
+    return left.join(right, ["target", "m"]).groupBy("target", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+
+def settled_walk(edges: DataFrame, restart: float = 0.15, doublings: int = 8) -> DataFrame:
+    """(target, i, j, p), i < j: the settled random walk with restart, made symmetric. The sum over all lengths of walk is
+    doubled each round, from the sums up to a length and the walks of just that length; what is left out after the last
+    is (1 - restart) ** (2 ** doublings), 1e-18 with these values."""
+    links = edges.select("target", "i", "j")
+    power = kept(links.withColumn("v", (1 - restart) / F.count(F.lit(1)).over(Window.partitionBy("target", "j"))))
+    total = kept(links.select("target", "i", F.col("i").alias("j"), F.lit(1.0).alias("v")).distinct())
+    for k in range(doublings):
+        total = kept(total.union(_product(power, total)).groupBy("target", "i", "j").agg(F.sum("v").alias("v")))
+        if k + 1 < doublings:
+            power = kept(_product(power, power))
+    both = total.filter("i <> j").groupBy("target", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    return both.agg((restart * F.sum("v") / 2).alias("p"))
 
 
 def low_modes(residues: DataFrame, blocks: DataFrame, count: int) -> DataFrame:

@@ -25,17 +25,19 @@ def objective(candidates: DataFrame, pairs: DataFrame, *, k: int = 5, weight: fl
 
 def subsets(q: DataFrame, k: int = 5) -> DataFrame:
     """(target, members, energy) of all k-subsets, grown by one larger member a time; each step adds the energies of the
-    new member with those before it. The number of subsets grows as m over k: meant for the tens of candidates of one
-    pocket, as in the objective's use."""
+    new member with those before it. A subset meets only the candidates after its last member, through the key (target,
+    last), so one target's subsets are spread over its candidates and no row is made to be dropped. q holds all pairs.
+    The number of subsets grows as m over k: meant for the lining of one pocket, of some tens of residues."""
     single = q.filter("a = b").select("target", "a", "q")
-    pairs = q.filter("a < b").select("target", F.col("a").alias("i"), F.col("b").alias("j"), "q")
+    pairs = q.filter("a < b").select("target", F.col("a").alias("last"), F.col("b").alias("j"), "q")
+    table = pairs.groupBy("target", "j").agg(F.map_from_entries(F.collect_list(F.struct("last", "q"))).alias("with"))
+    own = single.select("target", F.col("a").alias("j"), F.col("q").alias("own")).join(table, ["target", "j"])
+    after = pairs.select("target", "last", "j").join(own, ["target", "j"])
     rows = single.select("target", F.array("a").alias("members"), F.col("q").alias("energy"))
-    table = pairs.groupBy("target", "j").agg(F.map_from_entries(F.collect_list(F.struct("i", "q"))).alias("with"))
-    grown = single.select("target", F.col("a").alias("j"), F.col("q").alias("own")).join(table, ["target", "j"], "left")
     for _ in range(k - 1):
-        rows = rows.join(grown, "target").filter(F.col("j") > F.element_at("members", -1))
-        more = F.aggregate("members", F.lit(0.0), lambda s, m: s + F.coalesce(F.col("with")[m], F.lit(0.0)))
-        rows = rows.select("target", F.concat("members", F.array("j")).alias("members"), (F.col("energy") + F.col("own") + more).alias("energy"))
+        grown = rows.withColumn("last", F.element_at("members", -1)).join(after, ["target", "last"])
+        more = F.aggregate("members", F.lit(0.0), lambda s, m: s + F.col("with")[m])
+        rows = grown.select("target", F.concat("members", F.array("j")).alias("members"), (F.col("energy") + F.col("own") + more).alias("energy"))
     return rows.withColumn("energy", F.round("energy", 12))
 
 

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from residua.functions.ranks import percentile
-from residua.operators import evaluate, geometry, graph, subset
+from residua.operators import cavity, evaluate, geometry, graph, subset
 from residua.sources.chains import chain
 
-#: Candidates of the subset queries: the residues of a target with the largest scores.
-CANDIDATES = 12
-
 _CHAIN = """
 r0 AS (SELECT label AS target, vec_id, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1, embedding[3]::DOUBLE AS e2, embedding[7]::DOUBLE AS e6, embedding[8]::DOUBLE AS e7 FROM embeddings),
 r1 AS (SELECT *, sqrt(e0*e0 + e1*e1 + e2*e2) AS r FROM r0),
@@ -154,12 +151,15 @@ def rwr_power_k(spark, sf_dir):
     return graph.restart_walk(rows.filter("source"), edges, 3).select("target", "src", "i", F.round("p", 6).alias("p"))
 
 
+def _cliques(spark, sf_dir):
+    """The lines of an order, each linked with all others of it."""
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("target"), F.col("l_linenumber").cast("int").alias("i")).distinct()
+    return n.join(n.withColumnRenamed("i", "j"), "target").filter("i <> j")
+
+
 def ctqw_complete(spark, sf_dir):
-    """Nations of a region, each linked with all others of it."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    n = n.select(F.col("n_regionkey").cast("int").alias("target"), F.col("n_nationkey").cast("int").alias("i"))
-    edges = n.join(n.withColumnRenamed("i", "j"), "target").filter("i <> j")
-    return graph.quantum_walk(edges, [0.5, 1.0, 2.0, 4.0]).select("target", "i", "j", F.round("c", 9).alias("c"))
+    """On complete graphs."""
+    return graph.quantum_walk(_cliques(spark, sf_dir), [0.5, 1.0, 2.0, 4.0]).select("target", "i", "j", F.round("c", 9).alias("c"))
 
 
 def ctqw_chain(spark, sf_dir):
@@ -188,14 +188,21 @@ def jaccard_pairs(spark, sf_dir):
     return both.select("target", "i", "j", F.round(jac, 9).alias("jaccard")).filter("jaccard >= 0.5")
 
 
+def _lining(rows):
+    """(target, i): the residues of each target's plausible pocket of the largest region score, the first on ties."""
+    members = cavity.detect(rows.withColumn("snapshot", F.lit(0)))
+    fit = members.join(cavity.plausible(members), cavity.POCKET, "left_semi").select("target", "pocket", "i")
+    best = cavity.region_scores(_values(rows), fit).groupBy("target").agg(F.min(F.struct((-F.round("region", 12)).alias("minus"), "pocket"))["pocket"].alias("pocket"))
+    return fit.join(best, ["target", "pocket"]).select("target", "i")
+
+
 def _candidates(spark, sf_dir):
     rows = chain(spark, sf_dir)
-    best = Window.partitionBy("target").orderBy(F.desc("score"), "i")
-    picked = rows.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= CANDIDATES)
+    picked = rows.join(_lining(rows), ["target", "i"])
     other = picked.select("target", F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
     d = F.sqrt(sum((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"))
     pairs = picked.join(other, "target").filter("i < j").withColumn("d", d).select("target", "i", "j", F.round(1 / (1 + F.col("d") * F.col("d")), 9).alias("c"), "d")
-    return rows, subset.objective(picked.select("target", "i", F.col("score").alias("support")), pairs)
+    return rows, graph.kept(subset.objective(picked.select("target", "i", F.col("score").alias("support")), pairs))
 
 
 def qubo_terms(spark, sf_dir):
@@ -217,8 +224,15 @@ def hit_list(spark, sf_dir):
     return subset.hit_list(subset.scores(rows, subset.subsets(q))).withColumn("score", F.round("score", 6))
 
 
-_QUBO = f""",
-picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, i) AS k FROM chain) WHERE k <= {CANDIDATES}),
+#: The lining of the best plausible pocket, and the objective on it.
+_QUBO = f"""{_VALUES},
+nm AS (SELECT target, i AS pocket, j AS i, d FROM dist WHERE i % 5 = 0 AND d > 0 AND d <= 8 UNION ALL SELECT target, i, i, 0 FROM chain WHERE i % 5 = 0),
+nl AS (SELECT target, pocket FROM nm GROUP BY ALL HAVING count(*) BETWEEN 4 AND 60 AND round(4 / 3::DOUBLE * 3.141592653589793::DOUBLE * pow(avg(d), 3), 6) BETWEEN 30 AND 2500),
+nr AS (SELECT target, pocket, avg(m) AS region FROM (SELECT target, src, pocket, avg(c) AS m FROM (
+  SELECT v.target, v.src, n.pocket, v.c, row_number() OVER (PARTITION BY v.target, v.src, n.pocket ORDER BY v.c DESC, v.i) AS k FROM vals v JOIN nm n ON n.target = v.target AND n.i = v.i JOIN nl ON nl.target = n.target AND nl.pocket = n.pocket)
+  WHERE k <= 5 GROUP BY ALL) GROUP BY ALL),
+nb AS (SELECT target, pocket FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(region, 12) DESC, pocket) AS k FROM nr) WHERE k = 1),
+picked AS (SELECT c.* FROM chain c JOIN nm ON nm.target = c.target AND nm.i = c.i JOIN nb ON nb.target = nm.target AND nb.pocket = nm.pocket),
 g AS (SELECT target, i, x, y, z, {_rank("score", "target")} / count(*) OVER (PARTITION BY target) AS g FROM picked),
 pd AS (SELECT a.target, a.i, b.i AS j, least(a.g, b.g) AS g, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d FROM g a JOIN g b ON a.target = b.target AND a.i < b.i),
 pc AS (SELECT *, round(1 / (1 + d * d), 9) AS c FROM pd),
@@ -249,6 +263,8 @@ rk AS (SELECT target, truth, {_rank("score", "target")} AS r FROM chain),
 au AS (SELECT rk.target, (sum(r) FILTER (truth = 1) - max(p) * (max(p) + 1) / 2::DOUBLE) / (max(p) * (max(n) - max(p)))::DOUBLE AS auroc FROM rk JOIN pos ON rk.target = pos.target GROUP BY rk.target),
 ht AS (SELECT target, sum(truth)::BIGINT AS hits FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, i) AS k FROM chain) WHERE k <= 5 GROUP BY target)"""
 
+_CLIQUES = "WITH n AS (SELECT target, i, (count(*) OVER (PARTITION BY target))::DOUBLE AS n FROM (SELECT DISTINCT l_orderkey AS target, l_linenumber AS i FROM lineitem))"
+
 ORACLES = {
     "residue_id": f"{_WITH} SELECT target, i, residue_id, x, y, z FROM chain",
     "contact_edges": f"{_WITH} SELECT target, i, j, round(d, 6) AS d FROM edges",
@@ -277,7 +293,7 @@ SELECT target, i, i AS j, k, l, round(sum(h), 6) + 0.0 AS h FROM h GROUP BY ALL
     "rwr_power_k": f"{_WITH}, o AS (SELECT target, i, j, 1 / (count(*) OVER (PARTITION BY target, i))::DOUBLE AS w FROM edges), p0 AS (SELECT target, i AS src, i, 1.0::DOUBLE AS p FROM chain WHERE source)"
     + "".join(f", p{k + 1} AS (SELECT target, src, i, sum(p) AS p FROM (SELECT p.target, p.src, o.j AS i, p.p * o.w * 0.85::DOUBLE AS p FROM p{k} p JOIN o ON o.target = p.target AND o.i = p.i UNION ALL SELECT target, src, i, 0.15::DOUBLE FROM p0) GROUP BY ALL)" for k in range(3))
     + " SELECT target, src, i, round(p, 6) AS p FROM p3",
-    "ctqw_complete": "WITH n AS (SELECT n_regionkey AS target, n_nationkey AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation), t AS (SELECT unnest([0.5, 1, 2, 4]::DOUBLE[]) AS t) SELECT a.target, a.i, b.i AS j, round(avg((2 - 2 * cos(t)) / (a.n * a.n)), 9) AS c FROM n a JOIN n b ON a.target = b.target AND a.i < b.i, t GROUP BY ALL",
+    "ctqw_complete": f"{_CLIQUES}, t AS (SELECT unnest([0.5, 1, 2, 4]::DOUBLE[]) AS t) SELECT a.target, a.i, b.i AS j, round(avg((2 - 2 * cos(t)) / (a.n * a.n)), 9) AS c FROM n a JOIN n b ON a.target = b.target AND a.i < b.i, t GROUP BY ALL",
     "cutoff_sweep": f"{_WITH} SELECT target, cutoff, count(*) AS edges FROM dist, (SELECT unnest([4.5, 6.5, 7.8, 8.5]::DOUBLE[]) AS cutoff) WHERE i < j AND d > 0 AND d <= cutoff GROUP BY ALL",
     "jaccard_pairs": f"{_WITH}, n AS (SELECT target, i, count(*) AS n FROM edges GROUP BY ALL), b AS (SELECT a.target, a.i, b.i AS j, count(*) AS k FROM edges a JOIN edges b ON a.target = b.target AND a.j = b.j AND a.i < b.i GROUP BY ALL), q AS (SELECT b.target, b.i, b.j, round(k / (n1.n + n2.n - k)::DOUBLE, 9) AS jaccard FROM b JOIN n n1 ON n1.target = b.target AND n1.i = b.i JOIN n n2 ON n2.target = b.target AND n2.i = b.j) SELECT * FROM q WHERE jaccard >= 0.5",
     "qubo_terms": f"{_WITH}{_QUBO} SELECT target, a, b, round(q, 9) AS q FROM q",

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from residua.operators import cavity, evaluate, geometry, graph, subset
-from residua.plans.catalog import _EVAL, _HOPS, _SUBSETS, _VALUES, _WITH, _candidates, _edges, _values
+from residua.plans.catalog import ORACLES as _PLAIN
+from residua.plans.catalog import _CLIQUES, _EVAL, _HOPS, _SUBSETS, _VALUES, _WITH, _candidates, _cliques, _edges, _values, hop_explained_variance
 from residua.sources.chains import STEP, chain
 
 WEIGHTS = (0.0, 0.05, 0.1, 0.2, 0.5)
@@ -161,9 +162,25 @@ def leader_families(spark, sf_dir):
 
 
 def rwr_exact(spark, sf_dir):
-    """Nations of a region, each linked with all others of it."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").cast("int").alias("target"), F.col("n_nationkey").cast("int").alias("i"))
-    return graph.restart_matrix(n.join(n.withColumnRenamed("i", "j"), "target").filter("i <> j")).select("target", "i", "j", F.round("p", 9).alias("p"))
+    return graph.settled_walk(_cliques(spark, sf_dir)).select("target", "i", "j", F.round("p", 9).alias("p"))
+
+
+def combined_p(spark, sf_dir):
+    """Null p-value and recurrence of the native pockets that are seen again."""
+    seen = recurrence_p(spark, sf_dir).withColumnRenamed("scout", "pocket")
+    found = cavity.combined(null_pvalue(spark, sf_dir), seen, hop_explained_variance(spark, sf_dir))
+    return found.select("target", "pocket", *[F.round(c, 9).alias(c) for c in ("combined_p", "ranking_p")])
+
+
+def merged_families(spark, sf_dir):
+    """A family is what one residue's pocket becomes in the events that show it again."""
+    moved, at = _snapshots(spark, sf_dir)
+    members = cavity.detect(at)
+    centres = members.select(*cavity.POCKET, "i").join(at, ["target", "snapshot", "i"]).groupBy(*cavity.POCKET).agg(*[F.avg(c).alias(c) for c in "xyz"])
+    events = moved.filter("amplitude = 2.0").select("target", "snapshot", "mode", "sign").distinct()
+    rows = _observed(spark, sf_dir).select("target", "mode", "sign", F.col("scout").alias("pocket")).join(events, ["target", "mode", "sign"])
+    rows = rows.join(cavity.plausible(members), cavity.POCKET).join(centres, cavity.POCKET)
+    return cavity.merged(rows, 4).select("target", "pocket", "observations", "persistence", "volume", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
 def anm_modes(spark, sf_dir):
@@ -224,7 +241,8 @@ ORACLES = {
     "null_pvalue": f"{_WITH}{_VALUES}{_FIELDS}{_REGIONS}{_NEAREST}{_PATCHES}, ni AS (SELECT target, m, unnest(m) AS i FROM np), nk AS (SELECT v.target, v.src, ni.m, v.c, row_number() OVER (PARTITION BY v.target, v.src, ni.m ORDER BY v.c DESC, v.i) AS k FROM vals v JOIN ni ON ni.target = v.target AND ni.i = v.i), nr AS (SELECT target, m, avg(a) AS region FROM (SELECT target, src, m, avg(c) AS a FROM nk WHERE k <= 5 GROUP BY ALL) GROUP BY ALL) SELECT rg.target, rg.pocket, round((1 + count(*) FILTER (round(nr.region, 12) >= round(rg.region, 12))) / (1 + count(*))::DOUBLE, 9) AS p FROM rg JOIN nr ON nr.target = rg.target GROUP BY ALL",
     "region_scores": f"{_WITH}{_VALUES}{_FIELDS}{_REGIONS} SELECT target, pocket, round(region, 9) AS region FROM rg",
     "rank_cavities": f"{_WITH}{_VALUES}{_FIELDS}{_REGIONS}, se AS (SELECT rg.target, pocket, round(region + persistence / (1 + count(*) OVER (PARTITION BY rg.target)), 12) AS selection, persistence FROM rg JOIN fm ON fm.target = rg.target AND fm.scout = rg.pocket) SELECT target, (row_number() OVER (PARTITION BY target ORDER BY selection DESC, persistence DESC, pocket))::INT AS rank, pocket, round(selection, 9) AS selection, persistence FROM se",
-    "rwr_exact": "WITH n AS (SELECT n_regionkey AS target, n_nationkey AS i, (count(*) OVER (PARTITION BY n_regionkey))::DOUBLE AS n FROM nation) SELECT a.target, a.i, b.i AS j, round((1 - 0.15::DOUBLE / (1 + 0.85::DOUBLE / (a.n - 1))) / a.n, 9) AS p FROM n a JOIN n b ON a.target = b.target AND a.i < b.i",
+    "rwr_exact": f"{_CLIQUES} SELECT a.target, a.i, b.i AS j, round((1 - 0.15::DOUBLE / (1 + 0.85::DOUBLE / (a.n - 1))) / a.n, 9) AS p FROM n a JOIN n b ON a.target = b.target AND a.i < b.i",
+    "merged_families": f"{_WITH}{_FIELDS}, ct AS (SELECT pt.target, pt.snapshot, pt.pocket, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pt JOIN sn ON sn.target = pt.target AND sn.snapshot = pt.snapshot AND sn.i = pt.i GROUP BY ALL) SELECT st.target, st.scout AS pocket, count(*) AS observations, count(*) / 4::DOUBLE AS persistence, max(volume) AS volume, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM st JOIN ev ON ev.target = st.target AND ev.mode = st.mode AND ev.sign = st.sign AND ev.amplitude = 2.0 JOIN pl ON pl.target = st.target AND pl.snapshot = ev.snapshot AND pl.pocket = st.scout JOIN ct ON ct.target = st.target AND ct.snapshot = ev.snapshot AND ct.pocket = st.scout GROUP BY ALL",
     "contact_labels": f"""{_WITH}, f0 AS (SELECT label AS target, vec_id, embedding[4]::DOUBLE AS a, embedding[5]::DOUBLE AS b, embedding[6]::DOUBLE AS c FROM embeddings), f1 AS (SELECT *, sqrt(a*a + b*b + c*c) AS r FROM f0),
 lg AS (SELECT target, round(sum(3.8::DOUBLE * a / r) OVER u, 3) AS x, round(sum(3.8::DOUBLE * b / r) OVER u, 3) AS y, round(sum(3.8::DOUBLE * c / r) OVER u, 3) AS z FROM f1 WINDOW u AS (PARTITION BY target ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 dl AS (SELECT c.target, c.i, sqrt((c.x-l.x)*(c.x-l.x) + (c.y-l.y)*(c.y-l.y) + (c.z-l.z)*(c.z-l.z)) AS d FROM chain c JOIN lg l ON l.target = c.target)
@@ -237,11 +255,13 @@ SELECT target, i, round(min(d), 6) AS least FROM dl WHERE d > 0 AND d <= 4.5 GRO
     "control_lifts": _CONTROLS,
     "top_five_string": f"{_WITH}{_SUBSETS} SELECT target, string_agg(residue_id, ' | ' ORDER BY k) AS top_five FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, i) AS k FROM scored) WHERE k <= 5 GROUP BY target",
 }
+ORACLES["combined_p"] = f"""SELECT target, pocket, round(c, 9) AS combined_p, round(CASE WHEN explained >= 0.8 THEN c ELSE p END, 9) AS ranking_p FROM (
+  SELECT n.target, n.pocket, n.p, e.explained, least(1, n.p * r.p * (1 - ln(n.p * r.p))) AS c FROM ({ORACLES["null_pvalue"]}) n JOIN ({ORACLES["recurrence_p"]}) r ON r.target = n.target AND r.scout = n.pocket JOIN ({_PLAIN["hop_explained_variance"]}) e ON e.target = n.target)"""
 QUERIES = {
     f.__name__: f
     for f in (
         enm_displacements, snapshot_coords, detect_patches, plausible_cavities, stable_observations, family_stats, recurrence_p, knn_patch, null_patches, contact_labels,
         components, coined_walk_k, subset_marginals, pair_weight_sweep, evaluate_scoped, control_lifts, top_five_string,
-        region_scores, rank_cavities, null_pvalue, leader_families, rwr_exact, anm_modes,
+        region_scores, rank_cavities, null_pvalue, leader_families, rwr_exact, anm_modes, combined_p, merged_families,
     )
 }

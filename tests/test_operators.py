@@ -56,3 +56,25 @@ def test_mmcif_scan(spark, tmp_path):
     (tmp_path / "a.cif").write_text("loop_\n" + "".join(f"_atom_site.{n}\n" for n in names) + "\n".join(atoms) + "\n#\n")
     got = [(r.i, r.residue_id, r.x) for r in residues(mmcif_atoms(spark, str(tmp_path / "a.cif"))).orderBy("i").collect()]
     assert got == [(0, "A:5", 4.0), (1, "A:7B", 7.0)]
+
+
+def test_subsets_of_a_large_lining(spark):
+    """Pairs of no energy: the best five are the five best alone, and no subset of the 46 is missing."""
+    m, k = 46, 4
+    rows = spark.createDataFrame([(0, i, j, -float((i * 7) % m) if i == j else 0.0) for i in range(m) for j in range(i, m)], "target int, a int, b int, q double")
+    found = subset.subsets(rows, k).cache()
+    assert found.count() == math.comb(m, k) == found.select("members").distinct().count()
+    want = sorted(sorted(range(m), key=lambda i: -((i * 7) % m))[:k])
+    assert list(subset.best(found).first().members) == want
+    found.unpersist()
+
+
+def test_settled_walk_equals_the_inverse(spark):
+    links = [(0, 1), (1, 2), (2, 3), (1, 3), (3, 4)]
+    edges = spark.createDataFrame([(0, i, j) for i, j in links] + [(0, j, i) for i, j in links], "target int, i int, j int")
+    a = np.zeros((5, 5))
+    for i, j in links:
+        a[i, j] = a[j, i] = 1
+    s = 0.15 * np.linalg.inv(np.eye(5) - 0.85 * a / a.sum(0))
+    got = {(r.i, r.j): r.p for r in graph.settled_walk(edges).collect()}
+    assert len(got) == 10 and all(p == pytest.approx((s[i, j] + s[j, i]) / 2, abs=1e-12) for (i, j), p in got.items())
