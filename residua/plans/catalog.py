@@ -190,15 +190,15 @@ def jaccard_pairs(spark, sf_dir):
 
 def _lining(rows):
     """(target, i): the residues of each target's plausible pocket of the largest region score, the first on ties."""
-    members = cavity.detect(rows.withColumn("snapshot", F.lit(0)))
+    members = graph.kept(cavity.detect(rows.withColumn("snapshot", F.lit(0))))
     fit = members.join(cavity.plausible(members), cavity.POCKET, "left_semi").select("target", "pocket", "i")
     best = cavity.region_scores(_values(rows), fit).groupBy("target").agg(F.min(F.struct((-F.round("region", 12)).alias("minus"), "pocket"))["pocket"].alias("pocket"))
     return fit.join(best, ["target", "pocket"]).select("target", "i")
 
 
 def _candidates(spark, sf_dir):
-    rows = chain(spark, sf_dir)
-    picked = rows.join(_lining(rows), ["target", "i"])
+    rows = graph.kept(chain(spark, sf_dir))
+    picked = graph.kept(rows.join(_lining(rows), ["target", "i"]))
     other = picked.select("target", F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
     d = F.sqrt(sum((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"))
     pairs = picked.join(other, "target").filter("i < j").withColumn("d", d).select("target", "i", "j", F.round(1 / (1 + F.col("d") * F.col("d")), 9).alias("c"), "d")
