@@ -49,6 +49,9 @@ def _features(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     two[1:] = data[:-1] << 8 | data[1:]
     three = np.zeros_like(data)
     three[2:] = data[:-2] << 16 | two[2:]
+    # no run reaches back into the text before
+    starts = offsets[:-1]
+    two[starts] = three[starts] = three[starts + 1] = 0
     mul, shift = np.uint32(2654435761), np.uint32(32 - BITS)
     return [((x + np.uint32(k << 24)) * mul) >> shift for k, x in ((1, one), (2, two), (3, three))], offsets
 
