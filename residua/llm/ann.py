@@ -4,8 +4,11 @@ Unit vectors are projected onto DIMS Gaussian directions, so the squared project
 squared distance times a chi-square variable of DIMS degrees. A kd-tree over the projections (its upper levels split the
 space into cells, fitted on a bounded sample; every vector is indexed in its cell) gives projected neighbours in order of
 distance; each is verified on the original vectors, until a neighbour closer than the k-th found would have shown up by
-now with probability `sure`: delta^2 / d_k^2 >= quantile(sure). The first round searches a query's own cell, the second
-all further cells that the stopping radius of the first reaches.
+now with probability `sure`: delta^2 / d_k^2 >= quantile(sure). So each true neighbour is found with probability `sure`
+at least, whatever the data. The first round searches a query's own cell, the second all further cells that the stopping
+radius of the first reaches. Points go out once for every BLOCK queries that reach their cell, so a cell that few queries
+reach is sent once. Column `verified` counts the vectors whose cosine a query had computed: where the k-th neighbour is not much
+closer than any other vector, these are most of them, and no projection can tell them apart.
 
 Equal vectors are indexed once, with the k + 1 smallest of their ids, so a very common vector is one entry.
 
@@ -28,11 +31,12 @@ from pyspark.sql.window import Window
 
 from residua.llm.common import arrow_schema, batch, lists, written
 
-DIMS = 8
+DIMS = 16
 SAMPLE = 20_000
 CELL = 2048
 MOST_CELLS = 4096
 BLOCK = 2048
+AT_ONCE = 128
 
 
 def quantile(sure: float, dims: int = DIMS) -> float:
@@ -104,8 +108,8 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return got.filter(F.size("v") == (lengths[0].length if lengths else 0))
 
 
-def search(rows: DataFrame, is_query, *, key: str = "vec_id", vector: str = "embedding", k: int = 5, sure: float = 0.98) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest found by cosine. is_query: a condition on rows."""
+def search(rows: DataFrame, is_query, *, key: str = "vec_id", vector: str = "embedding", k: int = 5, sure: float = 0.95) -> DataFrame:
+    """(query_id, rank, id, score, verified): the k nearest found by cosine. is_query: a condition on rows."""
     good = usable(rows, key, vector)
     queries = usable(rows.filter(is_query), key, vector) if is_query is not None else good
     own = Window.partitionBy("h1", "h2").orderBy("id")
@@ -114,7 +118,7 @@ def search(rows: DataFrame, is_query, *, key: str = "vec_id", vector: str = "emb
     index = written(few.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")).select("ids", "v"), "vectors")
     total = index.count()
     if not total:
-        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, id bigint, score double")
+        return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, id bigint, score double, verified bigint")
     size = index.select(F.size("v")).first()[0]
     drawn = index.filter(F.pmod(F.xxhash64("v", F.lit("tree")), F.lit(1_000_000)) < int(1e6 * SAMPLE / total)).limit(2 * SAMPLE).select("v").toArrow()
     sample = _units(_matrix(drawn.column(0).combine_chunks())) @ directions(size) if drawn.num_rows else np.zeros((0, DIMS))
@@ -130,16 +134,13 @@ def search(rows: DataFrame, is_query, *, key: str = "vec_id", vector: str = "emb
             yield batch(schema, tree.value.cell(p).astype(np.int32), b.column(0), b.column(1), b.column(2), lists(p.ravel(), np.arange(len(p) + 1) * DIMS))
 
     points = index.select(F.col("ids")[0].alias("id"), "ids", "v").mapInArrow(place, placed)
-    points = written(points.withColumn("part", F.lit(0)), "points")
-    # a cell of many points is searched in parts, queries in blocks
-    crowd = {r.cell: r["count"] for r in points.groupBy("cell").count().collect()}  # at most MOST_CELLS rows
-    parts = F.create_map(*(F.lit(x) for c, n in crowd.items() for x in (c, max(1, round(n / (2 * CELL))))))
-    points = points.withColumn("part", F.pmod(F.xxhash64("id"), parts[F.col("cell")]).cast("int"))
+    points = written(points, "points")
+    # a cell of many points is searched in parts, many queries of a cell in blocks: tables of at most MOST_CELLS rows
+    parts = points.groupBy("cell").agg(F.greatest(F.lit(1), F.round(F.count("*") / (2 * CELL)).cast("int")).alias("parts"))
+    points = points.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
     asked = queries.dropDuplicates(["id"]).select("id", F.array("id").alias("ids"), "v").mapInArrow(place, placed)
     asked = written(asked, "queries")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    found = "query_id bigint, ids array<bigint>, scores array<double>"
+    found = "query_id bigint, ids array<bigint>, scores array<double>, verified bigint"
     result = arrow_schema(found)
 
     def verify(points: pa.Table, queries: pa.Table) -> pa.Table:
@@ -151,47 +152,59 @@ def search(rows: DataFrame, is_query, *, key: str = "vec_id", vector: str = "emb
         norms = np.sqrt((v * v).sum(1))
         q, qp, bound = _matrix(col(queries, "v")), _matrix(col(queries, "p")), col(queries, "far").to_numpy(zero_copy_only=False)
         qn = np.sqrt((q * q).sum(1))
-        out = [], [], []
+        square = (p * p).sum(1)
+        out = [], [], [], []
         for i, me in enumerate(col(queries, "id").to_pylist()):
-            delta = ((p - qp[i]) ** 2).sum(1)
-            far, best = float(bound[i]), []
+            if i % AT_ONCE == 0:
+                some = qp[i : i + AT_ONCE]
+                deltas = np.maximum(0, square + (some * some).sum(1)[:, None] - 2 * (some @ p.T))
+            delta, far, best = deltas[i % AT_ONCE], float(bound[i]), []
             near = np.flatnonzero(delta <= far * stop) if np.isfinite(far) else np.arange(len(delta))
             near = near[np.argsort(delta[near], kind="stable")]
-            for a in range(0, len(near), 128):
-                part = near[a : a + 128]
-                if delta[part[0]] > far * stop:
-                    break
+            a, step = 0, 64
+            while a < len(near) and delta[near[a]] <= far * stop:
+                part = near[a : a + step]
+                a, step = a + len(part), step * 2
                 score = (v[part] @ q[i]) / (norms[part] * qn[i])
                 cut = best[-1][0] if len(best) == k else np.inf
                 hit = np.flatnonzero(-score <= cut)
+                if len(hit) > k:  # of equal scores all stay
+                    hit = hit[score[hit] >= np.partition(score[hit], -k - 1)[-k - 1]]
                 if len(hit):
                     best = sorted(best + [(-float(score[h]), o) for h in hit for o in owners[part[h]] if o != me])[:k]
                     if len(best) == k:
                         far = min(far, max(0.0, 2 + 2 * best[-1][0]))
+                        near = near[: np.searchsorted(delta[near], far * stop, "right")]
             out[0].append(me)
             out[1].append([o for _, o in best])
             out[2].append([-s for s, _ in best])
+            out[3].append(a)
         return pa.Table.from_batches([batch(result, *out)])
 
     def answered(asks: DataFrame) -> DataFrame:
         """asks: queries with cell and far, the squared distance to beat."""
-        split = asks.withColumn("part", F.explode(F.sequence(F.lit(0), (F.coalesce(parts[F.col("cell")], F.lit(1)) - 1).cast("int"))))
-        split = written(split.select("cell", "part", "block", "id", "v", "p", "far"), "asks")
-        needed = split.select("cell", "part", "block").distinct()
-        there = points.join(needed, ["cell", "part"]).select(F.concat_ws("/", "cell", "part", "block").alias("spot"), "ids", "v", "p")
-        asks = split.select(F.concat_ws("/", "cell", "part", "block").alias("asked"), "id", "v", "p", "far")
+        asks = written(asks.select("cell", "id", "v", "p", "far"), "asks")
+        blocks = F.broadcast(asks.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+        spot = F.concat_ws("/", "cell", "part", "block")
+        there = points.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        asks = asks.join(F.broadcast(parts), "cell").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+        asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        there, asks = there.select(spot.alias("spot"), "ids", "v", "p"), asks.select(spot.alias("asked"), "id", "v", "p", "far")
         return there.groupBy("spot").cogroup(asks.groupBy("asked")).applyInArrow(lambda left, right: verify(left, right), found)
 
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    one = Window.partitionBy("query_id")
+    nearest = one.orderBy(F.desc("score"), "id")
 
     def merged(answers: DataFrame) -> DataFrame:
-        pairs = answers.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"))
-        return pairs.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+        pairs = answers.select("query_id", "verified", F.posexplode_outer(F.arrays_zip("ids", "scores")).alias("at", "x"))
+        pairs = pairs.withColumn("verified", F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, F.col("verified"))).over(one))
+        pairs = pairs.select("query_id", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"), "verified")
+        return pairs.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).drop("rank")
 
-    home = written(merged(answered(asked.withColumn("far", F.lit(float("inf"))))).select("query_id", "id", "score"), "home")
+    home = written(merged(answered(asked.withColumn("far", F.lit(float("inf"))))), "home")
     reach = home.groupBy("query_id").agg(F.when(F.count("id") >= k, F.greatest(F.lit(0.0), 2 - 2 * F.min("score"))).otherwise(F.lit(float("inf"))).alias("far"))
     asks = asked.join(reach.withColumnRenamed("query_id", "id"), "id", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
-    ddl = "cell int, id bigint, v array<double>, p array<double>, far double, block int"
+    ddl = "cell int, id bigint, v array<double>, p array<double>, far double"
     spread = arrow_schema(ddl)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +216,8 @@ def search(rows: DataFrame, is_query, *, key: str = "vec_id", vector: str = "emb
                     rest = pa.RecordBatch.from_arrays([c.take(pa.array(np.full(len(reached), i))) for c in b.columns[1:]], schema=pa.schema(list(spread)[1:]))
                     yield batch(spread, reached.astype(np.int32), *rest.columns)
 
-    further = merged(answered(asks.select("cell", "id", "v", "p", "far", "block").mapInArrow(cells, ddl))).select("query_id", "id", "score")
-    both = home.union(further).withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
-    return both.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    further = merged(answered(asks.select("cell", "id", "v", "p", "far").mapInArrow(cells, ddl)))
+    both = home.withColumn("round", F.lit(1)).union(further.withColumn("round", F.lit(2)))
+    total = lambda n: F.coalesce(F.max(F.when(F.col("round") == n, F.col("verified"))).over(one), F.lit(0))
+    both = both.withColumn("verified", total(1) + total(2)).filter("id is not null").withColumn("rank", F.row_number().over(nearest))
+    return both.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score", "verified")
