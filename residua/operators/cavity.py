@@ -138,16 +138,30 @@ def merged(observations: DataFrame, events: int) -> DataFrame:
     return observations.groupBy("target", "pocket").agg(F.count(F.lit(1)).alias("observations"), seen.alias("persistence"), F.max("volume").alias("volume"), *[F.avg(c).alias(c) for c in "xyz"])
 
 
-def families(members: DataFrame, least: float = 0.5) -> DataFrame:
+def by_size(members: DataFrame) -> DataFrame:
+    """(target, item, rank, i) of pockets (target, pocket, i), the largest first, then by number."""
+    sizes = members.groupBy("target", "pocket").agg(F.count(F.lit(1)).alias("n"))
+    order = sizes.select("target", "pocket", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("n"), "pocket")).alias("rank"))
+    return members.join(order, ["target", "pocket"]).select("target", F.col("pocket").alias("item"), "rank", "i")
+
+
+def families(members: DataFrame, least: float = 0.5, centres: DataFrame | None = None, tolerance: float = 6.0) -> DataFrame:
     """(target, item, leader): in order of rank, an item joins the first leader that it is alike to (Jaccard), or leads
-    itself. members: (target, item, rank, i), rank unique in a target. Each round makes leaders of the open items that no
+    itself. members: (target, item, rank, i), rank unique in a target. With centres (target, item, x, y, z), items are also
+    alike if as much of the smaller lies in the larger and their centres within the tolerance. Each round makes leaders of the open items that no
     open item before them is alike to, and closes what is alike to these; rounds are bounded by the longest chain of
     alike items, not by the number of items."""
     sized = members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("target", "item")))
     one = sized.select("target", "i", F.col("item").alias("a"), F.col("rank").alias("ra"), F.col("n").alias("na"))
     two = sized.select("target", "i", F.col("item").alias("b"), F.col("rank").alias("rb"), F.col("n").alias("nb"))
     both = one.join(two, ["target", "i"]).filter("ra < rb").groupBy("target", "a", "b", "ra", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-    alike = kept(both.filter(F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 12) >= least).select("target", "a", "b", "ra"))
+    meets = F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 12) >= least
+    if centres is not None:
+        at = lambda n: centres.select("target", F.col("item").alias(n), F.struct("x", "y", "z").alias(f"c{n}"))
+        both = both.join(at("a"), ["target", "a"], "left").join(at("b"), ["target", "b"], "left")
+        apart = F.sqrt(sum((F.col(f"ca.{c}") - F.col(f"cb.{c}")) * (F.col(f"ca.{c}") - F.col(f"cb.{c}")) for c in "xyz"))
+        meets = meets | ((F.round(F.col("k") / F.least("na", "nb"), 12) >= least) & F.coalesce(apart <= tolerance, F.lit(False)))
+    alike = kept(both.filter(meets).select("target", "a", "b", "ra"))
     still = kept(members.select("target", "item").distinct())
     leaders = None
     while still.limit(1).count():

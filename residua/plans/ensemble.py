@@ -155,10 +155,7 @@ def null_pvalue(spark, sf_dir):
 
 def leader_families(spark, sf_dir):
     """Native pockets, largest first."""
-    members = _native(spark, sf_dir)
-    sizes = members.groupBy("target", "pocket").agg(F.count(F.lit(1)).alias("n"))
-    order = sizes.select("target", "pocket", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("n"), "pocket")).alias("rank"))
-    return cavity.families(members.join(order, ["target", "pocket"]).select("target", F.col("pocket").alias("item"), "rank", "i"))
+    return cavity.families(cavity.by_size(_native(spark, sf_dir)))
 
 
 def rwr_exact(spark, sf_dir):

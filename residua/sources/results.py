@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 SCORES = "target int, matrix_index int, chain_id string, residue_number int, insertion_code string, quantum_score double, eligible int"
 HITS = "target int, rank int, matrix_index int, residue_id string, score double"
+EVALUATION = "target int, n bigint, positives bigint, floor double, ap double, lift double, auroc double, hits bigint"
 POCKET = "number int, geometry_score double, score double, residue_numbers array<int>, residues array<int>"
 METHOD = f"schema_version int, input_sha256 string, scope struct<residues: bigint, orthosteric: array<string>>, parameters struct<cutoff: double, top_k: int>, pocket struct<{', '.join(f'{c.split()[0]}: {c.split()[1]}' for c in POCKET.split(', '))}>"
 
@@ -78,3 +79,32 @@ def replayed(one: DataFrame, two: DataFrame) -> DataFrame:
     both = one.select("target", "i", F.col("residue_id").alias("a")).join(two.select("target", "i", F.col("residue_id").alias("b")), ["target", "i"], "full")
     out = both.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("unlike"))
     return out.withColumn("same", F.col("unlike") == 0)
+
+
+def write_evaluation(rows: DataFrame, path: str) -> None:
+    """Evaluations by target, one JSON document a line; nulls are written."""
+    rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EVALUATION).json(path)
+
+
+def general(value: str):
+    """A double in C's form %.10g."""
+    plain = F.regexp_replace(F.format_string("%.10g", value), r"(\.\d*?)0+(e|$)", "$1$2")
+    return F.regexp_replace(plain, r"\.(e|$)", "$1")
+
+
+def labelled_lines(values: DataFrame, residues: DataFrame) -> DataFrame:
+    """(target, i, line) of a matrix (target, i, j, v) with names: the header of all names stands at -1, then a line a row."""
+    listed = lambda key, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, c.alias("c")))), lambda x: x["c"]), ",")
+    heads = residues.groupBy("target").agg(listed("i", F.col("residue_id")).alias("names"))
+    rows = values.groupBy("target", "i").agg(listed("j", general("v")).alias("cells")).join(residues.select("target", "i", "residue_id"), ["target", "i"])
+    return heads.select("target", F.lit(-1).alias("i"), F.concat_ws(",", F.lit("residue_id"), "names").alias("line")).union(rows.select("target", "i", F.concat_ws(",", "residue_id", "cells")))
+
+
+def manifest(lines: DataFrame) -> DataFrame:
+    """(target, lines, sha256) of each target's file, every line ended by \\n."""
+    text = F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n"), F.lit("\n"))
+    return lines.groupBy("target").agg(F.count(F.lit(1)).alias("lines"), F.sha2(text.cast("binary"), 256).alias("sha256"))

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from residua.plans import catalog, ensemble, records
+from residua.plans import catalog, ensemble, fields, records
 from tests.compare import oracle, shown
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +22,8 @@ def test_ensemble_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(records.ORACLES))
 def test_records_equal_sql(spark, name):
     assert shown(records.QUERIES[name](spark, SF).toPandas()) == shown(oracle(records.ORACLES[name], SF))
+
+
+@pytest.mark.parametrize("name", sorted(fields.ORACLES))
+def test_fields_equal_sql(spark, name):
+    assert shown(fields.QUERIES[name](spark, SF).toPandas()) == shown(oracle(fields.ORACLES[name], SF))
