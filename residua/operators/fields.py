@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from residua.operators.evaluate import average_precision
 from residua.operators.geometry import near_pairs
+from residua.operators.graph import kept
 
 
 def mixed_regions(values: DataFrame, members: DataFrame, k: int = 5) -> DataFrame:
@@ -33,7 +34,8 @@ def cavity_field(centres: DataFrame, members: DataFrame, scores: DataFrame, radi
     points = centres.select("target", F.col("pocket").alias("i"), "x", "y", "z")
     same = points.join(points.withColumnRenamed("i", "j"), ["target", "x", "y", "z"]).select("target", F.col("i").alias("anchor"), F.col("j").alias("pocket"))
     hood = near_pairs(points, points, radius).select("target", F.col("i").alias("anchor"), F.col("j").alias("pocket")).union(same)
-    hood = hood.join(scores, ["target", "pocket"])
+    scores = kept(scores)
+    hood = kept(hood.join(scores, ["target", "pocket"]))
     each = hood.groupBy("target", "anchor").agg(F.sort_array(F.collect_list("pocket")).alias("pockets"), F.max("mechanical").alias("mechanical"))
     lead = each.groupBy("target", "pockets").agg(F.min("anchor").alias("anchor"), F.first("mechanical").alias("mechanical"))
     support = hood.join(members, ["target", "pocket"]).groupBy("target", "anchor", "i").agg(F.sum("transport").alias("s"))
