@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm import ann, decontaminate, langid, lines, near_dup, pieces, quality, substrings, token_counts, warc
+from residua.llm import ann, decontaminate, langid, lines, merkle, near_dup, pieces, quality, substrings, token_counts, warc
 from residua.llm.common import held_out, scratch, table
 
 
@@ -130,5 +130,52 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_substring_dedup, op4_language_id, op5_sentencepiece, op6_near_dup, op7_token_counts, op8_nearest, op9_line_dedup, op10_quality)}
-ORACLES = {"op1_warc": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op6_near_dup": OP6_SQL, "op9_line_dedup": OP9_SQL}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = [F.translate(c, _UPPER, _LOWER) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    manifest = merkle.build(docs, carry={"tampered": F.when(held_out(), merkle.leaf(*changed))})
+    found = merkle.proofs(manifest)
+    shown = {c: merkle.hexed(F.col(c)) for c in ("leaf", "subroot", "root")}
+    out = found.select(F.col("id").alias("doc_id"), *[c.alias(n) for n, c in shown.items()], merkle.hexed(merkle.proof_digest(F.col("segments"))).alias("proof_sha256"), merkle.hexed(merkle.folded(F.coalesce("tampered", "leaf"), F.col("segments"))).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _op13_sql(lower: int = 7, upper: int = 4) -> str:
+    """lower, upper: the heights of the trees that the SQL unrolls; it is right for any tree up to these."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+    row = lambda text: "sha256(" + " || ".join(field.format(text if c == "text" else c) for c in merkle.FIELDS) + ")"
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"
+    parts = [f"""d AS (SELECT doc_id, coalesce(source, '') AS src, source IS NOT NULL AS named, {row('text')} AS leaf,
+  CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {row(f"translate(text, '{_UPPER}', '{_LOWER}')")} ELSE {row('text')} END AS folded FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY named, src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, count(*) OVER (PARTITION BY named, src) AS n,
+  dense_rank() OVER (ORDER BY named, encode(src)) - 1 AS g FROM d),
+a0 AS (SELECT g, k AS i, n, leaf AS h FROM r)"""]
+
+    def tree(name: str, levels: int) -> None:
+        w = f"(PARTITION BY g, i // {merkle.FANOUT} ORDER BY i ROWS BETWEEN"
+        for t in range(levels):
+            beside = lambda rows: f"coalesce(string_agg(h, '') OVER {w} {rows}), '')"
+            parts.append(f"{name}s{t} AS (SELECT g, i, n, h, {beside('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {beside('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {name}{t})")
+            parts.append(f"{name}{t + 1} AS (SELECT g, i // {merkle.FANOUT} AS i, any_value((n + {merkle.FANOUT - 1}) // {merkle.FANOUT}) AS n, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{t} GROUP BY g, i // {merkle.FANOUT})")
+
+    tree("a", lower)
+    parts.append(f"b0 AS (SELECT 0 AS g, g AS i, (SELECT count(*) FROM a{lower}) AS n, h FROM a{lower})")
+    tree("b", upper)
+    parts.append("p0 AS (SELECT doc_id, leaf, folded AS f, g, k, k AS i, '' AS s FROM r)")
+    step = "SELECT p.* EXCLUDE (f, i, s), CASE WHEN x.n > 1 THEN sha256(x.l || p.f || x.r) ELSE p.f END AS f, p.i // {0} AS i, CASE WHEN x.n > 1 THEN p.s || x.l || x.r ELSE p.s END AS s FROM {1} p JOIN {2} x ON {3} = x.g AND p.i = x.i"
+    for t in range(lower):
+        parts.append(f"p{t + 1} AS ({step.format(merkle.FANOUT, f'p{t}', f'as{t}', 'p.g')})")
+    parts.append(f"q0 AS (SELECT * REPLACE (g AS i) FROM p{lower})")
+    for t in range(upper):
+        parts.append(f"q{t + 1} AS ({step.format(merkle.FANOUT, f'q{t}', f'bs{t}', '0')})")
+    return f"WITH {', '.join(parts)}\nSELECT doc_id, leaf, a.h AS subroot, b.h AS root, sha256(s) AS proof_sha256, f AS folded_root, f = b.h AS verified FROM q{upper} q JOIN a{lower} a USING (g) CROSS JOIN b{upper} b"
+
+
+OP13_SQL = _op13_sql()
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_substring_dedup, op4_language_id, op5_sentencepiece, op6_near_dup, op7_token_counts, op8_nearest, op9_line_dedup, op10_quality, op13_merkle)}
+ORACLES = {"op1_warc": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op6_near_dup": OP6_SQL, "op9_line_dedup": OP9_SQL, "op13_merkle": OP13_SQL}
