@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm import ann, decontaminate, langid, lines, merkle, near_dup, pieces, quality, substrings, token_counts, warc
+from residua.llm import ann, bpe, decontaminate, langid, lexical, lines, merkle, near_dup, pieces, quality, substrings, token_counts, warc
 from residua.llm.common import held_out, scratch, table
 
 
@@ -130,6 +130,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, r, len(w) AS n, w FROM t WHERE len(w) > 0),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+o AS (SELECT r, unnest(w) AS term FROM d),
+f AS (SELECT r, term, count(*) AS tf FROM o WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, g GROUP BY term, docs),
+m AS (SELECT r, doc_id, 10 + (90 * n * docs) // terms AS m FROM d, g),
+s AS (SELECT i.item_id, m.doc_id, m.r, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * m.m)))::BIGINT AS score FROM i JOIN f USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest(docs, tokenizer("byte_bpe_50k.json")).select("doc_id", "encoded.*")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -177,5 +201,5 @@ a0 AS (SELECT g, k AS i, n, leaf AS h FROM r)"""]
 OP13_SQL = _op13_sql()
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_substring_dedup, op4_language_id, op5_sentencepiece, op6_near_dup, op7_token_counts, op8_nearest, op9_line_dedup, op10_quality, op13_merkle)}
-ORACLES = {"op1_warc": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op6_near_dup": OP6_SQL, "op9_line_dedup": OP9_SQL, "op13_merkle": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_substring_dedup, op4_language_id, op5_sentencepiece, op6_near_dup, op7_token_counts, op8_nearest, op9_line_dedup, op10_quality, op11_lexical, op12_bpe, op13_merkle)}
+ORACLES = {"op1_warc": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op6_near_dup": OP6_SQL, "op9_line_dedup": OP9_SQL, "op11_lexical": OP11_SQL, "op13_merkle": OP13_SQL}
