@@ -400,3 +400,28 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     told = [(i, len(e), sha(",".join(map(str, e))), sha(sp.decode(e))) for i, t in want for e in [sp.encode(t)]]
     got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert sorted(map(tuple, got.collect())) == told
+
+
+def test_a_text_of_many_lines_takes_linear_time(spark):
+    """Every third line is shared by all sites; the others are the document's own."""
+    import time
+
+    n = 100_000
+    shared = [f"shared {k}" for k in range(n // 3)]
+    long = "\n".join(shared[k // 3] if k % 3 == 0 and k // 3 < len(shared) else f"own {k}" for k in range(n))
+    rows = [(i, "\n".join(shared), f"s{i}") for i in range(10)] + [(10, long, "s0"), (11, long + "\nend", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    docs.count()
+    began = time.time()
+    got = {r.doc_id: r for r in lines.remove(docs, counts=True).collect()}
+    assert time.time() - began < 30
+    own = [x for x in long.split("\n") if not x.startswith("shared")]
+    assert got[10].text == "\n".join(own) and got[10].n_lines == n and got[10].n_removed == len(shared)
+    assert got[11].text == "\n".join([*own, "end"]) and got[0].text == rows[0][1] and got[0].n_removed == 0
+
+
+def test_boilerplate_lines_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"top\nown {i}\n\nbottom {i % 2}\nrest {i}", f"s{i % 25}") for i in range(100)], "doc_id bigint, text string, source string")
+    want = {r.doc_id: r.text for r in lines.remove(docs).collect()}
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    assert {r.doc_id: r.text for r in lines.remove(docs).collect()} == want == {i: f"own {i}\n\nrest {i}" for i in range(100)}
