@@ -116,9 +116,11 @@ def ranked(regions: DataFrame, seen: DataFrame) -> DataFrame:
 
 def null_pvalue(regions: DataFrame, nulls: DataFrame) -> DataFrame:
     """(target, pocket, p): one more than the null regions at least as large, over one more than all of them."""
-    per = regions.join(nulls.select("target", F.col("region").alias("null")), "target").groupBy("target", "pocket")
-    at_least = F.count_if(F.round("null", 12) >= F.round("region", 12))
-    return per.agg(((1 + at_least) / (1 + F.count(F.lit(1)))).alias("p"))
+    # one order of both kinds of rows: a pocket's rank tells the nulls at or above it, and no pair is made
+    both = regions.select("target", "pocket", F.round("region", 12).alias("r"), F.lit(0).alias("drawn")).union(nulls.select("target", F.lit(None), F.round("region", 12), F.lit(1)))
+    every, order = Window.partitionBy("target"), Window.partitionBy("target").orderBy(F.desc("r"))
+    ranked = both.withColumn("above", F.sum("drawn").over(order)).withColumn("all", F.sum("drawn").over(every))
+    return ranked.filter("drawn = 0 and `all` > 0").select("target", "pocket", ((1 + F.col("above")) / (1 + F.col("all"))).alias("p"))
 
 
 def combined(transport: DataFrame, seen_again: DataFrame, explained: DataFrame, least: float = 0.8) -> DataFrame:

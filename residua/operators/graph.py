@@ -26,15 +26,28 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Steps of a breadth-first search that one job makes; its end is written.
+STEPS = 8
+
+
 def hops(sources: DataFrame, edges: DataFrame) -> DataFrame:
-    """(target, src, i, hop): breadth-first distances from each source (target, i)."""
-    front = sources.select("target", F.col("i").alias("src"), "i", F.lit(0).alias("hop"))
-    seen = kept(front)
-    front, step = seen, kept(edges.select("target", "i", "j").distinct())
-    while front.limit(1).count():
-        reached = front.join(step, ["target", "i"]).select("target", "src", F.col("j").alias("i"), (F.col("hop") + 1).alias("hop")).distinct()
-        front = kept(reached.join(seen, ["target", "src", "i"], "left_anti"))
-        seen = seen.union(front)
+    """(target, src, i, hop): breadth-first distances from each source (target, i) over edges in both directions.
+
+    A front can only meet the two before it, as the graph has no directions; so a job begins with the last two, and all
+    that was reached earlier is left where it was written."""
+    links = kept(edges.groupBy("target", "i").agg(F.collect_set("j").alias("to")))
+    rows = kept(sources.select("target", F.col("i").alias("src"), "i", F.lit(0).alias("hop")).distinct())
+    seen, base = rows, 0
+    while not rows.filter(F.col("hop") == base).isEmpty():
+        for hop in range(base, base + STEPS):
+            own = F.array(F.struct("i", "hop"))
+            sent = F.transform(F.coalesce("to", F.array().cast("array<int>")), lambda j: F.struct(j.alias("i"), F.lit(hop + 1).alias("hop")))  # noqa: B023
+            moved = rows.join(links, ["target", "i"], "left").select("target", "src", F.explode(F.when(F.col("hop") == hop, F.concat(own, sent)).otherwise(own)).alias("e"))
+            rows = moved.groupBy("target", "src", F.col("e.i").alias("i")).agg(F.min("e.hop").alias("hop"))
+        rows = kept(rows)
+        seen = seen.union(rows.filter(F.col("hop") > base))
+        base += STEPS
+        rows = rows.filter(F.col("hop") >= base - 1)
     return seen
 
 

@@ -210,18 +210,18 @@ def qubo_terms(spark, sf_dir):
 
 
 def best_subset(spark, sf_dir):
-    found = subset.best(subset.subsets(_candidates(spark, sf_dir)[1]))
+    found = subset.chosen(subset.marginals(_candidates(spark, sf_dir)[1]))
     return found.select("target", F.concat_ws(",", F.transform("members", lambda m: m.cast("string"))).alias("members"), F.round("energy", 9).alias("energy"))
 
 
 def subset_scores(spark, sf_dir):
     rows, q = _candidates(spark, sf_dir)
-    return subset.scores(rows, subset.subsets(q)).select("target", "i", "residue_id", F.round("score", 6).alias("score"))
+    return subset.scores(rows, subset.marginals(q)).select("target", "i", "residue_id", F.round("score", 6).alias("score"))
 
 
 def hit_list(spark, sf_dir):
     rows, q = _candidates(spark, sf_dir)
-    return subset.hit_list(subset.scores(rows, subset.subsets(q))).withColumn("score", F.round("score", 6))
+    return subset.hit_list(subset.scores(rows, subset.marginals(q))).withColumn("score", F.round("score", 6))
 
 
 #: The lining of the best plausible pocket, and the objective on it.

@@ -95,15 +95,15 @@ def coined_walk_k(spark, sf_dir):
 
 
 def subset_marginals(spark, sf_dir):
-    found = subset.subsets(_candidates(spark, sf_dir)[1])
-    return found.select("target", F.explode("members").alias("i"), "energy").groupBy("target", "i").agg(F.round(-F.min("energy"), 9).alias("marginal"))
+    found = subset.marginals(_candidates(spark, sf_dir)[1])
+    return found.filter("i >= 0").select("target", "i", F.round(-F.col("energy"), 9).alias("marginal"))
 
 
 def pair_weight_sweep(spark, sf_dir):
     """The best subset under each pair weight: pair terms of weight 0.1, scaled."""
     q = _candidates(spark, sf_dir)[1].withColumn("weight", F.explode(F.array(*map(F.lit, WEIGHTS))))
     q = q.select(F.struct("target", "weight").alias("target"), "a", "b", F.when(F.col("a") == F.col("b"), F.col("q")).otherwise(F.col("q") * F.col("weight") / 0.1).alias("q"))
-    best = subset.best(subset.subsets(q))
+    best = subset.chosen(subset.marginals(q))
     return best.select("target.target", "target.weight", F.concat_ws(",", F.transform("members", lambda m: m.cast("string"))).alias("members"), F.round("energy", 9).alias("energy"))
 
 
@@ -124,7 +124,7 @@ def control_lifts(spark, sf_dir):
 
 def top_five_string(spark, sf_dir):
     rows, q = _candidates(spark, sf_dir)
-    hits = subset.hit_list(subset.scores(rows, subset.subsets(q)))
+    hits = subset.hit_list(subset.scores(rows, subset.marginals(q)))
     return hits.groupBy("target").agg(F.concat_ws(" | ", F.transform(F.sort_array(F.collect_list(F.struct("rank", "residue_id"))), lambda x: x["residue_id"])).alias("top_five"))
 
 
