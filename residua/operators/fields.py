@@ -22,9 +22,9 @@ def mixed_regions(values: DataFrame, members: DataFrame, k: int = 5) -> DataFram
     return top.groupBy("target", "pocket").agg(F.avg("c").alias("region"))
 
 
-def cavity_field(centres: DataFrame, members: DataFrame, scores: DataFrame, radius: float = 8.0, tolerance: float = 0.95) -> DataFrame:
-    """(target, pocket, recurrent, nodes): the pocket of the largest transport score, or the field of pockets around one
-    centre in its place.
+def cavity_field(centres: DataFrame, members: DataFrame, scores: DataFrame, radius: float = 8.0, tolerance: float = 0.95, direct: DataFrame | None = None) -> DataFrame:
+    """(target, pocket, recurrent, nodes): the direct pocket (target, pocket), by default the one of the largest transport
+    score, or the field of pockets around one centre in its place.
 
     A field is the pockets whose centres lie within the radius of one centre; equal fields count once, at the first. Its
     recurrence is the mean of its five residues of the largest summed transport over the root of its pockets. The field
@@ -43,7 +43,7 @@ def cavity_field(centres: DataFrame, members: DataFrame, scores: DataFrame, radi
     strong = support.withColumn("k", best).filter("k <= 5").groupBy("target", "anchor").agg(F.avg("s").alias("strong"))
     recurrence = F.round(F.col("strong") / F.sqrt(F.size("pockets")), 9)
     field = lead.join(strong, ["target", "anchor"]).groupBy("target").agg(F.min_by(F.struct("anchor", "mechanical"), F.struct(-recurrence, "anchor")).alias("f"))
-    direct = scores.groupBy("target").agg(F.min_by(F.struct("pocket", "mechanical"), F.struct(-F.col("transport"), "pocket")).alias("d"))
+    direct = (scores if direct is None else scores.join(direct.select("target", "pocket"), ["target", "pocket"])).groupBy("target").agg(F.min_by(F.struct("pocket", "mechanical"), F.struct(-F.col("transport"), "pocket")).alias("d"))
     alone = each.select("target", F.col("anchor").alias("pocket"), (F.size("pockets") == 1).alias("alone"))
     both = direct.join(field, "target").withColumn("pocket", F.col("d.pocket")).join(alone, ["target", "pocket"])
     chosen = both.select("target", "pocket", F.col("f.anchor").alias("anchor"), (F.col("alone") & (F.col("d.mechanical") > 0) & (F.col("f.mechanical") >= tolerance * F.col("d.mechanical"))).alias("recurrent"))
@@ -54,6 +54,20 @@ def cavity_field(centres: DataFrame, members: DataFrame, scores: DataFrame, radi
     return listed(own).union(listed(wide))
 
 
+def refinement_gate(ranked: DataFrame, centres: DataFrame, radius: float = 8.0) -> DataFrame:
+    """(target, pocket, candidates, near, refine): each target's first pocket, how many centres lie within the radius of
+    its own (itself counts), and whether it stands alone among several, so that the network's mechanical response has to
+    tell whether it is a part of a larger field. ranked: (target, rank, pocket); centres: (target, pocket, x, y, z)."""
+    points = centres.select("target", F.col("pocket").alias("i"), "x", "y", "z")
+    first = ranked.filter("rank = 1").select("target", "pocket")
+    own = points.join(first.withColumnRenamed("pocket", "i"), ["target", "i"])
+    same = own.select("target", F.col("i").alias("pocket"), "x", "y", "z").join(points, ["target", "x", "y", "z"]).select("target", "pocket", "i")
+    near = near_pairs(own, points, radius).select("target", F.col("i").alias("pocket"), F.col("j").alias("i")).union(same)
+    near = near.groupBy("target", "pocket").agg(F.count(F.lit(1)).alias("near"))
+    count = centres.groupBy("target").agg(F.count(F.lit(1)).alias("candidates"))
+    return near.join(count, "target").select("target", "pocket", "candidates", "near", ((F.col("near") == 1) & (F.col("candidates") > 1)).alias("refine"))
+
+
 def random_lift(rows: DataFrame, sizes: DataFrame, draws: int = 200) -> DataFrame:
     """(target, lift, spread): mean and standard deviation of the lift of uniform random scores, drawn from numpy's default
     generator with seeds from 0, for all n residues of a target; null without true rows. rows: (target, i, truth) that

@@ -73,13 +73,16 @@ def distal_sources(values: DataFrame, residues: DataFrame, span: int = 10, size:
     return out.withColumn("selected", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("concentration"), "src")) <= count)
 
 
-def hop_percentiles(values: DataFrame, distances: DataFrame) -> DataFrame:
-    """(target, i, score): mean over the sources of the percentile of values (target, src, i, c) within a source's hop
-    shell; a source itself has 0."""
+def hop_ranks(values: DataFrame, distances: DataFrame) -> DataFrame:
+    """(target, src, i, p): the percentile of values (target, src, i, c) within a source's hop shell; a source itself has 0."""
     rows = values.join(distances, ["target", "src", "i"])
     ranked = rows.filter("hop > 0").withColumn("p", percentile("c", "target", "src", "hop")).select("target", "src", "i", "p")
-    both = ranked.union(rows.filter("hop = 0").select("target", "src", "i", F.lit(0.0).alias("p")))
-    return both.groupBy("target", "i").agg(F.avg("p").alias("score"))
+    return ranked.union(rows.filter("hop = 0").select("target", "src", "i", F.lit(0.0).alias("p")))
+
+
+def hop_percentiles(values: DataFrame, distances: DataFrame) -> DataFrame:
+    """(target, i, score): mean over the sources of a residue's percentiles within their hop shells."""
+    return hop_ranks(values, distances).groupBy("target", "i").agg(F.avg("p").alias("score"))
 
 
 def explained_by_hops(values: DataFrame, distances: DataFrame) -> DataFrame:

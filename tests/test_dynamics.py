@@ -161,3 +161,34 @@ def test_null_ranks_count_as_pairs_do(spark):
     regions = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.1), (1, 1, 0.3)], "target int, pocket int, region double")
     nulls = spark.createDataFrame([(0, 7, 0.5), (0, 8, 0.2), (0, 9, 0.2)], "target int, pocket int, region double")
     assert {(r.target, r.pocket, r.p) for r in cavity.null_pvalue(regions, nulls).collect()} == {(0, 1, 0.5), (0, 2, 1.0)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["refinement_gate", "chosen_pocket"])
+def test_choice_equals_sql(spark, name):
+    from residua.plans import choice
+
+    assert shown(choice.QUERIES[name](spark, SF).toPandas()) == shown(oracle(choice.ORACLES[name], SF))
+
+
+def test_gate_opens_for_a_lone_first_pocket(spark):
+    from residua.operators import fields
+
+    centres = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0), (0, 2, 5.0, 0.0, 0.0), (1, 1, 0.0, 0.0, 0.0), (1, 2, 9.0, 0.0, 0.0), (2, 1, 0.0, 0.0, 0.0), (3, 1, 0.0, 0.0, 0.0), (3, 2, 0.0, 0.0, 0.0)], "target int, pocket int, x double, y double, z double")
+    ranked = spark.createDataFrame([(t, 1, 1) for t in range(4)] + [(0, 2, 2)], "target int, rank int, pocket int")
+    got = {r.target: (r.candidates, r.near, r.refine) for r in fields.refinement_gate(ranked, centres).collect()}
+    assert got == {0: (2, 2, False), 1: (2, 1, True), 2: (1, 1, False), 3: (2, 2, False)}
+
+
+def test_mechanical_stage_replaces_a_lone_pocket(spark):
+    """The direct pocket stands alone; two near one another hold the same residues and respond as strongly."""
+    from residua.operators import fields
+
+    centres = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0), (0, 2, 30.0, 0.0, 0.0), (0, 3, 32.0, 0.0, 0.0)], "target int, pocket int, x double, y double, z double")
+    members = spark.createDataFrame([(0, p, i) for p, ids in ((1, range(5)), (2, range(10, 16)), (3, range(11, 17))) for i in ids], "target int, pocket int, i int")
+    direct = spark.createDataFrame([(0, 1)], "target int, pocket int")
+    scores = lambda m: spark.createDataFrame([(0, 1, 0.6, 1.0), (0, 2, 0.7, m), (0, 3, 0.5, 0.1)], "target int, pocket int, transport double, mechanical double")
+    for m, nodes in ((0.96, list(range(10, 17))), (0.9, list(range(5)))):
+        r = fields.cavity_field(centres, members, scores(m), direct=direct).first()
+        assert (r.pocket, r.recurrent, r.nodes) == (1, m > 0.95, nodes)
+    assert fields.cavity_field(centres, members, scores(0.96)).first().pocket == 2
