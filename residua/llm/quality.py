@@ -2,9 +2,10 @@
 
 A linear model over shares of hashed byte runs (case, digits as one class, punctuation kept) minimises the non-negative
 unbiased risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))  with the logistic loss: trusted
-positives are labelled 1, web text is unlabelled whatever it holds. The class prior is estimated from the labelled rows
-of the learning fold; where these hold one class only, from the mean score of held-back positives. A logistic curve,
-fitted on labelled rows of the learning fold, turns margins into scores.
+positives are labelled 1, web text is unlabelled whatever it holds. The class prior is estimated from positives and
+unlabelled text alone: whatever the margin, no smaller a share of the unlabelled lies above it than the prior times that of
+positives that the fit has not seen, so the least ratio of the two shares bounds it. Labelled negatives serve for the last
+step only, a logistic curve fitted on labelled rows of the learning fold that turns margins into scores.
 
 Defined cases: null counts as the empty text, which scores as any text without runs; without positives every score is
 the prior (0.5 if nothing is known); null labels are left out; a document labelled more than once counts as its largest
@@ -79,16 +80,40 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, *, rounds: int = 200, rate:
 
 
 def _curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    a, b = 1.0, 0.0
+    """Slope and shift of the logistic curve of least loss, by Newton's steps on standardised margins, halved until the
+    loss falls; a small penalty keeps the slope finite where margins tell all labels apart."""
+    mean, spread = float(z.mean()), max(float(z.std()), 1e-9)
+    x = np.stack([(z - mean) / spread, np.ones_like(z)], 1).astype(np.float64)
+    loss = lambda c: (_log1pexp(x @ c) - y * (x @ c)).sum() + 0.5 * c[0] ** 2 * 1e-2 * len(y) ** 0.5
+    c = np.array([1.0, float(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)))])
     for _ in range(100):
-        q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        s = q * (1 - q) + 1e-6
-        h = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(h, [((q - y) * z).sum() + 1e-3 * (a - 1), (q - y).sum()])
-        a, b = a - step[0], b - step[1]
+        q = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+        penalty = np.array([1e-2 * len(y) ** 0.5, 1e-9])
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (q - y) + penalty * [c[0], 0])
+        size = 1.0
+        while size > 1e-6 and loss(c - size * step) > loss(c):
+            size /= 2
+        if size <= 1e-6 or np.abs(step).max() * size < 1e-9:
+            break
+        c = c - size * step
+    a, b = c[0] / spread, c[1] - c[0] * mean / spread
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from margins of positives and unlabelled that the fit has not seen: the
+    least ratio of the shares above a margin, taken where a tenth of the positives or more lie above, and two standard
+    errors of the ratio allowed for. 0.5 where either is missing."""
+    if len(positive) < 2 or not len(unlabelled):
+        return 0.5
+    cuts = np.quantile(positive, np.linspace(0.02, 0.9, 45))
+    p = (positive[:, None] >= cuts).mean(0)
+    u = (unlabelled[:, None] >= cuts).mean(0)
+    error = u / p * np.sqrt((1 - p) / (p * len(positive)) + (1 - u) / (np.maximum(u, 1e-9) * len(unlabelled)))
+    best = (u / p + 2 * error).argmin()
+    return float(np.clip(u[best] / p[best], 0.05, 0.95))
+
+
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 2000) -> Model:
     """Fits the model on rows that are already without the held-out fold. It reads a bounded sample, chosen by a hash of
     the key: about `most` rows of each label and twice as many unlabelled ones, whole texts each."""
@@ -124,12 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     del got
     scale = 1 / np.sqrt(x.mean(0) + 1e-5)
     x *= scale
-    prior = counts[1] / sum(counts.values())
-    if len(counts) == 1:  # the mean score of positives that a fit against the unlabelled has not seen
-        p, u = x[y == 1], x[y == -1]
-        w, b = nnpu(p[::2], u, 0.5)
-        sig = lambda z: (1 / (1 + np.exp(-z))).mean()
-        prior = float(np.clip(sig(u @ w + b) / max(1e-6, sig(p[1::2] @ w + b)), 0.05, 0.95))
+    p, u = x[y == 1], x[y == -1]
+    first, bias = nnpu(p[::2], u[::2], 0.5)
+    prior = class_prior(p[1::2] @ first + bias, u[1::2] @ first + bias)
     w, b = nnpu(x[y == 1], x[y == -1], prior)
     z, known_y = x[y >= 0] @ w + b, y[y >= 0]
     curve = _curve(z, known_y) if len(counts) > 1 else (1.0, 0.0)
