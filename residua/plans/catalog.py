@@ -135,7 +135,8 @@ def scoring_scope(spark, sf_dir):
 
 
 def hop_percentiles(spark, sf_dir):
-    rows, edges = _edges(spark, sf_dir)
+    rows = graph.kept(chain(spark, sf_dir))
+    edges = geometry.contacts(rows)
     out = graph.hop_percentiles(_values(rows), graph.hops(rows.filter("source"), edges))
     return out.select("target", "i", F.round("score", 9).alias("score"))
 
