@@ -164,14 +164,24 @@ def coined_walk(sources: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
 
 
 def least_labels(residues: DataFrame, edges: DataFrame) -> DataFrame:
-    """(target, i, component): the smallest index that each residue reaches, by rounds of least neighbours."""
-    labels = kept(residues.select("target", "i", F.col("i").alias("component")))
+    """(target, i, component): the smallest index that each residue reaches over edges in both directions.
+
+    Each residue points to one of its component. In a round it looks at where its neighbours' pointers point to: the least
+    of these becomes the pointer of what the residue points to and its own, if it is less, and every pointer is
+    shortened by one step. Trees join and halve in the same round, so the rounds grow with the logarithm of a
+    component's size, not with its diameter."""
+    at = kept(residues.select("target", "i", F.col("i").alias("p")))
+    links = kept(edges.select("target", F.col("i").alias("to"), F.col("j").alias("i")))
     while True:
-        heard = edges.select("target", F.col("i").alias("to"), F.col("j").alias("i")).join(labels, ["target", "i"]).groupBy("target", "to").agg(F.min("component").alias("least")).withColumnRenamed("to", "i")
-        new = kept(labels.join(heard, ["target", "i"], "left").select("target", "i", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved")))
-        labels = new.drop("moved")
-        if not new.filter("moved").limit(1).count():
-            return labels
+        above = at.select("target", F.col("i").alias("p"), F.col("p").alias("g"))
+        two = kept(at.join(above, ["target", "p"]))
+        heard = links.join(two.select("target", "i", "g"), ["target", "i"]).groupBy("target", F.col("to").alias("i")).agg(F.min("g").alias("m"))
+        seen = two.join(heard, ["target", "i"], "left").withColumn("m", F.least("m", "g", "p"))
+        told = seen.select("target", F.explode(F.array(F.struct("i", F.col("m").alias("p"), F.col("p").alias("old")), F.struct(F.col("p").alias("i"), F.col("m").alias("p"), F.lit(None).cast("int").alias("old")))).alias("e"))
+        new = kept(told.groupBy("target", F.col("e.i").alias("i")).agg(F.min("e.p").alias("p"), F.max("e.old").alias("old")))
+        at = new.select("target", "i", "p")
+        if new.filter("p <> old").isEmpty():
+            return at.withColumnRenamed("p", "component")
 
 
 def _product(one: DataFrame, two: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ AT_ONCE = 1 << 18
 
 @lru_cache(256)
 def _choices(n: int, k: int) -> np.ndarray:
-    return np.fromiter(itertools.chain.from_iterable(itertools.combinations(range(n), k)), np.int64).reshape(-1, k)
+    return np.fromiter(itertools.chain.from_iterable(itertools.combinations(range(n), k)), np.int64).reshape(math.comb(n, k), k)
 
 
 class _Search:

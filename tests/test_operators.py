@@ -78,3 +78,16 @@ def test_settled_walk_equals_the_inverse(spark):
     s = 0.15 * np.linalg.inv(np.eye(5) - 0.85 * a / a.sum(0))
     got = {(r.i, r.j): r.p for r in graph.settled_walk(edges).collect()}
     assert len(got) == 10 and all(p == pytest.approx((s[i, j] + s[j, i]) / 2, abs=1e-12) for (i, j), p in got.items())
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    """A path of 3,000 nodes in an order that is not the path's, small rings, and a node alone."""
+    rng = np.random.default_rng(4)
+    order = rng.permutation(3000)
+    pairs = [(int(a), int(b)) for a, b in itertools.pairwise(order)] + [(3000 + 5 * k + m, 3000 + 5 * k + (m + 1) % 5) for k in range(20) for m in range(5)]
+    rows = spark.createDataFrame([(0, i) for i in range(3101)], "target int, i int")
+    rounds, plain = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: rounds.append(1) or plain(df))
+    got = {r.i: r.component for r in graph.least_labels(rows, edges_of(spark, pairs)).collect()}
+    assert (len(rounds) - 2) / 2 <= 2 * math.log2(3000)
+    assert got == {i: 0 if i < 3000 else 3100 if i == 3100 else i - (i - 3000) % 5 for i in range(3101)}
