@@ -32,6 +32,15 @@ def snapshots(residues: DataFrame, moved: DataFrame) -> DataFrame:
     return native.union(residues.join(moved, ["target", "i"]).select("target", "snapshot", "i", *place))
 
 
+def snapshot_atoms(atoms: DataFrame, moved: DataFrame) -> DataFrame:
+    """(snapshot and the columns of atoms, with x, y, z to 3 digits): all atoms of a residue (target, i) moved as one by its
+    residue's displacement; snapshot 0 has them as they are. Residues that no mode moves are in snapshot 0 only."""
+    names = [c for c in atoms.columns if c not in "xyz"]
+    shift = moved.select("target", "snapshot", "i", "dx", "dy", "dz")
+    place = [F.round(F.col(c) + F.col(f"d{c}"), 3).alias(c) for c in "xyz"]
+    return atoms.select(F.lit(0).alias("snapshot"), *names, *"xyz").union(atoms.join(shift, ["target", "i"]).select("snapshot", *names, *place))
+
+
 def detect(coordinates: DataFrame, radius: float = 8.0, every: int = 5) -> DataFrame:
     """(target, snapshot, pocket, i, d): the surrogate detector. A pocket is the residues within the radius of every
     fifth residue, itself included; d is the distance from it."""

@@ -20,12 +20,34 @@ def scratch(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster shares, which cuts the lineage of a loop."""
+    """df written to the folder that the cluster shares, which cuts the lineage of a loop. The folder goes when the
+    application ends; clear() removes what there is so far."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    place, files = _files(df.sparkSession, path)
+    files.deleteOnExit(place)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_made: list[str] = []
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes all that kept() has written so far in this application, when nothing that was made from it is read any more;
+    how many folders that were."""
+    count = len(_made)
+    while _made:
+        place, files = _files(spark, _made.pop())
+        files.delete(place, True)
+    return count
+
+
 #: Leaps of a breadth-first search that one job makes; its end is written.
 LEAPS = 6
 

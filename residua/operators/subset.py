@@ -30,6 +30,17 @@ def objective(candidates: DataFrame, pairs: DataFrame, *, k: int = 5, weight: fl
     return single.union(rows.select("target", F.col("i").alias("a"), F.col("j").alias("b"), q.alias("q")))
 
 
+def lining(rows: DataFrame, modes: tuple[str, ...] = ("support", "persistent", "variable")) -> DataFrame:
+    """(target, i, mode, g): percentiles of a lining's support, of the support times the root of the residue's frequency, and
+    of that times the root of what is left of it. rows: (target, i, support, frequency), the frequency between 0 and 1. A
+    target in which a mode leaves no support above 0 has no rows of that mode."""
+    weight = {"support": F.lit(1.0), "persistent": F.sqrt("frequency"), "variable": F.sqrt(1 - F.col("frequency"))}
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.round(F.col("support") * weight[m], 12).alias("v")) for m in modes)))
+    values = rows.select("target", "i", each.alias("e")).select("target", "i", "e.mode", "e.v")
+    values = values.withColumn("most", F.max("v").over(Window.partitionBy("target", "mode"))).filter("most > 0")
+    return values.select("target", "i", "mode", percentile("v", "target", "mode").alias("g"))
+
+
 def subsets(q: DataFrame, k: int = 5) -> DataFrame:
     """(target, members, energy) of all k-subsets, grown by one larger member a time; each step adds the energies of the
     new member with those before it. A subset meets only the candidates after its last member, through the key (target,

@@ -108,3 +108,20 @@ def manifest(lines: DataFrame) -> DataFrame:
     """(target, lines, sha256) of each target's file, every line ended by \\n."""
     text = F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n"), F.lit("\n"))
     return lines.groupBy("target").agg(F.count(F.lit(1)).alias("lines"), F.sha2(text.cast("binary"), 256).alias("sha256"))
+
+
+def write_snapshots(atoms: DataFrame, path: str) -> None:
+    """Snapshots (target, snapshot, serial, atom, element, resname, chain, resnum, x, y, z) as fixed-column atom lines, a
+    folder a target and snapshot. Numbers that their columns can't hold start again from 0."""
+    name = F.when(F.length("atom") < 4, F.concat(F.lit(" "), "atom")).otherwise(F.col("atom"))
+    line = F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.col("serial") % 100_000, name, "resname", "chain", F.col("resnum") % 10_000, "x", "y", "z", F.lit(1.0), F.lit(0.0), "element")
+    atoms.repartition("target", "snapshot").sortWithinPartitions("target", "snapshot", "serial").select("target", "snapshot", line.alias("value")).write.partitionBy("target", "snapshot").text(path)
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """(target, snapshot, serial, atom, resname, chain, resnum, x, y, z, element) of such lines; others are left out."""
+    rows = spark.read.text(path).filter(F.col("value").startswith("ATOM  "))
+    cut = lambda first, size: F.trim(F.substring("value", first, size))
+    number = {"serial": (7, 5, "int"), "resnum": (23, 4, "int"), "x": (31, 8, "double"), "y": (39, 8, "double"), "z": (47, 8, "double")}
+    text = {"atom": (13, 4), "resname": (18, 3), "chain": (22, 1), "element": (77, 2)}
+    return rows.select("target", "snapshot", *[cut(a, n).cast(t).alias(c) for c, (a, n, t) in number.items()], *[cut(a, n).alias(c) for c, (a, n) in text.items()])

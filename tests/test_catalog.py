@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from residua.plans import catalog, ensemble, fields, records
+from residua.plans import catalog, ensemble, fields, records, sweeps
 from tests.compare import oracle, shown
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +27,8 @@ def test_records_equal_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(fields.ORACLES))
 def test_fields_equal_sql(spark, name):
     assert shown(fields.QUERIES[name](spark, SF).toPandas()) == shown(oracle(fields.ORACLES[name], SF))
+
+
+@pytest.mark.parametrize("name", sorted(sweeps.ORACLES))
+def test_sweeps_equal_sql(spark, name):
+    assert shown(sweeps.QUERIES[name](spark, SF).toPandas()) == shown(oracle(sweeps.ORACLES[name], SF))

@@ -91,3 +91,34 @@ def test_components_take_few_rounds(spark, monkeypatch):
     got = {r.i: r.component for r in graph.least_labels(rows, edges_of(spark, pairs)).collect()}
     assert (len(rounds) - 2) / 2 <= 2 * math.log2(3000)
     assert got == {i: 0 if i < 3000 else 3100 if i == 3100 else i - (i - 3000) % 5 for i in range(3101)}
+
+
+def test_written_steps_go(spark, tmp_path):
+    """By clear(), and when the application ends."""
+    import os
+    import subprocess
+    import sys
+
+    graph.clear(spark)
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = len(os.listdir(at)) if os.path.isdir(at) else 0
+    edges = edges_of(spark, [(0, 1), (1, 2)])
+    assert graph.hops(spark.createDataFrame([(0, 0)], "target int, i int"), edges).count() == 3
+    assert len(os.listdir(at)) > before and graph.clear(spark) > 0 and len(os.listdir(at)) == before
+    code = f"""
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}").getOrCreate()
+from residua.operators import graph
+assert graph.kept(graph.kept(s.range(3))).count() == 3
+import os
+assert sum(n.startswith("graph-") for n in os.listdir("{tmp_path}")) == 2
+s.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import time
+
+    for _ in range(40):  # the JVM ends after Python
+        if not (left := [n for n in os.listdir(tmp_path) if n.startswith("graph-")]):
+            break
+        time.sleep(0.5)
+    assert not left
