@@ -1,4 +1,4 @@
-"""Residue tables: from mmCIF text, or a protein-like chain built from the embeddings table.
+"""Residue tables: a protein-like chain built from the embeddings table (sources.mmcif has those of structure files).
 
 A residue table has target, i (position in its target), residue_id, x, y, z, score, truth and source.
 """
@@ -23,33 +23,3 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = [F.round(F.sum(STEP * F.col(f"e{k}") / r).over(before), 3).alias(n) for k, n in enumerate("xyz")]
     rows = rows.withColumn("i", (F.row_number().over(order) - 1).cast("int")).select("target", "vec_id", "i", *place, F.round("e6", 6).alias("score"), (F.col("e7") > 0.05).cast("int").alias("truth"))
     return rows.withColumn("residue_id", F.concat(F.lit("A:"), (F.col("i") + 1).cast("string"))).withColumn("source", F.col("i") % 25 == 3)
-
-
-def mmcif_atoms(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of the first model of mmCIF files: one row per atom line, fields by the column names of the _atom_site loop.
-    Of alternate locations the one of the highest occupancy stays, the first on a tie (a rule of this library)."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    files = Window.partitionBy("file").orderBy("at")
-    names = lines.filter(F.col("value").startswith("_atom_site.")).withColumn("k", F.row_number().over(files)).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct(F.trim(F.split("value", "\\.")[1]), "k"))).alias("k"))
-    atoms = lines.filter(F.col("value").rlike("^(ATOM|HETATM)\\s")).join(F.broadcast(names), "file")
-    token = F.split(F.trim("value"), "\\s+")
-    field = lambda n: F.nullif(F.nullif(F.element_at(token, F.col("k")[n]), F.lit("?")), F.lit("."))
-    rows = atoms.select(
-        "file", "at", field("group_PDB").alias("group"), field("auth_asym_id").alias("chain"), field("auth_seq_id").cast("int").alias("resnum"),
-        F.coalesce(field("pdbx_PDB_ins_code"), F.lit("")).alias("icode"), field("auth_comp_id").alias("resname"), field("auth_atom_id").alias("atom"),
-        field("type_symbol").alias("element"), field("occupancy").cast("double").alias("occ"), field("Cartn_x").cast("double").alias("x"),
-        field("Cartn_y").cast("double").alias("y"), field("Cartn_z").cast("double").alias("z"), F.coalesce(field("pdbx_PDB_model_num").cast("int"), F.lit(1)).alias("model"),
-    )
-    first = rows.withColumn("least", F.min("model").over(Window.partitionBy("file"))).filter("model = least").drop("least")
-    best = Window.partitionBy("file", "chain", "resnum", "icode", "resname", "atom").orderBy(F.desc("occ"), "at")
-    return first.withColumn("best", F.row_number().over(best)).filter("best = 1").drop("best", "model")
-
-
-def residues(atoms: DataFrame, chains: list[str] | None = None) -> DataFrame:
-    """C-alpha rows of standard residues in file order, with their index i."""
-    #: The standard amino acids.
-    standard = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split()
-    rows = atoms.filter((F.col("group") == "ATOM") & (F.col("atom") == "CA") & F.col("resname").isin(standard))
-    if chains:
-        rows = rows.filter(F.col("chain").isin(chains))
-    return rows.select(F.col("file").alias("target"), (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).cast("int").alias("i"), F.concat("chain", F.lit(":"), F.col("resnum").cast("string"), "icode").alias("residue_id"), "x", "y", "z")

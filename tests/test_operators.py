@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from residua.operators import evaluate, geometry, graph, subset
-from residua.sources.chains import mmcif_atoms, residues
+from residua.sources import mmcif
 
 
 def edges_of(spark, pairs, target=0):
@@ -54,7 +54,7 @@ def test_mmcif_scan(spark, tmp_path):
     names = "group_PDB id type_symbol label_atom_id label_alt_id auth_comp_id auth_asym_id auth_seq_id pdbx_PDB_ins_code Cartn_x Cartn_y Cartn_z occupancy auth_atom_id pdbx_PDB_model_num".split()
     atoms = ["ATOM 1 C CA A GLY A 5 ? 1 2 3 0.4 CA 1", "ATOM 2 C CA B GLY A 5 ? 4 5 6 0.6 CA 1", "HETATM 3 C CA . CSP A 6 ? 0 0 0 1 CA 1", "ATOM 4 N N . ALA A 7 B 1 1 1 1 N 1", "ATOM 5 C CA . ALA A 7 B 7 8 9 1 CA 1", "ATOM 6 C CA . ALA A 8 ? 7 8 9 1 CA 2"]
     (tmp_path / "a.cif").write_text("loop_\n" + "".join(f"_atom_site.{n}\n" for n in names) + "\n".join(atoms) + "\n#\n")
-    got = [(r.i, r.residue_id, r.x) for r in residues(mmcif_atoms(spark, str(tmp_path / "a.cif"))).orderBy("i").collect()]
+    got = [(r.i, r.residue_id, r.x) for r in mmcif.residues(mmcif.atoms(spark, str(tmp_path / "a.cif"))).orderBy("i").collect()]
     assert got == [(0, "A:5", 4.0), (1, "A:7B", 7.0)]
 
 
