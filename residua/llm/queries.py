@@ -173,7 +173,7 @@ def _op13_sql(lower: int = 7, upper: int = 4) -> str:
     row = lambda text: "sha256(" + " || ".join(field.format(text if c == "text" else c) for c in merkle.FIELDS) + ")"
     crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"
     parts = [f"""d AS (SELECT doc_id, coalesce(source, '') AS src, source IS NOT NULL AS named, {row('text')} AS leaf,
-  CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {row(f"translate(text, '{_UPPER}', '{_LOWER}')")} ELSE {row('text')} END AS folded FROM documents),
+  CASE WHEN doc_id IS NOT NULL AND xor({crc}, 4294967295) % 5 = 0 THEN {row(f"translate(text, '{_UPPER}', '{_LOWER}')")} ELSE {row('text')} END AS folded FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY named, src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, count(*) OVER (PARTITION BY named, src) AS n,
   dense_rank() OVER (ORDER BY named, encode(src)) - 1 AS g FROM d),
 a0 AS (SELECT g, k AS i, n, leaf AS h FROM r)"""]

@@ -50,7 +50,7 @@ WORDY = ["Ab ab-AB_ab.ab", "naïve Naïve ÄÖ äö", "1st 2nd 1st", "ab1 ab 1ab
 ASKED = [(1, "AB 1st naïve"), (1, "äö"), (2, prose(3, 12)), (3, None), (4, "?!"), (None, "日本語 ab"), (5, "nobody-holds this0"), *((10 + k, prose(k, 6)) for k in range(8))]
 
 
-@pytest.mark.parametrize("block_bytes,cells", [(4 << 20, 1 << 22), (200, 40)])
+@pytest.mark.parametrize("block_bytes,cells", [(4 << 20, 1 << 22), (700, 40)])
 def test_lexical_search_equals_plain_ranking(spark, monkeypatch, block_bytes, cells):
     """In one block, and with a pair of scans for almost every item."""
     monkeypatch.setattr(lexical, "CELLS", cells)
@@ -59,7 +59,7 @@ def test_lexical_search_equals_plain_ranking(spark, monkeypatch, block_bytes, ce
     items = spark.createDataFrame([(*r, "z", "z") for r in ASKED], "item_id bigint, text string, item string, term string")
     got = [tuple(r) for r in lexical.rank(docs, items, block_bytes=block_bytes).select("item_id", "rank", "doc_id", "score").collect()]
     assert Counter(got) == Counter(ranking(zip(ids, WORDY, strict=True), ASKED))
-    assert block_bytes > 200 or lexical.blocks_of(lexical.terms_of(items), block_bytes) > 2
+    assert block_bytes > 700 or lexical.blocks_of(lexical.terms_of(items), block_bytes) > 2
     assert not lexical.rank(docs.limit(0), items).count() and not lexical.rank(docs, items.limit(0)).count()
 
 
