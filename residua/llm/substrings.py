@@ -3,35 +3,40 @@
 Every window of WINDOW words is an edge between its first and its last WINDOW - 1 words. Consecutive edges with one
 minimizer (the least hash of MINI neighbouring words in the window) travel together to the bucket of that minimizer, so
 equal edges meet whatever document they come from, at a few bytes an edge; of edges that one slice of input repeats, only
-the first goes out. A bucket finds for every edge the place where it starts first. Edges whose first places advance in
-step form nonbranching paths; paths that end where another begins are compacted over Spark's shuffle by document and
-shift, and their coordinates, own and source, verify a span: all its edges must agree on one shift to the source. Edges
-of one minimizer are told by their 64-bit hashes, so N windows that share a minimizer give N * N / 2 ** 65 false repeats;
-words are not compared again.
+the first goes out. A bucket finds for every edge the place where it starts first, its source, and sends runs of edges
+whose sources advance in step: the graph's arcs. An arc's nodes are named by source coordinates, and their degrees are
+counted over distinct arcs. Where a single arc comes in and a single one goes out, the two are one nonbranching path:
+joins that double their reach lead every arc to the head of its path, and a document's runs along a path become one span.
+
+Buckets tell edges by hashes, so a span is only a candidate. Each document that takes part digests the words (SHA-256) of
+its spans and of those that others take from it; a path whose digests are not all one is taken apart, and its windows are
+told by their words. No word goes, or stays, for a hash of 64 bits or less.
 
 Defined cases: null, empty and blank texts have no words; a text shorter than a window has no edges; equal windows in one
 document count as repeats of the earlier start, overlapping ones included; rows repeated under one id are one document at
-the same places, so none is a repeat of the other; a null id sorts before all others; other columns pass through, but a
-column named cut is replaced.
+the same places, so none is a repeat of the other, and where their texts differ each loses only words that start earlier
+elsewhere; a null id sorts before all others; other columns pass through, but a column named cut is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from residua.llm.common import arrow_schema, batch, free, hashes, mixed, run_hashes, sliced, steps, words
+from residua.llm.common import arrow_schema, batch, free, hashes, mixed, run_hashes, sliced, steps, words, written
 
 MINI = 4
 #: Bytes of text whose edges one bucket gets, about.
 BUCKET_BYTES = 4 << 20
 SLICE_BYTES = 4 << 20
+#: Bits of an edge's hash within its minimizer's bucket.
+EDGE_BITS = 48
 NULL_ID = -(1 << 63)
 _EDGES, _PATHS = 0, 1
 ROWS = "bucket int, kind int, body binary"
@@ -62,15 +67,20 @@ def _paths(doc, start, src_doc, src_start) -> np.ndarray:
     return out
 
 
-def _sent(ids: np.ndarray, texts: pa.Array, window: int, buckets: int):
+def _six(x: np.ndarray) -> np.ndarray:
+    """The low six bytes of each value."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _sent(ids: np.ndarray, texts: pa.Array, window: int, buckets: int, bits: int):
     """(bucket, kind, body) rows of a slice."""
     codes, offsets, distinct = words(texts)
     if len(codes) < window:
         return
     h = hashes(distinct)[codes]
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    edge = run_hashes(h, window)
-    mini = _least(run_hashes(mixed(h), MINI), window - MINI + 1)[: len(edge)]
+    edge = run_hashes(h, window) & np.uint64((1 << bits) - 1)
+    mini = _least(run_hashes(mixed(h), MINI) & np.uint64((1 << 48) - 1), window - MINI + 1)[: len(edge)]
     inside = np.flatnonzero(doc[: len(edge)] == doc[window - 1 :])
     if not len(inside):
         return
@@ -79,7 +89,9 @@ def _sent(ids: np.ndarray, texts: pa.Array, window: int, buckets: int):
     ids = ids[doc]
     # of the edges that the slice repeats, the one that starts first goes out
     order = np.lexsort((place, ids)) if (np.diff(ids) < 0).any() else None
-    key = edge if order is None else edge[order]
+    key = _keys(mini, edge)
+    if order is not None:
+        key = key[order]
     _, first, back = np.unique(key, return_index=True, return_inverse=True)
     first = first[back]
     if order is not None:
@@ -107,13 +119,25 @@ def _sent(ids: np.ndarray, texts: pa.Array, window: int, buckets: int):
     total = np.cumsum(n)
     edges = edge[np.repeat(at - (total - n), n) + np.arange(total[-1])]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    six = np.ascontiguousarray(minis.view(np.uint8).reshape(-1, 8)[:, :6])
+    six = _six(minis)
     for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
         head = np.array([b - a], np.int32)
-        parts = (head, ids[at[a:b]], place[at[a:b]], n[a:b].astype(np.uint8), six[a:b], edges[total[a] - n[a] : total[b - 1]])
+        parts = (head, ids[at[a:b]], place[at[a:b]], n[a:b].astype(np.uint8), six[a:b], _six(edges[total[a] - n[a] : total[b - 1]]))
         yield int(bucket[a]), _EDGES, b"".join(x.tobytes() for x in parts)
 
 
+def _keys(mini: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """What tells edges, in a slice as in a bucket: else a slice would keep back edges that belong to another bucket."""
+    return mixed(mini * np.uint64(0xD6E8FEB86659FD93) + edge)
+
+
+def _wide(body: bytes, at: int, n: int) -> np.ndarray:
+    """n values of six bytes each."""
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(body, np.uint8, 6 * n, at).reshape(n, 6)
+    return wide.view(np.uint64).ravel()
+
+
 def _met(bodies: list) -> np.ndarray:
     """Paths of the repeated edges of a bucket."""
     ids, place, n, mini, edge = [], [], [], [], []
@@ -123,17 +147,15 @@ def _met(bodies: list) -> np.ndarray:
         ids.append(np.frombuffer(body, np.int64, k, at))
         place.append(np.frombuffer(body, np.int32, k, at + 8 * k))
         n.append(np.frombuffer(body, np.uint8, k, at + 12 * k))
-        wide = np.zeros((k, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(body, np.uint8, 6 * k, at + 13 * k).reshape(k, 6)
-        mini.append(wide.view(np.uint64).ravel())
-        edge.append(np.frombuffer(body, np.uint64, -1, at + 19 * k))
+        mini.append(_wide(body, at + 13 * k, k))
+        edge.append(_wide(body, at + 19 * k, int(n[-1].sum(dtype=np.int64))))
     ids, place, n, mini, edge = (np.concatenate(x) for x in (ids, place, n, mini, edge))
     n = n.astype(np.int64)
     order = np.lexsort((place, ids))
     begins = np.cumsum(n) - n
     ids, place, n, mini, begins = ids[order], place[order], n[order], mini[order], begins[order]
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    key = mixed(np.repeat(mini, n) * np.uint64(0xD6E8FEB86659FD93) + edge[np.repeat(begins, n) + step])
+    key = _keys(np.repeat(mini, n), edge[np.repeat(begins, n) + step])
     sorted_at = np.argsort(key, kind="stable")
     ordered = key[sorted_at]
     lead = np.ones(len(ordered), bool)
@@ -147,15 +169,16 @@ def _met(bodies: list) -> np.ndarray:
     return out[(out["doc"] != out["src_doc"]) | (out["start"] != out["src_start"])]
 
 
-def repeated_paths(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """Compacted paths (doc, start, n, src_doc, src_start): the n windows from word `start` of doc repeat those from
-    word src_start of src_doc, which start first (or earlier, where the repeat lies in one slice of input)."""
+def arcs(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20, bits: int = EDGE_BITS) -> DataFrame:
+    """Arcs as documents run along them (doc, start, n, src_doc, src_start): by their hashes, the n windows from word
+    `start` of doc repeat those from word src_start of src_doc, which start first (or earlier, where the repeat lies in one
+    slice of input)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = max(1, -(-size // BUCKET_BYTES))
     schema = arrow_schema(ROWS)
 
     def send(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows = list(_sent(b.column(0).to_numpy(zero_copy_only=False), b.column(1), window, buckets))
+        rows = list(_sent(b.column(0).to_numpy(zero_copy_only=False), b.column(1), window, buckets, bits))
         return batch(schema, *zip(*rows, strict=True)) if rows else None
 
     sent = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text")).mapInArrow(sliced(send, "text", SLICE_BYTES), ROWS)
@@ -180,50 +203,127 @@ def repeated_paths(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             yield given(_met(bodies))
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 8))
-    met = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, PATHS)
-    # a path goes on where the one before it, of the same shift, ends
-    line = Window.partitionBy("doc", "src_doc", "shift").orderBy("start")
-    met = met.withColumn("shift", F.col("src_start") - F.col("start"))
-    begins = (F.col("start") != F.lag(F.col("start") + F.col("n")).over(line)) | F.lag("start").over(line).isNull()
-    met = met.withColumn("path", F.sum(begins.cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return met.groupBy("doc", "src_doc", "shift", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n")).select("doc", "start", "n", "src_doc", (F.col("start") + F.col("shift")).alias("src_start"))
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, PATHS)
 
 
-CUT = "struct<n_words: bigint, n_removed: bigint, kept_sha256: string, kept: string>"
+def _heads(runs: DataFrame) -> DataFrame:
+    """(src_doc, src_start, n, head, head_n) of each distinct arc that a nonbranching node joins to the one before it: the
+    arc at the head of its path. Each round of joins doubles the reach of all links."""
+    distinct = written(runs.select("src_doc", "src_start", "n").distinct(), "arcs")
+    into = distinct.select("src_doc", (F.col("src_start") + F.col("n")).alias("node"), F.lit(1).alias("in"), F.lit(0).alias("out"), F.col("src_start").alias("head"), F.col("n").alias("head_n"))
+    out = distinct.select("src_doc", F.col("src_start").alias("node"), F.lit(0).alias("in"), F.lit(1).alias("out"), F.lit(None).cast("int").alias("head"), F.lit(None).cast("int").alias("head_n"))
+    nodes = into.union(out).groupBy("src_doc", "node").agg(F.sum("in").alias("in"), F.sum("out").alias("out"), F.max("head").alias("head"), F.max("head_n").alias("head_n"))
+    links = written(distinct.join(nodes.filter("`in` = 1 AND out = 1").select("src_doc", F.col("node").alias("src_start"), "head", "head_n"), ["src_doc", "src_start"]), "links")
+    while True:
+        above = links.select("src_doc", F.col("src_start").alias("head"), F.col("n").alias("head_n"), F.col("head").alias("next"), F.col("head_n").alias("next_n"))
+        reach = links.select("src_doc", "src_start", "n", "head", "head_n").join(above, ["src_doc", "head", "head_n"], "left")
+        links = written(reach.select("src_doc", "src_start", "n", F.coalesce("next", "head").alias("head"), F.coalesce("next_n", "head_n").alias("head_n"), F.col("next").isNotNull().alias("moved")), "links")
+        if links.filter("moved").isEmpty():
+            return links.drop("moved")
 
 
-def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20, with_text: bool = True) -> DataFrame:
-    """docs with a struct column `cut`: n_words, n_removed, the digest of the words that stay (joined by one blank) and,
-    with_text, these words."""
-    paths = repeated_paths(docs, key=key, text=text, window=window)
-    doc, begins, sizes = free(docs, "doc", "begins", "sizes")
-    spans = paths.groupBy(F.col("doc").alias(doc)).agg(F.collect_list("start").alias(begins), F.collect_list("n").alias(sizes))
+def repeated_paths(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20, bits: int = EDGE_BITS) -> DataFrame:
+    """Candidate spans (doc, start, n, src_doc, src_start), as arcs, along whole nonbranching paths."""
+    runs = written(arcs(docs, key=key, text=text, window=window, bits=bits), "runs")
+    on = runs.join(_heads(runs), ["src_doc", "src_start", "n"], "left").withColumn("shift", F.col("src_start") - F.col("start"))
+    along = on.groupBy("doc", "src_doc", "shift", F.coalesce("head", "src_start").alias("head"), F.coalesce("head_n", "n").alias("head_n"))
+    parts = along.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.sum("n").alias("all"), F.collect_list(F.struct("start", "n")).alias("parts"))
+    # a document that leaves a path and comes back at the same shift keeps its runs apart
+    whole = F.array(F.struct("start", F.col("all").cast("int").alias("n")))
+    spans = parts.select("doc", "src_doc", "shift", F.inline(F.when(F.col("all") == F.col("end") - F.col("start"), whole).otherwise(F.col("parts"))))
+    return spans.select("doc", "start", "n", "src_doc", (F.col("start") + F.col("shift")).alias("src_start"))
+
+
+SPAN = "start int, n int, src_doc bigint, src_start int, gone boolean, expected binary"
+CUT = "struct<n_words: bigint, n_removed: bigint, kept_sha256: string, kept: string, found: array<binary>>"
+
+
+def _cutter(window: int, with_text: bool):
+    """A function of texts and their spans: what is left, and the digest of each span's words. Spans that are `gone` take
+    their words with them, if the digest is the expected one or none is expected."""
 
     @F.arrow_udf(CUT)
-    def cut(texts: pa.Array, starts: pa.Array, sizes: pa.Array) -> pa.Array:
-        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [], []
         for i, j in steps(texts, SLICE_BYTES):
-            part = pc.ascii_trim_whitespace(pc.fill_null(texts.slice(i, j - i), ""))
-            split = pc.ascii_split_whitespace(part)
+            split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts.slice(i, j - i), "")))
             flat = split.flatten()
             real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
             offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))])
+            part = spans.slice(i, j - i)
+            per = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(j - i), per)
+            rows = part.flatten()
+            start, n = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+            begin = np.minimum(offsets[of] + start, offsets[of + 1])
+            end = np.minimum(begin + n + window - 1, offsets[of + 1])
+            # all words in a row, a blank after each
+            at = np.concatenate([[0], np.cumsum(pc.binary_length(flat.cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+            raw = memoryview(b" ".join(flat.cast(pa.binary()).to_pylist()) + b" ")
+            found = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[begin].tolist(), at[end].tolist(), strict=True)]
+            gone = rows.field(4).to_numpy(zero_copy_only=False).astype(bool)
+            gone &= np.fromiter((e is None or e == f for e, f in zip(rows.field(5).to_pylist(), found, strict=True)), bool, len(found))
             marks = np.zeros(len(flat) + 1, np.int64)
-            s, z = starts.slice(i, j - i), sizes.slice(i, j - i)
-            begin = s.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(offsets[:-1], pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False))
-            end = begin + z.flatten().to_numpy(zero_copy_only=False) + window - 1
-            np.add.at(marks, begin, 1)
-            np.add.at(marks, end, -1)
-            gone = np.cumsum(marks[:-1]) > 0
-            stays = real & ~gone
+            np.add.at(marks, begin[gone], 1)
+            np.add.at(marks, end[gone], -1)
+            cover = np.cumsum(marks[:-1]) > 0
+            stays = real & ~cover
             count = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[offsets])  # noqa: B023, E731
             kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(stays)])[offsets], pa.int32()), flat.filter(pa.array(stays)))
             joined = pc.binary_join(kept, " ")
             out[0].append(count(real))
-            out[1].append(count(gone & real))
+            out[1].append(count(cover & real))
             out[2].extend(hashlib.sha256(x).hexdigest() for x in joined.cast(pa.binary()).to_pylist())
             out[3].extend(joined.to_pylist() if with_text else [None] * (j - i))
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["n_words", "n_removed", "kept_sha256", "kept"])
+            ends = np.concatenate([[0], np.cumsum(per)])
+            out[4].extend(found[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+        columns = [pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), pa.array(out[2], pa.string()), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(pa.binary()))]
+        return pa.StructArray.from_arrays(columns, ["n_words", "n_removed", "kept_sha256", "kept", "found"])
+
+    return cut.asNondeterministic()
+
+
+def _windows(window: int):
+    """A function of a text and starts: the windows there."""
+
+    @F.udf("array<struct<at: int, words: string>>")
+    def windows(text: str | None, starts: list[int]):
+        found = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        return [(i, " ".join(found[i : i + window])) for i in starts if i + window <= len(found)]
+
+    return windows
+
+
+def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20, with_text: bool = True, bits: int = EDGE_BITS) -> DataFrame:
+    """docs with a struct column `cut`: n_words, n_removed, the digest of the words that stay (joined by one blank) and,
+    with_text, these words; without, the text is left out. Results don't depend on bits."""
+    doc, spans = free(docs, "doc", "spans")
+    named = docs.withColumn(doc, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)))
+    paths = written(repeated_paths(docs, key=key, text=text, window=window, bits=bits), "spans")
+    unit = ["src_doc", "src_start", "n"]
+    span = F.expr("struct(start, n, src_doc, src_start, gone, expected)").cast(f"struct<{SPAN}>")
+    own = paths.withColumn("gone", F.lit(True))
+    sources = paths.select(*unit).distinct().select(F.col("src_doc").alias("doc"), F.col("src_start").alias("start"), "n", "src_doc", "src_start", F.lit(False).alias("gone"))
+    nothing = F.lit(None).cast("binary").alias("expected")
+
+    def cut(rows: DataFrame, asked: DataFrame, how: str, name: str) -> DataFrame:
+        lists = asked.groupBy(F.col("doc").alias(doc)).agg(F.collect_list(span).alias(spans))
+        out = rows.join(lists, doc, how).withColumn("cut", _cutter(window, with_text)(F.col(text), F.col(spans)))
+        return written(out if with_text else out.drop(text), name)
 
-    joined = docs.withColumn(doc, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).join(spans, doc, "left")
-    return joined.withColumn("cut", cut.asNondeterministic()(F.col(text), begins, sizes)).drop(doc, begins, sizes)
+    done = cut(named, own.unionByName(sources).withColumn("expected", nothing), "left", "cut")
+    told = done.select(F.col(doc).alias("doc"), F.inline(F.arrays_zip(F.col(spans).alias("span"), F.col("cut.found").alias("found")))).select("doc", "span.*", "found")
+    false = written(told.groupBy(*unit).agg(F.min("found").alias("least"), F.max("found").alias("most")).filter("least <> most").select(*unit), "false")
+    if not false.isEmpty():
+        # paths that hashes alone had joined: their windows by their words, then the documents that hold any once more
+        doubted = told.join(false, unit, "left_semi")
+        starts = doubted.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at")).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("at").alias(spans))
+        held = written(named.select(doc, text).join(starts, doc).select(F.col(doc).alias("doc"), F.inline(_windows(window)(F.col(text), F.col(spans)))), "windows")
+        first = held.groupBy("words").agg(F.min(F.struct("doc", "at")).alias("first"))
+        again = held.join(first, "words").filter(F.struct("doc", "at") > F.col("first")).select("doc", F.col("at").alias("start"), F.lit(1).alias("n"), F.lit(None).alias("src_doc"), F.lit(None).alias("src_start"), F.lit(True).alias("gone"), F.unhex(F.sha2(F.concat("words", F.lit(" ")), 256)).alias("expected")).distinct()
+        touched = doubted.select("doc").distinct()
+        sound = own.join(touched, "doc", "left_semi").join(false, unit, "left_anti").withColumn("expected", nothing)
+        here = named.join(touched.select(F.col("doc").alias(doc)), doc, "left_semi")
+        mended = cut(here, sound.unionByName(again), "left", "mended")
+        done = done.join(touched.select(F.col("doc").alias(doc)), doc, "left_anti").unionByName(mended)
+    return done.withColumn("cut", F.col("cut").dropFields("found")).drop(doc, spans)

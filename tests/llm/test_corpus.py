@@ -283,13 +283,35 @@ def test_repeated_windows_equal_brute_force(spark):
             seen.add(g)
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         want[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
-    got = substrings.without_repeats(frame(spark, texts).repartition(5))
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in got.select("doc_id", "cut.*").collect()} == want
+    # the words decide: with hashes of four bits nearly every span is taken apart
+    for bits in (substrings.EDGE_BITS, 4):
+        got = substrings.without_repeats(frame(spark, texts).repartition(5), bits=bits)
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in got.select("doc_id", "cut.*").collect()} == want, bits
     paths = substrings.repeated_paths(frame(spark, [f"{prose(2, 30)} {shared}", f"{shared} {prose(4, 5)}"])).collect()
     assert [(p.doc, p.start, p.n, p.src_doc, p.src_start) for p in paths] == [(1, 0, 41, 0, 30)]
     assert substrings.without_repeats(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_paths_compact_between_branches(spark):
+    a, b, c = prose(11, 400).split(), prose(12, 60).split(), prose(13, 60).split()
+    # 1 repeats all of 0 but one word, 2 leaves it half-way for another continuation, which 3 repeats
+    changed = [*a[:200], "otherword", *a[201:]]
+    texts = [" ".join(x) for x in (a, changed, a[:100] + b, c + a[:100] + b, a)]
+    paths = substrings.repeated_paths(frame(spark, texts)).collect()
+    covered = {(p.doc, p.start + i, p.src_doc, p.src_start + i) for p in paths for i in range(p.n)}
+    assert {x for x in covered if x[0] == 1} == {(1, i, 0, i) for i in [*range(181), *range(201, 381)]}
+    assert {x for x in covered if x[0] == 2} == {(2, i, 0, i) for i in range(81)}
+    assert {x for x in covered if x[0] == 3} == {(3, 60 + i, 0, i) for i in range(81)} | {(3, 60 + i, 2, i) for i in range(81, 141)}
+    assert {x[1] for x in covered if x[0] == 4} == set(range(381))  # 3 and 4 may be of one slice
+    assert len(paths) < 25
+
+
+def test_rows_of_one_id_lose_only_their_own_repeats(spark):
+    x, y = prose(21, 40), prose(22, 40)
+    got = substrings.without_repeats(frame(spark, [x, x, y, y], ids=[1, 2, 2, 3]))
+    assert sorted((r.doc_id, r.kept) for r in got.select("doc_id", "cut.kept").collect()) == [(1, x), (2, ""), (2, y), (3, "")]
+
+
 def test_nearest_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(600, 16)) + 3 * rng.normal(size=(6, 16))[np.arange(600) % 6]
