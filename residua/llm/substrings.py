@@ -35,6 +35,8 @@ MINI = 4
 #: Bytes of text whose edges one bucket gets, about.
 BUCKET_BYTES = 4 << 20
 SLICE_BYTES = 4 << 20
+#: Bytes of text whose words and spans are cut together.
+CUT_BYTES = 1 << 20
 #: Bits of an edge's hash within its minimizer's bucket.
 EDGE_BITS = 48
 NULL_ID = -(1 << 63)
@@ -245,7 +247,7 @@ def _cutter(window: int, with_text: bool):
     @F.arrow_udf(CUT)
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [], []
-        for i, j in steps(texts, SLICE_BYTES):
+        for i, j in steps(texts, CUT_BYTES):
             split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts.slice(i, j - i), "")))
             flat = split.flatten()
             real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
@@ -259,7 +261,8 @@ def _cutter(window: int, with_text: bool):
             end = np.minimum(begin + n + window - 1, offsets[of + 1])
             # all words in a row, a blank after each
             at = np.concatenate([[0], np.cumsum(pc.binary_length(flat.cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
-            raw = memoryview(b" ".join(flat.cast(pa.binary()).to_pylist()) + b" ")
+            row = pa.ListArray.from_arrays(pa.array([0, len(flat) + 1], pa.int32()), pa.concat_arrays([flat, pa.array([""])]))
+            raw = memoryview(pc.binary_join(row, " ")[0].as_buffer())
             found = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[begin].tolist(), at[end].tolist(), strict=True)]
             gone = rows.field(4).to_numpy(zero_copy_only=False).astype(bool)
             gone &= np.fromiter((e is None or e == f for e, f in zip(rows.field(5).to_pylist(), found, strict=True)), bool, len(found))
