@@ -22,7 +22,7 @@ def regions(values: DataFrame, distances: DataFrame, members: DataFrame, explain
 def mechanical(modes: DataFrame, springs: DataFrame, sources: DataFrame, distances: DataFrame, members: DataFrame) -> DataFrame:
     """(target, pocket, mechanical): the mean over the sources of a pocket's strongest residues by the response to a
     source's springs, ranked within the source's hop shells."""
-    found = response.responses(modes, springs).join(sources.select("target", "i"), ["target", "i"], "left_semi")
+    found = response.responses(modes, springs, only=sources)
     values = found.select("target", F.col("i").alias("src"), F.col("j").alias("i"), F.round("c", 9).alias("c"))
     ranks = graph.hop_ranks(values, distances).withColumnRenamed("p", "c")
     return cavity.region_scores(ranks, members).withColumnRenamed("region", "mechanical")
