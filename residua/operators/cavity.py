@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from residua.operators.geometry import near_pairs
 from residua.operators.graph import kept
+from residua.operators.sourced import nearest_distance
 
 POCKET = ["target", "snapshot", "pocket"]
 
@@ -97,7 +98,7 @@ def null_patches(residues: DataFrame, pocket: DataFrame, size: int = 5, toleranc
     away = F.sqrt(sum((F.col(c) - F.col(f"{c}s")) * (F.col(c) - F.col(f"{c}s")) for c in "xyz"))
     centre = residues.join(pocket, ["target", "i"], "left_semi").groupBy("target").agg(*[F.avg(c).alias(c) for c in "xyz"])
     aim = centre.join(source, "target").groupBy("target").agg(F.min(away).alias("aim"))
-    own = residues.join(source, "target").groupBy("target", "i").agg(F.min(away).alias("own"))
+    own = nearest_distance(residues, residues.filter("source"))
     centres = own.join(aim, "target").filter(F.abs(F.col("own") - F.col("aim")) <= tolerance).select("target", "i")
     marks = residues.select("target", F.col("i").alias("j"), F.col("source").cast("int").alias("s")).join(pocket.select("target", F.col("i").alias("j"), F.lit(1).alias("p")), ["target", "j"], "left")
     patches = nearest(residues, size).join(centres, ["target", "i"], "left_semi").join(marks, ["target", "j"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from residua.operators import cavity, eligibility, evaluate, geometry, graph
+from residua.operators import cavity, eligibility, evaluate, geometry, graph, sourced
 from residua.plans.catalog import _EVAL, _HOPS, _VALUES, _WITH, _edges, _values
 from residua.plans.ensemble import _CONTROLS, _FIELDS, _native, _observed, _snapshots
 from residua.sources import results
@@ -107,7 +107,7 @@ def family_residues(spark, sf_dir):
 
 def control_eligible(spark, sf_dir):
     rows, edges = _edges(spark, sf_dir)
-    near = graph.hops(rows.filter("source"), edges).groupBy("target", "i").agg(F.min("hop").alias("hop"))
+    near = sourced.nearest_hops(rows.filter("source"), edges)
     scope = evaluate.scope(rows).select("target", "i", "truth").join(geometry.burial(rows), ["target", "i"]).join(near, ["target", "i"])
     return eligibility.matched_controls(scope)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from residua.operators import cavity, evaluate, geometry, graph, subset
-from residua.plans.catalog import _VALUES, _WITH, _values
+from residua.operators import cavity, evaluate, geometry, graph, sourced, subset
+from residua.plans.catalog import _VALUES, _WITH
 from residua.plans.ensemble import _FIELDS, _modes
 from residua.plans.records import ORACLES as _KEPT
 from residua.plans.records import family_residues, void_support
@@ -39,10 +39,9 @@ def cutoff_profile(spark, sf_dir):
     key = F.struct("target", "cutoff").alias("target")
     cuts = F.explode(F.array(*map(F.lit, CUTOFFS))).alias("cutoff")
     edges = graph.kept(geometry.contacts(rows, max(CUTOFFS)).select("target", "i", "j", "d", cuts).filter("d <= cutoff").select(key, "i", "j"))
-    nodes = graph.kept(rows.select("target", "i", "residue_id", "truth", "source", cuts).select(key, "i", "residue_id", "truth", "source"))
+    nodes = graph.kept(rows.select("target", "i", "residue_id", "truth", "source", *"xyz", cuts).select(key, "i", "residue_id", "truth", "source", *"xyz"))
     parts = graph.least_labels(nodes, edges).groupBy("target").agg(F.count_distinct("component").alias("components"))
-    values = _values(rows).select("target", "src", "i", "c", cuts).select(key, "src", "i", "c")
-    scored = graph.hop_percentiles(values, graph.hops(nodes.filter("source"), edges)).withColumn("score", F.round("score", 9))
+    scored = sourced.hop_percentiles(sourced.inverse(nodes), nodes.filter("source"), edges).withColumn("score", F.round("score", 9))
     scope = graph.kept(nodes.filter(~F.col("source")).join(scored, ["target", "i"]))
     best = scope.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "i"))).filter("k <= 5")
     told = F.concat_ws(";", F.transform(F.sort_array(F.collect_list(F.struct("k", "residue_id"))), lambda x: x["residue_id"]))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from residua.operators import cavity, geometry, graph, response
+from residua.operators import cavity, geometry, graph, response, sourced, walks
 from tests.test_dynamics import points
 
 
@@ -21,3 +21,38 @@ def test_responses_are_final_where_they_are_made(spark):
     assert len(want) == 50 and {(r.i, round(r.threshold, 9), r.hinge) for r in response.hinges_of(rows, modes, springs, block=16).collect()} == want
     few = spark.createDataFrame([(0, 3), (0, 9)], "target int, i int")
     assert {r.i for r in response.responses(modes, springs, only=few).select("i").distinct().collect()} == {3, 9}
+
+
+def close(got, want):
+    got, want = ({tuple(r)[:-1]: r[-1] for r in df.collect()} for df in (got, want))
+    return len(want) > 0 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
+
+
+def test_sums_over_sources_equal_those_of_rows(spark):
+    """Three parts that contacts don't join, and a target without sources; a batch holds two sources."""
+    rng = np.random.default_rng(4)
+    at = np.concatenate([rng.uniform(0, 14, (40, 3)), rng.uniform(60, 74, (20, 3)), [[200.0, 0, 0]]]).round(3)
+    rows = spark.createDataFrame([(t, i, *map(float, x), t == 0 and i % 9 in (0, 6)) for t in (0, 1) for i, x in enumerate(at)], "target int, i int, x double, y double, z double, source boolean")
+    edges, sources = geometry.contacts(rows), rows.filter("source")
+    members = cavity.detect(rows.withColumn("snapshot", sourced.F.lit(0))).select("target", "pocket", "i")
+    walk = sourced.walked(edges, walks.bounds(edges), 12, walks.reading([0.5, 2.0], 12))
+    for found in (sourced.inverse(rows), walk):
+        values, distances = sourced.values(found, sources, 2), sourced.hops(sources, edges)
+        assert close(sourced.hop_percentiles(found, sources, edges), graph.hop_percentiles(values, distances))
+        assert close(sourced.explained(found, sources, edges), graph.explained_by_hops(values, distances))
+        assert close(sourced.regions(found, sources, members), cavity.region_scores(values, members))
+        assert close(sourced.distal(found, rows).drop("selected"), graph.distal_sources(values, rows).drop("selected"))
+    nearest = sourced.hops(sources, edges).groupBy("target", "i").agg(sourced.F.min("hop").alias("hop"))
+    assert close(sourced.nearest_hops(sources, edges), nearest)
+
+
+def test_no_row_for_each_source_and_residue_is_shuffled(spark):
+    _, rows = points(spark, 3, 50)
+    rows = rows.withColumn("source", sourced.F.col("i") % 25 == 3)
+    text = plan(sourced.regions(sourced.inverse(rows), rows.filter("source"), rows.select("target", sourced.F.lit(1).alias("pocket"), "i")))
+    assert "Window" not in text.split("FlatMapGroupsInArrow")[0]
+
+
+def test_copies_around_a_cube_are_not_broadcast(spark):
+    _, rows = points(spark, 3, 50)
+    assert "BroadcastHashJoin" not in plan(geometry.near_pairs(rows, rows, 5.0))
