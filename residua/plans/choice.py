@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from residua.operators import cavity, choice, eligibility, fields, graph, response
+from residua.operators import cavity, choice, eligibility, fields, graph, response, sourced
 from residua.plans.catalog import ORACLES as _PLAIN
 from residua.plans.catalog import _WITH
-from residua.plans.dynamics import _RESPONSE, _WALK, _graph, _softness, _walked
+from residua.plans.dynamics import _RESPONSE, _WALK, _graph, _softness, _walk
 from residua.plans.dynamics import ORACLES as _MOVING
 from residua.plans.ensemble import ORACLES as _STABLE
 from residua.plans.ensemble import _modes, _native, _observed
@@ -15,7 +15,7 @@ from residua.plans.records import ORACLES as _KEPT
 
 
 def _ranked(spark, sf_dir):
-    """Rows, edges, hops, and the eligible pockets that are seen again, with their regions, ranks and centres."""
+    """Rows, edges, and the eligible pockets that are seen again, with their regions, ranks and centres."""
     rows, edges = _graph(spark, sf_dir)
     sources = rows.filter("source")
     members = _native(spark, sf_dir)
@@ -23,10 +23,10 @@ def _ranked(spark, sf_dir):
     fit = eligibility.eligible_pockets(members, valid, graph.sequence_mask(rows, 1).filter("masked"))
     seen = graph.kept(cavity.persistence(_observed(spark, sf_dir), 4).select("target", F.col("scout").alias("pocket"), "persistence"))
     fit = graph.kept(fit.join(seen.select("target", "pocket"), ["target", "pocket"], "left_semi"))
-    values, distances = _walked(sources, edges), graph.hops(sources, edges)
-    regions = graph.kept(choice.regions(values, distances, fit, graph.explained_by_hops(values, distances)))
+    values = _walk(edges)
+    regions = graph.kept(choice.regions(values, sources, edges, fit, sourced.explained(values, sources, edges)))
     centres = graph.kept(fit.join(rows, ["target", "i"]).groupBy("target", "pocket").agg(*[F.round(F.avg(c), 6).alias(c) for c in "xyz"]))
-    return rows, distances, fit, regions, graph.kept(cavity.ranked(regions, seen)), centres
+    return rows, edges, fit, regions, graph.kept(cavity.ranked(regions, seen)), centres
 
 
 def refinement_gate(spark, sf_dir):
@@ -35,9 +35,9 @@ def refinement_gate(spark, sf_dir):
 
 
 def chosen_pocket(spark, sf_dir):
-    rows, distances, fit, regions, ranked, centres = _ranked(spark, sf_dir)
+    rows, edges, fit, regions, ranked, centres = _ranked(spark, sf_dir)
     gate = fields.refinement_gate(ranked, centres)
-    out = choice.chosen(ranked, regions, centres, fit, gate, _softness(_modes(spark, sf_dir)), response.springs(rows), rows.filter("source"), distances)
+    out = choice.chosen(ranked, regions, centres, fit, gate, _softness(_modes(spark, sf_dir)), response.springs(rows), rows.filter("source"), edges)
     return out.select("target", "pocket", "refined", "recurrent", F.concat_ws(",", F.transform("nodes", lambda n: n.cast("string"))).alias("nodes"))
 
 
