@@ -56,3 +56,23 @@ def test_no_row_for_each_source_and_residue_is_shuffled(spark):
 def test_copies_around_a_cube_are_not_broadcast(spark):
     _, rows = points(spark, 3, 50)
     assert "BroadcastHashJoin" not in plan(geometry.near_pairs(rows, rows, 5.0))
+
+
+def test_many_small_graphs_are_taken_at_once(spark):
+    """Orders of one to four lines and a pair of parts, with negative and far ids; one task has them all."""
+    pairs = [(t, i - 5, j - 5) for t in range(40) for i in range(1 + t % 4) for j in range(1 + t % 4) if i != j] + [(99, 0, 7), (99, 7, 0), (99, 20, 30), (99, 30, 20)]
+    edges = spark.createDataFrame(pairs, "target int, i int, j int").coalesce(1)
+    found = graph.settled_walk(edges)
+    assert "MapInArrow" in plan(found) and "MapInArrow" in plan(graph.quantum_walk(edges, [1.0]))
+    got = {(r.target, r.i, r.j): r.p for r in found.collect()}
+    assert {k for k in got if k[0] == 99} == {(99, 0, 7), (99, 20, 30)}
+    for (t, _, _), p in got.items():
+        n = 2 if t == 99 else 1 + t % 4
+        assert p == pytest.approx((1 - 0.15 / (1 + 0.85 / (n - 1))) / n)
+    walk = {(r.target, r.i, r.j): r.c for r in graph.quantum_walk(edges.filter("target < 99"), [1.0]).collect()}
+    assert all(c == pytest.approx((2 - 2 * np.cos(1)) / (1 + k[0] % 4) ** 2) for k, c in walk.items()) and len(walk) == sum(k[0] < 99 for k in got)
+
+
+def test_largest_eigenvalue_of_a_path_is_exact(spark):
+    edges = spark.createDataFrame([(0, a + x, a + 1 - x) for a in range(99) for x in (0, 1)], "target int, i int, j int")
+    assert walks.largest_eigenvalues(edges).first().scale == pytest.approx(2 + 2 * np.cos(np.pi / 100), rel=1e-12)
