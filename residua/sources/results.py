@@ -99,8 +99,14 @@ def general(value: str):
 def labelled_lines(values: DataFrame, residues: DataFrame) -> DataFrame:
     """(target, i, line) of a matrix (target, i, j, v) with names: the header of all names stands at -1, then a line a row."""
     listed = lambda key, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, c.alias("c")))), lambda x: x["c"]), ",")
-    heads = residues.groupBy("target").agg(listed("i", F.col("residue_id")).alias("names"))
-    rows = values.groupBy("target", "i").agg(listed("j", general("v")).alias("cells")).join(residues.select("target", "i", "residue_id"), ["target", "i"])
+    return named_lines(values.groupBy("target", "i").agg(listed("j", general("v")).alias("cells")), residues)
+
+
+def named_lines(cells: DataFrame, residues: DataFrame) -> DataFrame:
+    """(target, i, line), as labelled_lines, of lines (target, i, cells) without names."""
+    names = F.transform(F.sort_array(F.collect_list(F.struct("i", "residue_id"))), lambda x: x["residue_id"])
+    heads = residues.groupBy("target").agg(F.array_join(names, ",").alias("names"))
+    rows = cells.join(residues.select("target", "i", "residue_id"), ["target", "i"])
     return heads.select("target", F.lit(-1).alias("i"), F.concat_ws(",", F.lit("residue_id"), "names").alias("line")).union(rows.select("target", "i", F.concat_ws(",", "residue_id", "cells")))
 
 

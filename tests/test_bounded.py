@@ -76,3 +76,14 @@ def test_many_small_graphs_are_taken_at_once(spark):
 def test_largest_eigenvalue_of_a_path_is_exact(spark):
     edges = spark.createDataFrame([(0, a + x, a + 1 - x) for a in range(99) for x in (0, 1)], "target int, i int, j int")
     assert walks.largest_eigenvalues(edges).first().scale == pytest.approx(2 + 2 * np.cos(np.pi / 100), rel=1e-12)
+
+
+def test_lines_of_sources_equal_those_of_values(spark):
+    from residua.sources import results
+
+    _, rows = points(spark, 3, 50)
+    rows = rows.withColumn("source", sourced.F.col("i") % 25 == 3).withColumn("residue_id", sourced.F.concat(sourced.F.lit("A:"), "i"))
+    sources = rows.filter("source")
+    values = sourced.values(sourced.inverse(rows), sources).selectExpr("target", "src AS i", "i AS j", "c AS v")
+    want = {tuple(r) for r in results.labelled_lines(values, rows).collect()}
+    assert len(want) == 3 and {tuple(r) for r in results.named_lines(sourced.lines(sourced.inverse(rows), sources), rows).collect()} == want
