@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from residua.operators import cavity, geometry, graph, response, sourced, walks
+from residua.operators import cavity, geometry, graph, modes, response, sourced, walks
 from tests.test_dynamics import points
 
 
@@ -87,3 +87,30 @@ def test_lines_of_sources_equal_those_of_values(spark):
     values = sourced.values(sourced.inverse(rows), sources).selectExpr("target", "src AS i", "i AS j", "c AS v")
     want = {tuple(r) for r in results.labelled_lines(values, rows).collect()}
     assert len(want) == 3 and {tuple(r) for r in results.named_lines(sourced.lines(sourced.inverse(rows), sources), rows).collect()} == want
+
+
+def test_modes_by_slabs_equal_those_of_the_whole_matrix(spark):
+    """A chain, one in two parts with a residue that nothing meets, and residues without any contact."""
+    rng = np.random.default_rng(6)
+    step = rng.standard_normal((300, 3))
+    at = np.cumsum(3.8 * step / np.linalg.norm(step, axis=1)[:, None], 0).round(3)
+    parts = np.concatenate([at[:60], at[100:150] + 900, [[-900.0, 0, 0]]])
+    rows = spark.createDataFrame([(t, i, *map(float, x)) for t, p in ((0, at), (1, parts), (2, parts[::60])) for i, x in enumerate(p)], "target int, i int, x double, y double, z double")
+    want = {(r.target, r.mode, r.i): r for r in graph.low_modes(rows, geometry.hessian_blocks(rows), 4).collect()}
+    for dense in (0, 1000):
+        got = {(r.target, r.mode, r.i): r for r in modes.lowest(rows, 4, dense=dense).collect()}
+        assert got.keys() == want.keys() and {k[0] for k in got} == {0, 1}
+        for k, r in got.items():
+            assert r.eigenvalue == pytest.approx(want[k].eigenvalue, rel=1e-6, abs=1e-12) and (r.ux, r.uy, r.uz) == pytest.approx((want[k].ux, want[k].uy, want[k].uz), abs=1e-5)
+
+
+def test_no_task_of_modes_has_a_whole_matrix():
+    """A chain of 1,500 residues: the whole matrix would have 162 MB."""
+    import tracemalloc
+
+    step = np.random.default_rng(6).standard_normal((1500, 3)) + [0.3, 0, 0]
+    at = np.cumsum(3.8 * step / np.linalg.norm(step, axis=1)[:, None], 0)
+    tracemalloc.start()
+    values, _ = modes._lowest(at, 12.0, 2)
+    assert len(values) == 2 and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
