@@ -114,3 +114,24 @@ def test_no_task_of_modes_has_a_whole_matrix():
     values, _ = modes._lowest(at, 12.0, 2)
     assert len(values) == 2 and tracemalloc.get_traced_memory()[1] < 100e6
     tracemalloc.stop()
+
+
+def test_a_search_ends_with_the_last_value():
+    """On a path of 1,000 nodes, the hops of values within 3 steps take 3 steps."""
+    i = np.arange(999, dtype=np.int32)
+    links = sourced.Contacts(sourced.pa.table({"i": np.concatenate([i, i + 1]), "j": np.concatenate([i + 1, i])}))
+    steps, arcs = [], links.arcs
+    links.arcs = lambda places: steps.append(1) or arcs(places)
+    near, hop, c = sourced._shelled(links, 500, (np.arange(497, 504), np.arange(7.0)))
+    assert near.tolist() == list(range(497, 504)) and hop.tolist() == [3, 2, 1, 0, 1, 2, 3] and c.tolist() == list(range(7)) and len(steps) == 3
+
+
+def test_members_lie_by_pocket_in_rows_of_about_their_number():
+    """Pockets of 1 to 33 residues."""
+    rng = np.random.default_rng(2)
+    code = rng.permutation(np.repeat(np.arange(34), np.arange(34)))
+    tables = sourced._by_length(code, 5)
+    assert sum(rows.size for _, rows in tables) <= 2 * len(code) + 5 * 34
+    for pockets, rows in tables:
+        for p, row in zip(pockets, rows, strict=True):
+            assert sorted(row[row < len(code)]) == np.flatnonzero(code == p).tolist()
