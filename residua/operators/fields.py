@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from residua.operators.evaluate import average_precision
+from residua.operators.against import against
 from residua.operators.geometry import near_pairs
 from residua.operators.graph import kept
 
@@ -68,18 +69,32 @@ def refinement_gate(ranked: DataFrame, centres: DataFrame, radius: float = 8.0)
     return near.join(count, "target").select("target", "pocket", "candidates", "near", ((F.col("near") == 1) & (F.col("candidates") > 1)).alias("refine"))
 
 
+def _precision(score: np.ndarray, truth: np.ndarray) -> float | None:
+    """As evaluate.average_precision, of one target."""
+    order = np.argsort(-score)
+    last = np.flatnonzero(np.append(np.diff(score[order]) != 0, True))
+    hits = np.cumsum(truth[order])[last]
+    return float((np.diff(hits, prepend=0) * hits / (last + 1)).sum() / hits[-1]) if hits[-1] else None
+
+
 def random_lift(rows: DataFrame, sizes: DataFrame, draws: int = 200) -> DataFrame:
     """(target, lift, spread): mean and standard deviation of the lift of uniform random scores, drawn from numpy's default
     generator with seeds from 0, for all n residues of a target; null without true rows. rows: (target, i, truth) that
-    count; sizes: (target, n)."""
+    count; sizes: (target, n). A task has some draws of a target, one at a time, with its rows; only lifts leave it."""
 
-    @F.arrow_udf("array<double>")
-    def drawn(seed: pa.Array, n: pa.Array) -> pa.Array:
-        return pa.array([np.random.default_rng(s).random(k) for s, k in zip(seed.to_pylist(), n.to_pylist(), strict=True)], pa.list_(pa.float64()))
+    def work(batch: pa.Table, rows: pa.Table | None) -> dict:
+        out = []
+        if rows is not None:
+            i, truth = rows.column("i").to_numpy(), pc.fill_null(rows.column("truth"), 0).to_numpy()
+            # a null index has no score
+            i = np.nan_to_num(i, nan=-1).astype(np.int64)
+            for seed, n in zip(batch.column("draw").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                own = (i >= 0) & (i < n)
+                if own.any():
+                    ap = _precision(np.random.default_rng(seed).random(n)[i[own]], truth[own])
+                    out.append(None if ap is None else ap / (truth.sum() / len(truth)))
+        return {"l": pa.array(out, pa.float64())}
 
-    seeds = sizes.select("target", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).repartition("target", "draw")
-    scores = seeds.select("target", "draw", F.posexplode(drawn("draw", "n")).alias("i", "score"))
-    scored = scores.join(rows.select("target", "i", "truth"), ["target", "i"]).select(F.struct("target", "draw").alias("target"), "truth", "score")
-    floor = rows.groupBy("target").agg((F.sum("truth") / F.count(F.lit(1))).alias("floor"))
-    lifts = average_precision(scored).select("target.target", "ap").join(floor, "target").withColumn("l", F.try_divide("ap", "floor"))
+    seeds = sizes.select("target", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "n")
+    lifts = against(seeds, {"rows": rows.select("target", "i", "truth")}, work, "l double", 20)
     return lifts.groupBy("target").agg(F.avg("l").alias("lift"), F.stddev_pop("l").alias("spread"))

@@ -22,6 +22,24 @@ def test_random_lift_equals_numpy(spark):
     assert found["u"].lift is None and found["u"].spread is None
 
 
+def test_random_lift_makes_no_row_for_each_draw_and_residue(spark):
+    """Rows of one index are tied; those beyond the size and without an index have no score, but count for the floor."""
+    index, truth = [0, 1, 1, 2, 4, 9, None], [1, 1, 0, 0, None, 1, 1]
+    rows = spark.createDataFrame([("t", i, t) for i, t in zip(index, truth, strict=True)] + [("v", 7, 1)], "target string, i int, truth int")
+    found = fields.random_lift(rows, spark.createDataFrame([("t", 5), ("u", 3), ("v", 2)], "target string, n int"), 45)
+    after = found._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert "Join" not in after and "Window" not in after
+    lifts = []
+    for s in range(45):
+        drawn = np.random.default_rng(s).random(5)
+        tp, n = np.array([1, 1, 0, 0]), np.array([1, 2, 1, 1])
+        order = np.argsort(-drawn[[0, 1, 2, 4]])
+        tp, n = tp[order], n[order]
+        lifts.append((tp / 2 * np.cumsum(tp) / np.cumsum(n)).sum() / (4 / 7))
+    (r,) = found.collect()
+    assert r.target == "t" and r.lift == pytest.approx(np.mean(lifts)) and r.spread == pytest.approx(np.std(lifts))
+
+
 def test_families_with_centres_equal_greedy(spark):
     rng = np.random.default_rng(2)
     sets = sorted(({*rng.choice(14, rng.integers(2, 9), replace=False).tolist()} for _ in range(25)), key=lambda s: -len(s))
