@@ -155,3 +155,31 @@ def test_tied_pockets_all_lead(spark):
     rows = spark.createDataFrame([(0, 4 * k + n, x + 500.0 * k, y, 0.0, n == 0) for k in range(3) for n, (x, y) in enumerate(square[: 4 - k // 2])], "target int, i int, x double, y double, z double, source boolean")
     members = rows.select("target", sourced.F.floor(sourced.F.col("i") / 4).cast("int").alias("pocket"), "i").filter("pocket < 2")
     assert {r.pocket for r in sourced.leading(rows, rows.filter("source and i < 8"), members).collect()} == {0, 1}
+
+
+def test_coined_walks_are_made_in_tasks(spark):
+    """Against dense arcs; two targets, a source without contacts, and batches of two sources."""
+    rng = np.random.default_rng(9)
+    pairs = {t: {(i, j) for i, j in rng.integers(0, 30, (45, 2)).tolist() if i != j} for t in (0, 1)}
+    pairs = {t: sorted(p | {(j, i) for i, j in p}) for t, p in pairs.items()}
+    edges = spark.createDataFrame([(t, 3 * i, 3 * j) for t, p in pairs.items() for i, j in p], "target int, i int, j int")
+    sources = spark.createDataFrame([(t, 3 * i) for t in (0, 1) for i in (0, 4, 7, 11, 12, 40)], "target int, i int")
+    found = graph.coined_walk(sources, edges, 3, 2)
+    assert "Join" not in plan(found).split("FlatMapGroupsInArrow")[0]
+    want = {}
+    for t, arcs in pairs.items():
+        out = {i: [b for b, arc in enumerate(arcs) if arc[0] == i] for i, _ in arcs}
+        for src in (s for s in (0, 4, 7, 11, 12) if s in out):
+            a, reached = np.zeros(len(arcs)), {src}
+            a[out[src]] = 1 / np.sqrt(len(out[src]))
+            for _ in range(3):
+                coined = np.zeros(len(arcs))
+                for own in out.values():
+                    coined[own] = 2 * a[own].mean() - a[own]
+                a = np.array([coined[arcs.index((j, i))] for i, j in arcs])
+                reached |= {j for i, j in arcs if i in reached}
+                for i in out:
+                    want[t, 3 * src, 3 * i] = want.get((t, 3 * src, 3 * i), 0) + (a[out[i]] ** 2).sum() / 3
+            want = {k: p for k, p in want.items() if k[:2] != (t, 3 * src) or (k[2] != 3 * src and k[2] // 3 in reached)}
+    got = {tuple(r)[:-1]: r.p for r in found.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
