@@ -53,6 +53,8 @@ STEP = 3 << 20
 BLOCK = 200_000
 #: Values that are multiplied at once: they stay in a core's cache.
 FEW = 1000
+#: Cells whose sums are made at once, and letters that are hashed at once, for the same reason.
+CELLS, LETTERS = 256, 1 << 17
 _PART = pa.schema([("chunk", pa.int32()), ("body", pa.binary())])
 #: Bytes of lower-cased text: 1 parts words, 2 belongs to them, 0 is left out.
 _KIND = np.full(256, 2, np.uint8)
@@ -94,7 +96,7 @@ def _terms(texts: pa.Array) -> Terms:
     hashed = np.zeros(len(start), np.uint64)
     a = 0
     while a < len(start):  # about as many letters at a time
-        b = max(a + 1, int(np.searchsorted(at, at[a] + STEP)) - 1)
+        b = max(a + 1, int(np.searchsorted(at, at[a] + LETTERS)) - 1)
         size = np.diff(at[a : b + 1])
         place = np.arange(at[b] - at[a]) - np.repeat(at[a:b] - at[a], size)
         hashed[a:b] = np.add.reduceat((letters[at[a] : at[b]].astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[place], at[a:b] - at[a])
@@ -288,6 +290,23 @@ def _by_size(chosen: list[Item]) -> list[Size]:
     return [Size(int(h), at, np.stack([chosen[k].vector for k in at], 1), np.array([chosen[k].least for k in at], np.float32)) for h in np.unique(halves) for at in [np.flatnonzero(halves == h)]]
 
 
+def _cell_sums(latent: np.ndarray, slots: np.ndarray, weights: np.ndarray, places: np.ndarray, cells: int, size: int) -> np.ndarray:
+    """Weighted sums of latent rows by cell. Cells have `size` places each; a word's place is given, and words without a slot
+    (below 0) weigh nothing. All first words of some cells are added at once, then all second ones: ranges of rows added
+    one by one (reduceat) take several times as long."""
+    slot, weight = np.zeros(cells * size, slots.dtype), np.zeros(cells * size, np.float32)
+    slot[places], weight[places] = np.maximum(slots, 0), np.where(slots >= 0, weights, 0)
+    slot, weight = np.ascontiguousarray(slot.reshape(-1, size).T), np.ascontiguousarray(weight.reshape(-1, size).T)
+    sums = np.zeros((cells, latent.shape[1]), np.float32)
+    for a in range(0, cells, CELLS):
+        part = sums[a : a + CELLS]
+        for k, w in zip(slot[:, a : a + CELLS], weight[:, a : a + CELLS], strict=True):
+            rows = latent.take(k, 0)
+            rows *= w[:, None]
+            part += rows
+    return sums
+
+
 class Runs:
     """The runs of `size` words of items, to look up those of documents."""
 
@@ -481,27 +500,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
 
             for x, y in _blocks(counts):
                 word = np.arange(begin[x], begin[y - 1] + counts[y - 1])
-                size = by_size[0].half
+                size = min(by_size[0].half, LEAST)
                 cells = -(-counts[x:y] // size)  # half passages of a document
                 row = (np.cumsum(cells) - cells)[doc[word] - x] + (word - begin[doc[word]]) // size
                 total = int(cells.sum())
                 norm = np.bincount(row, weight[word] * weight[word], total)
-                sums = np.zeros((total, RANK), np.float32)
-                mine = word[seen[word] >= 0]
-                for a in range(0, len(mine), FEW):
-                    m = mine[a : a + FEW]
-                    at = row[m - begin[x]]
-                    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                    rows = table.value[1].take(seen[m], 0)
-                    rows *= weight[m, None]
-                    sums[at[cut]] += np.add.reduceat(rows, cut)
+                sums = _cell_sums(table.value[1], seen[word], weight[word], row * size + (word - begin[doc[word]]) % size, total, size)
                 for group in by_size:
                     while size < group.half:
                         fewer = -(-cells // 2)
                         owner = np.repeat(np.arange(y - x), cells)
                         to = (np.cumsum(fewer) - fewer)[owner] + (np.arange(len(owner)) - (np.cumsum(cells) - cells)[owner]) // 2
                         cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-                        sums, norm, cells, size = np.add.reduceat(sums, cut), np.add.reduceat(norm, cut), fewer, 2 * size
+                        two = np.diff(cut, append=len(to)) == 2
+                        both = sums[cut]
+                        both[two] += sums[cut[two] + 1]
+                        sums, norm, cells, size = both, np.add.reduceat(norm, cut), fewer, 2 * size
                     owner, first = np.repeat(np.arange(x, y), cells), np.cumsum(cells) - cells
                     goes_on = np.append(owner[1:] == owner[:-1], False)  # a passage is a half and the next one of the same document
                     norms = np.sqrt(norm + np.where(goes_on, np.append(norm[1:], 0), 0))

@@ -186,3 +186,18 @@ def test_quality_equals_a_plain_score(spark):
         data = [48 if 49 <= b < 58 else b for b in f"\n{t or ''}\n".encode()]
         z = model.curve[0] * (_mean(data, model.weights.astype(float), 2246822519, quality.BITS) + model.bias) + model.curve[1]
         assert score == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, z)))), abs=1e-5)
+
+
+def test_sums_of_cells_equal_plain_sums():
+    """Cells of eight places, the last of a document cut short; words without a slot weigh nothing."""
+    from residua.llm.decontaminate import CELLS, _cell_sums
+
+    rng = np.random.default_rng(5)
+    cells = 2 * CELLS + 9
+    places = np.flatnonzero(rng.random(8 * cells) < 0.8)
+    slots, weights = rng.integers(-1, 40, len(places)).astype(np.int32), rng.random(len(places)).astype(np.float32)
+    latent = rng.standard_normal((40, 6)).astype(np.float32)
+    want = np.zeros((cells, 6))
+    for at, k, w in zip(places // 8, slots, weights, strict=True):
+        want[at] += latent[k] * w if k >= 0 else 0
+    assert np.allclose(_cell_sums(latent, slots, weights, places, cells, 8), want, atol=1e-5)
