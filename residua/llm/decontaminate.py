@@ -22,10 +22,11 @@ or benchmark gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,12 +54,14 @@ STEP = 3 << 20
 BLOCK = 200_000
 #: Values that are multiplied at once: they stay in a core's cache.
 FEW = 1000
-#: Cells whose sums are made at once, and letters that are hashed at once, for the same reason.
-CELLS, LETTERS = 256, 1 << 17
+#: Cells whose sums are made at once, letters that are hashed at once and words that are looked up at once, for the same reason.
+CELLS, LETTERS, LOOKUPS = 256, 1 << 17, 1 << 14
 _PART = pa.schema([("chunk", pa.int32()), ("body", pa.binary())])
 #: Bytes of lower-cased text: 1 parts words, 2 belongs to them, 0 is left out.
 _KIND = np.full(256, 2, np.uint8)
 _KIND[:128] = [1 if c in b" \t\n\x0b\x0c\r" else 2 if chr(c).isalnum() else 0 for c in range(128)]
+#: For bytes.translate: which bytes do not belong to words, as a mask and as what to delete.
+_BETWEEN, _DROPPED = (_KIND != 2).tobytes(), np.flatnonzero(_KIND != 2).astype(np.uint8).tobytes()
 
 
 @dataclass
@@ -74,8 +77,12 @@ class Terms:
     def buckets(self) -> np.ndarray:
         return (self.hashed >> np.uint64(64 - BITS)).astype(np.int32)
 
-    def shown(self, which) -> list[bytes]:
-        return [self.letters[self.at[i] : self.at[i + 1]].tobytes() for i in which]
+    def shown(self, first: int, last: int) -> list[bytes]:
+        if first >= last:
+            return []
+        cut = (self.at[first : last + 1] - self.at[first]).tolist()
+        body = self.letters[self.at[first] : self.at[last]].tobytes()
+        return [body[a:b] for a, b in itertools.pairwise(cut)]
 
 
 def _terms(texts: pa.Array) -> Terms:
@@ -84,33 +91,37 @@ def _terms(texts: pa.Array) -> Terms:
     if pc.any(odd).as_py():
         low = pc.if_else(odd, pc.replace_substring_regex(low, r"[^\x00-\x7f\p{L}\p{N}]+", ""), low)
     ends = np.concatenate([[0], np.cumsum(pc.binary_length(low).to_numpy(zero_copy_only=False).astype(np.int64))])
-    data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(low)], pa.int32()), low), "")[0].as_buffer(), np.uint8) if len(low) else np.zeros(0, np.uint8)
-    kind = _KIND[data]
-    gaps = kind == 1
-    gaps[ends[:-1][ends[:-1] < len(data)]] |= True  # a text begins a word; its first letter may be one of it
-    where = np.flatnonzero(kind == 2)
-    letters = data[where]
-    part = np.cumsum(gaps, dtype=np.int32)[where]
-    start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(where) else np.zeros(0, np.int64)
+    data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(low)], pa.int32()), low), "")[0].as_buffer().to_pybytes() if len(low) else b""
+    between = np.flatnonzero(np.frombuffer(data.translate(_BETWEEN), bool))
+    letters = np.frombuffer(data.translate(None, _DROPPED), np.uint8)
+    gaps = np.flatnonzero(_KIND[np.frombuffer(data, np.uint8)[between]] == 1)
+    bounds = ends - np.searchsorted(between, ends)  # letters before each text; its first letter begins a word
+    start = np.sort(np.concatenate([between[gaps] - gaps, bounds]), kind="stable")
+    start = start[np.r_[True, start[1:] != start[:-1]] & (start < len(letters))]
     at = np.append(start, len(letters))
     hashed = np.zeros(len(start), np.uint64)
     a = 0
     while a < len(start):  # about as many letters at a time
         b = max(a + 1, int(np.searchsorted(at, at[a] + LETTERS)) - 1)
-        size = np.diff(at[a : b + 1])
-        place = np.arange(at[b] - at[a]) - np.repeat(at[a:b] - at[a], size)
-        hashed[a:b] = np.add.reduceat((letters[at[a] : at[b]].astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[place], at[a:b] - at[a])
+        cut = at[a : b + 1] - at[a]
+        total = letters[at[a] : at[b]].astype(np.uint64)
+        total += np.uint64(1)
+        total *= _powers(len(total))[: len(total)]
+        sums = np.cumsum(total, out=total)[cut[1:] - 1]
+        hashed[a:b] = np.diff(sums, prepend=np.uint64(0)) * _INVERSE[cut[:-1]]  # as if each word began at power 0
         a = b
-    return Terms(mixed(hashed), np.searchsorted(where[start], ends) if len(start) else np.zeros(len(ends), np.int64), letters, at)
+    return Terms(mixed(hashed), np.searchsorted(start, bounds), letters, at)
 
 
 _table = [np.ones(1, np.uint64)]
+#: The inverse of ODD, modulo 2 to the 64, to the powers from 0: a word that is hashed with others begins within LETTERS.
+_INVERSE = np.concatenate([[np.uint64(1)], np.cumprod(np.full(LETTERS, pow(int(ODD), -1, 1 << 64), np.uint64))])
 
 
 def _powers(n: int) -> np.ndarray:
     """ODD to the powers from 0."""
     if len(_table[0]) < n:
-        _table[0] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 256), ODD, np.uint64))])
+        _table[0] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, LETTERS), ODD, np.uint64))])
     return _table[0]
 
 
@@ -205,6 +216,15 @@ def _passages(texts: DataFrame, idf, slot, whole: bool) -> DataFrame:
     return texts.select("text").mapInArrow(sliced(rows, "text", STEP), PASSAGES)
 
 
+def _numbered(slots: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """The distinct slots; spot, which has a place for each slot there is, then tells their numbers. Nothing is sorted."""
+    count = np.arange(len(slots), dtype=np.int32)
+    spot[slots] = count
+    at = slots[spot[slots] == count]
+    spot[at] = count[: len(at)]
+    return at
+
+
 def decomposition(rows: DataFrame, size: int, rank: int = RANK) -> np.ndarray:
     """The leading right singular vectors of the sparse matrix of PASSAGES rows: size x rank. Items are scaled to SHARE."""
     width = rank + EXTRA
@@ -216,17 +236,20 @@ def decomposition(rows: DataFrame, size: int, rank: int = RANK) -> np.ndarray:
     def product(v, gram: bool) -> DataFrame:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((width if gram else size, width), np.float32)
+            spot = np.zeros(size, np.int32)
             for b in batches:
                 for is_item, e, s, w in zip(b.column(0).to_pylist(), *b.columns[2:], strict=True):
                     ends, slots, weights = np.frombuffer(e.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32)
                     weights = weights * scale if is_item else weights
                     starts, i = np.append(0, ends[:-1]), 0
+                    row = np.repeat(np.arange(len(ends)), ends - starts)
                     while i < len(ends):  # some rows at a time
                         j = max(i + 1, int(np.searchsorted(ends, starts[i] + FEW)))
-                        at, back = np.unique(slots[starts[i] : ends[j - 1]], return_inverse=True)
+                        some = slice(starts[i], ends[j - 1])
+                        at = _numbered(slots[some], spot)
                         dense = np.zeros((j - i, len(at)), np.float32)
-                        dense[np.repeat(np.arange(j - i), ends[i:j] - starts[i:j]), back] = weights[starts[i] : ends[j - 1]]
-                        y = dense @ v.value[at]
+                        dense[row[some] - i, spot[slots[some]]] = weights[some]
+                        y = dense @ v.value.take(at, 0)
                         if gram:
                             total += y.T @ y
                         else:
@@ -290,20 +313,38 @@ def _by_size(chosen: list[Item]) -> list[Size]:
     return [Size(int(h), at, np.stack([chosen[k].vector for k in at], 1), np.array([chosen[k].least for k in at], np.float32)) for h in np.unique(halves) for at in [np.flatnonzero(halves == h)]]
 
 
-def _cell_sums(latent: np.ndarray, slots: np.ndarray, weights: np.ndarray, places: np.ndarray, cells: int, size: int) -> np.ndarray:
-    """Weighted sums of latent rows by cell. Cells have `size` places each; a word's place is given, and words without a slot
-    (below 0) weigh nothing. All first words of some cells are added at once, then all second ones: ranges of rows added
-    one by one (reduceat) take several times as long."""
-    slot, weight = np.zeros(cells * size, slots.dtype), np.zeros(cells * size, np.float32)
-    slot[places], weight[places] = np.maximum(slots, 0), np.where(slots >= 0, weights, 0)
-    slot, weight = np.ascontiguousarray(slot.reshape(-1, size).T), np.ascontiguousarray(weight.reshape(-1, size).T)
+def _cell_sums(latent: np.ndarray, slots: np.ndarray, weights: np.ndarray | None, places: np.ndarray, cells: int, size: int) -> np.ndarray:
+    """Weighted sums of latent rows by cell (without weights: latent's rows have theirs). Cells have `size` places each; a
+    word's place is given, in ascending order, and words without a slot (below 0) weigh nothing. All first words of some cells
+    that hold as many are added at once, then all second ones: ranges of rows added one by one (reduceat) take several times
+    as long."""
+    mine = np.flatnonzero(slots >= 0)
+    cell = places[mine] // size
+    many = np.bincount(cell, minlength=cells)
+    nth = np.arange(len(mine)) - np.repeat(np.cumsum(many) - many, many)
+    order = np.argsort(-many.astype(np.int8 if size < 128 else np.int64), kind="stable")  # fullest first
+    spot = np.empty(cells, np.int64)
+    spot[order] = np.arange(cells)
+    to = nth * cells + spot[cell]
+    slot = np.zeros(size * cells, slots.dtype)
+    slot[to] = slots[mine]
+    slot = slot.reshape(size, cells)
+    if weights is not None:
+        weight = np.zeros(size * cells, np.float32)
+        weight[to] = weights[mine]
+        weight = weight.reshape(size, cells)
     sums = np.zeros((cells, latent.shape[1]), np.float32)
     for a in range(0, cells, CELLS):
-        part = sums[a : a + CELLS]
-        for k, w in zip(slot[:, a : a + CELLS], weight[:, a : a + CELLS], strict=True):
-            rows = latent.take(k, 0)
-            rows *= w[:, None]
-            part += rows
+        most, some = many[order[a]], order[a : a + CELLS]
+        least = many[some[-1]]
+        part = np.zeros((len(some), latent.shape[1]), np.float32)
+        for n in range(most):
+            full = len(some) if n < least else int(np.searchsorted(-many[some], -n))  # cells that have such a word
+            rows = latent.take(slot[n, a : a + full], 0)
+            if weights is not None:
+                rows *= weight[n, a : a + full, None]
+            part[:full] += rows
+        sums[some] = part
     return sums
 
 
@@ -341,19 +382,27 @@ class Known:
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
     @staticmethod
     def _key(hashed: np.ndarray, item) -> np.ndarray:
-        return mixed(hashed + (np.atleast_1d(item).astype(np.uint64) + np.uint64(1)) * ODD)
+        return mixed(hashed + Known._salt(item))
+
+    @staticmethod
+    def _salt(item) -> np.ndarray:
+        return (np.atleast_1d(item).astype(np.uint64) + np.uint64(1)) * ODD
 
     def held(self, hashed: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """How many words of each item are among the words from first to last."""
-        out, a, ends = np.zeros(len(item), np.int64), 0, np.cumsum(last - first)
+        out, a, ends, salt = np.zeros(len(item), np.int64), 0, np.cumsum(last - first), self._salt(item)
         while a < len(item):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + LOOKUPS, "right")))
             size = (last - first)[a:b]
             each = np.repeat(np.arange(a, b), size)
-            key = self._key(hashed[np.arange(len(each)) + np.repeat(first[a:b] - (np.cumsum(size) - size), size)], item[each])
+            key = mixed(hashed[np.arange(len(each)) + np.repeat(first[a:b] - (np.cumsum(size) - size), size)] + salt[each])
+            maybe = np.flatnonzero(self.seen[(key >> np.uint64(44)).astype(np.int64)])
+            key, each = key[maybe], each[maybe]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
             pair = np.unique((each[hit] - a) * len(self.keys) + at[hit])
@@ -362,29 +411,49 @@ class Known:
         return out
 
 
-def subsequence(item: list[bytes], stretch: list[bytes]) -> int:
-    """Length of the longest common subsequence, bit-parallel."""
-    masks: dict[str, int] = {}
+def _masks(item: list[bytes]) -> dict[bytes, int]:
+    """The places of each word of an item, as bits."""
+    masks: dict[bytes, int] = {}
     for i, w in enumerate(item):
         masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(item)) - 1
-    v = full
-    for w in stretch:
-        u = v & masks.get(w, 0)
+    return masks
+
+
+def _common(size: int, found: list[int]) -> int:
+    """Length of the longest common subsequence of an item of `size` words and words given by their masks, bit-parallel;
+    words that the item lacks may be left out."""
+    v = full = (1 << size) - 1
+    for m in found:
+        u = v & m
         v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
+    return size - v.bit_count()
+
+
+def subsequence(item: list[bytes], stretch: list[bytes]) -> int:
+    """Length of the longest common subsequence."""
+    masks = _masks(item)
+    return _common(len(item), [masks[w] for w in stretch if w in masks])
 
 
-def stretches(item: list[bytes], text: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def stretches(item: Sequence, text: Sequence) -> Iterator[tuple[int, Sequence]]:
     """Stretches of at most 1.5 times the item's length, and where they begin."""
     size, step = math.ceil(1.5 * len(item)), max(1, len(item) // 4)
     return ((a, text[a : a + size]) for a in range(0, max(1, len(text) - size + step), step))
 
 
-def best_stretch(item: list[bytes], text: list[bytes]) -> tuple[int, int, int]:
-    """Most common words of the item with a stretch; where the stretch is, and its size."""
-    common, where = max((subsequence(item, x), -a) for a, x in stretches(item, text))
-    return common, where, math.ceil(1.5 * len(item))
+def best_stretch(item: list[bytes], text: list[bytes], least: float = 0) -> tuple[int, int, int]:
+    """Most common words of the item with a stretch; minus where the first such stretch is, and its size. Where no stretch
+    can have `least` words in common, 0 of them."""
+    size, masks = math.ceil(1.5 * len(item)), _masks(item)
+    found = [masks.get(w, 0) for w in text]
+    before = list(itertools.accumulate((m > 0 for m in found), initial=0))
+    found = [m for m in found if m]
+    common, where = -1, 0
+    for a, x in stretches(item, range(len(text))):
+        low, high = before[a], before[a + len(x)]  # the stretch's words that the item has bound what is in common
+        if high - low > common and high - low >= least and (n := _common(len(item), found[low:high])) > common:
+            common, where = n, -a
+    return max(common, 0), where, size
 
 
 def answered(answer: list[bytes], stretch: list[bytes], share: float) -> bool:
@@ -403,7 +472,7 @@ def _benchmark(items: DataFrame) -> DataFrame:
     def rows(b: pa.RecordBatch) -> pa.RecordBatch:
         tails = [x if x is not None else next((s for s in reversed(re.split(r"[.!?]+", t)) if s.strip()), "") for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         text, tail = _terms(b.column(1)), _terms(pa.array(tails, pa.string()))
-        told = lambda t, i: t.shown(range(t.offsets[i], t.offsets[i + 1]))
+        told = lambda t, i: t.shown(t.offsets[i], t.offsets[i + 1])
         full = [i for i in range(b.num_rows) if text.offsets[i] < text.offsets[i + 1]]
         return batch(schema, b.column(0).take(pa.array(full, pa.int64())), [told(text, i) for i in full], [told(tail, i) for i in full], [text.hashed[text.offsets[i] : text.offsets[i + 1]].tobytes() for i in full])
 
@@ -438,7 +507,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
     idf, slot = spark.sparkContext.broadcast(_idf(df, n)), spark.sparkContext.broadcast(by_bucket)
     corpus = _passages(docs.select(F.col(text).alias("text")), idf, slot, False)
     latent = decomposition(written(_passages(items, idf, slot, True).union(corpus), "passages"), len(live))
-    table = spark.sparkContext.broadcast((by_bucket, latent))
+    table = spark.sparkContext.broadcast((by_bucket, latent * idf.value[live][:, None]))  # a slot's words weigh the same
     schema = arrow_schema(found)
     parts = []
     many = -(-size // ITEM_BYTES)
@@ -470,42 +539,43 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
             weight = idf.value[bucket]
             seen = table.value[0][bucket]
             chosen, by_size, runs, known = shared.value
+            slotted, before = terms.hashed[seen >= 0], np.concatenate([[0], np.cumsum(seen >= 0)])  # no other word is one of an item
             long = np.array([len(c.words) for c in chosen])
             out = {}
 
             def settle(d: int, k: int, first: int, last: int, cos: float | None) -> None:
                 it = chosen[k]
-                there = np.arange(max(begin[d], first), min(begin[d] + counts[d], last))
-                stretch = terms.shown(there.tolist())
+                stretch = terms.shown(first, last)
                 held = it.known.intersection(stretch)  # bounds the subsequence
                 if sum(it.known_counts[w] for w in held) < weak * len(it.words):
                     return
-                common, where, size = best_stretch(it.words, stretch)
+                common, where, size = best_stretch(it.words, stretch, min(share, weak) * len(it.words))
                 enough = common >= (share if len(it.words) >= 8 else 1) * len(it.words)
                 if not enough and len(it.words) >= 8 and common >= weak * len(it.words):
                     enough = any(answered(it.answer, x, answer_share) and subsequence(it.words, x) >= weak * len(it.words) for _, x in stretches(it.words, stretch))
                 if enough:
                     if cos is None:
-                        m = there[-where : -where + size]
+                        m = np.arange(first - where, min(first - where + size, last))
                         m, whole = m[seen[m] >= 0], float(np.sqrt((weight[m] * weight[m]).sum()))
-                        cos = float((table.value[1][seen[m]] * weight[m, None]).sum(0) @ it.vector) / whole if whole else 0.0
+                        cos = float(table.value[1][seen[m]].sum(0) @ it.vector) / whole if whole else 0.0
                     out[(ids[d], it.key)] = max(out.get((ids[d], it.key), (0, 0)), (common / len(it.words), float(cos)))
 
             def settle_all(d: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray, cos: np.ndarray | None) -> None:
                 """Candidates that hold enough of the item's words."""
                 first, last = np.maximum(begin[d], first), np.minimum(begin[d] + counts[d], last)
-                likely = np.flatnonzero(known.held(terms.hashed, item, first, np.maximum(first, last)) >= weak * long[item])
+                last = np.maximum(first, last)
+                likely = np.flatnonzero(known.held(slotted, item, before[first], before[last]) >= weak * long[item])
                 for i in likely.tolist():
                     settle(int(d[i]), int(item[i]), int(first[i]), int(last[i]), None if cos is None else cos[i])
 
             for x, y in _blocks(counts):
-                word = np.arange(begin[x], begin[y - 1] + counts[y - 1])
+                word = slice(begin[x], begin[y - 1] + counts[y - 1])
                 size = min(by_size[0].half, LEAST)
                 cells = -(-counts[x:y] // size)  # half passages of a document
-                row = (np.cumsum(cells) - cells)[doc[word] - x] + (word - begin[doc[word]]) // size
                 total = int(cells.sum())
-                norm = np.bincount(row, weight[word] * weight[word], total)
-                sums = _cell_sums(table.value[1], seen[word], weight[word], row * size + (word - begin[doc[word]]) % size, total, size)
+                place = np.arange(word.stop - word.start) + np.repeat((np.cumsum(cells) - cells) * size - (begin[x:y] - begin[x]), counts[x:y])
+                norm = np.bincount(place // size, weight[word] * weight[word], total)
+                sums = _cell_sums(table.value[1], seen[word], None, place, total, size)
                 for group in by_size:
                     while size < group.half:
                         fewer = -(-cells // 2)
@@ -513,8 +583,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                         to = (np.cumsum(fewer) - fewer)[owner] + (np.arange(len(owner)) - (np.cumsum(cells) - cells)[owner]) // 2
                         cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
                         two = np.diff(cut, append=len(to)) == 2
-                        both = sums[cut]
-                        both[two] += sums[cut[two] + 1]
+                        both, other = sums.take(cut, 0), sums.take(cut + two, 0)
+                        other[~two] = 0
+                        both += other
                         sums, norm, cells, size = both, np.add.reduceat(norm, cut), fewer, 2 * size
                     owner, first = np.repeat(np.arange(x, y), cells), np.cumsum(cells) - cells
                     goes_on = np.append(owner[1:] == owner[:-1], False)  # a passage is a half and the next one of the same document
@@ -522,7 +593,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text:
                     for a in range(0, len(owner), 2000):
                         part = np.arange(a, min(a + 2000, len(owner)))
                         vectors = sums[a : a + 2000].copy()
-                        vectors[goes_on[part]] += sums[part[goes_on[part]] + 1]
+                        vectors[: len(sums) - a - 1] += sums[a + 1 : a + 2001]
+                        vectors[~goes_on[part]] = sums[part[~goes_on[part]]]
                         near = np.flatnonzero((np.einsum("ij,ij->i", vectors, vectors) >= (group.least.min() * norms[part]) ** 2) & (norms[part] > 0))
                         if len(near):
                             some = near

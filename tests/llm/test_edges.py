@@ -4,6 +4,7 @@ words, ties, repeated rows, empty tables, and extra columns with the names that
 import base64
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -201,3 +202,44 @@ def test_sums_of_cells_equal_plain_sums():
     for at, k, w in zip(places // 8, slots, weights, strict=True):
         want[at] += latent[k] * w if k >= 0 else 0
     assert np.allclose(_cell_sums(latent, slots, weights, places, cells, 8), want, atol=1e-5)
+
+
+def test_words_equal_plain_words(monkeypatch):
+    """Dropped signs within words, empty texts, words as long as a chunk of letters and longer; hashes are plain sums."""
+    from residua.llm.common import ODD, mixed
+
+    rng = random.Random(7)
+    texts = [None, "", "-", "it's", " a-b€ c ", "x" * 50, "été ÉTÉ\n."] + ["".join(rng.choice("aBé \n.-'1_") for _ in range(rng.randrange(40))) for _ in range(200)]
+    want = [[x for x in ("".join(c for c in w if c.isalnum()).encode() for w in re.split(r"[ \t-\r]+", (t or "").lower())) if x] for t in texts]
+    for letters in (16, decontaminate.LETTERS):
+        monkeypatch.setattr(decontaminate, "LETTERS", letters)
+        terms = decontaminate._terms(pa.array(texts, pa.string()))
+        assert [terms.shown(a, b) for a, b in zip(terms.offsets[:-1], terms.offsets[1:], strict=True)] == want
+        plain = [sum((c + 1) * pow(int(ODD), k, 1 << 64) for k, c in enumerate(w)) % (1 << 64) for x in want for w in x]
+        assert np.array_equal(terms.hashed, mixed(np.array(plain, np.uint64)))
+
+
+def test_sums_of_weighed_rows_equal_those_with_weights():
+    from residua.llm.decontaminate import CELLS, _cell_sums
+
+    rng = np.random.default_rng(6)
+    cells = CELLS + 30
+    places = np.flatnonzero(rng.random(8 * cells) < rng.random(8 * cells))
+    slots = rng.integers(-1, 40, len(places)).astype(np.int32)
+    latent, weights = rng.standard_normal((40, 6)).astype(np.float32), rng.random(40).astype(np.float32)
+    want = _cell_sums(latent, slots, weights[slots], places, cells, 8)
+    assert np.array_equal(_cell_sums(latent * weights[:, None], slots, None, places, cells, 8), want)
+
+
+def test_stretches_with_too_few_words_of_an_item_are_not_compared(monkeypatch):
+    """The same best stretch as that of all stretches, but only those are compared that hold enough of the item's words."""
+    made = []
+    real = decontaminate._common
+    monkeypatch.setattr(decontaminate, "_common", lambda size, found: made.append(len(found)) or real(size, found))
+    item, other = [f"w{k}".encode() for k in range(20)], [b"z"] * 4000
+    assert decontaminate.best_stretch(item, other + item[:9] + other, 10)[0] == 0 and not made
+    text = other + item[:18] + other
+    want = max((decontaminate.subsequence(item, x), -a) for a, x in decontaminate.stretches(item, text))
+    made.clear()
+    assert decontaminate.best_stretch(item, text, 10) == (*want, 30) and want[0] == 18
+    assert len(made) < 20
