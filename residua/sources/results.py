@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from residua.sources.atoms import column, places
+
 SCORES = "target int, matrix_index int, chain_id string, residue_number int, insertion_code string, quantum_score double, eligible int"
 HITS = "target int, rank int, matrix_index int, residue_id string, score double"
 EVALUATION = "target int, n bigint, positives bigint, floor double, ap double, lift double, auroc double, hits bigint"
@@ -118,7 +120,8 @@ def manifest(lines: DataFrame) -> DataFrame:
 
 def write_snapshots(atoms: DataFrame, path: str) -> None:
     """Snapshots (target, snapshot, serial, atom, element, resname, chain, resnum, x, y, z) as fixed-column atom lines, a
-    folder a target and snapshot. Numbers that their columns can't hold start again from 0."""
+    folder a target and snapshot. Counts that their columns can't hold start again from 0; a coordinate that is too wide for
+    its column moves what follows to the right."""
     name = F.when(F.length("atom") < 4, F.concat(F.lit(" "), "atom")).otherwise(F.col("atom"))
     line = F.format_string("ATOM  %5d %-4s %3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.col("serial") % 100_000, name, "resname", "chain", F.col("resnum") % 10_000, "x", "y", "z", F.lit(1.0), F.lit(0.0), "element")
     atoms.repartition("target", "snapshot").sortWithinPartitions("target", "snapshot", "serial").select("target", "snapshot", line.alias("value")).write.partitionBy("target", "snapshot").text(path)
@@ -127,7 +130,7 @@ def write_snapshots(atoms: DataFrame, path: str) -> None:
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """(target, snapshot, serial, atom, resname, chain, resnum, x, y, z, element) of such lines; others are left out."""
     rows = spark.read.text(path).filter(F.col("value").startswith("ATOM  "))
-    cut = lambda first, size: F.trim(F.substring("value", first, size))
-    number = {"serial": (7, 5, "int"), "resnum": (23, 4, "int"), "x": (31, 8, "double"), "y": (39, 8, "double"), "z": (47, 8, "double")}
-    text = {"atom": (13, 4), "resname": (18, 3), "chain": (22, 1), "element": (77, 2)}
-    return rows.select("target", "snapshot", *[cut(a, n).cast(t).alias(c) for c, (a, n, t) in number.items()], *[cut(a, n).alias(c) for c, (a, n) in text.items()])
+    cut = lambda first, size: F.trim(F.substr("value", first if isinstance(first, Column) else F.lit(first), F.lit(size)))
+    at, moved = places("value", [column("value", k).cast("double") for k in range(3)])
+    text = {"atom": (13, 4), "resname": (18, 3), "chain": (22, 1), "element": (77 + moved, 2)}
+    return rows.select("target", "snapshot", cut(7, 5).cast("int").alias("serial"), cut(23, 4).cast("int").alias("resnum"), *[x.alias(c) for c, x in zip("xyz", at, strict=True)], *[cut(a, n).alias(c) for c, (a, n) in text.items()])

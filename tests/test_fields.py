@@ -89,6 +89,17 @@ def test_pocket_files(spark, tmp_path):
         pockets.pockets(pockets.read_files(spark, str(folder)), ["A"]).collect()
 
 
+#: Of the width of their columns, wider, and so wide that they leave no blank.
+WIDE = [(1.25, -999.999, 9999.999), (-1430.123, 12.5, -3.0), (10000.5, 2.0, 17918.25), (0.0, -1430.123, -2000.5), (1.0, 2.0, -17115.125), (-100000.001, -100000.002, -100000.003)]
+
+
+def test_snapshots_hold_wide_coordinates(spark, tmp_path):
+    rows = [(t, 0, 7 + k, "CA", "C", "ALA", "A", 9 + k, *at) for t in (1,) for k, at in enumerate(WIDE)]
+    atoms = spark.createDataFrame(rows, "target int, snapshot int, serial int, atom string, element string, resname string, chain string, resnum int, x double, y double, z double")
+    results.write_snapshots(atoms, str(tmp_path / "s"))
+    assert sorted(map(tuple, results.read_snapshots(spark, str(tmp_path / "s")).select(*atoms.columns).collect())) == rows
+
+
 def test_general_form_of_doubles(spark):
     values = [0.0, 1.0, 0.5, 0.123456789, 1e-5, 2.5e-7, 100.0, 123456.789, 1e12]
     frame = spark.createDataFrame([(v,) for v in values], "v double")
