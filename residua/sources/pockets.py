@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from residua.sources.atoms import column, places
+
 ATOMS, SPHERES = r"([^/]+)/pockets/pocket(\d+)_atm\.pdb$", r"([^/]+)/pockets/pocket(\d+)_vert\.pqr$"
 
 
@@ -14,14 +16,15 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def _lines(files: DataFrame, name: str) -> DataFrame:
-    """Atom lines of the files of this name, with coordinates by column, or by field where a column holds no number."""
+    """Atom lines of the files of this name, with coordinates of any width; those that have not three decimals are taken by
+    column, or by field where a column holds no number."""
     rows = files.select(F.regexp_extract("path", name, 1).alias("target"), F.regexp_extract("path", name, 2).alias("number"), F.explode(F.split("text", r"\r\n|\r|\n")).alias("line"))
     rows = rows.filter((F.col("number") != "") & F.col("line").rlike("^(ATOM|HETATM)"))
     fields = F.split(F.trim("line"), r"\s+")
-    fixed = [F.trim(F.substring("line", 31 + 8 * k, 8)).try_cast("double") for k in range(3)]
+    fixed = [column("line", k).try_cast("double") for k in range(3)]
     whole = fixed[0].isNotNull() & fixed[1].isNotNull() & fixed[2].isNotNull()
-    at = [F.when(whole, fixed[k]).otherwise(fields[6 + k].cast("double")).alias(c) for k, c in enumerate("xyz")]
-    return rows.select("target", F.col("number").cast("int").alias("number"), "line", F.element_at(fields, -1).alias("last"), *at)
+    at, _ = places("line", [F.when(whole, fixed[k]).otherwise(fields[6 + k].cast("double")) for k in range(3)])
+    return rows.select("target", F.col("number").cast("int").alias("number"), "line", F.element_at(fields, -1).alias("last"), *[x.alias(c) for c, x in zip("xyz", at, strict=True)])
 
 
 def pockets(files: DataFrame, chains: list[str]) -> DataFrame:

@@ -100,6 +100,18 @@ def test_snapshots_hold_wide_coordinates(spark, tmp_path):
     assert sorted(map(tuple, results.read_snapshots(spark, str(tmp_path / "s")).select(*atoms.columns).collect())) == rows
 
 
+def test_pocket_files_hold_wide_coordinates(spark):
+    head = "HEADER 0  - Pocket Score                      : 0.5000\n"
+    atoms = "".join("ATOM  %5d  CA  RES A%4d    %8.3f%8.3f%8.3f\n" % (k, 9995 + k, *at) for k, at in enumerate(WIDE[:5]))
+    for x, y, z in WIDE:
+        ball = "ATOM      1  APO STP     1    %8.3f%8.3f%8.3f  0.00     1.50" % (x, y, z)
+        files = spark.createDataFrame([("9/pockets/pocket1_atm.pdb", head + atoms), ("9/pockets/pocket1_vert.pqr", ball)], "path string, text string")
+        got = pockets.pockets(files, ["A"]).collect()
+        assert len(got) == 5 and {(r.x, r.y, r.z) for r in got} == {(x, y, z)}
+    near = [("9/pockets/pocket1_atm.pdb", head + "ATOM      1  CA  RES A9995    -1430.123-1200.000-1000.000\n"), ("9/pockets/pocket1_vert.pqr", "ATOM      1  APO STP     1    -1430.123-1200.000-1001.500  0.00     1.50")]
+    assert pockets.pockets(spark.createDataFrame(near, "path string, text string"), ["A"]).first().void_support == pytest.approx(1)
+
+
 def test_general_form_of_doubles(spark):
     values = [0.0, 1.0, 0.5, 0.123456789, 1e-5, 2.5e-7, 100.0, 123456.789, 1e12]
     frame = spark.createDataFrame([(v,) for v in values], "v double")
