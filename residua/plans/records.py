@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from residua.operators import cavity, eligibility, evaluate, geometry, graph, sourced
-from residua.plans.catalog import _EVAL, _HOPS, _VALUES, _WITH, _edges, _values
+from residua.plans.catalog import _EVAL, _HOPS, _VALUES, _WITH, _edges
 from residua.plans.ensemble import _CONTROLS, _FIELDS, _native, _observed, _snapshots
 from residua.sources import results
 from residua.sources.chains import chain
@@ -36,7 +36,8 @@ def scan_hits(spark, sf_dir):
 def matrix_roundtrip(spark, sf_dir):
     """A source's values by residue, as the lines of a matrix."""
     path = graph.scratch(spark)
-    results.write_matrix(_values(chain(spark, sf_dir)).select("target", F.col("src").alias("i"), F.col("i").alias("j"), F.col("c").alias("v")), path)
+    rows = chain(spark, sf_dir)
+    results.write_matrix(sourced.lines(sourced.inverse(rows), rows.filter("source"), results.CELL), path)
     return results.read_matrix(spark, path)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from residua.sources.atoms import column, places
 
 SCORES = "target int, matrix_index int, chain_id string, residue_number int, insertion_code string, quantum_score double, eligible int"
+#: The form of a matrix's values.
+CELL = "%.18e"
 HITS = "target int, rank int, matrix_index int, residue_id string, score double"
 EVALUATION = "target int, n bigint, positives bigint, floor double, ap double, lift double, auroc double, hits bigint"
 POCKET = "number int, geometry_score double, score double, residue_numbers array<int>, residues array<int>"
@@ -33,17 +35,17 @@ def read_hits(spark: SparkSession, path: str, size: int = 5) -> DataFrame:
     return rows.withColumn("rank", rank).drop("n")
 
 
-def write_matrix(values: DataFrame, path: str) -> None:
-    """values (target, i, j, v): one line per row, its values by j in the form %.18e."""
-    cells = F.transform(F.sort_array(F.collect_list(F.struct("j", F.format_string("%.18e", "v").alias("v")))), lambda x: x["v"])
-    values.groupBy("target", "i").agg(F.array_join(cells, ",").alias("line")).select(F.concat_ws("|", F.col("target").cast("string"), F.col("i").cast("string"), "line").alias("value")).write.text(path)
+def write_matrix(lines: DataFrame, path: str) -> None:
+    """lines (target, i, cells): a row of a matrix each, its values by j in the form %.18e between commas."""
+    lines.select(F.concat_ws("|", F.col("target").cast("string"), F.col("i").cast("string"), "cells").alias("value")).write.text(path)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(target, i, j, v) of such lines."""
     part = F.split("value", "\\|")
-    lines = spark.read.text(path).select(part[0].cast("int").alias("target"), part[1].cast("int").alias("i"), F.posexplode(F.split(part[2], ",")).alias("j", "v"))
-    return lines.withColumn("v", F.col("v").cast("double"))
+    # a line is split before its cells become rows, as otherwise it would be split again for every cell
+    lines = spark.read.text(path).select(part[0].cast("int").alias("target"), part[1].cast("int").alias("i"), F.split(part[2], ",").alias("cells"))
+    return lines.select("target", "i", F.posexplode("cells").alias("j", "v")).withColumn("v", F.col("v").cast("double"))
 
 
 def write_method(records: DataFrame, path: str) -> None:

@@ -89,6 +89,21 @@ def test_lines_of_sources_equal_those_of_values(spark):
     assert len(want) == 3 and {tuple(r) for r in results.named_lines(sourced.lines(sourced.inverse(rows), sources), rows).collect()} == want
 
 
+def test_a_line_of_a_matrix_is_split_once(spark, tmp_path):
+    """Not again for each of its cells, and no cell is shuffled on the way to its line."""
+    from residua.sources import results
+
+    _, rows = points(spark, 3, 50)
+    rows = rows.withColumn("source", sourced.F.col("i") % 25 == 3)
+    lines = sourced.lines(sourced.inverse(rows), rows.filter("source"), results.CELL)
+    assert "HashAggregate" not in plan(lines).split("FlatMapGroupsInArrow")[0]
+    results.write_matrix(lines, str(tmp_path / "m"))
+    found = results.read_matrix(spark, str(tmp_path / "m"))
+    assert "split(" not in plan(found).split("Generate")[0]
+    want = sourced.values(sourced.inverse(rows), rows.filter("source")).collect()
+    assert len(want) == 100 and {(r.target, r.i, r.j): r.v for r in found.collect()} == {(r.target, r.src, r.i): r.c for r in want}
+
+
 def test_modes_by_slabs_equal_those_of_the_whole_matrix(spark):
     """A chain, one in two parts with a residue that nothing meets, and residues without any contact."""
     rng = np.random.default_rng(6)
