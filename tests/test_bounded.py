@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from residua.operators import cavity, geometry, graph, modes, response, sourced, walks
+from residua.operators.against import PARTS, against
 from tests.test_dynamics import points
 
 
@@ -23,6 +24,24 @@ def test_responses_are_final_where_they_are_made(spark):
     assert {r.i for r in response.responses(modes, springs, only=few).select("i").distinct().collect()} == {3, 9}
 
 
+def test_copies_of_a_table_do_not_grow_with_the_rows(spark):
+    """Of 300 rows in batches of two: at most PARTS copies of the table for a target, and no batch larger."""
+    import uuid
+
+    rows = spark.createDataFrame([(t, k) for t, n in ((0, 300), (1, 3)) for k in range(n)], "target int, k int")
+    table = spark.createDataFrame([(0, 5), (0, 6)], "target int, v int")
+
+    def ready(table):
+        return {"sum": 0 if table is None else sum(table.column("v").to_pylist()), "copy": uuid.uuid4().hex}
+
+    def work(batch, sum, copy):
+        return {"k": batch.column("k"), "sum": sourced.pa.array([sum] * len(batch)), "copy": sourced.pa.array([copy] * len(batch)), "size": sourced.pa.array([len(batch)] * len(batch))}
+
+    found = against(rows, {"table": table}, work, "k int, sum long, copy string, size long", 2, ready).collect()
+    assert sorted((r.target, r.k, r["sum"]) for r in found) == [(0, k, 11) for k in range(300)] + [(1, k, 0) for k in range(3)]
+    assert max(r.size for r in found) == 2 and 16 < len({r.copy for r in found if r.target == 0}) <= PARTS
+
+
 def close(got, want):
     got, want = ({tuple(r)[:-1]: r[-1] for r in df.collect()} for df in (got, want))
     return len(want) > 0 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
