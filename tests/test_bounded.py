@@ -97,6 +97,21 @@ def test_largest_eigenvalue_of_a_path_is_exact(spark):
     assert walks.largest_eigenvalues(edges).first().scale == pytest.approx(2 + 2 * np.cos(np.pi / 100), rel=1e-12)
 
 
+def test_masses_of_a_walk_are_made_without_its_values(spark):
+    """Of two parts, one bipartite, with a source that has no contacts; an odd and an even degree, and batches of three."""
+    rng = np.random.default_rng(5)
+    pairs = {(i, j) for i, j in rng.integers(0, 40, (90, 2)).tolist() if i != j} | {(50 + k, 51 + k) for k in range(9)}
+    edges = spark.createDataFrame([(0, i, j) for i, j in sorted(pairs | {(j, i) for i, j in pairs})], "target int, i int, j int")
+    sources = edges.select("target", "i").union(spark.createDataFrame([(0, 99), (1, 4)], "target int, i int"))
+    for time in (10.0, 20.0):
+        degree = walks.degree_for(time)
+        form, scale = walks.reading([1.0, time], degree), walks.largest_eigenvalues(edges)
+        got = {r.src: r.c for r in sourced.masses(sources, edges, scale, degree, form, 3).filter("target = 0").collect()}
+        want = sourced.values(sourced.walked(edges, scale, degree, form, None), sources).groupBy("src").agg(sourced.F.sum("c").alias("c")).collect()
+        assert len(want) > 40 and got == pytest.approx({99: 0.0} | {r.src: r.c for r in want}, abs=1e-11)
+    assert walks.degree_for(10.0) % 2 != walks.degree_for(20.0) % 2
+
+
 def test_lines_of_sources_equal_those_of_values(spark):
     from residua.sources import results
 
