@@ -165,6 +165,32 @@ def test_no_task_of_modes_has_a_whole_matrix():
     tracemalloc.stop()
 
 
+def test_blocks_of_modes_are_less_than_slabs():
+    """Of a chain that lies in a lump: each residue is eliminated once, and no contact joins two sides of a plane."""
+    step = np.random.default_rng(6).standard_normal((4000, 3))
+    at = np.cumsum(3.8 * step / np.linalg.norm(step, axis=1)[:, None], 0)
+    slabs, inner, outer = modes._contacts(at, 12.0)
+    i, j = (np.concatenate([s[c[k]] for s, c in zip(slabs, inner)] + [s[c[k]] for s, c in zip(slabs[k:], outer)]) for k in (0, 1))
+    parts = modes._dissected(at, i, j)
+    assert sorted(np.concatenate([own for own, _ in parts]).tolist()) == list(range(len(at)))
+    turn, above = np.empty(len(at), int), [{k} for k in range(len(parts))]
+    for k in reversed(range(len(parts))):
+        turn[parts[k][0]] = k
+        for c in parts[k][1]:
+            assert c < k
+            above[c] |= above[k]
+    assert all(max(a, b) in above[min(a, b)] for a, b in zip(turn[i].tolist(), turn[j].tolist()))
+    assert sum(len(own) ** 2 for own, _ in parts) < sum(len(s) ** 2 for s in slabs) / 3
+
+
+def test_modes_above_many_motions_without_force():
+    """A long chain bends almost without force: those motions are below what counts, and those above are found beside them."""
+    at = np.stack([np.arange(400) * 3.8, np.zeros(400), np.zeros(400)], 1) + np.random.default_rng(3).uniform(-1, 1, (400, 3))
+    want, product = modes._dense(at, 12.0, 4)[0], modes._network(at, 12.0)[0]
+    values, v = modes._lowest(at, 12.0, 4)
+    assert values == pytest.approx(want, rel=1e-6) and np.abs(product(v) - v * values).max() < 1e-9
+
+
 def test_a_search_ends_with_the_last_value():
     """On a path of 1,000 nodes, the hops of values within 3 steps take 3 steps."""
     i = np.arange(999, dtype=np.int32)
